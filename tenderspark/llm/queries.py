@@ -6,14 +6,25 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tenderspark.llm import byte_bpe, packing, secret_scan
+from tenderspark.llm import byte_bpe, langid, packing, quality, secret_scan
+from tenderspark.llm.common import id_bucket
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_nb_svm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = id_bucket("doc_id", 5) == 0
+    model = quality.fit(docs, _table(spark, sf_dir, "labels"), ~held_out)
+    return quality.score(docs, model, ["doc_id"]).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(_table(spark, sf_dir, "documents"))
     return found.select(
@@ -33,12 +44,21 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = id_bucket("doc_id", 4) == 2
+    found = langid.predict(docs, langid.fit(docs, ~held_out), ["doc_id"])
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_nb_svm_quality,
         op2_secret_scan,
         op3_best_fit_packing,
         op7_byte_bpe,
+        op8_language_id,
     )
 }
 
