@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderspark.llm import byte_bpe, langid, packing, quality, secret_scan, simhash
+from tenderspark.llm import brown_lm, byte_bpe, langid, packing, quality, secret_scan, simhash
 from tenderspark.llm.common import id_bucket
 
 
@@ -55,6 +55,15 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op9_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = id_bucket("doc_id", 7) == 2
+    found = brown_lm.score(docs, brown_lm.fit(docs, ~held_out), ["doc_id"])
+    return found.select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -64,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_simhash_near_dedup,
         op7_byte_bpe,
         op8_language_id,
+        op9_brown_lm,
     )
 }
 
