@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderspark.llm import brown_lm, byte_bpe, langid, packing, quality, secret_scan, simhash
+from tenderspark.llm import brown_lm, byte_bpe, langid, multi_index, packing, quality, secret_scan, simhash
 from tenderspark.llm.common import id_bucket
 
 
@@ -39,6 +39,11 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return multi_index.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_nb_svm_quality,
         op2_secret_scan,
         op3_best_fit_packing,
+        op4_inverted_multi_index,
         op5_simhash_near_dedup,
         op7_byte_bpe,
         op8_language_id,
