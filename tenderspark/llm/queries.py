@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderspark.llm import brown_lm, byte_bpe, langid, multi_index, packing, quality, secret_scan, simhash
+from tenderspark.llm import brown_lm, byte_bpe, langid, line_dedup, multi_index, packing, quality, secret_scan, simhash, spotsigs
 from tenderspark.llm.common import id_bucket
 
 
@@ -48,6 +48,10 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(_table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return byte_bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -69,6 +73,10 @@ def op9_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.edited_against_next(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -77,9 +85,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_best_fit_packing,
         op4_inverted_multi_index,
         op5_simhash_near_dedup,
+        op6_line_dedup,
         op7_byte_bpe,
         op8_language_id,
         op9_brown_lm,
+        op10_spot_signatures,
     )
 }
 
