@@ -71,7 +71,7 @@ def removed_lines(docs: DataFrame, id_col: str, text_col: str = "text", threshol
     ))
     rest = posts.where("c > 2 and at <> lead").join(quick, ["c1", "c2"], "left_anti")
     slow = verified(
-        rest.alias("a").join(posts.alias("b"), "token").where(earlier & (F.col("b.at") <> F.col("b.lead"))).select(*pair)
+        rest.alias("a").join(posts.alias("b"), "token").where(earlier & (F.col("b.at") != F.col("b.lead"))).select(*pair)
     )
     near = stored(quick.union(slow))
     # a line goes if it is not its class's first, or if the class matches an earlier one
