@@ -8,6 +8,8 @@ the pieces of its length."""
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from collections import Counter
 from functools import lru_cache
@@ -20,39 +22,71 @@ from tokenizers import Tokenizer
 
 from tenderspark.llm.common import stored, with_text_columns
 
-#: Words each worker remembers before it starts afresh: bounds its memory, never the result.
-REMEMBERED = 400_000
+#: Words a worker remembers; later ones are encoded each time they occur. Bounds its memory, never the result.
+REMEMBERED = 1_000_000
+#: Latin letters and then marks other than apostrophes: the tokenizer lower-cases the first and splits before the second.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+class WordEncoder:
+    """Ids of blank-separated words as little-endian bytes, remembered for as long as the worker lives.
+
+    The tokenizer drops white space and never looks across it, so the ids of a text are those of its words. Words of a
+    plain form are cut into pieces here and only new pieces are given to the tokenizer's model; all others go through
+    the whole tokenizer."""
+
+    def __init__(self, path: str):
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[str, bytes] = {"": b""}
+        self.pieces: dict[str, bytes] = {"": b""}
+        # byte-level alphabet: printable Latin-1 characters stand for themselves, other bytes for 256 and up
+        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.alphabet = dict(zip([b for b in range(256) if b not in own], range(256, 512)))
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            text = piece.encode().decode("latin-1").translate(self.alphabet)
+            found = [t.id for t in self.tokenizer.model.tokenize(text)]
+            ids = struct.pack(f"<{len(found)}I", *found)
+            if len(self.pieces) < REMEMBERED:
+                self.pieces[piece] = ids
+        return ids
+
+    def word(self, word: str) -> bytes:
+        if m := _PLAIN.fullmatch(word):
+            ids = self._piece(m[1].lower()) + self._piece(m[2])
+        else:
+            found = self.tokenizer.encode(word, add_special_tokens=False).ids
+            ids = struct.pack(f"<{len(found)}I", *found)
+        if len(self.known) < REMEMBERED and len(word) <= 64:
+            self.known[word] = ids
+        return ids
+
+    def text(self, text: str | None) -> bytes:
+        known, word = self.known, self.word
+        words = (text or "").replace("\n", " ").split(" ")
+        try:
+            return b"".join(map(known.__getitem__, words))
+        except KeyError:
+            return b"".join([known[w] if w in known else word(w) for w in words])
 
 
 @lru_cache(maxsize=2)
-def _tokenizer(path: str) -> Tokenizer:
-    return Tokenizer.from_file(path)
+def _encoder(path: str) -> WordEncoder:
+    return WordEncoder(path)
 
 
 def _pieces(path: str, capacity: int, closing: int):
-    """Cuts each text's ids, closed by one more id, into pieces of at most `capacity`.
-
-    The tokenizer drops white space and never looks across it, so ids are remembered per blank-separated word."""
+    """Cuts each text's ids, closed by one more id, into pieces of at most `capacity`."""
 
     def start():
-        tokenizer = _tokenizer(path)
-        known: dict[str, bytes] = {"": b""}
-        end = closing.to_bytes(4, "little")
+        encoder, end, step = _encoder(path), closing.to_bytes(4, "little"), 4 * capacity
 
         def cut(texts: list) -> list[list]:
-            split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-            if len(known) > REMEMBERED:
-                known.clear()
-                known[""] = b""
-            new = [w for w in {w for words in split for w in words} if w not in known]
-            for at in range(0, len(new), 20_000):
-                some = new[at : at + 20_000]
-                for word, e in zip(some, tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                    known[word] = np.array(e.ids, "<u4").tobytes()
             out = []
-            for words in split:
-                ids = b"".join(map(known.__getitem__, words)) + end
-                step = 4 * capacity
+            for text in texts:
+                ids = encoder.text(text) + end
                 parts = [ids[a : a + step] for a in range(0, len(ids), step)]
                 out.append([
                     {"piece": k, "start": k * capacity, "length": len(p) // 4, "ids_crc32": zlib.crc32(p)}
