@@ -106,7 +106,8 @@ def fit(
     known = labels.where(F.col(label_col).isNotNull()).select(
         F.col(id_col).alias("i"), (F.col(label_col) == 1).alias("good")
     )
-    rows = docs.where(train).select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(known, "i")
+    rows = docs.where(train).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+    rows = rows.join(known.hint("merge"), "i")  # one plan at every size: labels grow with the corpus
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, texts = np.zeros((2, SIZE), np.int64), np.zeros(2, np.int64)
@@ -140,7 +141,8 @@ def fit(
     picked = known.where(
         F.pmod(F.xxhash64("i"), F.lit(1 << 40)) < F.when(F.col("good"), share[1]).otherwise(share[0]) * (1 << 40)
     )
-    sample = docs.where(train).select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(picked, "i")
+    sample = docs.where(train).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+    sample = sample.join(F.broadcast(picked), "i")  # bounded by sample_per_class
     sample = with_text_columns(
         sample, ["i", "good"], "t", "at array<int>", lambda: lambda texts: [[_indicators(t).astype(np.int32) for t in texts]]
     )
