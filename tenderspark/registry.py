@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from tenderspark.plans import pricing
+from tenderspark.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Market benchmark joined to price scenarios per tender."""
-    return QUERIES["f15_pricing_dashboard"](spark, sf_dir)
+    return pricing.f15_pricing_dashboard(spark, sf_dir)
