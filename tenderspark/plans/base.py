@@ -19,7 +19,7 @@ def query(sql: str | None = None) -> Callable:
     def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
         QUERIES[f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = (PRELUDE + ", " + sql[5:]) if sql.lstrip().startswith("WITH ") else PRELUDE + " " + sql
+            ORACLES[f.__name__] = (PRELUDE + ", " + sql[5:]) if sql.lstrip().startswith("WITH ") and not sql.startswith("WITH RECURSIVE") else sql if sql.startswith("WITH RECURSIVE") else PRELUDE + " " + sql
         return f
 
     return add
