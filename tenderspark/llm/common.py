@@ -38,6 +38,11 @@ def id_bucket(doc_id: str, parts: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % parts
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once for each row; inside lambdas a plain expression is computed per element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of the undirected `edges` (a, b); component is the smallest node reachable.
 

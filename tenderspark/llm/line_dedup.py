@@ -10,14 +10,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenderspark.llm import set_join
-from tenderspark.llm.common import stored
+from tenderspark.llm.common import let, stored
 
 
 def shingles(words: Column, size: int) -> Column:
-    """Different 64-bit hashes of every `size` words in a row."""
-    starts = F.sequence(F.lit(1), F.size(words) - size + 1)
-    at = lambda i: F.xxhash64(*(F.element_at(words, (i + k).cast("int")) for k in range(size)))
-    return F.array_distinct(F.transform(starts, at))
+    """Different 64-bit hashes of every `size` words in a row; of all words, if there are fewer."""
+
+    def of(w: Column) -> Column:
+        at = lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(size)))
+        return F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - size, F.lit(0))), at))
+
+    return let(words, of)
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -44,10 +47,15 @@ def removed_lines(docs: DataFrame, id_col: str, text_col: str = "text", threshol
 
     levels = set_join.rarity(lines.select(shingles(F.col("words"), size).alias("tokens")))
     sets = lines.select("c1", "c2", shingles(F.col("words"), size).alias("tokens"))
-    n = F.size("tokens")
-    prefix = F.slice(set_join.ranked(F.col("tokens"), levels), F.lit(1), set_join.prefix_length(n, threshold))
-    # equal lines share one prefix; long lines are never shuffled for it
-    heads = sets.select("c1", "c2", n.alias("n"), prefix.alias("p")).dropDuplicates(["c1", "c2"])
+
+    def head(tokens: Column) -> Column:
+        n = F.size(tokens)
+        prefix = F.slice(set_join.ranked(tokens, levels), F.lit(1), set_join.prefix_length(n, threshold))
+        return F.struct(n.alias("n"), prefix.alias("p"))
+
+    # equal lines share one prefix; whole lines are never shuffled for it
+    heads = lines.select("c1", "c2", let(shingles(F.col("words"), size), head).alias("h")).select("c1", "c2", "h.n", "h.p")
+    heads = heads.dropDuplicates(["c1", "c2"])
     posts = heads.join(first, ["c1", "c2"]).select("c1", "c2", "n", "at", F.posexplode("p").alias("pos", "token"))
     lists = posts.groupBy("token").agg(F.count("*").alias("c"), F.min("at").alias("lead")).where("c > 1")
     posts = stored(posts.join(lists, "token"))

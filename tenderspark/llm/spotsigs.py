@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tenderspark.llm import set_join
+from tenderspark.llm.common import let
 
 #: Common words of English, French, German and Spanish.
 ANCHORS = tuple(
@@ -29,24 +30,28 @@ def signatures(text: Column, anchors: tuple[str, ...] = ANCHORS, chain: int = 2)
 
     A text without anchors still has the signature of its start. Words are runs of letters and digits, lower-cased."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    marked = F.transform(words, lambda w: F.when(w.isin(*anchors), F.concat(F.lit("\n"), w)).otherwise(w))
+    mark = lambda w: F.when(w.isin(*anchors), F.concat(F.lit("\n"), w)).otherwise(w)
     # one run a line: an anchor (nothing in the first run) and the content words up to the next, each after a blank
-    runs = F.split(F.array_join(marked, " "), " ?\n")
-    first = F.when(F.size(words) > 0, runs).otherwise(F.slice(runs, 1, 0))
-    rest = F.transform(
-        first,
-        lambda r, i: F.when(i == 0, F.concat(F.lit(" "), r)).otherwise(F.substring(r, F.locate(" ", F.concat(r, F.lit(" "))), F.length(r))),
-    )
-    return _chains(first, rest, chain)
+    runs = F.split(F.array_join(F.transform(words, mark), " "), " ?\n")
+    none = F.array().cast("array<bigint>")
+    return let(runs, lambda rs: F.when((F.size(rs) == 1) & (rs[0] == ""), none).otherwise(_of_runs(rs, chain)))
+
+
+def _of_runs(runs: Column, chain: int) -> Column:
+    tail = lambda r: F.substring(r, F.locate(" ", F.concat(r, F.lit(" "))), F.length(r))
+    rest = F.transform(runs, lambda r, i: F.when(i == 0, F.concat(F.lit(" "), r)).otherwise(tail(r)))
+    both = F.struct(runs.alias("runs"), rest.alias("rest"))
 
+    def each(x: Column) -> Column:
+        def one(r: Column, i: Column) -> Column:
+            head = F.when(i == 0, F.lit("")).otherwise(F.substring_index(r, " ", 1))
+            # the run's own content words and those of the next two
+            after = F.concat(*(F.coalesce(F.get(x["rest"], i + k), F.lit("")) for k in range(3)))
+            return F.xxhash64(head, F.substring_index(after, " ", chain + 1))
 
-def _chains(runs: Column, rest: Column, chain: int) -> Column:
-    def one(r: Column, i: Column) -> Column:
-        head = F.when(i == 0, F.lit("")).otherwise(F.substring_index(r, " ", 1))
-        after = F.concat_ws("", F.slice(rest, i + 1, 3))
-        return F.xxhash64(head, F.substring_index(after, " ", chain + 1))
+        return F.array_sort(F.array_distinct(F.transform(x["runs"], one)))
 
-    return F.array_sort(F.array_distinct(F.transform(runs, one)))
+    return let(both, each)
 
 
 def as_text(signatures: Column) -> Column:
