@@ -18,7 +18,7 @@ def norm(v: Column) -> Column:
 
 
 def cosine_similarity(a: Column, b: Column) -> Column:
-    """Cosine over the shorter vector's length; 0 where either is zero."""
+    """Dot product over the shorter length by the norms of the whole vectors; 0 where either is zero."""
     scale = norm(a) * norm(b)
     return F.when(scale == 0, F.lit(0.0)).otherwise(_dot(a, b) / scale)
 
