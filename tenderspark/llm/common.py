@@ -43,6 +43,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """`docs` as one struct column `_doc`, so that its columns' names clash with nothing."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"))
+
+
+def unpacked(df: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The columns that were packed, some of them replaced."""
+    return df.select(*(changed[c].alias(c) if c in changed else F.col("_doc").getField(c).alias(c) for c in columns))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of the undirected `edges` (a, b); component is the smallest node reachable.
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenderspark.llm import set_join
-from tenderspark.llm.common import let, stored
+from tenderspark.llm.common import let, packed, stored, unpacked
 
 
 def shingles(words: Column, size: int) -> Column:
@@ -94,12 +94,12 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
 
     A null text has no lines, an empty one has one; repeated rows are judged like any other, so only the first keeps
     its lines; other columns are ignored, whatever their names."""
-    own = docs.select(F.col(id_col), F.col(text_col)).withColumn("row", F.monotonically_increasing_id())
-    gone = removed_lines(own, id_col, text_col, threshold, size).groupBy("row").agg(F.array_sort(F.collect_list("pos")).alias("removed"))
-    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(F.split(F.col(text_col), "\n"))).cast("long")
-    found = own.select(id_col, "row", n_lines.alias("n_lines")).join(gone, "row", "left")
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("row", F.monotonically_increasing_id())
+    gone = removed_lines(own, "id", "text", threshold, size).groupBy("row").agg(F.array_sort(F.collect_list("pos")).alias("removed"))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
+    found = own.select("id", "row", n_lines.alias("n_lines")).join(gone, "row", "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
-    return found.select(id_col, "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
+    return found.select(F.col("id").alias(id_col), "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
 
 
 def without_later_lines(
@@ -108,13 +108,13 @@ def without_later_lines(
     """`docs` with the later of matching lines removed from the texts; rows whose every line goes are dropped.
 
     Rows that lose nothing, null texts among them, stay as they are."""
-    own = docs.withColumn("_row", F.monotonically_increasing_id())
-    keyed = own.select(F.col(id_col), F.col(text_col), F.col("_row").alias("row"))
-    gone = removed_lines(keyed, id_col, text_col, threshold, size).groupBy("row").agg(F.collect_set("pos").alias("_gone"))
+    own = packed(docs).withColumn("_row", F.monotonically_increasing_id())
+    text = F.col("_doc").getField(text_col)
+    keyed = own.select(F.col("_doc").getField(id_col).alias("id"), text.alias("text"), F.col("_row").alias("row"))
+    gone = removed_lines(keyed, "id", "text", threshold, size).groupBy("row").agg(F.collect_set("pos").alias("_gone"))
     both = own.join(gone.withColumnRenamed("row", "_row"), "_row", "left")
-    lines = F.split(F.col(text_col), "\n")
-    left = F.filter(lines, lambda _, i: ~F.array_contains("_gone", i))
+    left = F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("_gone", i))
     both = both.withColumn("_left", F.when(F.col("_gone").isNotNull(), left))
     kept = both.where(F.col("_left").isNull() | (F.size("_left") > 0))
-    text = F.when(F.col("_left").isNull(), F.col(text_col)).otherwise(F.array_join("_left", "\n"))
-    return kept.withColumn(text_col, text).select(*docs.columns)
+    new = F.when(F.col("_left").isNull(), text).otherwise(F.array_join("_left", "\n"))
+    return unpacked(kept, docs.columns, **{text_col: new})

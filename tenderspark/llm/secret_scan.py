@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenderspark.llm.common import stored, with_text_columns
+from tenderspark.llm.common import packed, stored, unpacked, with_text_columns
 
 #: Base kinds in the order in which spans that start together are listed, then the kinds that linking adds.
 KINDS = ("assign", "access", "hex", "weak_id", "weak_secret", "weak_endpoint")
@@ -173,10 +173,9 @@ def _mask(text: str | None, spans: list[tuple[int, int]], mark: str) -> str | No
 
 def redact(docs: DataFrame, text_col: str = "text", scope: int = 200, mark: str = "[secret]") -> DataFrame:
     """`docs` with every reported span replaced by `mark`; all other columns and all rows stay."""
-    names = docs.columns
-    kept = [c for c in names if c != text_col]
-    # the text goes along, so that nothing has to be joined back to it
-    found = find_secrets(docs, names, text_col, scope).withColumn("_spans", all_spans())
+    # the texts go along, so that nothing has to be joined back to them
+    found = find_secrets(packed(docs), ["_doc"], f"_doc.{text_col}", scope).withColumn("_spans", all_spans())
     mask = F.udf(lambda t, s: _mask(t, [(x["start"], x["end"]) for x in s], mark), "string", useArrow=True)
-    masked = F.when(F.size("_spans") > 0, mask(text_col, "_spans")).otherwise(F.col(text_col))
-    return found.withColumn(text_col, masked).select(*(names if kept else [text_col]))
+    text = F.col("_doc").getField(text_col)
+    masked = F.when(F.size("_spans") > 0, mask(text, F.col("_spans"))).otherwise(text)
+    return unpacked(found, docs.columns, **{text_col: masked})

@@ -39,7 +39,7 @@ def signatures(text: Column, anchors: tuple[str, ...] = ANCHORS, chain: int = 2)
 
 def _of_runs(runs: Column, chain: int) -> Column:
     tail = lambda r: F.substring(r, F.locate(" ", F.concat(r, F.lit(" "))), F.length(r))
-    rest = F.transform(runs, lambda r, i: F.when(i == 0, F.concat(F.lit(" "), r)).otherwise(tail(r)))
+    rest = F.transform(runs, lambda r, i: F.when(r == "", r).when(i == 0, F.concat(F.lit(" "), r)).otherwise(tail(r)))
     both = F.struct(runs.alias("runs"), rest.alias("rest"))
 
     def each(x: Column) -> Column:
