@@ -7,18 +7,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenderspark.llm import langid, line_dedup, packing, secret_scan, simhash
-from tenderspark.llm.common import stored
+from tenderspark.llm.common import packed, stored, unpacked
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """n_chars follows a changed text."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language the nearest-centroid model rejects; others keep all their columns."""
     model = langid.fit(docs, F.lit(True))
-    return langid.predict(docs, model, docs.columns).where(~F.col("rejected")).select(*docs.columns)
+    found = langid.predict(packed(docs), model, ["_doc"], "_doc.text")
+    return unpacked(found.where(~F.col("rejected")), docs.columns)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes lines that match an earlier line of any document; a document that loses all of them goes."""
-    return line_dedup.without_later_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return _counted(line_dedup.without_later_lines(docs))
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +34,7 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks every reported secret; no document goes."""
-    return secret_scan.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return _counted(secret_scan.redact(docs))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
