@@ -7,11 +7,14 @@ similarity. A line that matches an earlier one, in order of document id and posi
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tenderspark.llm import set_join
 from tenderspark.llm.common import let, packed, stored, unpacked
 
+CLASS = ["c1", "c2"]
+
 
 def shingles(words: Column, size: int) -> Column:
     """Different 64-bit hashes of every `size` words in a row; of all words, if there are fewer."""
@@ -24,68 +27,77 @@ def shingles(words: Column, size: int) -> Column:
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(row, id, pos, c1, c2, words) for each line of at least `size` words; c1 and c2 name the class of equal lines."""
-    lines = docs.select(
-        "row", F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line")
-    ).withColumn("line", F.trim(F.lower(F.regexp_replace("line", r"[\s&&[^ ]]+|  +", " "))))
-    # blanks + 1 words, as each run of blanks is one by now
-    long = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1 >= size
-    return lines.where(long).select(
-        "row", "id", "pos", F.xxhash64("line").alias("c1"), F.hash("line").alias("c2"), F.split("line", " ").alias("words")
-    )
+    """(row, id, pos, c1, c2, line) for each line of at least `size` words; c1 and c2 name the class of equal lines.
+
+    Lines are lower-cased, and runs of blanks in them are one."""
+    lines = docs.select("row", F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
+    line = F.lower("line")
+    odd = F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    for blank in ("  ", "\t", "\r", "\f", "\x0b"):
+        odd = odd | F.contains(line, F.lit(blank))
+    line = F.when(odd, F.trim(F.regexp_replace(line, r"[ \t\r\f\x0b]+", " "))).otherwise(line)
+    lines = lines.select("row", "id", "pos", line.alias("line"))
+    long = F.col("line").rlike(rf"^[^ ]+(?: [^ ]+){{{size - 1}}}")
+    return lines.where(long).select("row", "id", "pos", F.xxhash64("line").alias("c1"), F.hash("line").alias("c2"), "line")
+
+
+def _place() -> Column:
+    """Orders lines as id (null last), row, position."""
+    return F.struct(F.col("id").isNull().alias("z"), "id", "row", "pos")
 
 
 def removed_lines(docs: DataFrame, id_col: str, text_col: str = "text", threshold: float = 0.8, size: int = 5) -> DataFrame:
     """(row, pos) of each line of `docs` (with a unique long `row`) that matches an earlier line.
 
     Earlier: smaller id (null last), then smaller row, then smaller position. Lines of fewer than `size` words are
-    left alone."""
+    left alone. `docs` must give the same rows whenever it is read (files or a stored table)."""
     lines = lines_of(docs, id_col, text_col, size)
-    # a class is known by its first line; place orders lines as id, row, position
-    place = F.struct(F.col("id").isNull().alias("z"), "id", "row", "pos")
-    first = stored(lines.select("c1", "c2", place.alias("at")).groupBy("c1", "c2").agg(F.min("at").alias("at")))
-
-    levels = set_join.rarity(lines.select(shingles(F.col("words"), size).alias("tokens")))
-    sets = lines.select("c1", "c2", shingles(F.col("words"), size).alias("tokens"))
-
-    def head(tokens: Column) -> Column:
-        n = F.size(tokens)
-        prefix = F.slice(set_join.ranked(tokens, levels), F.lit(1), set_join.prefix_length(n, threshold))
-        return F.struct(n.alias("n"), prefix.alias("p"))
-
-    # equal lines share one prefix; whole lines are never shuffled for it
-    heads = lines.select("c1", "c2", let(shingles(F.col("words"), size), head).alias("h")).select("c1", "c2", "h.n", "h.p")
-    heads = heads.dropDuplicates(["c1", "c2"])
-    posts = heads.join(first, ["c1", "c2"]).select("c1", "c2", "n", "at", F.posexplode("p").alias("pos", "token"))
-    lists = posts.groupBy("token").agg(F.count("*").alias("c"), F.min("at").alias("lead")).where("c > 1")
-    posts = stored(posts.join(lists, "token"))
+    words = F.split("line", " ")
+    known = stored(lines.select("row", "id", "pos", *CLASS))
+    # a class stands at its first line
+    first = stored(known.groupBy(*CLASS).agg(F.min(_place()).alias("at")))
+    head = lambda common: let(shingles(words, size), lambda t: set_join.head(t, threshold, common)).alias("h")
+    heads = stored(lines.select(*CLASS, head(None)).select(*CLASS, "h.n", "h.p").dropDuplicates(CLASS))
+    common = set_join.common_tokens(heads)
+    if common:
+        held = F.exists("p", lambda t: t.isin(common))
+        moved = heads.where(held).select(*CLASS)
+        some = lines.where(set_join.among(moved, "c1")).dropDuplicates(CLASS).join(moved, CLASS, "left_semi")
+        heads = heads.where(~held).unionByName(some.select(*CLASS, head(common)).select(*CLASS, "h.n", "h.p"))
+
+    # most tokens are in one line only: they go with the least that can travel
+    posts = heads.select("c1", "n", F.posexplode("p").alias("pos", "token"))
+    posts = posts.withColumn("c", F.count("*").over(W.partitionBy("token"))).where("c > 1")
+    posts = stored(posts.join(first, "c1").select("token", *CLASS, "n", "pos", "c", "at"))
+    leads = posts.groupBy("token").agg(F.min("at").alias("lead"))
+    posts = posts.join(leads, "token")
 
     earlier = (F.col("b.at") < F.col("a.at")) & set_join.can_match("a", "b", threshold)
-    pair = [F.col(f"{s}.{c}").alias(f"{s}{c}") for s in "ab" for c in ("c1", "c2")]
-    alive = posts.select("c1").distinct()
-    tokens = stored(sets.where(set_join.among(alive, "c1")).dropDuplicates(["c1", "c2"]).join(alive, "c1", "left_semi"))
+    pair = [F.col(f"{s}.{c}").alias(f"{s}{c}") for s in "ab" for c in CLASS]
 
     def verified(pairs: DataFrame) -> DataFrame:
-        side = lambda s: tokens.select(*(F.col(c).alias(f"{s}{c}") for c in ("c1", "c2")), F.col("tokens").alias(f"t{s}"))
-        both = pairs.distinct().join(side("a"), ["ac1", "ac2"]).join(side("b"), ["bc1", "bc2"])
+        pairs = stored(pairs.distinct())
+        alive = pairs.select(*(F.col(f"a{c}").alias(c) for c in CLASS)).union(pairs.select(*(F.col(f"b{c}").alias(c) for c in CLASS))).distinct()
+        texts = lines.where(set_join.among(alive, "c1")).select(*CLASS, "line").dropDuplicates(CLASS).join(alive, CLASS, "left_semi")
+        texts = stored(texts)
+        side = lambda s: texts.select(*(F.col(c).alias(f"{s}{c}") for c in CLASS), F.col("line").alias(f"t{s}"))
+        both = pairs.join(side("a"), ["ac1", "ac2"]).join(side("b"), ["bc1", "bc2"])
+        tokens = lambda c: shingles(F.split(c, " "), size)
+        both = both.select("ac1", "ac2", tokens("ta").alias("ta"), tokens("tb").alias("tb"))
         hit = both.where(set_join.likeness(F.col("ta"), F.col("tb")) >= threshold - 1e-9)
         return hit.select(F.col("ac1").alias("c1"), F.col("ac2").alias("c2")).distinct()
 
     # Most members of a large group match the first line of one of their lists: one candidate for each posting. Only
     # lines that do not are compared with all earlier lines of their lists.
-    leads = posts.where(F.col("at") == F.col("lead"))
-    quick = stored(verified(
-        posts.alias("a").where("a.at <> a.lead").join(leads.alias("b"), "token").where(earlier).select(*pair)
-    ))
-    rest = posts.where("c > 2 and at <> lead").join(quick, ["c1", "c2"], "left_anti")
-    slow = verified(
-        rest.alias("a").join(posts.alias("b"), "token").where(earlier & (F.col("b.at") != F.col("b.lead"))).select(*pair)
-    )
+    lead = posts.where(F.col("at") == F.col("lead"))
+    quick = stored(verified(posts.alias("a").where("a.at <> a.lead").join(lead.alias("b"), "token").where(earlier).select(*pair)))
+    rest = posts.where("c > 2 and at <> lead").join(quick, CLASS, "left_anti")
+    slow = verified(rest.alias("a").join(posts.alias("b"), "token").where(earlier & (F.col("b.at") != F.col("b.lead"))).select(*pair))
     near = stored(quick.union(slow))
     # a line goes if it is not its class's first, or if the class matches an earlier one
-    marked = lines.select("c1", "c2", "row", "pos", place.alias("at")).join(first.withColumnRenamed("at", "start"), ["c1", "c2"])
+    marked = known.select(*CLASS, "row", "pos", _place().alias("at")).join(first.withColumnRenamed("at", "start"), CLASS)
     later = marked.where("at <> start").select("row", "pos")
-    starts = first.join(near, ["c1", "c2"], "left_semi").select("at.row", "at.pos")
+    starts = first.join(near, CLASS, "left_semi").select("at.row", "at.pos")
     return later.union(starts)
 
 

@@ -1,8 +1,9 @@
 """Exact set-similarity join with DataFrame functions only: prefix, positional and length filters, then Jaccard.
 
-Sets are arrays of 64-bit tokens. Tokens are put in one global order, rare before common: a sketch of fixed size counts
-them, and a token's rarity level is written into its highest byte, so that sorting the numbers sorts by rarity. Any
-order gives the same pairs; rarity only keeps the lists short that sets meet in."""
+Sets are arrays of 64-bit tokens. Tokens are put in one global order, rare before common: common ones are those that
+very many prefixes would hold, at most a fixed number of them; a flag in a token's highest byte moves them behind all
+others, and rare ones follow their hashes. Any order gives the same pairs; rarity only keeps the lists short that sets
+meet in. A set without a common token in its first prefix has the same prefix in the final order."""
 
 from __future__ import annotations
 
@@ -10,27 +11,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Counters of the sketch, and flags of the filter on keys: tables of fixed size.
-COUNTERS, FLAGS = 1 << 16, 1 << 20
+from tenderspark.llm.common import let
 
-
-def rarity(sets: DataFrame, tokens: str = "tokens") -> Column:
-    """Array of the rarity level (0 to 127) of each counter, as a literal; counted over all sets."""
-    counts = np.zeros(COUNTERS)
-    got = (
-        sets.select(F.explode(tokens).alias("t")).groupBy(F.pmod("t", F.lit(COUNTERS)).alias("b")).count().toArrow()
-    )
-    counts[got["b"].to_numpy()] = got["count"].to_numpy()
-    # quarters of a binary order of magnitude above the median counter: what is as rare as most is level 0
-    level = np.clip(np.round(4 * np.log2((counts + 1) / (np.median(counts) + 1))), 0, 127).astype(int)
-    return F.split(F.lit(",".join(map(str, level))), ",").cast("array<bigint>")
-
-
-def ranked(tokens: Column, levels: Column) -> Column:
-    """The set with rarity levels written into its tokens, sorted by them."""
-    low = F.lit((1 << 56) - 1)
-    at = lambda t: F.element_at(levels, F.pmod(t, F.lit(COUNTERS)).cast("int") + 1)
-    return F.array_sort(F.transform(tokens, lambda t: F.shiftleft(at(t), 56).bitwiseOR(t.bitwiseAND(low))))
+#: Flags of the filter on keys and counters of a sketch: tables of fixed size. Common tokens: in more prefixes than OFTEN, at most so many.
+FLAGS, COUNTERS, OFTEN, MOST_COMMON = 1 << 20, 1 << 18, 200, 20_000
 
 
 def prefix_length(n: Column, threshold: float) -> Column:
@@ -38,10 +22,40 @@ def prefix_length(n: Column, threshold: float) -> Column:
     return (n - F.ceil(n * F.lit(threshold) - 1e-9) + 1).cast("int")
 
 
-def postings(sets: DataFrame, key: list[str], threshold: float, levels: Column, tokens: str = "tokens") -> DataFrame:
-    """(token, pos, n, *key): each set's prefix; pos counts from 0."""
-    own = sets.where(F.size(tokens) > 0).select(*key, F.size(tokens).alias("n"), ranked(F.col(tokens), levels).alias("_r"))
-    return own.select(*key, "n", F.posexplode(F.slice("_r", F.lit(1), prefix_length(F.col("n"), threshold))).alias("pos", "token"))
+def head(tokens: Column, threshold: float, common: list[int] | None = None) -> Column:
+    """(n, p): a set's size and its prefix in the global order."""
+    low = lambda t: t.bitwiseAND(F.lit((1 << 56) - 1))
+    if common:
+        last = 1 << 56
+        key = lambda t: F.when(low(t).isin(common), low(t).bitwiseOR(F.lit(last))).otherwise(low(t))
+    else:
+        key = low
+    n = F.size(tokens)
+    # no set is longer than its prefix needs: empty sets have none
+    p = F.slice(F.sort_array(F.transform(tokens, key)), F.lit(1), F.when(n > 0, prefix_length(n, threshold)).otherwise(0))
+    return F.struct(n.alias("n"), p.alias("p"))
+
+
+def common_tokens(heads: DataFrame) -> list[int]:
+    """Tokens that more than OFTEN prefixes hold, the most frequent ones, a bounded number.
+
+    A sketch of fixed size finds the few counters in which such a token can be; only tokens of these are counted."""
+    tokens = heads.select(F.explode("p").alias("token"))
+    counter = F.pmod("token", F.lit(COUNTERS))
+    full = [r["b"] for r in tokens.groupBy(counter.alias("b")).count().where(F.col("count") > OFTEN).collect()]
+    if not full:
+        return []
+    some = tokens if len(full) > 5_000 else tokens.where(counter.isin(full))
+    counts = some.groupBy("token").count().where(F.col("count") > OFTEN)
+    return [r["token"] for r in counts.orderBy(F.desc("count"), "token").limit(MOST_COMMON).collect()]
+
+
+def postings(sets: DataFrame, key: str, threshold: float, tokens: str = "tokens") -> DataFrame:
+    """(key, n, pos, token): each set's prefix; pos counts from 0."""
+    own = lambda common: sets.select(key, let(F.col(tokens), lambda t: head(t, threshold, common)).alias("h")).select(key, "h.n", "h.p")
+    first = own(None)
+    common = common_tokens(first)
+    return (own(common) if common else first).select(key, "n", F.posexplode("p").alias("pos", "token"))
 
 
 def can_match(a: str, b: str, threshold: float) -> Column:
@@ -57,27 +71,33 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def among(ids: DataFrame, column: str) -> Column:
-    """A test that holds for every value of `ids.column` (a long) and few others: one flag byte for each hash value.
+    """A test that holds for every value of `ids.column` (a long) and few others: one bit for each hash value.
 
     Fixed size: where very many ids are asked for it lets everything pass, and the join behind it does the rest."""
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(FLAGS)).cast("int")
-    flags = np.zeros(FLAGS, np.uint8)
-    flags[ids.select(bucket(column).alias("b")).distinct().toArrow()["b"].to_numpy()] = 1
-    return F.substring(F.lit(bytearray(flags.tobytes())), bucket(column) + 1, F.lit(1)) == F.lit(bytearray(b"\x01"))
+    flags = np.zeros(FLAGS, bool)
+    flags[ids.select(bucket(column).alias("b")).distinct().toArrow()["b"].to_numpy()] = True
+    table = F.lit(bytearray(np.packbits(flags, bitorder="little").tobytes()))
+    byte = F.conv(F.hex(F.substring(table, F.shiftright(bucket(column), 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return F.getbit(byte, F.pmod(bucket(column), F.lit(8))) == 1
 
 
 def similar_pairs(sets: DataFrame, key: str, threshold: float = 0.8) -> DataFrame:
     """(a, b, likeness) for every two different keys, a < b, whose sets reach the threshold. Empty sets match nothing."""
-    posts = postings(sets, [key], threshold, rarity(sets))
+    posts = postings(sets, key, threshold)
     shared = posts.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     posts = posts.join(shared, "token", "left_semi")
     pairs = (
         posts.alias("a").join(posts.alias("b"), "token")
         .where((F.col(f"a.{key}") < F.col(f"b.{key}")) & can_match("a", "b", threshold))
         .select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"))
-        .distinct()
     )
+    return verified_pairs(pairs, sets, key, threshold)
+
+
+def verified_pairs(pairs: DataFrame, sets: DataFrame, key: str, threshold: float) -> DataFrame:
+    """(a, b, likeness) of the different candidate pairs that reach the threshold."""
     left = sets.select(F.col(key).alias("a"), F.col("tokens").alias("ta"))
     right = sets.select(F.col(key).alias("b"), F.col("tokens").alias("tb"))
-    found = pairs.join(left, "a").join(right, "b").select("a", "b", likeness(F.col("ta"), F.col("tb")).alias("likeness"))
+    found = pairs.distinct().join(left, "a").join(right, "b").select("a", "b", likeness(F.col("ta"), F.col("tb")).alias("likeness"))
     return found.where(F.col("likeness") >= threshold - 1e-9)

@@ -49,7 +49,7 @@ def _of_runs(runs: Column, chain: int) -> Column:
             after = F.concat(*(F.coalesce(F.get(x["rest"], i + k), F.lit("")) for k in range(3)))
             return F.xxhash64(head, F.substring_index(after, " ", chain + 1))
 
-        return F.array_sort(F.array_distinct(F.transform(x["runs"], one)))
+        return F.sort_array(F.array_distinct(F.transform(x["runs"], one)))
 
     return let(both, each)
 
@@ -140,9 +140,17 @@ def edited_against_next(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, chain: int = 2) -> tuple[DataFrame, DataFrame]:
     """(members, links): the class of each row (id_col, set_id), and the pairs (a, b, likeness) of classes that reach
-    the threshold. Texts with equal signature sets are one class. Pairs come from an index of each set's rarest
-    signatures within neighbouring length partitions and are verified exactly."""
+    the threshold. Texts with equal signature sets are one class.
+
+    Sets are indexed by their rarest signatures within their length partition; a set meets those of its own and of the
+    next partition that share one, and pairs that pass the length and positional filters are verified exactly."""
     rows = docs.select(F.col(id_col), signatures(F.col(text_col), chain=chain).alias("tokens"))
     members = rows.select(id_col, F.xxhash64("tokens").alias("set_id"), "tokens")
     sets = members.groupBy("set_id").agg(F.any_value("tokens").alias("tokens"))
-    return members.drop("tokens"), set_join.similar_pairs(sets, "set_id", threshold)
+    posts = set_join.postings(sets, "set_id", threshold).withColumn("part", length_partition(F.col("n"), threshold))
+    shorter = posts.withColumn("slot", F.explode(F.array(F.col("part"), F.col("part") + 1)))
+    longer = posts.withColumn("slot", F.col("part"))
+    a, b = F.struct("a.n", "a.set_id"), F.struct("b.n", "b.set_id")
+    met = shorter.alias("a").join(longer.alias("b"), ["slot", "token"]).where((a < b) & set_join.can_match("a", "b", threshold))
+    pairs = met.select(F.least("a.set_id", "b.set_id").alias("a"), F.greatest("a.set_id", "b.set_id").alias("b"))
+    return members.drop("tokens"), set_join.verified_pairs(pairs, sets, "set_id", threshold)
