@@ -131,5 +131,20 @@ def test_spot_signatures(spark, make, odd):
         assert abs(got[i]["near_next"] - like(own, other)) < 1e-9 and abs(got[i]["near_edited"] - like(own, changed)) < 1e-9
     assert got[1]["fingerprint"] == got[5]["fingerprint"] != got[2]["fingerprint"]
     assert spotsigs.edited_against_next(odd).count() == odd.count() and spotsigs.edited_against_next(odd.limit(0)).count() == 0
+
+
+def test_spot_links_equal_brute_force(spark, make):
+    r = random.Random(6)
+    words = [f"w{k}" for k in range(60)] + ["the", "of", "is"] * 8
+    docs = []
+    for i in range(60):
+        w = r.choices(words, k=r.randint(5, 60)) if i % 3 == 0 else docs[-1][1].split()
+        if i % 3:
+            w[r.randrange(len(w))] = "new"
+        docs.append((i, " ".join(w)))
     members, links = spotsigs.links(make(docs))
-    assert members.count() == len(docs) and links.count() == 0
+    of = {x["doc_id"]: x["set_id"] for x in members.collect()}
+    sets = {of[i]: _signatures(t) for i, t in docs}
+    got = {(x["a"], x["b"]) for x in links.collect()}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8 - 1e-9}
+    assert got == want and want
