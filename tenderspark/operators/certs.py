@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 
+#: Certificates that are broadcast at most; a longer list is left to Spark's own choice of join.
+MOST_BROADCAST = 10_000
+
+
 @F.pandas_udf(DoubleType())
 def fuzzy_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Matching-blocks ratio of two strings; null stays null."""
@@ -30,7 +34,8 @@ def suggest_cert(texts: DataFrame, certs: DataFrame, least: float = 0.5) -> Data
     excluding keyword of a certificate never gets it. `certs` is a small dimension, so that the theta join with the
     different texts stays linear in these."""
     t, low = F.col("text"), F.lower("text")
-    each = texts.select("text").distinct().crossJoin(F.broadcast(certs))
+    small = certs.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    each = texts.select("text").distinct().crossJoin(F.broadcast(certs) if small else certs)
     excluded = F.exists("exclude_keywords", lambda k: F.contains(low, F.lower(k)))
     each = each.where(~F.coalesce(excluded, F.lit(False)) & (F.length("text") > 0))
     full, short = F.lower("cert_full_name"), F.lower(F.nullif(F.col("cert_short_name"), F.lit("")))
