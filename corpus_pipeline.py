@@ -24,7 +24,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes lines that match an earlier line of any document; a document that loses all of them goes."""
-    return _counted(line_dedup.without_later_lines(docs))
+    return _counted(line_dedup.without_later_lines(docs, short=True))
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 A line's tokens are its shingles of five words. Lines with equal tokens are one class; the classes' tokens are ordered
 by rarity and indexed by their prefixes, candidates pass length and positional filters and are verified by Jaccard
-similarity. A line that matches an earlier one, in order of document id and position, is removed."""
+similarity. A line that matches an earlier one, in order of document id and position, is removed. A line of fewer than
+five words has one token, all its words, so with `short` it matches equal lines alone: its class decides."""
 
 from __future__ import annotations
 
@@ -27,7 +28,8 @@ def shingles(words: Column, size: int) -> Column:
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(row, id, pos, c1, c2, line) for each line of at least `size` words; c1 and c2 name the class of equal lines.
+    """(row, id, pos, c1, c2, line) for each line of at least `size` words (1: each line that is not blank); c1 and c2
+    name the class of equal lines.
 
     Lines are lower-cased, and runs of blanks in them are one."""
     lines = docs.select("row", F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
@@ -37,7 +39,7 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
         odd = odd | F.contains(line, F.lit(blank))
     line = F.when(odd, F.trim(F.regexp_replace(line, r"[ \t\r\f\x0b]+", " "))).otherwise(line)
     lines = lines.select("row", "id", "pos", line.alias("line"))
-    long = F.col("line").rlike(rf"^[^ ]+(?: [^ ]+){{{size - 1}}}")
+    long = F.col("line").rlike(rf"^[^ ]+(?: [^ ]+){{{size - 1}}}") if size > 1 else F.col("line") != ""
     return lines.where(long).select("row", "id", "pos", F.xxhash64("line").alias("c1"), F.hash("line").alias("c2"), "line")
 
 
@@ -46,14 +48,17 @@ def _place() -> Column:
     return F.struct(F.col("id").isNull().alias("z"), "id", "row", "pos")
 
 
-def removed_lines(docs: DataFrame, id_col: str, text_col: str = "text", threshold: float = 0.8, size: int = 5) -> DataFrame:
+def removed_lines(
+    docs: DataFrame, id_col: str, text_col: str = "text", threshold: float = 0.8, size: int = 5, short: bool = False
+) -> DataFrame:
     """(row, pos) of each line of `docs` (with a unique long `row`) that matches an earlier line.
 
-    Earlier: smaller id (null last), then smaller row, then smaller position. Lines of fewer than `size` words are
-    left alone. `docs` must give the same rows whenever it is read (files or a stored table)."""
+    Earlier: smaller id (null last), then smaller row, then smaller position. Lines of fewer than `size` words go with
+    `short` if they equal an earlier one, else they are left alone; blank ones always are. `docs` must give the same rows whenever it is read (files or a stored table)."""
     lines = lines_of(docs, id_col, text_col, size)
     words = F.split("line", " ")
-    known = stored(lines.select("row", "id", "pos", *CLASS))
+    # short lines are near no other line: they are known by their class, and only longer ones are indexed
+    known = stored((lines_of(docs, id_col, text_col, 1) if short else lines).select("row", "id", "pos", *CLASS))
     # a class stands at its first line
     first = stored(known.groupBy(*CLASS).agg(F.min(_place()).alias("at")))
     head = lambda common: let(shingles(words, size), lambda t: set_join.head(t, threshold, common)).alias("h")
@@ -101,13 +106,15 @@ def removed_lines(docs: DataFrame, id_col: str, text_col: str = "text", threshol
     return later.union(starts)
 
 
-def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, size: int = 5) -> DataFrame:
+def report(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, size: int = 5, short: bool = False
+) -> DataFrame:
     """(id_col, n_lines, n_removed, removed): for each row, how many lines its text has and which go (from 0).
 
     A null text has no lines, an empty one has one; repeated rows are judged like any other, so only the first keeps
     its lines; other columns are ignored, whatever their names."""
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("row", F.monotonically_increasing_id())
-    gone = removed_lines(own, "id", "text", threshold, size).groupBy("row").agg(F.array_sort(F.collect_list("pos")).alias("removed"))
+    gone = removed_lines(own, "id", "text", threshold, size, short).groupBy("row").agg(F.array_sort(F.collect_list("pos")).alias("removed"))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
     found = own.select("id", "row", n_lines.alias("n_lines")).join(gone, "row", "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
@@ -115,18 +122,18 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
 
 
 def without_later_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, size: int = 5
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, size: int = 5, short: bool = False
 ) -> DataFrame:
-    """`docs` with the later of matching lines removed from the texts; rows whose every line goes are dropped.
+    """`docs` with the later of matching lines removed from the texts; rows that lose lines and have none but blank ones left are dropped.
 
     Rows that lose nothing, null texts among them, stay as they are."""
     own = packed(docs).withColumn("_row", F.monotonically_increasing_id())
     text = F.col("_doc").getField(text_col)
     keyed = own.select(F.col("_doc").getField(id_col).alias("id"), text.alias("text"), F.col("_row").alias("row"))
-    gone = removed_lines(keyed, "id", "text", threshold, size).groupBy("row").agg(F.collect_set("pos").alias("_gone"))
+    gone = removed_lines(keyed, "id", "text", threshold, size, short).groupBy("row").agg(F.collect_set("pos").alias("_gone"))
     both = own.join(gone.withColumnRenamed("row", "_row"), "_row", "left")
     left = F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("_gone", i))
     both = both.withColumn("_left", F.when(F.col("_gone").isNotNull(), left))
-    kept = both.where(F.col("_left").isNull() | (F.size("_left") > 0))
+    kept = both.where(F.col("_left").isNull() | F.exists("_left", lambda line: line.rlike(r"[^ \t\r\f\x0b]")))
     new = F.when(F.col("_left").isNull(), text).otherwise(F.array_join("_left", "\n"))
     return unpacked(kept, docs.columns, **{text_col: new})

@@ -5,7 +5,7 @@ import re
 
 import xxhash
 
-from tenderspark.llm import line_dedup, set_join, simhash, spotsigs
+from tenderspark.llm import line_dedup, queries, set_join, simhash, spotsigs
 from tenderspark.llm.common import connected_components
 
 
@@ -93,6 +93,21 @@ def test_line_dedup_odd_rows(spark, odd):
     assert line_dedup.report(odd.limit(0)).count() == 0
 
 
+def test_short_lines_that_repeat_go(spark, make):
+    a = "Note well.\nThe cat sat on the mat and it was good\nMent que."
+    docs = make([(1, a), (2, a), (3, " note  WELL.\nand more\n"), (4, "\n\n"), (5, "Ment que?"), (6, "Note well.\n\nMent que."), (None, "and more")])
+    got = {r["doc_id"]: list(r["removed"]) for r in line_dedup.report(docs, short=True).collect()}
+    assert got == {1: [], 2: [0, 1, 2], 3: [0], 4: [], 5: [], 6: [0, 2], None: [0]}
+    left = {r["doc_id"]: r["text"] for r in line_dedup.without_later_lines(docs, short=True).collect()}
+    assert left == {1: a, 3: "and more\n", 4: "\n\n", 5: "Ment que?"}
+
+
+def test_query_removes_short_lines(spark, make, tmp_path):
+    make([(1, "Ment que.\nand"), (2, "Ment que.\nand")]).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: list(r["removed"]) for r in queries.op6_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: [], 2: [0, 1]}
+
+
 def test_similar_pairs_equal_brute_force(spark):
     r = random.Random(9)
     sets = {i: sorted(set(r.choices(range(40), k=r.randint(0, 12)))) for i in range(150)}
