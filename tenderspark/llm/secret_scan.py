@@ -25,11 +25,11 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 HINTS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 
 WEAK_ID = re.compile(
-    r"""\b(?:(?i:access_?key_?id|client_?id|account_?id|user_?name|login))["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})|\b(?:AKIA|ASIA)[A-Z0-9]{8,15}\b""",
+    r"""(?<![A-Za-z0-9])(?:(?i:access_?key_?id|client_?id|account_?id|user_?name|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})|(?:AKIA[A-Z0-9]{8,15}|ASIA[A-Z0-9]{8,})(?![A-Za-z0-9]))""",
     re.ASCII,
 )
-WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])")
-WEAK_ENDPOINT = re.compile(r"""\b[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]{3,200}""")
+WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
+WEAK_ENDPOINT = re.compile(r"""\b[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]{3,}""")
 
 PART = "struct<kind:string,start:long,end:long>"
 
@@ -52,7 +52,9 @@ def _mixed(token: str) -> bool:
 
 
 def weak_parts(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Candidates that count only with their complements; none overlaps a base span."""
+    """Candidates that count only with their complements; none overlaps a base span.
+
+    An endpoint ends before a base span in it; the value of an identifier is not its own secret."""
     found = []
     if "=" in text or ":" in text or "AKIA" in text or "ASIA" in text:
         found += [("weak_id", *m.span()) for m in WEAK_ID.finditer(text)]
@@ -60,11 +62,17 @@ def weak_parts(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
         found += [("weak_endpoint", *m.span()) for m in WEAK_ENDPOINT.finditer(text)]
     if any(c in text for c in "0123456789"):
         found += [("weak_secret", *m.span()) for m in WEAK_SECRET.finditer(text) if _mixed(m[0])]
-    ends, at, clear = base, 0, []
+    ends, at, clear, named = base, 0, [], 0
+    # at equal starts identifiers come first, as found
     for kind, a, b in sorted(found, key=lambda s: s[1]):
         while at < len(ends) and ends[at][2] <= a:
             at += 1
-        if not any(x < b and a < y for _, x, y in ends[at : at + 4]):
+        if kind == "weak_id":
+            named = b
+        if kind == "weak_endpoint" and at < len(ends) and a < ends[at][1] < b:
+            cut = WEAK_ENDPOINT.match(text, a, ends[at][1])
+            b = cut.end() if cut else b
+        if not any(x < b and a < y for _, x, y in ends[at : at + 4]) and not (kind == "weak_secret" and a < named):
             clear.append((kind, a, b))
     return clear
 
