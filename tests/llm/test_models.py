@@ -75,6 +75,23 @@ def test_language(spark, tables, odd):
     assert langid.predict(odd.limit(0), model, ["doc_id"]).count() == 0
 
 
+def test_foreign_languages_are_rejected(spark, make):
+    foreign = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan.",
+        "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti.",
+        "Alla människor är födda fria och lika i värde och rättigheter.",
+        "x",
+    ]
+    held = id_bucket("doc_id", 4) == 2
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(docs, ~held)
+    got = langid.predict(make(list(enumerate(foreign))), model, ["doc_id"]).collect()
+    assert all(r["rejected"] for r in got), (model.least[0], got)
+    clean = langid.predict(docs.where(held), model, ["doc_id", "text"]).where("rejected").collect()
+    assert not [r for r in clean if re.search(r"[^\W\d_]", r["text"])], clean
+
+
 def test_quality(spark, odd):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     held = id_bucket("doc_id", 5) == 0
