@@ -1,46 +1,44 @@
 """Line deduplication by exact set-similarity join, with DataFrame functions only.
 
-A line's tokens are its shingles of five words. Lines with equal tokens are one class; the classes' tokens are ordered
-by rarity and indexed by their prefixes, candidates pass length and positional filters and are verified by Jaccard
-similarity. A line that matches an earlier one, in order of document id and position, is removed. A line of fewer than
-five words has one token, all its words, so with `short` it matches equal lines alone: its class decides."""
+A line's tokens are its shingles of five words. Lines with equal words are one class. A first index holds the prefixes
+of all classes in the order of the tokens' hashes, which needs no counts; only tokens that several classes share there
+matter. Where few classes meet in a token, these are compared. Classes that meet in a long list are indexed once more,
+by the rarity of all their tokens among them, which keeps variants of one text apart that differ in enough places.
+Candidates pass length and positional filters and are verified by Jaccard similarity; a line that matches an earlier
+one, in order of document id and position, is removed. A line of fewer than five words has no shingle: with `short` it
+goes if it equals an earlier one."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tenderspark.llm import set_join
-from tenderspark.llm.common import let, packed, stored, unpacked
+from tenderspark.llm.common import packed, stored, unpacked
 
 CLASS = ["c1", "c2"]
+#: Classes that may meet in a token of the first index; longer lists are ordered by rarity. Changes the work, not the result.
+LONG = 16
 
 
-def shingles(words: Column, size: int) -> Column:
-    """Different 64-bit hashes of every `size` words in a row; of all words, if there are fewer."""
+def shingles(words: str, size: int) -> Column:
+    """Different 64-bit hashes of every `size` words in a row of the array column `words`; of all words, if there are fewer."""
+    at = lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(size)))
+    return F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - size, F.lit(0))), at))
 
-    def of(w: Column) -> Column:
-        at = lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(size)))
-        return F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - size, F.lit(0))), at))
-
-    return let(words, of)
 
+def normalised(docs: DataFrame, text_col: str) -> DataFrame:
+    """`docs` with the text column lower-cased and runs of blanks in it as one."""
+    docs = docs.withColumn(text_col, F.lower(text_col))
+    odd = F.lit(False)
+    for blank in ("  ", "\t", "\r", "\f", "\x0b"):
+        odd = odd | F.contains(F.col(text_col), F.lit(blank))
+    return docs.withColumn(text_col, F.when(odd, F.regexp_replace(text_col, r"[ \t\r\f\x0b]+", " ")).otherwise(F.col(text_col)))
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(row, id, pos, c1, c2, line) for each line of at least `size` words (1: each line that is not blank); c1 and c2
-    name the class of equal lines.
 
-    Lines are lower-cased, and runs of blanks in them are one."""
-    lines = docs.select("row", F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
-    line = F.lower("line")
-    odd = F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
-    for blank in ("  ", "\t", "\r", "\f", "\x0b"):
-        odd = odd | F.contains(line, F.lit(blank))
-    line = F.when(odd, F.trim(F.regexp_replace(line, r"[ \t\r\f\x0b]+", " "))).otherwise(line)
-    lines = lines.select("row", "id", "pos", line.alias("line"))
-    long = F.col("line").rlike(rf"^[^ ]+(?: [^ ]+){{{size - 1}}}") if size > 1 else F.col("line") != ""
-    return lines.where(long).select("row", "id", "pos", F.xxhash64("line").alias("c1"), F.hash("line").alias("c2"), "line")
+def _class() -> list[Column]:
+    """Two hashes that name the class of equal lines."""
+    return [F.xxhash64("line").alias("c1"), F.hash("line").alias("c2")]
 
 
 def _place() -> Column:
@@ -48,62 +46,90 @@ def _place() -> Column:
     return F.struct(F.col("id").isNull().alias("z"), "id", "row", "pos")
 
 
+def _pair(*sides: str) -> list[Column]:
+    return [F.col(f"{s}.{c}").alias(f"{s}{c}") for s in sides for c in CLASS]
+
+
+def _few_meet(posts: DataFrame, lists: DataFrame, crowded: DataFrame, threshold: float) -> DataFrame:
+    """Candidate pairs that meet in short lists, but for those of two crowded classes.
+
+    All tokens up to the smaller of both last ones are in both prefixes, so those of that side that are not shared are
+    known, and with them the most that the whole sets can share."""
+    few = posts.join(lists.where(F.col("k") <= LONG).select("token"), "token").join(
+        crowded.withColumn("crowded", F.lit(True)), CLASS, "left"
+    )
+    a, b = F.struct("a.c1", "a.c2"), F.struct("b.c1", "b.c2")
+    met = few.alias("a").join(few.alias("b"), "token").where(
+        (a < b) & (F.col("a.crowded").isNull() | F.col("b.crowded").isNull()) & set_join.of_like_length(F.col("a.n"), F.col("b.n"), threshold)
+    )
+    pairs = met.select(*_pair("a", "b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb"), F.col("a.last").alias("la"), F.col("b.last").alias("lb"))
+    pairs = pairs.groupBy(*(c for c in pairs.columns)).agg(F.count("*").alias("m"))
+    bound = lambda n: n - set_join.prefix_length(n, threshold) + F.col("m")
+    most = F.least("na", "nb", F.when(F.col("la") <= F.col("lb"), bound(F.col("na"))).otherwise(bound(F.col("nb"))))
+    return pairs.where(most >= set_join.least_shared(F.col("na"), F.col("nb"), threshold)).select("ac1", "ac2", "bc1", "bc2")
+
+
 def removed_lines(
     docs: DataFrame, id_col: str, text_col: str = "text", threshold: float = 0.8, size: int = 5, short: bool = False
 ) -> DataFrame:
     """(row, pos) of each line of `docs` (with a unique long `row`) that matches an earlier line.
 
     Earlier: smaller id (null last), then smaller row, then smaller position. Lines of fewer than `size` words go with
-    `short` if they equal an earlier one, else they are left alone; blank ones always are. `docs` must give the same rows whenever it is read (files or a stored table)."""
-    lines = lines_of(docs, id_col, text_col, size)
-    words = F.split("line", " ")
-    # short lines are near no other line: they are known by their class, and only longer ones are indexed
-    known = stored((lines_of(docs, id_col, text_col, 1) if short else lines).select("row", "id", "pos", *CLASS))
-    # a class stands at its first line
-    first = stored(known.groupBy(*CLASS).agg(F.min(_place()).alias("at")))
-    head = lambda common: let(shingles(words, size), lambda t: set_join.head(t, threshold, common)).alias("h")
-    heads = stored(lines.select(*CLASS, head(None)).select(*CLASS, "h.n", "h.p").dropDuplicates(CLASS))
-    common = set_join.common_tokens(heads)
-    if common:
-        held = F.exists("p", lambda t: t.isin(common))
-        moved = heads.where(held).select(*CLASS)
-        some = lines.where(set_join.among(moved, "c1")).dropDuplicates(CLASS).join(moved, CLASS, "left_semi")
-        heads = heads.where(~held).unionByName(some.select(*CLASS, head(common)).select(*CLASS, "h.n", "h.p"))
-
-    # most tokens are in one line only: they go with the least that can travel
-    posts = heads.select("c1", "n", F.posexplode("p").alias("pos", "token"))
-    posts = posts.withColumn("c", F.count("*").over(W.partitionBy("token"))).where("c > 1")
-    posts = stored(posts.join(first, "c1").select("token", *CLASS, "n", "pos", "c", "at"))
-    leads = posts.groupBy("token").agg(F.min("at").alias("lead"))
-    posts = posts.join(leads, "token")
-
-    earlier = (F.col("b.at") < F.col("a.at")) & set_join.can_match("a", "b", threshold)
-    pair = [F.col(f"{s}.{c}").alias(f"{s}{c}") for s in "ab" for c in CLASS]
+    `short` if they equal an earlier one, else they are left alone; blank ones always are. `docs` must give the same
+    rows whenever it is read (files or a stored table)."""
+    own = docs.select("row", F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    lines = normalised(own, "text").select("row", "id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = lines.select("row", "id", "pos", F.trim("line").alias("line")).where("line <> ''")
+    lines = lines.select("row", "id", "pos", *_class(), F.split("line", " ").alias("w"))
+    lines = lines if short else lines.where(F.size("w") >= size)
+    heads = lines.select("row", "id", "pos", *CLASS, F.when(F.size("w") >= size, shingles("w", size)).alias("t"))
+    heads = heads.select("row", "id", "pos", *CLASS, F.size("t").alias("n"), F.sort_array("t").alias("t"))
+    heads = stored(heads.select("row", "id", "pos", *CLASS, "n", F.slice("t", F.lit(1), F.greatest(set_join.prefix_length(F.col("n"), threshold), F.lit(0))).alias("p")))
+
+    # most tokens are in one class only
+    each = heads.select("c1", F.explode("p").alias("token"))
+    shared = each.groupBy("token").agg(F.min("c1").alias("lo"), F.max("c1").alias("hi")).where("lo <> hi").select("token")
+    posts = heads.select(*CLASS, "n", F.element_at("p", -1).alias("last"), F.explode("p").alias("token")).where("n > 0")
+    posts = stored(posts.join(stored(shared), "token").groupBy(*CLASS, "token").agg(F.min("n").alias("n"), F.min("last").alias("last")))
+    lists = stored(posts.groupBy("token").agg(F.count("*").alias("k")))
+    crowded = stored(posts.join(lists.where(F.col("k") > LONG), "token").select(*CLASS).distinct())
+    pairs = stored(_few_meet(posts, lists, crowded, threshold))
+
+    # a class stands at its first line; the tokens of those that may match are made once more, from the texts
+    sides = [pairs.select(*(F.col(f"{s}{c}").alias(c) for c in CLASS)) for s in "ab"]
+    asked = stored(crowded.union(sides[0]).union(sides[1]).distinct())
+    first = stored(heads.join(asked, CLASS).groupBy(*CLASS).agg(F.min(_place()).alias("at")))
+    by_row = stored(first.groupBy(F.col("at.row").alias("row")).agg(F.collect_list("at").alias("ats")))
+    texts = normalised(own.select("row", "text").join(by_row, "row"), "text").select(F.split("text", "\n").alias("lines"), "ats")
+    texts = texts.select(F.explode(F.transform("ats", lambda at: F.struct(at.alias("at"), F.get("lines", at["pos"]).alias("line")))).alias("x"))
+    texts = texts.select("x.at", F.trim("x.line").alias("line")).select("at", *_class(), F.split("line", " ").alias("w"))
+    sets = stored(texts.select(*CLASS, "at", shingles("w", size).alias("tokens")))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs.distinct())
-        alive = pairs.select(*(F.col(f"a{c}").alias(c) for c in CLASS)).union(pairs.select(*(F.col(f"b{c}").alias(c) for c in CLASS))).distinct()
-        texts = lines.where(set_join.among(alive, "c1")).select(*CLASS, "line").dropDuplicates(CLASS).join(alive, CLASS, "left_semi")
-        texts = stored(texts)
-        side = lambda s: texts.select(*(F.col(c).alias(f"{s}{c}") for c in CLASS), F.col("line").alias(f"t{s}"))
+        """The later class of each pair that reaches the threshold."""
+        side = lambda s: sets.select(*(F.col(c).alias(f"{s}{c}") for c in CLASS), F.col("at").alias(f"at_{s}"), F.col("tokens").alias(f"tokens_{s}"))
         both = pairs.join(side("a"), ["ac1", "ac2"]).join(side("b"), ["bc1", "bc2"])
-        tokens = lambda c: shingles(F.split(c, " "), size)
-        both = both.select("ac1", "ac2", tokens("ta").alias("ta"), tokens("tb").alias("tb"))
-        hit = both.where(set_join.likeness(F.col("ta"), F.col("tb")) >= threshold - 1e-9)
-        return hit.select(F.col("ac1").alias("c1"), F.col("ac2").alias("c2")).distinct()
+        hit = both.where(set_join.likeness(F.col("tokens_a"), F.col("tokens_b")) >= threshold - 1e-9)
+        later = F.when(F.col("at_a") > F.col("at_b"), F.struct(F.col("ac1").alias("c1"), F.col("ac2").alias("c2"))).otherwise(
+            F.struct(F.col("bc1").alias("c1"), F.col("bc2").alias("c2"))
+        )
+        return hit.select(later.alias("x")).select("x.c1", "x.c2").distinct()
 
     # Most members of a large group match the first line of one of their lists: one candidate for each posting. Only
     # lines that do not are compared with all earlier lines of their lists.
-    lead = posts.where(F.col("at") == F.col("lead"))
-    quick = stored(verified(posts.alias("a").where("a.at <> a.lead").join(lead.alias("b"), "token").where(earlier).select(*pair)))
-    rest = posts.where("c > 2 and at <> lead").join(quick, CLASS, "left_anti")
-    slow = verified(rest.alias("a").join(posts.alias("b"), "token").where(earlier & (F.col("b.at") != F.col("b.lead"))).select(*pair))
-    near = stored(quick.union(slow))
+    ranked = set_join.postings(sets.join(crowded, CLASS, "left_semi"), CLASS, threshold)
+    ranked = stored(ranked.join(first, CLASS))
+    leads = ranked.groupBy("token").agg(F.min(F.struct("at", *CLASS, "n", "pos")).alias("l")).select("token", "l.*")
+    earlier = (F.col("b.at") < F.col("a.at")) & set_join.can_match("a", "b", threshold)
+    quick = stored(verified(ranked.alias("a").join(leads.alias("b"), "token").where(earlier).select(*_pair("a", "b")).distinct()))
+    rest = ranked.join(quick, CLASS, "left_anti")
+    slow = verified(rest.alias("a").join(ranked.alias("b"), "token").where(earlier).select(*_pair("a", "b")).distinct())
+    near = verified(pairs).union(quick).union(slow).distinct()
+
     # a line goes if it is not its class's first, or if the class matches an earlier one
-    marked = known.select(*CLASS, "row", "pos", _place().alias("at")).join(first.withColumnRenamed("at", "start"), CLASS)
-    later = marked.where("at <> start").select("row", "pos")
-    starts = first.join(near, CLASS, "left_semi").select("at.row", "at.pos")
-    return later.union(starts)
+    repeated = heads.groupBy(*CLASS).agg(F.min(_place()).alias("start"), F.count("*").alias("k")).where("k > 1").select(*CLASS, "start")
+    later = heads.select(*CLASS, "row", "pos", _place().alias("at")).join(stored(repeated), CLASS).where("at <> start")
+    return later.select("row", "pos").union(first.join(near, CLASS, "left_semi").select("at.row", "at.pos"))
 
 
 def report(

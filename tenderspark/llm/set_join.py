@@ -1,92 +1,63 @@
 """Exact set-similarity join with DataFrame functions only: prefix, positional and length filters, then Jaccard.
 
-Sets are arrays of 64-bit tokens. Tokens are put in one global order, rare before common: common ones are those that
-very many prefixes would hold, at most a fixed number of them; a flag in a token's highest byte moves them behind all
-others, and rare ones follow their hashes. Any order gives the same pairs; rarity only keeps the lists short that sets
-meet in. A set without a common token in its first prefix has the same prefix in the final order."""
+Sets are arrays of 64-bit tokens. Tokens are put in one global order, rare before common (by the number of sets that
+hold them, then by value); two sets that reach the threshold share one of the first tokens of each. Tokens of one set
+only come first and are not indexed: they take places of the prefix, and so keep sets that have many of them apart."""
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenderspark.llm.common import let
-
-#: Flags of the filter on keys and counters of a sketch: tables of fixed size. Common tokens: in more prefixes than OFTEN, at most so many.
-FLAGS, COUNTERS, OFTEN, MOST_COMMON = 1 << 20, 1 << 18, 200, 20_000
-
 
 def prefix_length(n: Column, threshold: float) -> Column:
     """So many of its rarest tokens a set must share one of, to reach the threshold with any other."""
     return (n - F.ceil(n * F.lit(threshold) - 1e-9) + 1).cast("int")
 
 
-def head(tokens: Column, threshold: float, common: list[int] | None = None) -> Column:
-    """(n, p): a set's size and its prefix in the global order."""
-    low = lambda t: t.bitwiseAND(F.lit((1 << 56) - 1))
-    if common:
-        last = 1 << 56
-        key = lambda t: F.when(low(t).isin(common), low(t).bitwiseOR(F.lit(last))).otherwise(low(t))
-    else:
-        key = low
-    n = F.size(tokens)
-    # no set is longer than its prefix needs: empty sets have none
-    p = F.slice(F.sort_array(F.transform(tokens, key)), F.lit(1), F.when(n > 0, prefix_length(n, threshold)).otherwise(0))
-    return F.struct(n.alias("n"), p.alias("p"))
-
-
-def common_tokens(heads: DataFrame) -> list[int]:
-    """Tokens that more than OFTEN prefixes hold, the most frequent ones, a bounded number.
+def least_shared(na: Column, nb: Column, threshold: float) -> Column:
+    """So many tokens two sets of these sizes have to share."""
+    return (na + nb) * (threshold / (1 + threshold)) - 1e-9
 
-    A sketch of fixed size finds the few counters in which such a token can be; only tokens of these are counted."""
-    tokens = heads.select(F.explode("p").alias("token"))
-    counter = F.pmod("token", F.lit(COUNTERS))
-    full = [r["b"] for r in tokens.groupBy(counter.alias("b")).count().where(F.col("count") > OFTEN).collect()]
-    if not full:
-        return []
-    some = tokens if len(full) > 5_000 else tokens.where(counter.isin(full))
-    counts = some.groupBy("token").count().where(F.col("count") > OFTEN)
-    return [r["token"] for r in counts.orderBy(F.desc("count"), "token").limit(MOST_COMMON).collect()]
 
-
-def postings(sets: DataFrame, key: str, threshold: float, tokens: str = "tokens") -> DataFrame:
-    """(key, n, pos, token): each set's prefix; pos counts from 0."""
-    own = lambda common: sets.select(key, let(F.col(tokens), lambda t: head(t, threshold, common)).alias("h")).select(key, "h.n", "h.p")
-    first = own(None)
-    common = common_tokens(first)
-    return (own(common) if common else first).select(key, "n", F.posexplode("p").alias("pos", "token"))
+def of_like_length(na: Column, nb: Column, threshold: float) -> Column:
+    """Length filter."""
+    return (nb >= na * threshold - 1e-9) & (na >= nb * threshold - 1e-9)
 
 
 def can_match(a: str, b: str, threshold: float) -> Column:
     """Length and positional filter on two postings with the same token."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    most = 1 + F.least(na - F.col(f"{a}.pos"), nb - F.col(f"{b}.pos")) - 1
-    return (nb >= na * threshold - 1e-9) & (na >= nb * threshold - 1e-9) & (most >= (na + nb) * (threshold / (1 + threshold)) - 1e-9)
+    most = F.least(na - F.col(f"{a}.pos"), nb - F.col(f"{b}.pos"))
+    return of_like_length(na, nb, threshold) & (most >= least_shared(na, nb, threshold))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    shared = F.size(F.array_intersect(a, b))
-    return shared / F.greatest(F.size(a) + F.size(b) - shared, F.lit(1))
+def postings(sets: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """(keys, n, pos, token): the indexed part of each set's prefix in the order by rarity; pos counts from 0.
 
+    `sets` (keys, tokens) is read twice. Counts are aggregated before they meet a token, so a token of very many sets
+    is one row that Spark's join may split; what is gathered in one place is one set's tokens."""
+    each = sets.select(*keys, F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    counts = each.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
+    held = each.join(counts, "token").groupBy(*keys).agg(
+        F.any_value("n").alias("n"), F.sort_array(F.collect_list(F.struct("c", "token"))).alias("held")
+    )
+    alone = F.col("n") - F.size("held")
+    held = held.select(*keys, "n", alone.alias("alone"), "held").where(prefix_length(F.col("n"), threshold) > F.col("alone"))
+    prefix = F.slice("held", F.lit(1), prefix_length(F.col("n"), threshold) - F.col("alone"))
+    return held.select(*keys, "n", "alone", F.posexplode(prefix).alias("i", "x")).select(
+        *keys, "n", (F.col("alone") + F.col("i")).alias("pos"), F.col("x.token").alias("token")
+    )
 
-def among(ids: DataFrame, column: str) -> Column:
-    """A test that holds for every value of `ids.column` (a long) and few others: one bit for each hash value.
 
-    Fixed size: where very many ids are asked for it lets everything pass, and the join behind it does the rest."""
-    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(FLAGS)).cast("int")
-    flags = np.zeros(FLAGS, bool)
-    flags[ids.select(bucket(column).alias("b")).distinct().toArrow()["b"].to_numpy()] = True
-    table = F.lit(bytearray(np.packbits(flags, bitorder="little").tobytes()))
-    byte = F.conv(F.hex(F.substring(table, F.shiftright(bucket(column), 3) + 1, F.lit(1))), 16, 10).cast("int")
-    return F.getbit(byte, F.pmod(bucket(column), F.lit(8))) == 1
+def likeness(a: Column, b: Column) -> Column:
+    shared = F.size(F.array_intersect(a, b))
+    return shared / F.greatest(F.size(a) + F.size(b) - shared, F.lit(1))
 
 
 def similar_pairs(sets: DataFrame, key: str, threshold: float = 0.8) -> DataFrame:
     """(a, b, likeness) for every two different keys, a < b, whose sets reach the threshold. Empty sets match nothing."""
-    posts = postings(sets, key, threshold)
-    shared = posts.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    posts = posts.join(shared, "token", "left_semi")
+    posts = postings(sets, [key], threshold)
     pairs = (
         posts.alias("a").join(posts.alias("b"), "token")
         .where((F.col(f"a.{key}") < F.col(f"b.{key}")) & can_match("a", "b", threshold))

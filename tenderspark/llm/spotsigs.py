@@ -147,7 +147,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     rows = docs.select(F.col(id_col), signatures(F.col(text_col), chain=chain).alias("tokens"))
     members = rows.select(id_col, F.xxhash64("tokens").alias("set_id"), "tokens")
     sets = members.groupBy("set_id").agg(F.any_value("tokens").alias("tokens"))
-    posts = set_join.postings(sets, "set_id", threshold).withColumn("part", length_partition(F.col("n"), threshold))
+    posts = set_join.postings(sets, ["set_id"], threshold).withColumn("part", length_partition(F.col("n"), threshold))
     shorter = posts.withColumn("slot", F.explode(F.array(F.col("part"), F.col("part") + 1)))
     longer = posts.withColumn("slot", F.col("part"))
     a, b = F.struct("a.n", "a.set_id"), F.struct("b.n", "b.set_id")
