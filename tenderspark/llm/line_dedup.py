@@ -18,7 +18,7 @@ from tenderspark.llm.common import packed, stored, unpacked
 
 CLASS = ["c1", "c2"]
 #: Classes that may meet in a token of the first index; longer lists are ordered by rarity. Changes the work, not the result.
-LONG = 16
+LONG = 64
 
 
 def shingles(words: str, size: int) -> Column:
@@ -89,8 +89,9 @@ def removed_lines(
     # most tokens are in one class only
     each = heads.select("c1", F.explode("p").alias("token"))
     shared = each.groupBy("token").agg(F.min("c1").alias("lo"), F.max("c1").alias("hi")).where("lo <> hi").select("token")
-    posts = heads.select(*CLASS, "n", F.element_at("p", -1).alias("last"), F.explode("p").alias("token")).where("n > 0")
-    posts = stored(posts.join(stored(shared), "token").groupBy(*CLASS, "token").agg(F.min("n").alias("n"), F.min("last").alias("last")))
+    posts = heads.select("row", "pos", F.explode("p").alias("token")).join(stored(shared), "token")
+    posts = posts.join(heads.select("row", "pos", *CLASS, "n", F.element_at("p", -1).alias("last")).where("n > 0"), ["row", "pos"])
+    posts = stored(posts.groupBy(*CLASS, "token").agg(F.min("n").alias("n"), F.min("last").alias("last")))
     lists = stored(posts.groupBy("token").agg(F.count("*").alias("k")))
     crowded = stored(posts.join(lists.where(F.col("k") > LONG), "token").select(*CLASS).distinct())
     pairs = stored(_few_meet(posts, lists, crowded, threshold))
@@ -99,10 +100,9 @@ def removed_lines(
     sides = [pairs.select(*(F.col(f"{s}{c}").alias(c) for c in CLASS)) for s in "ab"]
     asked = stored(crowded.union(sides[0]).union(sides[1]).distinct())
     first = stored(heads.join(asked, CLASS).groupBy(*CLASS).agg(F.min(_place()).alias("at")))
-    by_row = stored(first.groupBy(F.col("at.row").alias("row")).agg(F.collect_list("at").alias("ats")))
-    texts = normalised(own.select("row", "text").join(by_row, "row"), "text").select(F.split("text", "\n").alias("lines"), "ats")
-    texts = texts.select(F.explode(F.transform("ats", lambda at: F.struct(at.alias("at"), F.get("lines", at["pos"]).alias("line")))).alias("x"))
-    texts = texts.select("x.at", F.trim("x.line").alias("line")).select("at", *_class(), F.split("line", " ").alias("w"))
+    by_row = stored(first.groupBy(F.col("at.row").alias("row")).agg(F.collect_list("at.pos").alias("at")))
+    texts = normalised(own.join(by_row, "row"), "text").select("row", "id", F.split("text", "\n").alias("lines"), F.explode("at").alias("pos"))
+    texts = texts.select(_place().alias("at"), F.trim(F.get("lines", "pos")).alias("line")).select("at", *_class(), F.split("line", " ").alias("w"))
     sets = stored(texts.select(*CLASS, "at", shingles("w", size).alias("tokens")))
 
     def verified(pairs: DataFrame) -> DataFrame:
