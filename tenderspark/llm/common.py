@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -14,10 +16,14 @@ from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where the session names none."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or the session's checkpoint folder.
+
+    Where neither is set, a session on one machine (tests) gets a temporary one; on a cluster that is an error."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         named = sc.getCheckpointDir()
     return named.rstrip("/")
@@ -79,24 +85,44 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
 
 
+#: Bytes of texts that are Python strings at a time (one text, if it is longer): bounds memory, not what is read.
+SLICE = 4 << 20
+
+
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(start, length) of runs of texts of at most SLICE bytes, or of one text."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at, done = 0, 0
+    while at < len(size):
+        end = max(at + 1, int(np.searchsorted(size, done + SLICE, "right")))
+        yield at, end - at
+        at, done = end, int(size[end - 1])
+
+
 def with_text_columns(
     docs: DataFrame, keep: list[str], text_col: str, added: str, start: Callable[[], Callable[[list], list[list]]]
 ) -> DataFrame:
     """The columns `keep` as they are, and those of the schema `added`, made from each whole text in Arrow batches.
 
-    `start` runs once per task; what it returns maps a batch's texts (None where null) to one list per added column.
-    Other columns are ignored, whatever their names. No shuffle."""
-    picked = docs.select(*(F.col(c) for c in keep), F.col(text_col).alias("_the_text"))
+    `start` runs once per task; what it returns maps a run of texts (None where null) to one list per added column.
+    `text_col` may be a field of a kept struct, which then travels once. Other columns are ignored, whatever their
+    names. No shuffle."""
+    root, _, inner = text_col.partition(".")
+    inside = bool(inner) and root in keep
+    picked = docs.select(*(F.col(c) for c in keep), *([] if inside else [F.col(text_col).alias("_the_text")]))
     new = StructType.fromDDL(added)
     kinds = to_arrow_schema(new)
+    kept = picked.schema.fields[: len(keep)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = start()
         for batch in batches:
-            made = f(batch.column(len(keep)).to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(keep)], *(pa.array(c, k.type) for c, k in zip(made, kinds, strict=True))],
-                names=[*keep, *kinds.names],
-            )
-
-    return picked.mapInArrow(work, StructType([*picked.schema.fields[:-1], *new.fields]))
+            texts = batch.column(keep.index(root)).field(inner) if inside else batch.column(len(keep))
+            for at, n in _slices(texts):
+                made = f(texts.slice(at, n).to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [*(c.slice(at, n) for c in batch.columns[: len(keep)]), *(pa.array(c, k.type) for c, k in zip(made, kinds, strict=True))],
+                    names=[*keep, *kinds.names],
+                )
+
+    return picked.mapInArrow(work, StructType([*kept, *new.fields]))

@@ -1,9 +1,9 @@
 """Best-fit packing by exact-complement hashing.
 
 Only how often each length occurs matters for the plan, and there are at most `capacity` lengths, so the plan is made
-on the driver from a histogram of fixed size: for the longest length left, its gap is looked up among the sums of one,
-two and three available lengths, and combinations that fill it exactly are consumed as often as their counts allow;
-what finds no exact complement is packed best-fit. Spark counts the lengths and places every piece by its rank among
+on the driver from a histogram of fixed size: the sums of two and three lengths are indexed once; for the longest length
+left, its gap is looked up there and among the single lengths, and combinations that fill it exactly are consumed as
+often as their counts allow; what finds no exact complement is packed best-fit. Spark counts the lengths and places every piece by its rank among
 the pieces of its length."""
 
 from __future__ import annotations
@@ -32,36 +32,41 @@ class WordEncoder:
     """Ids of blank-separated words as little-endian bytes, remembered for as long as the worker lives.
 
     The tokenizer drops white space and never looks across it, so the ids of a text are those of its words. Words of a
-    plain form are cut into pieces here and only new pieces are given to the tokenizer's model; all others go through
-    the whole tokenizer."""
+    plain form are cut into pieces here, which are words themselves and remembered with them; only new pieces are given
+    to the tokenizer's model. All other words go through the whole tokenizer."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenize = self.tokenizer.model.tokenize
         self.known: dict[str, bytes] = {"": b""}
-        self.pieces: dict[str, bytes] = {"": b""}
         # byte-level alphabet: printable Latin-1 characters stand for themselves, other bytes for 256 and up
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.alphabet = dict(zip([b for b in range(256) if b not in own], range(256, 512)))
 
+    def _remember(self, word: str, ids: bytes) -> bytes:
+        if len(self.known) < REMEMBERED and len(word) <= 64:
+            self.known[word] = ids
+        return ids
+
     def _piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
+        ids = self.known.get(piece)
         if ids is None:
-            text = piece.encode().decode("latin-1").translate(self.alphabet)
-            found = [t.id for t in self.tokenizer.model.tokenize(text)]
-            ids = struct.pack(f"<{len(found)}I", *found)
-            if len(self.pieces) < REMEMBERED:
-                self.pieces[piece] = ids
+            # letters and marks of ASCII stand for themselves
+            text = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.alphabet)
+            found = [t.id for t in self.tokenize(text)]
+            ids = self._remember(piece, struct.pack(f"<{len(found)}I", *found))
         return ids
 
     def word(self, word: str) -> bytes:
         if m := _PLAIN.fullmatch(word):
-            ids = self._piece(m[1].lower()) + self._piece(m[2])
+            letters = m[1].lower()
+            if letters == word:
+                return self._piece(word)
+            ids = self._piece(letters) + self._piece(m[2])
         else:
             found = self.tokenizer.encode(word, add_special_tokens=False).ids
             ids = struct.pack(f"<{len(found)}I", *found)
-        if len(self.known) < REMEMBERED and len(word) <= 64:
-            self.known[word] = ids
-        return ids
+        return self._remember(word, ids)
 
     def text(self, text: str | None) -> bytes:
         known, word = self.known, self.word
@@ -99,6 +104,30 @@ def _pieces(path: str, capacity: int, closing: int):
     return start
 
 
+def _pair_sums(lengths: np.ndarray, capacity: int) -> list[list[int]]:
+    """For each sum up to `capacity`, the larger lengths of the pairs that make it, longest first."""
+    have = np.zeros(capacity + 1, bool)
+    have[lengths[lengths <= capacity]] = True
+    sums = []
+    for total in range(capacity + 1):
+        larger = np.arange(total, (total - 1) // 2, -1)
+        sums.append(larger[have[larger] & have[total - larger]].tolist())
+    return sums
+
+
+def _triple_sums(lengths: np.ndarray, pairs: list[list[int]], capacity: int) -> list[list[int]]:
+    """For each sum up to `capacity`, the largest lengths of the triples that make it, longest first."""
+    made = np.zeros(capacity + 1, int)  # the smallest larger length of a pair, by its sum
+    for total, larger in enumerate(pairs):
+        made[total] = larger[-1] if larger else capacity + 1
+    sums = []
+    for total in range(capacity + 1):
+        largest = lengths[(lengths < total) & (lengths * 3 >= total)][::-1]
+        # the other two make the rest, the larger of them no longer than the largest
+        sums.append(largest[made[total - largest] <= largest].tolist())
+    return sums
+
+
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
     """Sequences as (lengths, times): how to pack `counts` pieces of each length into sequences of `capacity`.
 
@@ -117,34 +146,29 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
                     del left[n]
         return times > 0
 
-    pairs: dict[int, list[int]] = {}  # sum -> first lengths of the pairs that make it
-    for a in sorted(left, reverse=True):
-        for b in left:
-            if b <= a and a + b <= capacity:
-                pairs.setdefault(a + b, []).append(a)
+    lengths = np.array(sorted(left), int)
+    pairs = _pair_sums(lengths, capacity)
+    triples = _triple_sums(lengths, pairs, capacity)
 
     def complements(gap: int):
         """Combinations of available lengths that sum to the gap, fewest pieces first, longest pieces first."""
         if left[gap]:
             yield [gap]
-        for a in pairs.get(gap, ()):
+        for a in pairs[gap]:
             if left[a] and left[gap - a]:
                 yield [a, gap - a]
-        for a in sorted((n for n in left if n < gap), reverse=True):
-            for b in pairs.get(gap - a, ()):
+        for a in triples[gap]:
+            for b in pairs[gap - a] if left[a] else ():
                 if b <= a and left[a] and left[b] and left[gap - a - b]:
                     yield [a, b, gap - a - b]
-                    break
 
     residual: Counter = Counter()
     for n in sorted(left, reverse=True):
         if n >= capacity:
             take([n])
             continue
-        tries = 0
         for rest in complements(capacity - n):
             take([n, *rest])
-            tries += 1
             if not left[n]:
                 break
         if left[n]:

@@ -10,6 +10,7 @@ import hashlib
 import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -181,9 +182,14 @@ def _mask(text: str | None, spans: list[tuple[int, int]], mark: str) -> str | No
 
 def redact(docs: DataFrame, text_col: str = "text", scope: int = 200, mark: str = "[secret]") -> DataFrame:
     """`docs` with every reported span replaced by `mark`; all other columns and all rows stay."""
-    # the texts go along, so that nothing has to be joined back to them
+    # the documents go along, so that nothing has to be joined back to them; only texts with spans are sent to be masked
     found = find_secrets(packed(docs), ["_doc"], f"_doc.{text_col}", scope).withColumn("_spans", all_spans())
-    mask = F.udf(lambda t, s: _mask(t, [(x["start"], x["end"]) for x in s], mark), "string", useArrow=True)
+
+    @F.pandas_udf("string")
+    def mask(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+        return pd.Series([_mask(t, list(zip(a, b, strict=True)), mark) for t, a, b in zip(texts, starts, ends, strict=True)])
+
     text = F.col("_doc").getField(text_col)
-    masked = F.when(F.size("_spans") > 0, mask(text, F.col("_spans"))).otherwise(text)
+    hit = F.size("_spans") > 0
+    masked = F.when(hit, mask(F.when(hit, text), F.col("_spans.start"), F.col("_spans.end"))).otherwise(text)
     return unpacked(found, docs.columns, **{text_col: masked})
