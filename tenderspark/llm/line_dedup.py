@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenderspark.llm import set_join
-from tenderspark.llm.common import packed, stored, unpacked
+from tenderspark.llm.common import forget, packed, stored, unpacked
 
 CLASS = ["c1", "c2"]
 #: Classes that may meet in a token of the first index; longer lists are ordered by rarity. Changes the work, not the result.
@@ -50,14 +50,12 @@ def _pair(*sides: str) -> list[Column]:
     return [F.col(f"{s}.{c}").alias(f"{s}{c}") for s in sides for c in CLASS]
 
 
-def _few_meet(posts: DataFrame, lists: DataFrame, crowded: DataFrame, threshold: float) -> DataFrame:
+def _few_meet(posts: DataFrame, crowded: DataFrame, threshold: float) -> DataFrame:
     """Candidate pairs that meet in short lists, but for those of two crowded classes.
 
     All tokens up to the smaller of both last ones are in both prefixes, so those of that side that are not shared are
     known, and with them the most that the whole sets can share."""
-    few = posts.join(lists.where(F.col("k") <= LONG).select("token"), "token").join(
-        crowded.withColumn("crowded", F.lit(True)), CLASS, "left"
-    )
+    few = posts.where(F.col("k") <= LONG).join(crowded.withColumn("crowded", F.lit(True)), CLASS, "left")
     a, b = F.struct("a.c1", "a.c2"), F.struct("b.c1", "b.c2")
     met = few.alias("a").join(few.alias("b"), "token").where(
         (a < b) & (F.col("a.crowded").isNull() | F.col("b.crowded").isNull()) & set_join.of_like_length(F.col("a.n"), F.col("b.n"), threshold)
@@ -88,13 +86,15 @@ def removed_lines(
 
     # most tokens are in one class only
     each = heads.select("c1", F.explode("p").alias("token"))
-    shared = each.groupBy("token").agg(F.min("c1").alias("lo"), F.max("c1").alias("hi")).where("lo <> hi").select("token")
-    posts = heads.select("row", "pos", F.explode("p").alias("token")).join(stored(shared), "token")
+    shared = each.groupBy("token").agg(F.min("c1").alias("lo"), F.max("c1").alias("hi")).where("lo <> hi")
+    shared = stored(shared.select("token"))
+    posts = heads.select("row", "pos", F.explode("p").alias("token")).join(shared, "token")
     posts = posts.join(heads.select("row", "pos", *CLASS, "n", F.element_at("p", -1).alias("last")).where("n > 0"), ["row", "pos"])
-    posts = stored(posts.groupBy(*CLASS, "token").agg(F.min("n").alias("n"), F.min("last").alias("last")))
-    lists = stored(posts.groupBy("token").agg(F.count("*").alias("k")))
-    crowded = stored(posts.join(lists.where(F.col("k") > LONG), "token").select(*CLASS).distinct())
-    pairs = stored(_few_meet(posts, lists, crowded, threshold))
+    every = stored(posts.groupBy(*CLASS, "token").agg(F.min("n").alias("n"), F.min("last").alias("last")))
+    posts = stored(every.join(every.groupBy("token").agg(F.count("*").alias("k")).where("k > 1"), "token"))
+    crowded = stored(posts.where(F.col("k") > LONG).select(*CLASS).distinct())
+    pairs = stored(_few_meet(posts, crowded, threshold))
+    forget(shared, every, posts)
 
     # a class stands at its first line; the tokens of those that may match are made once more, from the texts
     sides = [pairs.select(*(F.col(f"{s}{c}").alias(c) for c in CLASS)) for s in "ab"]
@@ -124,12 +124,15 @@ def removed_lines(
     quick = stored(verified(ranked.alias("a").join(leads.alias("b"), "token").where(earlier).select(*_pair("a", "b")).distinct()))
     rest = ranked.join(quick, CLASS, "left_anti")
     slow = verified(rest.alias("a").join(ranked.alias("b"), "token").where(earlier).select(*_pair("a", "b")).distinct())
-    near = verified(pairs).union(quick).union(slow).distinct()
+    near = stored(verified(pairs).union(quick).union(slow).distinct())
+    forget(pairs, asked, by_row, sets, ranked, quick, crowded)
 
     # a line goes if it is not its class's first, or if the class matches an earlier one
     repeated = heads.groupBy(*CLASS).agg(F.min(_place()).alias("start"), F.count("*").alias("k")).where("k > 1").select(*CLASS, "start")
-    later = heads.select(*CLASS, "row", "pos", _place().alias("at")).join(stored(repeated), CLASS).where("at <> start")
-    return later.select("row", "pos").union(first.join(near, CLASS, "left_semi").select("at.row", "at.pos"))
+    later = heads.select(*CLASS, "row", "pos", _place().alias("at")).join(repeated, CLASS).where("at <> start")
+    gone = stored(later.select("row", "pos").union(first.join(near, CLASS, "left_semi").select("at.row", "at.pos")))
+    forget(heads, first, near)
+    return gone
 
 
 def report(
