@@ -2,7 +2,7 @@
 
 A line's tokens are its shingles of five words. Lines with equal words are one class. A first index holds the prefixes
 of all classes in the order of the tokens' hashes, which needs no counts; only tokens that several classes share there
-matter. Where few classes meet in a token, these are compared. Classes that meet in a long list are indexed once more,
+matter, and only classes that hold enough of them. Where few classes meet in a token, these are compared. Classes that meet in a long list are indexed once more,
 by the rarity of all their tokens among them, which keeps variants of one text apart that differ in enough places.
 Candidates pass length and positional filters and are verified by Jaccard similarity; a line that matches an earlier
 one, in order of document id and position, is removed. A line of fewer than five words has no shingle: with `short` it
@@ -17,6 +17,8 @@ from tenderspark.llm import set_join
 from tenderspark.llm.common import forget, packed, stored, unpacked
 
 CLASS = ["c1", "c2"]
+#: Tokens that two similar sets share in the prefixes of the first index, where they have so many.
+MET = 3
 #: Classes that may meet in a token of the first index; longer lists are ordered by rarity. Changes the work, not the result.
 LONG = 64
 
@@ -36,6 +38,15 @@ def normalised(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.withColumn(text_col, F.when(odd, F.regexp_replace(text_col, r"[ \t\r\f\x0b]+", " ")).otherwise(F.col(text_col)))
 
 
+def _met(n: Column, threshold: float) -> Column:
+    return F.least(F.lit(MET), F.ceil(n * F.lit(threshold) - 1e-9)).cast("int")
+
+
+def _head_length(n: Column, threshold: float) -> Column:
+    """Prefixes so long that similar sets share MET tokens in them, not one; most lines that share one go by that."""
+    return set_join.prefix_length(n, threshold) - 1 + _met(n, threshold)
+
+
 def _class() -> list[Column]:
     """Two hashes that name the class of equal lines."""
     return [F.xxhash64("line").alias("c1"), F.hash("line").alias("c2")]
@@ -62,7 +73,7 @@ def _few_meet(posts: DataFrame, crowded: DataFrame, threshold: float) -> DataFra
     )
     pairs = met.select(*_pair("a", "b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb"), F.col("a.last").alias("la"), F.col("b.last").alias("lb"))
     pairs = pairs.groupBy(*(c for c in pairs.columns)).agg(F.count("*").alias("m"))
-    bound = lambda n: n - set_join.prefix_length(n, threshold) + F.col("m")
+    bound = lambda n: n - _head_length(n, threshold) + F.col("m")
     most = F.least("na", "nb", F.when(F.col("la") <= F.col("lb"), bound(F.col("na"))).otherwise(bound(F.col("nb"))))
     return pairs.where(most >= set_join.least_shared(F.col("na"), F.col("nb"), threshold)).select("ac1", "ac2", "bc1", "bc2")
 
@@ -82,26 +93,31 @@ def removed_lines(
     lines = lines if short else lines.where(F.size("w") >= size)
     heads = lines.select("row", "id", "pos", *CLASS, F.when(F.size("w") >= size, shingles("w", size)).alias("t"))
     heads = heads.select("row", "id", "pos", *CLASS, F.size("t").alias("n"), F.sort_array("t").alias("t"))
-    heads = stored(heads.select("row", "id", "pos", *CLASS, "n", F.slice("t", F.lit(1), F.greatest(set_join.prefix_length(F.col("n"), threshold), F.lit(0))).alias("p")))
+    heads = stored(heads.select("row", "id", "pos", *CLASS, "n", F.slice("t", F.lit(1), _head_length(F.col("n"), threshold)).alias("p")))
 
     # most tokens are in one class only
     each = heads.select("c1", F.explode("p").alias("token"))
     shared = each.groupBy("token").agg(F.min("c1").alias("lo"), F.max("c1").alias("hi")).where("lo <> hi")
     shared = stored(shared.select("token"))
-    posts = heads.select("row", "pos", F.explode("p").alias("token")).join(shared, "token")
+    # what grows with the corpus is joined by sorting at every size
+    posts = heads.select("row", "pos", F.explode("p").alias("token")).join(shared.hint("merge"), "token")
     posts = posts.join(heads.select("row", "pos", *CLASS, "n", F.element_at("p", -1).alias("last")).where("n > 0"), ["row", "pos"])
-    every = stored(posts.groupBy(*CLASS, "token").agg(F.min("n").alias("n"), F.min("last").alias("last")))
+    every = loose = stored(posts.groupBy(*CLASS, "token").agg(F.min("n").alias("n"), F.min("last").alias("last")))
+    # the smaller of two similar sets, n * threshold at least, sets how many tokens they share here
+    enough = every.groupBy(*CLASS).agg(F.count("*").alias("held"), F.min("n").alias("n"))
+    enough = enough.where(F.col("held") >= _met(F.ceil(F.col("n") * F.lit(threshold) - 1e-9), threshold)).select(*CLASS)
+    every = stored(every.join(enough, CLASS))
     posts = stored(every.join(every.groupBy("token").agg(F.count("*").alias("k")).where("k > 1"), "token"))
     crowded = stored(posts.where(F.col("k") > LONG).select(*CLASS).distinct())
     pairs = stored(_few_meet(posts, crowded, threshold))
-    forget(shared, every, posts)
+    forget(shared, loose, every, posts)
 
     # a class stands at its first line; the tokens of those that may match are made once more, from the texts
     sides = [pairs.select(*(F.col(f"{s}{c}").alias(c) for c in CLASS)) for s in "ab"]
     asked = stored(crowded.union(sides[0]).union(sides[1]).distinct())
     first = stored(heads.join(asked, CLASS).groupBy(*CLASS).agg(F.min(_place()).alias("at")))
     by_row = stored(first.groupBy(F.col("at.row").alias("row")).agg(F.collect_list("at.pos").alias("at")))
-    texts = normalised(own.join(by_row, "row"), "text").select("row", "id", F.split("text", "\n").alias("lines"), F.explode("at").alias("pos"))
+    texts = normalised(own.join(by_row.hint("merge"), "row"), "text").select("row", "id", F.split("text", "\n").alias("lines"), F.explode("at").alias("pos"))
     texts = texts.select(_place().alias("at"), F.trim(F.get("lines", "pos")).alias("line")).select("at", *_class(), F.split("line", " ").alias("w"))
     sets = stored(texts.select(*CLASS, "at", shingles("w", size).alias("tokens")))
 
@@ -129,7 +145,7 @@ def removed_lines(
 
     # a line goes if it is not its class's first, or if the class matches an earlier one
     repeated = heads.groupBy(*CLASS).agg(F.min(_place()).alias("start"), F.count("*").alias("k")).where("k > 1").select(*CLASS, "start")
-    later = heads.select(*CLASS, "row", "pos", _place().alias("at")).join(repeated, CLASS).where("at <> start")
+    later = heads.select(*CLASS, "row", "pos", _place().alias("at")).join(repeated.hint("merge"), CLASS).where("at <> start")
     gone = stored(later.select("row", "pos").union(first.join(near, CLASS, "left_semi").select("at.row", "at.pos")))
     forget(heads, first, near)
     return gone
