@@ -1,8 +1,10 @@
 """Language-model scoring with Brown classes.
 
-Words are counted over all training texts. The most frequent words each, and all others grouped by their ending, are
-assigned to classes by exchange clustering on their bigram counts; a text's probability is the product of smoothed
-class transitions and of the words' probabilities within their classes."""
+Words are counted over all training texts. Exchange clustering assigns them to classes: first the most frequent words
+and groups of all others by their ending, on the counts of their bigrams; then, in rounds, each of the tens of thousands
+of words that have a class of their own moves to the best class for the classes that stand before and after it, which
+Spark counts over all training texts with the classes of the round before. A text's probability is the product of
+smoothed class transitions and of the words' probabilities within their classes."""
 
 from __future__ import annotations
 
@@ -96,6 +98,61 @@ def _count_bigrams(units: Units):
     return work
 
 
+def _count_contexts(units: Units, class_of: np.ndarray, classes: int):
+    """Rows (code, n) of (unit, class after) and (unit, class before) counts of each text, codes of the second behind the first."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = units.size * classes
+        total = np.zeros(2 * n, np.int64)
+        one, other = units.of_word.get, units.ending
+        held: list[np.ndarray] = []
+        waiting = 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                own = np.array([0, *(one(w) or other(w) for w in words_of(text)), 0])
+                c = class_of[own]
+                held += [own[:-1] * classes + c[1:], n + own[1:] * classes + c[:-1]]
+                waiting += 2 * len(own)
+                if waiting > HELD:
+                    total += np.bincount(np.concatenate(held), minlength=2 * n)
+                    held, waiting = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=2 * n)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["code", "n"])
+
+    return work
+
+
+def exchange_round(after: np.ndarray, before: np.ndarray, own: np.ndarray, movable: np.ndarray) -> np.ndarray:
+    """Classes after one pass over the units `movable`, in that order: each goes to the class that raises the likelihood
+    most. `after` and `before` (units x classes) count the classes around each unit, as they were when counted."""
+    own, classes = own.copy(), after.shape[1]
+    f = lambda x: x * np.log(np.maximum(x, 1))
+    table = np.stack([after[own == c].sum(0) for c in range(classes)]).astype(float)
+    size = table.sum(1)
+    for w in movable:
+        a, out, into = own[w], after[w].astype(float), before[w].astype(float)
+        count = out.sum()
+        if not count:
+            continue
+        table[a] -= out
+        table[:, a] -= into
+        np.maximum(table, 0, out=table)
+        size[a] -= count
+        gain = (f(table + out) - f(table)).sum(1) + (f(table.T + into) - f(table.T)).sum(1)
+        gain -= 2 * (f(size + count) - f(size))
+        gain[0] = -np.inf
+        b = int(gain.argmax())
+        if gain[b] <= gain[a] + 1e-9:
+            b = a
+        table[b] += out
+        table[:, b] += into
+        size[b] += count
+        own[w] = b
+    return own
+
+
 def exchange(bigrams: np.ndarray, classes: int, rounds: int = 8) -> np.ndarray:
     """Class of each unit. Unit 0 stays alone in class 0; every other moves to the class that raises the likelihood of
     the class bigrams most, until none moves or `rounds` are over. Starts from frequency order dealt round robin."""
@@ -154,34 +211,61 @@ class Model:
 
 
 def fit(
-    docs: DataFrame, train: Column, text_col: str = "text", classes: int = 48, top_words: int = 600, endings: int = 200, prior: float = 20.0
+    docs: DataFrame,
+    train: Column,
+    text_col: str = "text",
+    classes: int = 48,
+    top_words: int = 600,
+    endings: int = 200,
+    prior: float = 20.0,
+    clustered: int = 30_000,
+    rounds: int = 1,
+    least_seen: int = 8,
 ) -> Model:
     """Learn from the rows where `train` holds; null texts are empty texts.
 
-    Word and bigram counts cover every training token. Single words are clustered for the `top_words` most frequent;
-    all others are clustered in groups by a hash of their last three bytes, so that every word has a class."""
+    Word, bigram and context counts cover every training token. The `clustered` most frequent words are assigned to
+    classes one by one: `top_words` of them by exchange on their whole bigram table, then all in `rounds` of exchange on
+    class contexts. Words beyond these, words seen fewer than `least_seen` times, whose contexts say too little, and words
+    that training texts lack have the class of their ending's group, which is clustered by exchange as well, so every
+    word has a class."""
     rows = docs.select(F.col(text_col).alias("t"), F.coalesce(train, F.lit(False)).alias("train"))
     counted = rows.mapInArrow(_count_words(), "word binary, n long, n_all long")
     vocabulary = stored(counted.groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_all").alias("n_all")))
-    top = vocabulary.where((F.col("n") > 0) & (F.length("word") <= BROADCAST_BYTES)).orderBy(F.desc("n"), "word").limit(top_words)
-    units = Units([bytes(r["word"]) for r in top.collect()], endings)
-
-    size = units.size
-    got = (
-        rows.where("train")
-        .select("t")
-        .mapInArrow(_count_bigrams(units), "code long, n long")
-        .groupBy("code")
-        .agg(F.sum("n").alias("n"))
-        .toArrow()  # a row for each pair of units, at most
-    )
+    top = vocabulary.where((F.col("n") > 0) & (F.length("word") <= BROADCAST_BYTES)).orderBy(F.desc("n"), "word").limit(clustered)
+    found = top.select("word", "n").toArrow().to_pylist()
+    words = [bytes(r["word"]) for k, r in enumerate(found) if k < top_words or r["n"] >= least_seen]
+    texts = rows.where("train").select("t")
+
+    seeds = Units(words[:top_words], endings)
+    size = seeds.size
+    # a row for each pair of units, at most
+    got = texts.mapInArrow(_count_bigrams(seeds), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     bigrams = np.zeros(size * size)
     bigrams[got["code"].to_numpy()] = got["n"].to_numpy()
     bigrams = bigrams.reshape(size, size)
-    class_of = exchange(bigrams, classes)
+    seeded = exchange(bigrams, classes)
+    ends = int(bigrams[:, 0].sum())
 
-    member = np.eye(classes)[class_of]
-    table = member.T @ bigrams @ member
+    units = Units(words, endings)
+    class_of = np.concatenate([
+        seeded[: 1 + len(seeds.words)], seeded[[seeds.ending(w) for w in words[top_words:]]].astype(int), seeded[size - endings :]
+    ]) if len(words) > top_words else seeded
+
+    def contexts() -> np.ndarray:
+        # two rows for each unit and class, at most
+        found = texts.mapInArrow(_count_contexts(units, class_of, classes), "code long, n long")
+        found = found.groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+        total = np.zeros(2 * units.size * classes, np.int64)
+        total[found["code"].to_numpy()] = found["n"].to_numpy()
+        return total.reshape(2, units.size, classes)
+
+    around = contexts()
+    for _ in range(rounds):
+        class_of = exchange_round(around[0], around[1], class_of, np.arange(1, 1 + len(words)))
+        around = contexts()
+
+    table = np.stack([around[0][class_of == c].sum(0) for c in range(classes)]).astype(float)
     share = (table.sum(0) + 1) / (table.sum() + classes)
     transition = np.log10((table + prior * share) / (table.sum(1, keepdims=True) + prior))
 
@@ -201,7 +285,6 @@ def fit(
     n[sums["c"].to_numpy(int)], types[sums["c"].to_numpy(int)] = sums["n"].to_numpy(float), sums["types"].to_numpy(float)
     emission = np.log10(n + types + 1)
     emission[0] = 0.0
-    ends = int(bigrams[:, 0].sum())
     return Model(units, class_of, transition, emission, int(n.sum()) + ends, int(types.sum()) + bool(ends), ends, vocabulary)
 
 

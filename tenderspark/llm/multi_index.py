@@ -9,6 +9,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -108,18 +109,15 @@ def _distinct(vectors: DataFrame, id_col: str, vector_col: str, k: int) -> DataF
         v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     )
     rows = vectors.where(usable & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
-    sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    rows = rows.where(F.size("v") == (sizes[0]["d"] if sizes else 0))
     low = rows.withColumn("at", F.row_number().over(W.partitionBy("v").orderBy("id"))).where(F.col("at") <= k)
     ids = low.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     return stored(ids.select(F.monotonically_increasing_id().alias("uid"), "v", "ids"))
 
 
-def fit(distinct: DataFrame, k: int, recall: float, sample: int) -> Index | None:
-    """Quantisers and probe share from at most `sample` vectors (smallest hashes); cells counted over all."""
+def fit(distinct: DataFrame, k: int, recall: float, sample: int) -> Index:
+    """Quantisers and probe share from at most `sample` of the vectors, all of one length (smallest hashes); cells
+    counted over all."""
     n = distinct.count()
-    if not n:
-        return None
     some = distinct.select("v").orderBy(F.xxhash64("v"), "v").limit(sample).toArrow()["v"]
     x = _matrix(some, len(some[0]))
     half = (x.shape[1] + 1) // 2
@@ -152,7 +150,8 @@ def _rerank(dim: int, best: int):
     def work(_: tuple, entries: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         parts = []
         if len(entries) and len(queries):
-            e, uid = np.stack(entries["v"]).astype(np.float64), entries["uid"].to_numpy()
+            e, uid, low = np.stack(entries["v"]).astype(np.float64), entries["uid"].to_numpy(), entries["low"].to_numpy()
+            reach = np.linalg.norm(e, axis=1).max()
             cells, at = np.unique(entries["cell"].to_numpy(), return_inverse=True)
             for a in range(0, len(queries), SLICE):
                 some = queries.iloc[a : a + SLICE]
@@ -160,14 +159,16 @@ def _rerank(dim: int, best: int):
                 met = np.stack([np.isin(cells, c) for c in some["cells"]])
                 s = np.where(met[:, at], q @ e.T, -np.inf)
                 take = min(best, len(e))
-                near = np.argpartition(-s, take - 1, axis=1)[:, :take]
-                row = np.repeat(np.arange(len(q)), take)
-                near = near.ravel()
-                ok = s[row, near] > -np.inf
-                row, near = row[ok], near[ok]
+                # the matrix product is near the exact score; all that may reach the best few, ties among them, get that
+                least = np.partition(s, len(e) - take, axis=1)[:, len(e) - take] - 1e-9 * (1 + reach * np.linalg.norm(q, axis=1))
+                row, near = np.nonzero((s >= least[:, None]) & (s > -np.inf))
                 score = np.zeros(len(row))
                 for d in range(dim):  # term by term, so that equal vectors score equal in every block
                     score += q[row, d] * e[near, d]
+                order = np.lexsort((low[near], -score, row))
+                row, near, score = row[order], near[order], score[order]
+                ok = np.arange(len(row)) - np.searchsorted(row, row) < best
+                row, near, score = row[ok], near[ok], score[ok]
                 parts.append(pd.DataFrame({"quid": some["uid"].to_numpy()[row], "uid": uid[near], "score": score}))
         return pd.concat(parts) if parts else pd.DataFrame({"quid": [], "uid": [], "score": []})
 
@@ -186,21 +187,37 @@ def search(
     """(query_id, rank, vec_id, score): each query's k vectors of largest inner product found, ties to smaller ids.
 
     `queries` are rows of `vectors`; a query's own id is never among its neighbours. Null ids, and vectors that are
-    null, zero, hold null or non-finite components or are not of the most frequent length take no part. Equal vectors
-    are indexed and searched once, with their k + 1 smallest ids, which is all that k neighbours can need; so a vector
-    that very many rows share costs no more than another. Rows that repeat id and vector count once. `recall` is what
-    the sample has to reach; empty tables give an empty result."""
-    spark = vectors.sparkSession
+    null, zero or hold null or non-finite components take no part. Vectors of each length have an index of their own:
+    a query meets those of its length. Equal vectors are indexed and searched once, with their k + 1 smallest ids, which
+    is all that k neighbours can need; so a vector that very many rows share costs no more than another. Rows that
+    repeat id and vector count once. `recall` is what the sample has to reach; empty tables give an empty result; other
+    columns are ignored, whatever their names."""
     distinct = _distinct(vectors, id_col, vector_col, k + 1)
+    parts = []
+    for row in distinct.select(F.size("v").alias("d")).distinct().orderBy("d").collect():
+        of_length = F.size("v") == row["d"]
+        asked = queries.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where(of_length)
+        parts.append(_search(distinct.where(of_length), asked, k, recall, sample))
+    if not parts:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.union, parts)
+
+
+def _search(
+    distinct: DataFrame,
+    queries: DataFrame,
+    k: int,
+    recall: float,
+    sample: int,
+) -> DataFrame:
+    spark = distinct.sparkSession
     index = fit(distinct, k, recall, sample)
-    if index is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = index.half + index.second.shape[1]
     shared = spark.sparkContext.broadcast(index)  # bounded: centroids and one count for each cell
 
     asked = (
-        queries.where(F.col(id_col).isNotNull())
-        .select(F.col(id_col).cast("long").alias("query_id"), F.col(vector_col).alias("v"))
+        queries.where(F.col("id").isNotNull())
+        .select(F.col("id").cast("long").alias("query_id"), "v")
         .distinct()
     )
     asked = stored(asked.join(distinct.select("uid", "v"), "v"))
@@ -214,7 +231,7 @@ def search(
                 uid = batch.column(0).to_numpy()
                 block = shared.value.block[cell] + uid * 2654435761 % (1 << 31) % shared.value.blocks[cell]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(cell), pa.array(block)], names=["uid", "v", "cell", "block"]
+                    [*batch.columns, pa.array(cell), pa.array(block)], names=["uid", "v", "low", "cell", "block"]
                 )
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +253,7 @@ def search(
     kind = distinct.schema["v"].dataType.simpleString()
     chunk = F.pmod(F.xxhash64("uid"), F.lit(chunks))
     entries = (
-        distinct.select("uid", "v").mapInArrow(place, f"uid long, v {kind}, cell long, block long")
+        distinct.select("uid", "v", F.col("ids")[0].alias("low")).mapInArrow(place, f"uid long, v {kind}, low long, cell long, block long")
         .withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
     )
     visits = (
@@ -245,7 +262,7 @@ def search(
     met = (
         entries.groupBy("block", "chunk")
         .cogroup(visits.groupBy("block", "chunk"))
-        .applyInPandas(_rerank(dim, k + 5), "quid long, uid long, score double")
+        .applyInPandas(_rerank(dim, k + 1), "quid long, uid long, score double")
     )
     met = met.join(distinct.select("uid", "ids"), "uid")
     order = W.partitionBy("quid").orderBy(F.desc("score"), F.col("ids")[0])

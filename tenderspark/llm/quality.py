@@ -18,7 +18,8 @@ from tenderspark.llm.ngrams import codes
 
 BITS = 17
 ORDERS = (1, 2, 3)
-#: Word n-grams that matter by their form only: runs of one word repeated so often have a bucket each.
+#: Word n-grams that are one word repeated so often have a bucket each, whatever the word. (Other word n-grams were tried
+#: and made held-out results worse.)
 RUNS = (3, 5, 8)
 SIZE = (1 << BITS) + len(RUNS)
 
@@ -100,6 +101,9 @@ def fit(
 ) -> Model:
     """Learn from labelled rows where `train` holds; null labels and null ids teach nothing.
 
+    Whole texts are read, of any length; a row that repeats in `docs` or `labels` teaches as often as it occurs, as do
+    both labels of one id; other columns are ignored, whatever their names; empty tables teach nothing.
+
     Log-count ratios come from all of them. The hinge-loss model is fitted on a sample of about `sample_per_class`
     texts of each class, chosen by a hash of the id. If a class is missing, every score is the share of label 1
     (0.5 without labels)."""
@@ -142,7 +146,9 @@ def fit(
         F.pmod(F.xxhash64("i"), F.lit(1 << 40)) < F.when(F.col("good"), share[1]).otherwise(share[0]) * (1 << 40)
     )
     sample = docs.where(train).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-    sample = sample.join(F.broadcast(picked), "i")  # bounded by sample_per_class
+    # only ids that were trained on, so about 2 * sample_per_class rows
+    picked = picked.join(docs.where(train).select(F.col(id_col).alias("i")), "i", "left_semi")
+    sample = sample.join(F.broadcast(picked), "i")
     sample = with_text_columns(
         sample, ["i", "good"], "t", "at array<int>", lambda: lambda texts: [[_indicators(t).astype(np.int32) for t in texts]]
     )

@@ -1,7 +1,7 @@
 """Document fingerprints by spot signatures, with DataFrame functions only.
 
 A signature is an anchor (a common word, or the start of the text) with the chain of the next content words; other
-anchors in between are skipped, at most two of them. A document is the set of its signatures. Sets are compared by
+anchors in between are skipped, however many there are. A document is the set of its signatures. Sets are compared by
 Jaccard similarity, pruned by their lengths: partitions by set length are so wide that two sets which reach the
 threshold lie in the same or in neighbouring ones."""
 
@@ -30,26 +30,29 @@ def signatures(text: Column, anchors: tuple[str, ...] = ANCHORS, chain: int = 2)
 
     A text without anchors still has the signature of its start. Words are runs of letters and digits, lower-cased."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    mark = lambda w: F.when(w.isin(*anchors), F.concat(F.lit("\n"), w)).otherwise(w)
-    # one run a line: an anchor (nothing in the first run) and the content words up to the next, each after a blank
-    runs = F.split(F.array_join(F.transform(words, mark), " "), " ?\n")
+    mark = lambda w: F.when(w.isin(*anchors), F.concat(F.lit("\n"), w, F.lit("\r"))).otherwise(w)
+    # one group a line: anchors in a row, joined by tabs and closed by a return (none in the first group), then the
+    # content words up to the next anchor, each after a blank
+    marked = F.replace(F.array_join(F.transform(words, mark), " "), F.lit("\r \n"), F.lit("\t"))
+    groups = F.split(marked, " ?\n")
     none = F.array().cast("array<bigint>")
-    return let(runs, lambda rs: F.when((F.size(rs) == 1) & (rs[0] == ""), none).otherwise(_of_runs(rs, chain)))
+    return let(groups, lambda g: F.when((F.size(g) == 1) & (g[0] == ""), none).otherwise(_of_groups(g, chain)))
 
 
-def _of_runs(runs: Column, chain: int) -> Column:
-    tail = lambda r: F.substring(r, F.locate(" ", F.concat(r, F.lit(" "))), F.length(r))
-    rest = F.transform(runs, lambda r, i: F.when(r == "", r).when(i == 0, F.concat(F.lit(" "), r)).otherwise(tail(r)))
-    both = F.struct(runs.alias("runs"), rest.alias("rest"))
+def _of_groups(groups: Column, chain: int) -> Column:
+    tail = lambda g: F.substring(g, F.locate("\r", g) + 1, F.length(g))
+    rest = F.transform(groups, lambda g, i: F.when(g == "", g).when(i == 0, F.concat(F.lit(" "), g)).otherwise(tail(g)))
+    both = F.struct(groups.alias("groups"), rest.alias("rest"))
 
     def each(x: Column) -> Column:
-        def one(r: Column, i: Column) -> Column:
-            head = F.when(i == 0, F.lit("")).otherwise(F.substring_index(r, " ", 1))
-            # the run's own content words and those of the next two
-            after = F.concat(*(F.coalesce(F.get(x["rest"], i + k), F.lit("")) for k in range(3)))
-            return F.xxhash64(head, F.substring_index(after, " ", chain + 1))
-
-        return F.sort_array(F.array_distinct(F.transform(x["runs"], one)))
+        def one(g: Column, i: Column) -> Column:
+            # every group but the first and the last has a content word, so these hold the next `chain` of them
+            after = F.concat(*(F.coalesce(F.get(x["rest"], i + k), F.lit("")) for k in range(chain + 1)))
+            words = F.substring_index(after, " ", chain + 1)
+            heads = F.when(i == 0, F.array(F.lit(""))).otherwise(F.split(F.substring_index(g, "\r", 1), "\t"))
+            return let(words, lambda w: F.transform(heads, lambda a: F.xxhash64(a, w)))
+
+        return F.sort_array(F.array_distinct(F.flatten(F.transform(x["groups"], one))))
 
     return let(both, each)
 

@@ -173,3 +173,20 @@ def test_neighbours_of_odd_vectors(spark):
 
 def test_registered_names():
     assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 11)}
+
+
+def test_ties_of_neighbours_go_to_smaller_ids_and_lengths_stay_apart(spark):
+    rows = [(0, [1.0, 0.0])] + [(i, [0.0, float(i)]) for i in range(1, 91)] + [(100, [1.0, 2.0, 3.0]), (101, [3.0, 0.0, 1.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = multi_index.search(v, v.where("vec_id in (0, 100)"), recall=1.0).orderBy("query_id", "rank").collect()
+    assert [r["vec_id"] for r in got if r["query_id"] == 0] == list(range(1, 21))
+    assert [tuple(r) for r in got if r["query_id"] == 100] == [(100, 1, 101, 6.0)]
+
+
+def test_exchange_round_finds_the_classes_of_contexts():
+    # units 1 to 6: odd ones stand before class 1, even ones before class 2
+    after, before = np.zeros((7, 3), int), np.zeros((7, 3), int)
+    for w in range(1, 7):
+        after[w, 1 + w % 2], before[w, 2 - w % 2] = 50, 50
+    own = brown_lm.exchange_round(after, before, np.array([0, 1, 1, 1, 2, 2, 2]), np.arange(1, 7))
+    assert own[0] == 0 and len(set(own[1::2])) == 1 and len(set(own[2::2])) == 1 and own[1] != own[2]
