@@ -20,7 +20,7 @@ CLASS = ["c1", "c2"]
 #: Tokens that two similar sets share in the prefixes of the first index, where they have so many.
 MET = 3
 #: Classes that may meet in a token of the first index; longer lists are ordered by rarity. Changes the work, not the result.
-LONG = 64
+LONG = 16
 
 
 def shingles(words: str, size: int) -> Column:
