@@ -72,7 +72,7 @@ REQUIREMENT_CODES = (
     ("title", ("★",), "SUBSTANTIAL_CLAUSE"),
     ("title", ("食品", "卫生"), "FOOD_OPERATION_LICENSE"),
     ("title", ("营业",), "BUSINESS_LICENSE"),
-    ("title", ("质量", "ISO", "iso"), "ISO_9001"),
+    ("title", ("质量", "iso"), "ISO_9001"),
 )
 
 
@@ -87,7 +87,7 @@ def normalise_requirements(rows: DataFrame, json_col: str = "json") -> DataFrame
     kind = F.coalesce(F.trim("q.type"), F.lit("通用法定资质"))
     code = F.lit("OTHER_CERT")
     for where, words, name in reversed(REQUIREMENT_CODES):
-        source = kind if where == "type" else title
+        source = kind if where == "type" else F.lower(title)
         hit = F.lit(False)
         for w in words:
             hit = hit | F.contains(source, F.lit(w))
@@ -98,7 +98,7 @@ def normalise_requirements(rows: DataFrame, json_col: str = "json") -> DataFrame
 def classify_image(width: Column, height: Column) -> Column:
     """Landscape over 800 wide is a licence, over 400 a certificate, all else other."""
     wide = width > height
-    return F.when(wide & (width > 800), "license").when(wide & (width > 400), "cert").otherwise("other")
+    return F.when(wide & (width > 800), "business_license").when(wide & (width > 400), "certification").otherwise("other")
 
 
 def chunk_by_dimensions(docs: DataFrame, names: tuple[str, ...]) -> DataFrame:

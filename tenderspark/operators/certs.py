@@ -99,7 +99,7 @@ def qualification_score(projects: DataFrame, matched: DataFrame) -> DataFrame:
         F.count_if("is_mandatory").alias("m"), F.count("*").alias("n"),
         F.count_if(F.col("is_mandatory") & (F.col("status") == "missing")).alias("gone"),
         F.count_if(F.col("is_mandatory") & bad).alias("failed"),
-        F.count_if(~F.col("is_mandatory") & (F.col("status") != "missing")).alias("held"),
+        F.count_if(~F.col("is_mandatory") & ~F.col("status").isin("missing", "wrong")).alias("held"),
     )
     rows = projects.select(F.col("id").alias("project")).join(per, "project", "left").na.fill(0)
     score = F.when(F.col("m") > 0, F.floor((F.col("m") - F.col("gone")) * 100 / F.col("m"))).when(

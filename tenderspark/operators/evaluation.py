@@ -22,22 +22,23 @@ def time_urgency(open_at: Column, now: Column) -> dict[str, Column]:
         F.when(n.isNull(), "unknown").when(n < 0, "expired").when(n <= 3, "urgent").when(n <= 7, "tight").when(n <= 15, "normal").otherwise("relaxed")
     )
     return {
-        "days": n, "level": level, "sufficient": F.coalesce(n > 3, F.lit(False)),
+        "days": n, "level": level, "sufficient": n > 3,
         "working_days": F.when(n < 0, 0).otherwise(F.floor(n * 7 / F.lit(10).cast("decimal(3,0)"))).cast("long"),
     }
 
 
 def owner_profile(projects: DataFrame, owners: DataFrame) -> DataFrame:
-    """Projects with their owner's relationship level; an unknown owner is new and neutral."""
+    """Projects with their owner's relationship level; an unknown owner is new and has none."""
     known = owners.select("owner_unit", "region", "relationship")
     return projects.join(known, ["owner_unit", "region"], "left").select(
-        projects["*"], F.coalesce("relationship", F.lit("neutral")).alias("relationship"), F.col("relationship").isNull().alias("is_new_owner")
+        projects["*"], F.coalesce("relationship", F.lit("none")).alias("relationship"), F.col("relationship").isNull().alias("is_new_owner")
     )
 
 
 def heuristic_cost(staff: Column, months: Column, deposit: Column, special: Column) -> dict[str, Column]:
     """Staff months at 8000 and the deposit, 15 % more for special equipment; a range and a confidence by known fields."""
-    known = sum((c.isNotNull().cast("int") for c in (months, deposit, special)), staff.isNotNull().cast("int"))
+    # special equipment is a known field only where it is needed
+    known = sum((c.isNotNull().cast("int") for c in (months, deposit)), staff.isNotNull().cast("int")) + F.coalesce(special, F.lit(False)).cast("int")
     zero = lambda c: F.coalesce(c, F.lit(0))
     base = (zero(staff) * zero(months) * 8000 + zero(deposit)).cast("decimal(15,2)")
     total = F.when(F.coalesce(special, F.lit(False)), base * F.lit("1.15").cast("decimal(3,2)")).otherwise(base).cast("decimal(18,4)")
@@ -57,8 +58,9 @@ def win_probability(qual: Column, level: Column, relationship: Column, competito
 
 
 def relationship_index(level: Column) -> Column:
-    """0 to 3: none or unknown, neutral, good, strong."""
-    return F.when(level == "strong", 3).when(level == "good", 2).when(level == "neutral", 1).otherwise(0)
+    """0 to 3: none or unknown, weak, medium, strong."""
+    low = F.lower(level)
+    return F.when(low == "strong", 3).when(low == "medium", 2).when(low == "weak", 1).otherwise(0)
 
 
 def recommend(p: Column, qual: Column, level: Column, extraction_valid: Column) -> tuple[Column, Column]:

@@ -7,21 +7,25 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Statuses by view, and transitions by role and action: role, action, new status, audit action.
-FINANCE_SEES = ("awaiting_pricing", "pricing_confirmed", "completed")
-PENDING = ("evaluation_ready", "pending_boss_approval")
-IN_PROGRESS = ("evaluating", "generating_documents", "awaiting_pricing", "awaiting_review")
+FINANCE_SEES = ("awaiting_pricing", "awaiting_review", "completed")
+PENDING = ("created", "uploaded", "parsing")
+IN_PROGRESS = (
+    "parsed", "evaluating", "evaluation_ready", "pending_boss_approval", "approved_by_specialist",
+    "generating_documents", "awaiting_pricing", "awaiting_review",
+)
+DISCARDED = ("discarded", "terminated_by_boss")
 COMPLETED = ("completed",)
 TRANSITIONS = (
     ("specialist", "submit_to_boss", "pending_boss_approval", "specialist_worthy"),
     ("specialist", "direct_execute", "generating_documents", "specialist_direct_execute"),
     ("specialist", "terminate", "discarded", "specialist_terminate"),
-    ("specialist", "approve", "approved_by_specialist", "specialist_approve"),
-    ("specialist", "reject", "rejected_by_specialist", "specialist_reject"),
+    ("specialist", "approve", "approved_by_specialist", "specialist_worthy"),
+    ("specialist", "reject", "rejected_by_specialist", "specialist_unworthy"),
     ("boss", "submit_to_boss", "pending_boss_approval", "specialist_worthy"),
     ("boss", "direct_execute", "generating_documents", "specialist_direct_execute"),
     ("boss", "terminate", "discarded", "specialist_terminate"),
     ("boss", "approve", "generating_documents", "boss_confirm_specialist"),
-    ("boss", "reject", "terminated_by_boss", "boss_terminate"),
+    ("boss", "reject", "terminated_by_boss", "boss_override_terminate"),
 )
 
 
@@ -37,7 +41,7 @@ def list_projects(projects: DataFrame, role: str, user: str | None = None) -> Da
 
 def status_tabs(projects: DataFrame) -> DataFrame:
     """Counts of pending, running and completed projects, discarded ones left out."""
-    live = projects.where(~F.col("deleted") & (F.col("status") != "discarded"))
+    live = projects.where(~F.col("deleted") & ~F.col("status").isin(*DISCARDED))
     return live.agg(*(F.count_if(F.col("status").isin(*s)).alias(n) for n, s in (("pending", PENDING), ("in_progress", IN_PROGRESS), ("completed", COMPLETED))))
 
 
@@ -100,13 +104,15 @@ def apply_approvals(projects: DataFrame, actions: DataFrame) -> tuple[DataFrame,
 def apply_overrides(projects: DataFrame, overrides: DataFrame) -> DataFrame:
     """(id, action, new_status, ok): terminate only what is approved, revive only what was rejected."""
     rows = projects.join(overrides, "id")
-    ok = ((F.col("action") == "terminate") & F.col("status").like("approved%")) | ((F.col("action") == "revive") & F.col("status").like("rejected%"))
-    to = F.when(ok, F.when(F.col("action") == "terminate", "discarded").otherwise("evaluation_ready")).otherwise(F.col("status"))
+    ok = ((F.col("action") == "terminate") & (F.col("status") == "approved_by_specialist")) | (
+        (F.col("action") == "revive") & (F.col("status") == "rejected_by_specialist")
+    )
+    to = F.when(ok, F.when(F.col("action") == "terminate", "terminated_by_boss").otherwise("approved_by_specialist")).otherwise(F.col("status"))
     return rows.select("id", "action", to.alias("new_status"), ok.alias("ok"))
 
 
 # Statuses in which a changed relationship takes a project back.
-LATE = ("generating_documents", "awaiting_pricing", "awaiting_review", "pricing_confirmed")
+LATE = ("generating_documents", "awaiting_pricing", "awaiting_review", "completed")
 
 
 def apply_relationship_changes(projects: DataFrame, changes: DataFrame) -> DataFrame:
@@ -136,7 +142,9 @@ def switch_mode(tasks: DataFrame, switches: DataFrame) -> DataFrame:
     """(project, task_id, task_status): the latest task of a project is archived or discarded when the mode changes."""
     newest = F.row_number().over(W.partitionBy("project").orderBy(F.desc("task_id")))
     rows = tasks.withColumn("n", newest).where("n = 1").join(switches, "project")
-    to = F.when(F.col("mode") == F.col("new_mode"), F.col("task_status")).when(F.col("mode") == "auto", "archived").otherwise("discarded")
+    to = F.when(F.col("mode") == F.col("new_mode"), F.col("task_status")).when(
+        (F.col("mode") == "auto") & (F.col("new_mode") == "guided"), "archived_due_to_mode_switch"
+    ).when((F.col("mode") == "guided") & (F.col("new_mode") == "auto"), "discarded_due_to_mode_switch").otherwise(F.col("task_status"))
     return rows.select("project", "task_id", to.alias("task_status"))
 
 
@@ -152,16 +160,16 @@ def advance(projects: DataFrame, pending_fatal: DataFrame) -> DataFrame:
 
 def resolve_sections(sections: DataFrame, tasks: DataFrame) -> DataFrame:
     """(project, name, content): the section table's rows; for projects without any, those of the newest task's JSON,
-    a list of {title, content} or a map from title to content."""
+    {"sections": [{section_name or title, content}]} or {name: {content}}."""
     have = sections.select("project").distinct()
     newest = F.row_number().over(W.partitionBy("project").orderBy(F.desc("task_id")))
     last = tasks.withColumn("n", newest).where("n = 1").join(have, "project", "left_anti")
-    items = F.coalesce(
-        F.from_json("json", "array<struct<title:string,content:string>>"),
-        F.array().cast("array<struct<title:string,content:string>>"),
+    last = last.select("project", "json", F.from_json("json", "sections array<struct<section_name:string,title:string,content:string>>")["sections"].alias("items"))
+    listed = last.where("items is not null").select("project", F.inline("items")).select(
+        "project", F.coalesce("section_name", "title", F.lit("")).alias("name"), F.coalesce("content", F.lit("")).alias("content")
     )
-    listed = last.where(F.trim("json").startswith("[")).select("project", F.inline(items)).select("project", F.col("title").alias("name"), "content")
-    mapped = last.where(F.trim("json").startswith("{")).select("project", F.explode(F.from_json("json", "map<string,string>")).alias("name", "content"))
+    mapped = last.where("items is null").select("project", F.explode(F.from_json("json", "map<string,struct<content:string>>")).alias("name", "x"))
+    mapped = mapped.select("project", "name", F.coalesce("x.content", F.lit("")).alias("content"))
     return sections.select("project", "name", "content").unionByName(listed).unionByName(mapped)
 
 

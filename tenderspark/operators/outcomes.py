@@ -22,10 +22,12 @@ def lose_history(losses: DataFrame) -> DataFrame:
 
 
 def extract_dna(proposals: DataFrame) -> DataFrame:
-    """(project, title, content, contribution) of each section in a confirmed proposal's JSON list."""
-    items = F.from_json("json", "array<struct<title:string,content:string>>")
-    rows = proposals.where("confirmed").select("project", F.posexplode_outer(items).alias("pos", "s")).where("s is not null")
-    title = F.coalesce(F.nullif(F.trim("s.title"), F.lit("")), F.format_string("Section %d", F.col("pos") + 1))
+    """(project, title, content, contribution) of each section in a confirmed proposal's JSON, {"sections": [...]}.
+
+    A section without a title is named by its section_title, or Unknown."""
+    items = F.from_json("json", "sections array<struct<title:string,section_title:string,content:string>>")["sections"]
+    rows = proposals.where("confirmed").select("project", F.explode(items).alias("s")).where("s is not null")
+    title = F.coalesce(F.nullif("s.title", F.lit("")), "s.section_title", F.lit("Unknown"))
     return rows.select("project", title.alias("title"), F.col("s.content").alias("content"), F.lit(8).alias("contribution"))
 
 
@@ -39,8 +41,11 @@ def evolution_log(outcomes: DataFrame, chunks: DataFrame, delta: int = 20) -> Da
 
 
 def upsert_traps(traps: DataFrame, disqualified: DataFrame) -> DataFrame:
-    """Traps (title, code, n) with new reasons (id, category, reason) counted in; a new title gets TRAP_<category>_<id>."""
-    new = disqualified.groupBy(F.substring("reason", 1, 255).alias("title")).agg(
+    """Traps (title, code, n) with new reasons (id, category, reason) counted in; a new title gets TRAP_<category>_<id>.
+
+    Without a reason the title is Unknown disqualification."""
+    title = F.coalesce(F.nullif(F.substring("reason", 1, 255), F.lit("")), F.lit("Unknown disqualification"))
+    new = disqualified.groupBy(title.alias("title")).agg(
         F.count("*").alias("more"), F.min_by("category", "id").alias("category"), F.min("id").alias("first")
     )
     return traps.join(new, "title", "full_outer").select(
@@ -60,11 +65,13 @@ def detect_rebids(asked: DataFrame, projects: DataFrame, outcomes: DataFrame, no
     old = projects.where(F.to_date("bid_open_date") >= F.date_sub(now, within)).select(
         "owner_unit", F.col("id").alias("rebid_of"), F.col("bid_open_date").alias("opened")
     )
-    pairs = asked.select("id", "owner_unit").join(old, "owner_unit").where("id <> rebid_of")
-    first = F.row_number().over(W.partitionBy("id").orderBy(F.desc("opened"), F.desc("rebid_of")))
-    best = pairs.withColumn("n", first).where("n = 1").select("id", "rebid_of")
+    # an owner's two latest are enough: one of them is not the project itself
+    rank = F.row_number().over(W.partitionBy("owner_unit").orderBy(F.desc("opened"), F.desc("rebid_of")))
+    two = old.withColumn("n", rank).where("n <= 2").groupBy("owner_unit").agg(F.array_sort(F.collect_list(F.struct("n", "rebid_of"))).alias("two"))
+    other = F.get(F.filter("two", lambda x: x["rebid_of"] != F.col("id")), 0)["rebid_of"]
+    best = asked.select("id", "owner_unit").join(two, "owner_unit").select("id", other.alias("rebid_of")).where("rebid_of is not null")
     last = latest(outcomes, "project", F.desc("id")).select(F.col("project").alias("rebid_of"), "outcome")
-    return best.join(last, "rebid_of", "left").select("id", "rebid_of", "outcome", F.lit(0.95).alias("score"), F.lit("high").alias("confidence"))
+    return best.join(last, "rebid_of", "left").select("id", "rebid_of", F.coalesce("outcome", F.lit("unknown")).alias("outcome"), F.lit(0.95).alias("score"), F.lit("high").alias("confidence"))
 
 
 def revivable_drafts(rebids: DataFrame, drafts: DataFrame) -> DataFrame:
@@ -75,21 +82,21 @@ def revivable_drafts(rebids: DataFrame, drafts: DataFrame) -> DataFrame:
 
 def revive_drafts(drafts: DataFrame, now: Column, within: int = 365) -> DataFrame:
     """(id, project, ok, reason, new_status): drafts that can be revived and were archived within a year."""
-    reason = F.when(~F.col("can_be_revived"), "not_revivable").when(F.datediff(now, F.to_date("archived_at")) > within, "too_old")
+    reason = F.when(~F.col("can_be_revived"), "not_revivable").when(F.col("archived_at").isNull(), "not_archived").when(F.datediff(now, F.to_date("archived_at")) > within, "too_old")
     return drafts.select("id", "project", reason.isNull().alias("ok"), reason.alias("reason"), F.when(reason.isNull(), "evaluation_ready").alias("new_status"))
 
 
 def evolution_report(chunks: DataFrame, dna: DataFrame, traps: DataFrame, quality: DataFrame, now: Column) -> DataFrame:
     """One row: chunks, those deprecated, DNA and traps of the last 30 days, and the trend of mean quality against the
-    30 days before (up or down by 2 at least)."""
+    30 days before (up or down by more than 2; no chunks count as 0)."""
     age = F.datediff(now, F.to_date("at"))
     recent = age.between(0, 29)
     a = chunks.agg(F.count("*").alias("total_chunks"), F.count_if(F.col("is_deprecated") & recent).alias("deprecated"))
     b = dna.agg(F.count_if(recent).alias("new_dna"))
     c = traps.agg(F.count_if(recent).alias("new_traps"))
     q = quality.agg(F.avg(F.when(recent, F.col("quality"))).alias("now"), F.avg(F.when(age.between(30, 59), F.col("quality"))).alias("before"))
-    change = F.col("now") - F.col("before")
-    trend = F.when(change >= 2, "up").when(change <= -2, "down").otherwise("stable")
+    change = F.coalesce("now", F.lit(0.0)) - F.coalesce("before", F.lit(0.0))
+    trend = F.when(change > 2, "up").when(change < -2, "down").otherwise("stable")
     one = a.crossJoin(b).crossJoin(c).crossJoin(q)  # single rows
     return one.select("total_chunks", "deprecated", "new_dna", "new_traps", F.round("now", 6).alias("quality"), trend.alias("trend"))
 

@@ -53,24 +53,30 @@ def discount_rate() -> Column:
     return F.when(rate != 0, rate)
 
 
+def median_of(rows: DataFrame, key: list[str], value: str, name: str) -> DataFrame:
+    """(key, name): the exact median, from how often each value occurs, so that a key's rows never meet in one task."""
+    counts = rows.groupBy(*key, value).agg(F.count("*").alias("_n"))
+    return counts.groupBy(*key).agg(F.percentile(value, 0.5, F.col("_n")).alias(name))
+
+
 def market_benchmark(tenders: DataFrame, our_bids: DataFrame) -> DataFrame:
-    """Per (region, project_type): rates and bidders of eligible tenders, gaps and wins of our bids on them.
+    """Per (region, project_type): rates of eligible tenders; bidders, gaps and wins of our bids on them.
 
     Keys with tenders but no bid of ours have has_data false, sample 0 and an empty win rate."""
     key = ["region", "project_type"]
     sold = eligible_tenders(tenders).withColumn("rate", discount_rate())
     market = sold.groupBy(*key).agg(
         F.avg("rate").alias("avg_rate"),
-        F.median("rate").alias("median_rate"),
-        F.avg("bidders").alias("avg_bidders"),
-        F.median("bidders").alias("median_bidders"),
     )
+    market = market.join(median_of(sold, key, "rate", "median_rate"), key)
     ours = sold.select("id", *key, "winning_price").join(our_bids, F.col("id") == F.col("project"))
     own = ours.groupBy(*key).agg(
+        F.avg("bidders").alias("avg_bidders"),
         F.avg(gap_percent(F.col("price"), F.col("winning_price"))).alias("avg_gap"),
         F.count_if("won").alias("wins"),
         F.count("*").alias("sample_size"),
     )
+    own = own.join(median_of(ours, key, "bidders", "median_bidders"), key)
     n = F.coalesce("sample_size", F.lit(0))
     return market.join(own, key, "left").select(
         *key,
@@ -135,7 +141,7 @@ def estimate_from_history(projects: DataFrame, similar: DataFrame) -> DataFrame:
 
 
 #: Shares of the cost components.
-BREAKDOWN = {"labour": "0.55", "material": "0.25", "transport": "0.12", "overhead": "0.08"}
+BREAKDOWN = {"food": "0.55", "labour": "0.25", "logistics": "0.12", "management": "0.08"}
 
 
 def breakdown_cost(cost: Column) -> list[Column]:
@@ -164,34 +170,41 @@ def win_probability(price: Column, cost: Column, budget: Column, relationship: C
 
 
 #: Tier, factor on the historical price, factor on the cost.
-TIERS = (("conservative", "0.96", "1.03"), ("balanced", "1.00", "1.08"), ("aggressive", "1.06", "1.15"))
+TIERS = (("aggressive", "0.96", "1.03"), ("balanced", "1.00", "1.08"), ("conservative", "1.06", "1.15"))
 
 
 def price_scenarios(costs: DataFrame) -> DataFrame:
     """Three priced tiers for each row (id, cost, budget, multiplier or null, relationship).
 
-    With a market multiplier: its price, to the cent, times the tier's factor, but never under 1.01 of the cost; else
+    With a market multiplier: its price, to the cent, times the tier's factor, but never under 1.01 of the cost, to the cent; else
     the cost times the tier's other factor. The conservative tier is recommended; best_ev marks the largest expected
     profit. Rows without a positive cost and budget have no scenarios."""
     market = F.bround(F.col("multiplier").cast("decimal(6,4)") * F.col("budget"), 2).cast(MONEY)
 
     def price(of_market: str, of_cost: str) -> Column:
-        floor = (F.col("cost") * dec("1.01")).cast("decimal(20,4)")
+        floor = F.bround(F.col("cost") * dec("1.01"), 2).cast("decimal(20,4)")
         return F.when(
             F.col("multiplier").isNotNull(), F.greatest((market * dec(of_market)).cast("decimal(20,4)"), floor)
         ).otherwise(F.bround(F.col("cost") * dec(of_cost), 2).cast("decimal(20,4)"))
 
     tiers = F.array(*(F.struct(F.lit(n).alias("tier"), price(m, c).alias("price")) for n, m, c in TIERS))
-    each = costs.where("cost > 0 and budget > 0").select("id", "cost", "budget", "relationship", F.inline(tiers))
-    measures = win_probability(F.col("price"), F.col("cost"), F.col("budget"), F.col("relationship"))
-    each = each.select("id", "tier", "price", *(c.alias(k) for k, c in measures.items()))
+    rows = costs.where("cost > 0 and budget > 0").select("id", "cost", "budget", "relationship", tiers.alias("tiers"))
+
+    def measured(t: Column) -> Column:
+        measures = win_probability(t["price"], F.col("cost"), F.col("budget"), F.col("relationship"))
+        return F.struct(t["tier"].alias("tier"), t["price"].alias("price"), *(c.alias(k) for k, c in measures.items()))
+
+    # the best tier is found within the row: the largest profit, then the first name
+    rows = rows.select("id", F.transform("tiers", measured).alias("tiers"))
+    top = F.array_max(F.col("tiers.expected_profit"))
+    best = F.array_min(F.transform(F.filter("tiers", lambda t: t["expected_profit"] == top), lambda t: t["tier"]))
+    each = rows.select("id", best.alias("_best"), F.inline("tiers"))
     p = F.col("win_probability")
-    best = W.partitionBy("id").orderBy(F.desc("expected_profit"), "tier")
     return each.select(
-        "*",
+        *(c for c in each.columns if c != "_best"),
         F.when(p > 0.7, "low").when(p > 0.4, "medium").otherwise("high").alias("risk"),
         (F.col("tier") == "conservative").alias("recommended"),
-        (F.row_number().over(best) == 1).alias("best_ev"),
+        (F.col("tier") == F.col("_best")).alias("best_ev"),
     )
 
 
@@ -243,15 +256,17 @@ def derive_decision(costs: DataFrame, scenarios: DataFrame, decided: DataFrame)
 
 
 #: Pricing action, the status it leads to.
-PRICING_ACTIONS = {"draft": None, "submit": "awaiting_review", "boss_final": "pricing_confirmed"}
+PRICING_ACTIONS = {"submit": "pending_boss_approval", "boss_final": "awaiting_review"}
 
 
 def apply_pricing_actions(projects: DataFrame, actions: DataFrame) -> DataFrame:
-    """Each project's latest action applied: next status, or blocked while it awaits review (boss_final never is)."""
+    """Each project's latest action applied: next status, or blocked, whatever the action, while it awaits review.
+
+    A draft takes an uploaded project to pricing and changes no other status."""
     last = latest(actions, "project", F.desc("at"), F.desc("action_id"))
     rows = projects.join(last, F.col("id") == F.col("project"))
-    blocked = (F.col("status") == "awaiting_review") & (F.col("action") != "boss_final")
-    to = F.lit(None).cast("string")
+    blocked = F.col("status") == "awaiting_review"
+    to = F.when((F.col("action") == "draft") & (F.col("status") == "uploaded"), "awaiting_pricing")
     for action, status in PRICING_ACTIONS.items():
         to = F.when(F.col("action") == action, F.lit(status)).otherwise(to)
     return rows.select(

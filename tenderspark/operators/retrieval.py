@@ -57,35 +57,78 @@ def tag_filter(rows: DataFrame, **wanted: list[str]) -> DataFrame:
     return rows
 
 
+#: Kinds of sources that samples come from.
+HISTORICAL = ("historical_tender", "internal_postmortem")
+
+
+def _best_of_all(chunks: DataFrame, queries: DataFrame, k: int, blocks: int = 32) -> DataFrame:
+    """(query_id, win_signal, rank, chunk_id, score): each query's nearest usable historical chunks of each outcome,
+    whatever their project.
+
+    Exact: every query meets every chunk, block by block, and only the best k of a block go on, so neither side is ever
+    whole in one place. Norms are computed once a row."""
+    usable = ~F.col("is_deprecated") & F.col("vector").isNotNull() & F.col("source_type").isin(*HISTORICAL)
+    block = F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).cast("int").alias("block")
+    side = chunks.where(usable).select(block, "chunk_id", "vector", "win_signal", norm(F.col("vector")).alias("cn"))
+    asked = queries.select("query_id", "query_vector", norm(F.col("query_vector")).alias("qn")).withColumn(
+        "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    )
+    scale = F.col("cn") * F.col("qn")
+    score = F.when(scale == 0, F.lit(0.0)).otherwise(_dot(F.col("vector"), F.col("query_vector")) / scale)
+    pairs = asked.join(side, "block").select("block", "query_id", "win_signal", "chunk_id", F.round(score, 9).alias("score"))
+    order = (F.desc("score"), "chunk_id")
+    some = pairs.withColumn("rank", F.row_number().over(W.partitionBy("query_id", "win_signal", "block").orderBy(*order)))
+    some = some.where(F.col("rank") <= k).drop("rank", "block")
+    best = some.withColumn("rank", F.row_number().over(W.partitionBy("query_id", "win_signal").orderBy(*order)))
+    return best.where(F.col("rank") <= k).select("query_id", "win_signal", "rank", "chunk_id", "score")
+
+
 def retrieve_samples(
-    chunks: DataFrame, queries: DataFrame, win_signal: str, regions: list[str] | None = None, k: int = 5, loss_tags: list[str] | None = None
+    chunks: DataFrame,
+    queries: DataFrame,
+    win_signal: str,
+    regions: list[str] | None = None,
+    k: int = 5,
+    loss_tags: list[str] | None = None,
+    dimensions: list[str] | None = None,
+    project_type: str | None = None,
 ) -> DataFrame:
-    """Search among the chunks of one outcome; loss tags count on the negative track only."""
+    """(query_id, rank, chunk_id, score): the nearest historical chunks of one outcome, of any project.
+
+    Dimension and region tags have to overlap, the project type has to be among the chunk's; loss tags count on the
+    negative track only."""
     rows = chunks.where(F.col("win_signal") == win_signal)
-    rows = tag_filter(rows, region_tags=regions or [])
+    rows = tag_filter(rows, region_tags=regions or [], dimension_tags=dimensions or [], project_type_tags=[project_type] if project_type else [])
     if win_signal == "negative" and loss_tags:
         rows = tag_filter(rows, loss_tags=loss_tags)
-    return search(rows, queries, k)
+    return _best_of_all(rows, queries, k).drop("win_signal")
 
 
 def dual_track(chunks: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, win_signal, rank, chunk_id, score): the best of won and of lost cases, in one pass."""
-    both = chunks.where(F.col("win_signal").isin("positive", "negative"))
-    side = both.where(~F.col("is_deprecated") & F.col("vector").isNotNull()).select("project", "chunk_id", "vector", "win_signal")
-    score = F.round(cosine_similarity(F.col("vector"), F.col("query_vector")), 9)
-    pairs = queries.join(side, "project").select("query_id", "win_signal", "chunk_id", score.alias("score"))
-    rank = F.row_number().over(W.partitionBy("query_id", "win_signal").orderBy(F.desc("score"), "chunk_id"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
-def build_context(found: DataFrame, chunks: DataFrame, each: int = 800, most: int = 3000, note: str = "[...]") -> DataFrame:
-    """(query_id, positive, negative): headed excerpts of the chunks found, each section cut at `most` characters."""
-    rows = found.join(chunks.select("chunk_id", "content", "source_label", "region_tags"), "chunk_id")
-    head = F.format_string("[%d] %s (%s)", F.col("rank"), F.coalesce("source_label", F.lit("未标注")), F.coalesce(F.nullif(F.array_join("region_tags", ","), F.lit("")), F.lit("通用")))
-    part = F.concat(head, F.lit("\n"), F.substring("content", 1, each))
+    return _best_of_all(chunks.where(F.col("win_signal").isin("positive", "negative")), queries, k)
+
+
+#: The header's lines, how an outcome is called, what stands for missing labels and tags, and the note on a
+#: cut section.
+HEADER = ("案例标签：%s", "胜负信号：%s", "评分维度：%s", "地区标签：%s", "项目类型：%s")
+SIGNAL_NAMES = {"positive": "成功经验", "negative": "失败教训"}
+NO_LABEL, NO_TAGS, CUT_NOTE = "未标注", "通用", "\n...（已截断，共 %d 字符）"
+
+
+def build_context(found: DataFrame, chunks: DataFrame, each: int = 800, most: int = 3000) -> DataFrame:
+    """(query_id, positive, negative): excerpts of the chunks found under a header of label, outcome, dimensions, regions
+    and project types; each section is cut at `most` characters, with a note of its whole length."""
+    rows = found.join(chunks.select("chunk_id", "content", "source_label", "dimension_tags", "region_tags", "project_type_tags"), "chunk_id")
+    tags = lambda c: F.coalesce(F.nullif(F.array_join(c, ", "), F.lit("")), F.lit(NO_TAGS))
+    signal = F.create_map(*(F.lit(x) for pair in SIGNAL_NAMES.items() for x in pair))[F.col("win_signal")]
+    head = F.format_string(
+        "\n".join(HEADER), F.coalesce("source_label", F.lit(NO_LABEL)), signal, tags("dimension_tags"), tags("region_tags"), tags("project_type_tags")
+    )
+    part = F.concat(head, F.lit("\n\n正文：\n"), F.substring("content", 1, each), F.lit("\n\n---"))
     by_track = rows.groupBy("query_id", "win_signal").agg(F.array_sort(F.collect_list(F.struct("rank", part.alias("text")))).alias("parts"))
-    text = F.array_join(F.transform("parts", lambda p: p["text"]), "\n\n")
-    cut = F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit(note))).otherwise(text)
+    text = F.array_join(F.transform("parts", lambda p: p["text"]), "\n")
+    cut = F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.format_string(CUT_NOTE, F.length(text)))).otherwise(text)
     pick = lambda s: F.coalesce(F.max(F.when(F.col("win_signal") == s, F.col("cut"))), F.lit("")).alias(s)
     return by_track.withColumn("cut", cut).groupBy("query_id").agg(pick("positive"), pick("negative"))
 

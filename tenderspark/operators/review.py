@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tenderspark.operators.certs import classify_validity
 from tenderspark.operators.pricing import latest
 
 # Seal and packaging items of a bid without instructions of its own.
-SEAL_ITEMS = ("公章", "法人章", "骑缝章", "签字")
-PACKAGE_ITEMS = ("正本", "副本", "密封", "标识")
+SEAL_ITEMS = ("法定代表人签字或签章", "授权委托书签字盖章", "骑缝章完整性", "正副本份数与标识")
+PACKAGE_ITEMS = ("投标文件分别封装", "封套粘贴与密封", "电子版文件一致性", "包封标注完整性")
 
 
 def validity_rows(extractions: DataFrame, projects: DataFrame) -> DataFrame:
@@ -50,14 +51,19 @@ def section_coverage(required: DataFrame, sections: DataFrame) -> DataFrame:
 
 
 def seal_rows(projects: DataFrame) -> DataFrame:
-    """(project, category, item): the tender's own seal and packaging lists where it has any, else the usual ones."""
+    """(project, category, item, risk_level, system_status): what only the specialist can see, so all uncertain warnings.
+
+    Signatures follow the tender's own seal list where it has any, else the usual items; packaging follows that list too,
+    then the tender's packaging list, then the usual items."""
     usual = lambda items: F.array(*map(F.lit, items))
-    pick = lambda c, items: F.when(F.size(c) > 0, F.col(c)).otherwise(usual(items))
+    seals = F.when(F.size("seals") > 0, F.col("seals"))
+    packaging = F.when(F.size("packaging") > 0, F.col("packaging"))
     kinds = F.array(
-        F.struct(F.lit("seal_requirement").alias("category"), pick("seals", SEAL_ITEMS).alias("items")),
-        F.struct(F.lit("packaging").alias("category"), pick("packaging", PACKAGE_ITEMS).alias("items")),
+        F.struct(F.lit("signature_seal").alias("category"), F.coalesce(seals, usual(SEAL_ITEMS)).alias("items")),
+        F.struct(F.lit("seal_requirements").alias("category"), F.coalesce(seals, packaging, usual(PACKAGE_ITEMS)).alias("items")),
     )
-    return projects.select(F.col("id").alias("project"), F.inline(kinds)).select("project", "category", F.explode("items").alias("item"))
+    rows = projects.select(F.col("id").alias("project"), F.inline(kinds)).select("project", "category", F.explode("items").alias("item"))
+    return rows.select("*", F.lit("warning").alias("risk_level"), F.lit("uncertain").alias("system_status"))
 
 
 def checklist(*parts: DataFrame) -> DataFrame:
@@ -81,9 +87,16 @@ def review_status(items: DataFrame) -> DataFrame:
 
 
 def category_progress(items: DataFrame) -> DataFrame:
-    """Per project and category: items, confirmed ones and percent, halves to even."""
-    g = items.groupBy("project", "category").agg(F.count("*").alias("total"), F.count_if(F.col("specialist_status") == "confirmed").alias("confirmed"))
-    return g.withColumn("percent", F.floor((F.col("confirmed") * 200 + F.col("total")) / (F.col("total") * 2)).cast("long"))
+    """Per project and category: items, and those no longer pending; percent is the project's: all that are no longer
+    pending over its fatal and warning items, halves up, 0 where it has none of these."""
+    g = items.groupBy("project", "category").agg(
+        F.count("*").alias("total"), F.count_if(F.col("specialist_status") != "pending").alias("confirmed"),
+        F.count_if(F.col("risk_level").isin("fatal", "warning")).alias("needed"),
+    )
+    own = W.partitionBy("project")
+    done, needed = F.sum("confirmed").over(own), F.sum("needed").over(own)
+    percent = F.when(needed > 0, F.floor((done * 200 + needed) / (needed * 2))).otherwise(0).cast("long")
+    return g.select("project", "category", "total", "confirmed", percent.alias("percent"))
 
 
 def package_readiness(projects: DataFrame, sections: DataFrame, extractions: DataFrame, prices: DataFrame, finals: DataFrame) -> DataFrame:
@@ -111,15 +124,16 @@ def filter_items(items: DataFrame, status: str | None = None, risk: str | None =
 
 
 def apply_item_actions(items: DataFrame, actions: DataFrame) -> DataFrame:
-    """Items (id, text, specialist_status) after confirm, toggle, correct (new text and note after ` | `) or delete."""
+    """Items (id, text, specialist_status) after confirm, toggle (back to pending), correct (evidence, and a note after
+    ` | `) or delete; the text stays as it was checked."""
     rows = items.join(actions.select("id", "action", "payload"), "id", "left")
     parts = F.split("payload", r" \| ", 2)
     a, s = F.col("action"), F.col("specialist_status")
-    status = F.when(a == "confirm", "confirmed").when(a == "toggle", F.when(s == "confirmed", "pending").otherwise("confirmed")).when(
+    status = F.when(a == "confirm", "confirmed").when(a == "toggle", "pending").when(
         a == "correct", "corrected"
     ).when(a == "delete", "deleted").otherwise(s)
     return rows.select(
-        "id", F.when(a == "correct", parts[0]).otherwise(F.col("text")).alias("text"),
+        "id", "text", F.when(a == "correct", parts[0]).alias("evidence"),
         F.when(a == "correct", F.get(parts, 1)).alias("note"), status.alias("specialist_status"),
     )
 

@@ -105,6 +105,9 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
         "vector",
         F.when(F.col("quality") == 1, "positive").when(F.col("quality") == 0, "negative").otherwise("neutral").alias("win_signal"),
         F.array("lang").alias("region_tags"),
+        F.when(F.col("doc_id") % 3 == 0, F.array()).otherwise(F.array(F.lit("dim"), "source")).cast("array<string>").alias("dimension_tags"),
+        F.array(F.when(F.col("doc_id") % 2 == 0, "goods").otherwise("service")).alias("project_type_tags"),
+        F.when(F.col("doc_id") % 5 == 0, "project_upload").when(F.col("doc_id") % 5 == 1, "internal_postmortem").otherwise("historical_tender").alias("source_type"),
         F.col("source").alias("source_label"),
         (F.col("doc_id") % 10).cast("int").alias("project"),
         (F.col("doc_id") % 17 == 0).alias("is_deprecated"),
@@ -144,7 +147,8 @@ price_history AS (
 chunk AS (
   SELECT d.doc_id AS chunk_id, d.text AS content, e.embedding AS vector,
          CASE quality WHEN 1 THEN 'positive' WHEN 0 THEN 'negative' ELSE 'neutral' END AS win_signal,
-         d.lang AS region_tag, d.source AS source_label, CAST(d.doc_id % 10 AS INTEGER) AS project,
+         d.lang AS region_tag, CASE WHEN d.doc_id % 3 = 0 THEN [] ELSE ['dim', d.source] END AS dims, CASE WHEN d.doc_id % 2 = 0 THEN 'goods' ELSE 'service' END AS ptype,
+         CASE d.doc_id % 5 WHEN 0 THEN 'project_upload' WHEN 1 THEN 'internal_postmortem' ELSE 'historical_tender' END AS source_type, d.source AS source_label, CAST(d.doc_id % 10 AS INTEGER) AS project,
          d.doc_id % 17 = 0 AS is_deprecated
   FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id LEFT JOIN embeddings e ON e.vec_id = d.doc_id),
 query_vec AS (SELECT vec_id AS query_id, embedding AS query_vector, label AS project FROM embeddings WHERE vec_id % 50 = 0)"""

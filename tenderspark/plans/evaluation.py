@@ -11,7 +11,7 @@ from tenderspark.plans.base import bids, projects, query, table
 NOW = "TIMESTAMP '1998-06-15 12:00:00'"
 TIME = f"""timed AS (SELECT *, CAST(floor((epoch_us(bid_open_date) - epoch_us({NOW})) / 86400000000) AS BIGINT) AS days FROM project),
 leveled AS (SELECT *, CASE WHEN days IS NULL THEN 'unknown' WHEN days < 0 THEN 'expired' WHEN days <= 3 THEN 'urgent' WHEN days <= 7 THEN 'tight' WHEN days <= 15 THEN 'normal' ELSE 'relaxed' END AS level FROM timed)"""
-OWNERS = "owners AS (SELECT c_name AS owner_unit, CASE c_custkey % 3 WHEN 0 THEN 'strong' WHEN 1 THEN 'good' ELSE 'neutral' END AS relationship FROM customer WHERE c_custkey % 4 <> 0)"
+OWNERS = "owners AS (SELECT c_name AS owner_unit, CASE c_custkey % 5 WHEN 0 THEN 'strong' WHEN 1 THEN 'medium' WHEN 2 THEN 'weak' WHEN 3 THEN 'none' ELSE 'Medium' END AS relationship FROM customer WHERE c_custkey % 4 <> 0)"
 QUAL = "qual AS (SELECT id, 50 + id % 50 AS score, id % 7 <> 0 AS passed, id % 7 = 0 AS lacks FROM project WHERE id % 11 <> 0)"
 
 
@@ -29,14 +29,14 @@ def e1_time_urgency(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _owners(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("c_custkey") % 3
+    k = F.col("c_custkey") % 5
     own = table(spark, d, "customer").where("c_custkey % 4 <> 0").select(
-        F.col("c_name").alias("owner_unit"), F.when(k == 0, "strong").when(k == 1, "good").otherwise("neutral").alias("relationship")
+        F.col("c_name").alias("owner_unit"), F.when(k == 0, "strong").when(k == 1, "medium").when(k == 2, "weak").when(k == 3, "none").otherwise("Medium").alias("relationship")
     )
     return own.join(projects(spark, d).select("owner_unit", "region").distinct(), "owner_unit")
 
 
-@query(f"WITH {OWNERS} SELECT id, coalesce(relationship, 'neutral') AS relationship, relationship IS NULL AS is_new_owner FROM project LEFT JOIN owners USING (owner_unit)")
+@query(f"WITH {OWNERS} SELECT id, coalesce(relationship, 'none') AS relationship, relationship IS NULL AS is_new_owner FROM project LEFT JOIN owners USING (owner_unit)")
 def e2_owner_profile(spark: SparkSession, d: str) -> DataFrame:
     return E.owner_profile(projects(spark, d), _owners(spark, d)).select("id", "relationship", "is_new_owner")
 
@@ -45,8 +45,8 @@ def e2_owner_profile(spark: SparkSession, d: str) -> DataFrame:
 CASE WHEN p_partkey % 7 <> 0 THEN CAST(p_partkey * 10 AS BIGINT) END AS deposit, CASE WHEN p_partkey % 2 = 0 THEN p_size > 25 END AS special FROM part),
 t AS (SELECT *, (coalesce(staff, 0) * coalesce(months, 0) * 8000 + coalesce(deposit, 0)) * (CASE WHEN special THEN 115 ELSE 100 END) AS c FROM c)
 SELECT id, c / 100.0::DOUBLE AS total, c * 90 / 10000.0::DOUBLE AS low, c * 115 / 10000.0::DOUBLE AS high,
-CASE WHEN (staff IS NOT NULL)::INT + (months IS NOT NULL)::INT + (deposit IS NOT NULL)::INT + (special IS NOT NULL)::INT >= 4 THEN 'high'
-WHEN (staff IS NOT NULL)::INT + (months IS NOT NULL)::INT + (deposit IS NOT NULL)::INT + (special IS NOT NULL)::INT >= 2 THEN 'medium' ELSE 'low' END AS confidence FROM t""")
+CASE WHEN (staff IS NOT NULL)::INT + (months IS NOT NULL)::INT + (deposit IS NOT NULL)::INT + coalesce(special, false)::INT >= 4 THEN 'high'
+WHEN (staff IS NOT NULL)::INT + (months IS NOT NULL)::INT + (deposit IS NOT NULL)::INT + coalesce(special, false)::INT >= 2 THEN 'medium' ELSE 'low' END AS confidence FROM t""")
 def e3_heuristic_cost(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
     c = E.heuristic_cost(F.when(k % 5 != 0, F.col("p_size")), F.when(k % 3 != 0, k % 12 + 1), F.when(k % 7 != 0, k * 10), F.when(k % 2 == 0, F.col("p_size") > 25))
@@ -64,7 +64,7 @@ def e4_win_probability(spark: SparkSession, d: str) -> DataFrame:
     return _projects(spark, d).select("id", E.win_probability(50 + k % 51, level, k % 101, k % 12).alias("probability"))
 
 
-@query(f"WITH {OWNERS} SELECT id, CASE relationship WHEN 'strong' THEN 3 WHEN 'good' THEN 2 WHEN 'neutral' THEN 1 ELSE 0 END AS rel FROM project LEFT JOIN owners USING (owner_unit)")
+@query(f"WITH {OWNERS} SELECT id, CASE lower(relationship) WHEN 'strong' THEN 3 WHEN 'medium' THEN 2 WHEN 'weak' THEN 1 ELSE 0 END AS rel FROM project LEFT JOIN owners USING (owner_unit)")
 def e5_relationship_index(spark: SparkSession, d: str) -> DataFrame:
     rows = projects(spark, d).join(_owners(spark, d), ["owner_unit", "region"], "left")
     return rows.select("id", E.relationship_index(F.col("relationship")).alias("rel"))
@@ -90,7 +90,7 @@ def e7_collect_risks(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {TIME}, {OWNERS}, {QUAL}, r AS (SELECT l.id, level, coalesce(score, 0) AS qual, coalesce(passed, false) AS passed, coalesce(lacks, false) AS lacks, relationship IS NULL AS is_new,
-CASE coalesce(relationship, 'neutral') WHEN 'strong' THEN 3 WHEN 'good' THEN 2 WHEN 'neutral' THEN 1 END AS rel, 1 AS competitors
+CASE lower(coalesce(relationship, 'none')) WHEN 'strong' THEN 3 WHEN 'medium' THEN 2 WHEN 'weak' THEN 1 ELSE 0 END AS rel, 1 AS competitors
 FROM leveled l LEFT JOIN owners USING (owner_unit) LEFT JOIN qual q ON q.id = l.id), p AS (SELECT *, {CHANCE} AS p FROM r)
 SELECT id, qual, level, p AS probability, CASE WHEN p = 0 THEN 'abandon' WHEN p > 0.6 THEN 'worth_bidding' ELSE 'conditional' END AS recommendation,
 CASE WHEN p = 0 THEN CASE WHEN level = 'expired' THEN 'expired' WHEN qual < 60 THEN 'qualification' ELSE 'fatal' END WHEN p > 0.6 THEN 'strong' ELSE 'review' END AS reason,

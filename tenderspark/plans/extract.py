@@ -61,7 +61,7 @@ def b10_flag_navigation(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select(k.alias("id"), T.flag_navigation(text).alias("mark"))
 
 
-@query("""SELECT p_partkey AS id, CASE WHEN p_size * 30 > p_retailprice AND p_size * 30 > 800 THEN 'license' WHEN p_size * 30 > p_retailprice AND p_size * 30 > 400 THEN 'cert' ELSE 'other' END AS kind FROM part""")
+@query("""SELECT p_partkey AS id, CASE WHEN p_size * 30 > p_retailprice AND p_size * 30 > 800 THEN 'business_license' WHEN p_size * 30 > p_retailprice AND p_size * 30 > 400 THEN 'certification' ELSE 'other' END AS kind FROM part""")
 def b22_classify_image(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), X.classify_image(F.col("p_size") * 30, F.col("p_retailprice")).alias("kind"))
 

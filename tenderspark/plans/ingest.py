@@ -116,7 +116,7 @@ def d2_match_qualifications(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {MATCHED}, per AS (SELECT project, count(*) FILTER (WHERE is_mandatory) AS m, count(*) AS n, count(*) FILTER (WHERE is_mandatory AND status = 'missing') AS gone,
-count(*) FILTER (WHERE is_mandatory AND status IN ('missing', 'wrong', 'expired')) AS failed, count(*) FILTER (WHERE NOT is_mandatory AND status <> 'missing') AS held FROM matched GROUP BY 1),
+count(*) FILTER (WHERE is_mandatory AND status IN ('missing', 'wrong', 'expired')) AS failed, count(*) FILTER (WHERE NOT is_mandatory AND status NOT IN ('missing', 'wrong')) AS held FROM matched GROUP BY 1),
 f AS (SELECT p.id AS project, coalesce(m, 0) AS m, coalesce(n, 0) AS n, coalesce(gone, 0) AS gone, coalesce(failed, 0) AS failed, coalesce(held, 0) AS held FROM project p LEFT JOIN per ON per.project = p.id)
 SELECT project, CAST(CASE WHEN m > 0 THEN (m - gone) * 100 // m WHEN n > 0 THEN held * 100 // n ELSE 0 END AS INTEGER) AS score,
 failed + (m = 0 AND held = 0)::INT = 0 AS passed, failed + (m = 0 AND held = 0)::INT AS n_failed FROM f""")

@@ -9,22 +9,22 @@ from tenderspark.operators import lifecycle as L
 from tenderspark.operators import merge as M
 from tenderspark.plans.base import bids, projects, query, table
 
-STATUSES = ("evaluation_ready", "generating_documents", "awaiting_pricing", "awaiting_review", "approved_by_specialist", "rejected_by_specialist", "completed")
-STATE = "state AS (SELECT id, (['" + "','".join(STATUSES) + "'])[CAST(id % 7 + 1 AS INTEGER)] AS status, id % 5 = 0 AS related, region, owner_unit, deleted FROM project)"
+STATUSES = ("evaluation_ready", "generating_documents", "awaiting_pricing", "awaiting_review", "approved_by_specialist", "rejected_by_specialist", "completed", "uploaded", "terminated_by_boss", "discarded", "parsed")
+STATE = "state AS (SELECT id, (['" + "','".join(STATUSES) + "'])[CAST(id % 11 + 1 AS INTEGER)] AS status, id % 5 = 0 AS related, region, owner_unit, deleted FROM project)"
 
 
 def _state(spark: SparkSession, d: str) -> DataFrame:
-    status = F.element_at(F.array(*map(F.lit, STATUSES)), (F.col("id") % 7 + 1).cast("int"))
+    status = F.element_at(F.array(*map(F.lit, STATUSES)), (F.col("id") % 11 + 1).cast("int"))
     return projects(spark, d).select("id", status.alias("status"), (F.col("id") % 5 == 0).alias("related"), "region", "owner_unit", "deleted")
 
 
-@query("SELECT id, status FROM project WHERE NOT deleted AND status IN ('awaiting_pricing', 'pricing_confirmed', 'completed')")
+@query("SELECT id, status FROM project WHERE NOT deleted AND status IN ('awaiting_pricing', 'awaiting_review', 'completed')")
 def g1_list_projects(spark: SparkSession, d: str) -> DataFrame:
     return L.list_projects(projects(spark, d), "finance").select("id", "status")
 
 
-@query(f"""WITH {STATE} SELECT count(*) FILTER (WHERE status = 'evaluation_ready') AS pending,
-count(*) FILTER (WHERE status IN ('generating_documents', 'awaiting_pricing', 'awaiting_review')) AS in_progress, count(*) FILTER (WHERE status = 'completed') AS completed FROM state WHERE NOT deleted""")
+@query(f"""WITH {STATE} SELECT count(*) FILTER (WHERE status = 'uploaded') AS pending,
+count(*) FILTER (WHERE status IN ('evaluation_ready', 'generating_documents', 'awaiting_pricing', 'awaiting_review', 'approved_by_specialist', 'parsed')) AS in_progress, count(*) FILTER (WHERE status = 'completed') AS completed FROM state WHERE NOT deleted""")
 def g2_status_tabs(spark: SparkSession, d: str) -> DataFrame:
     return L.status_tabs(_state(spark, d))
 
@@ -63,7 +63,13 @@ def g6_clone_projects(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ACTIONS = "act AS (SELECT user_id AS project, event_id, CASE WHEN event_id % 2 = 0 THEN 'boss' ELSE 'specialist' END AS role, CASE event_type WHEN 'click' THEN 'approve' WHEN 'view' THEN 'reject' WHEN 'error' THEN 'terminate' WHEN 'signup' THEN 'submit_to_boss' ELSE 'archive' END AS action, repeat('x', event_id % 20) AS reason, ts FROM events)"
-_MOVES = "moves AS (SELECT * FROM (VALUES " + ", ".join(str(t) for t in L.TRANSITIONS) + ") t(role, action, new_status, audit))"
+_MOVES = """moves AS (SELECT role, action, CASE action WHEN 'submit_to_boss' THEN 'pending_boss_approval' WHEN 'terminate' THEN 'discarded'
+WHEN 'approve' THEN CASE role WHEN 'boss' THEN 'generating_documents' ELSE 'approved_by_specialist' END
+WHEN 'reject' THEN CASE role WHEN 'boss' THEN 'terminated_by_boss' ELSE 'rejected_by_specialist' END END AS new_status,
+CASE action WHEN 'submit_to_boss' THEN 'specialist_worthy' WHEN 'terminate' THEN 'specialist_terminate'
+WHEN 'approve' THEN CASE role WHEN 'boss' THEN 'boss_confirm_specialist' ELSE 'specialist_worthy' END
+WHEN 'reject' THEN CASE role WHEN 'boss' THEN 'boss_override_terminate' ELSE 'specialist_unworthy' END END AS audit
+FROM (VALUES ('boss'), ('specialist')) r(role), (VALUES ('approve'), ('reject'), ('terminate'), ('submit_to_boss')) a(action))"""
 
 
 def _actions(spark: SparkSession, d: str) -> DataFrame:
@@ -96,15 +102,15 @@ def g7_rejected_approvals(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {STATE}, o AS (SELECT *, CASE WHEN id % 2 = 0 THEN 'terminate' ELSE 'revive' END AS action FROM state),
-k AS (SELECT *, (action = 'terminate' AND status LIKE 'approved%') OR (action = 'revive' AND status LIKE 'rejected%') AS ok FROM o)
-SELECT id, action, CASE WHEN NOT ok THEN status WHEN action = 'terminate' THEN 'discarded' ELSE 'evaluation_ready' END AS new_status, ok FROM k""")
+k AS (SELECT *, (action = 'terminate' AND status = 'approved_by_specialist') OR (action = 'revive' AND status = 'rejected_by_specialist') AS ok FROM o)
+SELECT id, action, CASE WHEN NOT ok THEN status WHEN action = 'terminate' THEN 'terminated_by_boss' ELSE 'approved_by_specialist' END AS new_status, ok FROM k""")
 def g8_apply_overrides(spark: SparkSession, d: str) -> DataFrame:
     rows = _state(spark, d)
     return L.apply_overrides(rows, rows.select("id", F.when(F.col("id") % 2 == 0, "terminate").otherwise("revive").alias("action")))
 
 
 @query(f"""WITH {STATE}, c AS (SELECT *, id % 3 = 0 AS "to", CASE WHEN id % 4 = 0 THEN 'call' END AS guidance FROM state), k AS (SELECT *, NOT "to" OR guidance IS NOT NULL AS ok FROM c),
-b AS (SELECT *, ok AND "to" <> related AND status IN ('generating_documents', 'awaiting_pricing', 'awaiting_review', 'pricing_confirmed') AS back FROM k)
+b AS (SELECT *, ok AND "to" <> related AND status IN ('generating_documents', 'awaiting_pricing', 'awaiting_review', 'completed') AS back FROM k)
 SELECT id, CASE WHEN ok THEN "to" ELSE related END AS related, CASE WHEN back THEN 'evaluation_ready' ELSE status END AS new_status, back AS rolled_back, ok FROM b""")
 def g9_apply_relationship_changes(spark: SparkSession, d: str) -> DataFrame:
     rows = _state(spark, d)
@@ -131,7 +137,7 @@ def g10_audit_gaps(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH t AS (SELECT conv_id AS project, max(turn) AS task_id FROM conversations GROUP BY 1)
-SELECT project, task_id, CASE WHEN project % 3 = 0 THEN 'open' WHEN project % 2 = 0 THEN 'archived' ELSE 'discarded' END AS task_status FROM t""")
+SELECT project, task_id, CASE WHEN project % 3 = 0 THEN 'open' WHEN project % 2 = 0 THEN 'archived_due_to_mode_switch' ELSE 'discarded_due_to_mode_switch' END AS task_status FROM t""")
 def g11_switch_mode(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "conversations").select(F.col("conv_id").alias("project"), F.col("turn").alias("task_id"), F.lit("open").alias("task_status"))
     auto = F.col("project") % 2 == 0
@@ -154,8 +160,11 @@ SELECT conv_id AS project, role AS name, md5(text) AS content FROM t WHERE conv_
 def g13_resolve_sections(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "conversations")
     sections = rows.where("conv_id % 2 = 0").select(F.col("conv_id").alias("project"), F.col("role").alias("name"), F.md5("text").alias("content"))
-    listed = F.to_json(F.array(F.struct(F.col("role").alias("title"), F.md5("text").alias("content"))))
-    mapped = F.to_json(F.create_map("role", F.md5("text")))
+    name = F.when(F.col("conv_id") % 8 == 1, F.struct(F.col("role").alias("section_name"), F.lit(None).cast("string").alias("title"), F.md5("text").alias("content"))).otherwise(
+        F.struct(F.lit(None).cast("string").alias("section_name"), F.col("role").alias("title"), F.md5("text").alias("content"))
+    )
+    listed = F.to_json(F.struct(F.array(name).alias("sections")))
+    mapped = F.to_json(F.create_map("role", F.struct(F.md5("text").alias("content"))))
     tasks = rows.select(F.col("conv_id").alias("project"), F.col("turn").alias("task_id"), F.when(F.col("conv_id") % 4 == 1, listed).otherwise(mapped).alias("json"))
     return L.resolve_sections(sections, tasks)
 

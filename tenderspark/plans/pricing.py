@@ -14,8 +14,9 @@ BUCKET = """CASE WHEN winning_price <> 0 THEN CASE WHEN (price - winning_price)
   WHEN (price - winning_price) * 100 <= winning_price * 10 THEN 'slightly_high' ELSE 'overpriced' END END"""
 GAP = "(CAST(price AS DOUBLE) - CAST(winning_price AS DOUBLE)) / nullif(CAST(winning_price AS DOUBLE), 0) * 100"
 BENCHMARK = f"""{ELIGIBLE}, market AS (
-  SELECT region, project_type, avg(rate) AS r, median(rate) AS mr, avg(bidders) AS b, median(bidders) AS mb FROM eligible GROUP BY 1, 2),
-own AS (SELECT region, project_type, avg({GAP}) AS gap, count(*) FILTER (WHERE won) AS wins, count(*) AS n
+  SELECT region, project_type, avg(rate) AS r, median(rate) AS mr FROM eligible GROUP BY 1, 2),
+own AS (SELECT region, project_type, avg({GAP}) AS gap, count(*) FILTER (WHERE won) AS wins, count(*) AS n,
+  avg(o.bidders) AS b, median(o.bidders) AS mb
   FROM eligible e JOIN our_bid o ON o.project = e.id GROUP BY 1, 2),
 benchmark AS (SELECT m.region, m.project_type, round(r, 6) AS avg_rate, round(mr, 6) AS median_rate, round(b, 6) AS avg_bidders,
   round(mb, 6) AS median_bidders, round(gap, 6) AS avg_gap, coalesce(wins, 0) AS wins, coalesce(n, 0) AS sample_size,
@@ -93,7 +94,8 @@ def f7_estimate_from_history(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("SELECT id, " + ", ".join(
-    f"CAST({half_even(f'CAST(budget * 100 AS BIGINT) * {int(float(s) * 100 + 0.5)}', 100)} AS DOUBLE) / 100 AS {n}" for n, s in P.BREAKDOWN.items()
+    f"CAST({half_even(f'CAST(budget * 100 AS BIGINT) * {percent}', 100)} AS DOUBLE) / 100 AS {name}"
+    for name, percent in (("food", 55), ("labour", 25), ("logistics", 12), ("management", 8))
 ) + " FROM project")
 def f8_breakdown_cost(spark: SparkSession, d: str) -> DataFrame:
     parts = projects(spark, d).select("id", *P.breakdown_cost(F.col("budget")))
@@ -130,9 +132,9 @@ def f9_price_win_probability(spark: SparkSession, d: str) -> DataFrame:
 
 _TIER_SQL = " UNION ALL ".join(
     f"""SELECT id, relationship, cost_c, budget_c, '{n}' AS tier, CASE WHEN multiplier_c IS NOT NULL
-    THEN greatest({half_even("multiplier_c * budget_c", 10000)} * {round(float(m) * 100)}, cost_c * 101)
-    ELSE {half_even(f"cost_c * {round(float(c) * 100)}", 100)} * 100 END AS price_x FROM priced"""
-    for n, m, c in P.TIERS
+    THEN greatest({half_even("multiplier_c * budget_c", 10000)} * {of_market}, {half_even("cost_c * 101", 100)} * 100)
+    ELSE {half_even(f"cost_c * {of_cost}", 100)} * 100 END AS price_x FROM priced"""
+    for n, of_market, of_cost in (("aggressive", 96, 103), ("balanced", 100, 108), ("conservative", 106, 115))
 )
 SCENARIOS = f"""{BENCHMARK}, {COSTS}, priced AS (SELECT c.*, CASE WHEN c.id % 2 = 0 AND has_data THEN CAST(round(multiplier * 10000) AS BIGINT) END AS multiplier_c
 FROM costs c LEFT JOIN benchmark USING (region, project_type)), tiers AS ({_TIER_SQL}),
@@ -194,17 +196,17 @@ def f13_derive_decision(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH act AS (SELECT user_id AS project, event_id, ts, CASE event_type WHEN 'click' THEN 'draft' WHEN 'view' THEN 'submit' WHEN 'purchase' THEN 'boss_final' ELSE 'draft' END AS action FROM events),
 last AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY ts DESC, event_id DESC) AS seq FROM act),
-p AS (SELECT id, CASE WHEN id % 3 = 0 THEN 'awaiting_review' ELSE status END AS status FROM project)
-SELECT id, action, status = 'awaiting_review' AND action <> 'boss_final' AS blocked,
-CASE WHEN status = 'awaiting_review' AND action <> 'boss_final' THEN status WHEN action = 'submit' THEN 'awaiting_review'
-WHEN action = 'boss_final' THEN 'pricing_confirmed' ELSE status END AS new_status FROM p JOIN last ON project = id AND seq = 1""")
+p AS (SELECT id, CASE id % 3 WHEN 0 THEN 'awaiting_review' WHEN 1 THEN 'uploaded' ELSE status END AS status FROM project)
+SELECT id, action, status = 'awaiting_review' AS blocked,
+CASE WHEN status = 'awaiting_review' THEN status WHEN action = 'submit' THEN 'pending_boss_approval'
+WHEN action = 'boss_final' THEN 'awaiting_review' WHEN status = 'uploaded' THEN 'awaiting_pricing' ELSE status END AS new_status FROM p JOIN last ON project = id AND seq = 1""")
 def f14_apply_pricing_actions(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("event_type")
     action = F.when(t == "view", "submit").when(t == "purchase", "boss_final").otherwise("draft")
     acts = spark.read.parquet(f"{d}/events.parquet").select(
         F.col("user_id").alias("project"), F.col("event_id").alias("action_id"), F.col("ts").alias("at"), action.alias("action")
     )
-    p = projects(spark, d).select("id", F.when(F.col("id") % 3 == 0, "awaiting_review").otherwise(F.col("status")).alias("status"))
+    p = projects(spark, d).select("id", F.when(F.col("id") % 3 == 0, "awaiting_review").when(F.col("id") % 3 == 1, "uploaded").otherwise(F.col("status")).alias("status"))
     return P.apply_pricing_actions(p, acts)
 
 

@@ -11,8 +11,8 @@ from tenderspark.plans.base import chunks, query, query_vectors, table
 COS = "round(list_dot_product(CAST(c.vector AS DOUBLE[]), CAST(q.query_vector AS DOUBLE[])) / (sqrt(list_dot_product(CAST(c.vector AS DOUBLE[]), CAST(c.vector AS DOUBLE[]))) * sqrt(list_dot_product(CAST(q.query_vector AS DOUBLE[]), CAST(q.query_vector AS DOUBLE[])))), 9)"
 
 
-def _found(where: str, k: int, by: str = "query_id", extra: str = "") -> str:
-    return f"""pairs AS (SELECT q.query_id, c.chunk_id, c.win_signal, {COS} AS score FROM query_vec q JOIN chunk c ON c.project = q.project
+def _found(where: str, k: int, by: str = "query_id", extra: str = "", on: str = "c.project = q.project") -> str:
+    return f"""pairs AS (SELECT q.query_id, c.chunk_id, c.win_signal, {COS} AS score FROM query_vec q JOIN chunk c ON {on}
 WHERE NOT c.is_deprecated AND c.vector IS NOT NULL {where}),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY score DESC, chunk_id) AS rank FROM pairs),
 found AS (SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, score{extra} FROM ranked WHERE rank <= {k})"""
@@ -31,15 +31,16 @@ def c2_search(spark: SparkSession, d: str) -> DataFrame:
     return R.search(chunks(spark, d), query_vectors(spark, d))
 
 
-NEGATIVE = _found("AND c.win_signal = 'negative' AND c.region_tag IN ('en', 'fr')", 5)
+PAST = "c.source_type IN ('historical_tender', 'internal_postmortem')"
+NEGATIVE = _found("AND c.win_signal = 'negative' AND c.region_tag IN ('en', 'fr') AND list_contains(c.dims, 'dim') AND c.ptype = 'goods'", 5, on=PAST)
 
 
 @query(f"WITH {NEGATIVE} SELECT * FROM found")
 def c3_retrieve_samples(spark: SparkSession, d: str) -> DataFrame:
-    return R.retrieve_samples(chunks(spark, d), query_vectors(spark, d), "negative", ["en", "fr"])
+    return R.retrieve_samples(chunks(spark, d), query_vectors(spark, d), "negative", ["en", "fr"], dimensions=["dim", "other"], project_type="goods")
 
 
-DUAL = _found("AND c.win_signal <> 'neutral'", 5, "query_id, win_signal", ", win_signal")
+DUAL = _found("AND c.win_signal <> 'neutral'", 5, "query_id, win_signal", ", win_signal", PAST)
 
 
 @query(f"WITH {DUAL} SELECT * FROM found")
@@ -47,8 +48,9 @@ def c4_dual_track(spark: SparkSession, d: str) -> DataFrame:
     return R.dual_track(chunks(spark, d), query_vectors(spark, d)).select("query_id", "win_signal", "rank", "chunk_id", "score")
 
 
-@query(f"""WITH {DUAL}, t AS (SELECT query_id, win_signal, string_agg('[' || rank || '] ' || source_label || ' (' || region_tag || ')' || chr(10) || substr(content, 1, 800), chr(10) || chr(10) ORDER BY rank) AS t
-FROM found JOIN chunk USING (chunk_id, win_signal) GROUP BY 1, 2), c AS (SELECT query_id, win_signal, CASE WHEN length(t) > 3000 THEN substr(t, 1, 3000) || '[...]' ELSE t END AS t FROM t)
+@query(f"""WITH {DUAL}, t AS (SELECT query_id, win_signal, string_agg('案例标签：' || source_label || chr(10) || '胜负信号：' || CASE win_signal WHEN 'positive' THEN '成功经验' ELSE '失败教训' END || chr(10) || '评分维度：' || CASE WHEN len(dims) > 0 THEN array_to_string(dims, ', ') ELSE '通用' END
+|| chr(10) || '地区标签：' || region_tag || chr(10) || '项目类型：' || ptype || chr(10) || chr(10) || '正文：' || chr(10) || substr(content, 1, 800) || chr(10) || chr(10) || '---', chr(10) ORDER BY rank) AS t
+FROM found JOIN chunk USING (chunk_id, win_signal) GROUP BY 1, 2), c AS (SELECT query_id, win_signal, CASE WHEN length(t) > 3000 THEN substr(t, 1, 3000) || chr(10) || '...（已截断，共 ' || length(t) || ' 字符）' ELSE t END AS t FROM t)
 SELECT query_id, md5(coalesce(max(t) FILTER (WHERE win_signal = 'positive'), '')) AS positive, md5(coalesce(max(t) FILTER (WHERE win_signal = 'negative'), '')) AS negative FROM c GROUP BY 1""")
 def c5_build_context(spark: SparkSession, d: str) -> DataFrame:
     c = chunks(spark, d)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tenderspark.operators import outcomes as O
@@ -62,16 +63,20 @@ def h3_section_coverage(spark: SparkSession, d: str) -> DataFrame:
     return _h3(spark, d)
 
 
-@query("""WITH u AS (SELECT id AS project, 'seal_requirement' AS category, unnest(CASE WHEN id % 3 = 0 THEN [region] ELSE ['公章', '法人章', '骑缝章', '签字'] END) AS item FROM project
-UNION ALL SELECT id, 'packaging', unnest(['正本', '副本', '密封', '标识']) FROM project) SELECT * FROM u""")
+@query("""WITH u AS (SELECT id AS project, 'signature_seal' AS category, unnest(CASE WHEN id % 3 = 0 THEN [region] ELSE ['法定代表人签字或签章', '授权委托书签字盖章', '骑缝章完整性', '正副本份数与标识'] END) AS item FROM project
+UNION ALL SELECT id, 'seal_requirements', unnest(CASE WHEN id % 3 = 0 THEN [region] WHEN id % 3 = 1 THEN [owner_unit] ELSE ['投标文件分别封装', '封套粘贴与密封', '电子版文件一致性', '包封标注完整性'] END) FROM project)
+SELECT *, 'warning' AS risk_level, 'uncertain' AS system_status FROM u""")
 def h4_seal_rows(spark: SparkSession, d: str) -> DataFrame:
     none = F.array().cast("array<string>")
-    return R.seal_rows(projects(spark, d).select("id", F.when(F.col("id") % 3 == 0, F.array("region")).otherwise(none).alias("seals"), none.alias("packaging")))
+    own = lambda k, c: F.when(F.col("id") % 3 == k, F.array(c)).otherwise(none)
+    return R.seal_rows(projects(spark, d).select("id", own(0, "region").alias("seals"), own(1, "owner_unit").alias("packaging")))
 
 
-@query(f"WITH {EXTRACTION}, {LASTP}, {H1}, {H2}, {H3} SELECT *, 'pending' AS specialist_status FROM (SELECT * FROM validity UNION ALL SELECT * FROM priced UNION ALL SELECT * FROM cover)")
+@query(f"""WITH {EXTRACTION}, {LASTP}, {H1}, {H2}, {H3} SELECT *, 'pending' AS specialist_status FROM (SELECT * FROM validity UNION ALL SELECT * FROM priced UNION ALL SELECT * FROM cover
+UNION ALL SELECT id, unnest(['法定代表人签字或签章', '授权委托书签字盖章', '骑缝章完整性', '正副本份数与标识', '投标文件分别封装', '封套粘贴与密封', '电子版文件一致性', '包封标注完整性']), 'warning', 'uncertain' FROM project WHERE id % 3 = 2)""")
 def h5_checklist(spark: SparkSession, d: str) -> DataFrame:
-    return R.checklist(_h1(spark, d), R.price_rows(projects(spark, d), _prices(spark, d)), _h3(spark, d))
+    seals = h4_seal_rows(spark, d).where("project % 3 = 2").drop("category")
+    return R.checklist(_h1(spark, d), R.price_rows(projects(spark, d), _prices(spark, d)), _h3(spark, d), seals)
 
 
 @query(f"""WITH {ITEMS}, g AS (SELECT project, count(*) AS total, count(*) FILTER (WHERE specialist_status = 'confirmed') AS confirmed,
@@ -81,8 +86,9 @@ def h6_review_status(spark: SparkSession, d: str) -> DataFrame:
     return R.review_status(_items(spark, d))
 
 
-@query(f"""WITH {ITEMS}, g AS (SELECT project, category, count(*) AS total, count(*) FILTER (WHERE specialist_status = 'confirmed') AS confirmed FROM items GROUP BY 1, 2)
-SELECT *, CAST((confirmed * 200 + total) // (total * 2) AS BIGINT) AS percent FROM g""")
+@query(f"""WITH {ITEMS}, g AS (SELECT project, category, count(*) AS total, count(*) FILTER (WHERE specialist_status <> 'pending') AS confirmed FROM items GROUP BY 1, 2),
+p AS (SELECT project, count(*) FILTER (WHERE specialist_status <> 'pending') AS done, count(*) FILTER (WHERE risk_level <> 'info') AS needed FROM items GROUP BY 1)
+SELECT g.*, CAST(CASE WHEN needed > 0 THEN (done * 200 + needed) // (needed * 2) ELSE 0 END AS BIGINT) AS percent FROM g JOIN p USING (project)""")
 def h7_category_progress(spark: SparkSession, d: str) -> DataFrame:
     return R.category_progress(_items(spark, d))
 
@@ -108,8 +114,8 @@ def h10_filter_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {ITEMS}, a AS (SELECT *, CASE WHEN id % 5 < 4 THEN (['confirm', 'toggle', 'correct', 'delete'])[CAST(id % 5 + 1 AS INTEGER)] END AS action FROM items)
-SELECT id, CASE WHEN action = 'correct' THEN 'new' ELSE category END AS text, CASE WHEN action = 'correct' AND id % 2 = 0 THEN 'why | so' END AS note,
-CASE action WHEN 'confirm' THEN 'confirmed' WHEN 'toggle' THEN CASE specialist_status WHEN 'confirmed' THEN 'pending' ELSE 'confirmed' END WHEN 'correct' THEN 'corrected' WHEN 'delete' THEN 'deleted' ELSE specialist_status END AS specialist_status FROM a""")
+SELECT id, category AS text, CASE WHEN action = 'correct' THEN 'new' END AS evidence, CASE WHEN action = 'correct' AND id % 2 = 0 THEN 'why | so' END AS note,
+CASE action WHEN 'confirm' THEN 'confirmed' WHEN 'toggle' THEN 'pending' WHEN 'correct' THEN 'corrected' WHEN 'delete' THEN 'deleted' ELSE specialist_status END AS specialist_status FROM a""")
 def h11_apply_item_actions(spark: SparkSession, d: str) -> DataFrame:
     items = _items(spark, d).withColumnRenamed("category", "text")
     k = F.col("id")
@@ -137,10 +143,16 @@ def i2_lose_history(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH c AS (SELECT conv_id AS project, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE conv_id % 2 = 0)
-SELECT project, CASE role WHEN 'system' THEN 'Section ' || n ELSE role END AS title, md5(text) AS content, 8 AS contribution FROM c""")
+SELECT project, CASE WHEN n % 3 = 1 THEN role WHEN n % 3 = 2 THEN 'part ' || role ELSE 'Unknown' END AS title, md5(text) AS content, 8 AS contribution FROM c""")
 def i3_extract_dna(spark: SparkSession, d: str) -> DataFrame:
-    item = F.struct("turn", F.when(F.col("role") == "system", " ").otherwise(F.col("role")).alias("title"), F.md5("text").alias("content"))
-    rows = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("project")).agg(F.to_json(F.array_sort(F.collect_list(item))).alias("json"))
+    n = F.row_number().over(W.partitionBy("conv_id").orderBy("turn")) % 3
+    item = F.struct(
+        "turn", F.when(F.col("n") == 1, F.col("role")).when(F.col("n") == 2, "").alias("title"),
+        F.when(F.col("n") == 2, F.concat(F.lit("part "), "role")).alias("section_title"), F.md5("text").alias("content"),
+    )
+    rows = table(spark, d, "conversations").withColumn("n", n).groupBy(F.col("conv_id").alias("project")).agg(
+        F.to_json(F.struct(F.array_sort(F.collect_list(item)).alias("sections"))).alias("json")
+    )
     return O.extract_dna(rows.withColumn("confirmed", F.col("project") % 2 == 0))
 
 
@@ -153,14 +165,14 @@ def i4_evolution_log(spark: SparkSession, d: str) -> DataFrame:
     return O.evolution_log(out, c)
 
 
-@query("""WITH n AS (SELECT p_brand AS title, count(*) AS more, arg_min(p_size, p_partkey) AS category, min(p_partkey) AS first FROM part GROUP BY 1),
+@query("""WITH n AS (SELECT CASE WHEN p_size % 10 = 3 THEN 'Unknown disqualification' ELSE p_brand END AS title, count(*) AS more, arg_min(p_size, p_partkey) AS category, min(p_partkey) AS first FROM part GROUP BY 1),
 t AS (SELECT DISTINCT p_brand AS title, 'OLD' AS code, 3 AS n FROM part WHERE p_size > 40 UNION ALL SELECT 'gone', 'OLD', 1)
 SELECT coalesce(t.title, n.title) AS title, coalesce(code, 'TRAP_' || category || '_' || first) AS code, coalesce(t.n, 0) + coalesce(more, 0) AS n FROM t FULL JOIN n ON n.title = t.title""")
 def i5_upsert_traps(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
     old = p.where("p_size > 40").select(F.col("p_brand").alias("title"), F.lit("OLD").alias("code"), F.lit(3).alias("n")).distinct()
     gone = p.limit(1).select(F.lit("gone").alias("title"), F.lit("OLD").alias("code"), F.lit(1).alias("n"))
-    return O.upsert_traps(old.union(gone), p.select(F.col("p_partkey").alias("id"), F.col("p_size").cast("string").alias("category"), F.col("p_brand").alias("reason")))
+    return O.upsert_traps(old.union(gone), p.select(F.col("p_partkey").alias("id"), F.col("p_size").cast("string").alias("category"), F.when(F.col("p_size") % 10 != 3, F.col("p_brand")).when(F.col("p_size") > 20, "").alias("reason")))
 
 
 @query(f"WITH {ITEMS} SELECT project, bool_or(specialist_status = 'deleted' AND risk_level = 'fatal') AS manual_error FROM items GROUP BY 1")
@@ -179,7 +191,7 @@ def _rebids(spark: SparkSession, d: str) -> DataFrame:
     return O.detect_rebids(p.where("status = 'evaluating'"), p, out, F.lit("2001-01-01").cast("date"))
 
 
-@query(f"""WITH {REBIDS} SELECT r.id, r.rebid_of, CASE WHEN o.won THEN 'win' WHEN NOT o.won THEN 'lose' END AS outcome, 0.95::DOUBLE AS score, 'high' AS confidence
+@query(f"""WITH {REBIDS} SELECT r.id, r.rebid_of, CASE WHEN o.won THEN 'win' WHEN NOT o.won THEN 'lose' ELSE 'unknown' END AS outcome, 0.95::DOUBLE AS score, 'high' AS confidence
 FROM rebid r LEFT JOIN our_bid o ON o.project = r.rebid_of""")
 def i7_detect_rebids(spark: SparkSession, d: str) -> DataFrame:
     return _rebids(spark, d)
@@ -191,10 +203,10 @@ def i8_revivable_drafts(spark: SparkSession, d: str) -> DataFrame:
     return O.revivable_drafts(_rebids(spark, d), drafts).select("id", F.array_join("drafts", ",").alias("drafts"))
 
 
-@query("""WITH r AS (SELECT id, CASE WHEN id % 4 = 0 THEN 'not_revivable' WHEN date_diff('day', CAST(bid_open_date AS DATE), DATE '2001-01-01') > 365 THEN 'too_old' END AS reason FROM project)
+@query("""WITH r AS (SELECT id, CASE WHEN id % 4 = 0 THEN 'not_revivable' WHEN id % 7 = 0 THEN 'not_archived' WHEN date_diff('day', CAST(bid_open_date AS DATE), DATE '2001-01-01') > 365 THEN 'too_old' END AS reason FROM project)
 SELECT id, id AS project, reason IS NULL AS ok, reason, CASE WHEN reason IS NULL THEN 'evaluation_ready' END AS new_status FROM r""")
 def i9_revive_drafts(spark: SparkSession, d: str) -> DataFrame:
-    rows = projects(spark, d).select("id", F.col("id").alias("project"), (F.col("id") % 4 != 0).alias("can_be_revived"), F.col("bid_open_date").alias("archived_at"))
+    rows = projects(spark, d).select("id", F.col("id").alias("project"), (F.col("id") % 4 != 0).alias("can_be_revived"), F.when(F.col("id") % 7 != 0, F.col("bid_open_date")).alias("archived_at"))
     return O.revive_drafts(rows, F.lit("2001-01-01").cast("date"))
 
 
@@ -202,7 +214,7 @@ def i9_revive_drafts(spark: SparkSession, d: str) -> DataFrame:
 q AS (SELECT avg(value) FILTER (WHERE age BETWEEN 0 AND 29) AS a, avg(value) FILTER (WHERE age BETWEEN 30 AND 59) AS b FROM e)
 SELECT (SELECT count(*) FROM e) AS total_chunks, (SELECT count(*) FROM e WHERE event_type = 'error' AND age BETWEEN 0 AND 29) AS deprecated,
 (SELECT count(*) FROM e WHERE event_type = 'view' AND age BETWEEN 0 AND 29) AS new_dna, (SELECT count(*) FROM e WHERE event_type = 'click' AND age BETWEEN 0 AND 29) AS new_traps,
-round(a, 6) AS quality, CASE WHEN a - b >= 2 THEN 'up' WHEN a - b <= -2 THEN 'down' ELSE 'stable' END AS trend FROM q""")
+round(a, 6) AS quality, CASE WHEN coalesce(a, 0) > coalesce(b, 0) + 2 THEN 'up' WHEN coalesce(a, 0) < coalesce(b, 0) - 2 THEN 'down' ELSE 'stable' END AS trend FROM q""")
 def i10_evolution_report(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select(F.col("ts").alias("at"), "event_type", F.col("value").alias("quality"), (F.col("event_type") == "error").alias("is_deprecated"))
     return O.evolution_report(e, e.where("event_type = 'view'"), e.where("event_type = 'click'"), e, F.lit("2024-01-25").cast("date"))

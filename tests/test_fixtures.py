@@ -84,14 +84,14 @@ def test_gap_buckets(spark):
 def test_scenarios(spark):
     df = spark.createDataFrame([(1, Decimal("100000"), Decimal("150000"), None, 85), (2, Decimal("0"), Decimal("10"), None, 0)], "id long, cost decimal(15,2), budget decimal(15,2), multiplier double, relationship int")
     rows = {r["tier"]: r for r in P.price_scenarios(df).collect()}
-    assert [float(rows[t]["price"]) for t in ("conservative", "balanced", "aggressive")] == [103000.0, 108000.0, 115000.0]
-    assert rows["conservative"]["recommended"] and rows["aggressive"]["win_probability"] >= 0.75 and len(rows) == 3
+    assert [float(rows[t]["price"]) for t in ("aggressive", "balanced", "conservative")] == [103000.0, 108000.0, 115000.0]
+    assert rows["conservative"]["recommended"] and rows["conservative"]["win_probability"] >= 0.75 and len(rows) == 3
 
 
 def test_breakdown_and_half_even(spark):
     df = spark.createDataFrame([(Decimal("100000"),), (Decimal("2.50"),)], "c decimal(15,2)")
     rows = df.select(*P.breakdown_cost(F.col("c"))).collect()
-    assert [float(x) for x in rows[0]] == [55000, 25000, 12000, 8000] and rows[1]["labour"] == Decimal("1.38") and rows[1]["material"] == Decimal("0.62")
+    assert [float(x) for x in rows[0]] == [55000, 25000, 12000, 8000] and rows[1]["food"] == Decimal("1.38") and rows[1]["labour"] == Decimal("0.62")
 
 
 def test_intercepts(spark):
@@ -146,7 +146,7 @@ def test_license_requirements_images(spark):
     assert [x["field"] for x in f[0]] == ["credit_code", "company_name", "address"] and f[1][1]["value"] == "JY12345678901" and f[2] == []
     df = spark.createDataFrame([(1, '{"qualifications":[{"title":"食品经营许可证"},{"cert_name":"营业执照"},{"title":"★条款","type":"x"},{"type":"军采"}]}')], "project int, json string")
     assert [r["cert_code"] for r in X.normalise_requirements(df).collect()] == ["FOOD_OPERATION_LICENSE", "BUSINESS_LICENSE", "SUBSTANTIAL_CLAUSE", "MILITARY_SPECIAL"]
-    assert values(spark, [(900, 100), (500, 100), (300, 100), (900, 1000)], "w int, h int", X.classify_image(F.col("w"), F.col("h"))) == ["license", "cert", "other", "other"]
+    assert values(spark, [(900, 100), (500, 100), (300, 100), (900, 1000)], "w int, h int", X.classify_image(F.col("w"), F.col("h"))) == ["business_license", "certification", "other", "other"]
 
 
 def test_tables_dimensions_defaults(spark):
