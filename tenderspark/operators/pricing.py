@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
@@ -113,12 +114,18 @@ def with_context(projects: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def similar_history(projects: DataFrame, history: DataFrame, within: str = "0.2") -> DataFrame:
-    """(id, budget, history_id, history_budget, cost): same region and type, budget within +-20 %."""
+    """(id, budget, history_id, history_budget, cost): same region and type, budget within +-20 %.
+
+    Budgets are dealt to bins as wide as the band is on a logarithmic scale, so a project meets its own and the two
+    neighbouring bins only; budgets of zero or less have a bin of their own."""
+    width = math.log((1 + float(within)) / (1 - float(within)))
+    bin_of = F.when(F.col("budget") > 0, F.floor(F.log(F.col("budget").cast("double")) / width)).otherwise(F.lit(-10_000)).cast("int")
+    projects = projects.withColumn("_bin", F.explode(F.sequence(bin_of - 1, bin_of + 1)))
     h = history.select(
-        "region", "project_type", F.col("id").alias("history_id"), F.col("budget").alias("history_budget"), "cost"
+        "region", "project_type", bin_of.alias("_bin"), F.col("id").alias("history_id"), F.col("budget").alias("history_budget"), "cost"
     )
     band = F.col("history_budget").between(F.col("budget") * (1 - dec(within)), F.col("budget") * (1 + dec(within)))
-    return projects.select("id", "region", "project_type", "budget").join(h, ["region", "project_type"]).where(
+    return projects.select("id", "region", "project_type", "budget", "_bin").join(h, ["region", "project_type", "_bin"]).where(
         band & (F.col("id") != F.col("history_id"))
     ).select("id", "budget", "history_id", "history_budget", "cost")
 

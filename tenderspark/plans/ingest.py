@@ -29,14 +29,14 @@ def _named(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     none = F.lit(None).cast("string")
     book = table(spark, d, "orders").where(k % 5 != 4).select(
         F.when(k % 5 == 0, k).alias("tender_id"), F.when(k % 5 == 1, F.concat(F.lit("h"), k)).otherwise(none).alias("hash"),
-        F.when(k % 5 == 2, F.concat(F.lit("标"), k, F.lit("号"))).when((k % 5 == 3) & (k < 400), F.concat(F.lit("甲标"), k, F.lit("号_投标文件乙"))).alias("name"),
+        F.when(k % 5 == 2, F.concat(F.lit("标"), k, F.lit("号"))).when(k % 5 == 3, F.concat(F.lit("甲标"), k, F.lit("号_投标文件乙"))).alias("name"),
         _status().alias("status"), k.alias("line"),
     )
     return tenders, book
 
 
-@query(f"""SELECT o_orderkey AS id, CAST(CASE WHEN o_orderkey % 5 < 3 THEN o_orderkey % 5 + 1 WHEN o_orderkey % 5 = 3 AND o_orderkey < 400 THEN 4 END AS INTEGER) AS level,
-CASE WHEN o_orderkey % 5 < 3 OR (o_orderkey % 5 = 3 AND o_orderkey < 400) THEN CASE {STATUS} WHEN 'won' THEN 'positive' WHEN 'lost' THEN 'negative' ELSE 'neutral' END ELSE 'neutral' END AS win_signal FROM orders""")
+@query(f"""SELECT o_orderkey AS id, CAST(CASE WHEN o_orderkey % 5 < 3 THEN o_orderkey % 5 + 1 WHEN o_orderkey % 5 = 3 THEN 4 END AS INTEGER) AS level,
+CASE WHEN o_orderkey % 5 < 4 THEN CASE {STATUS} WHEN 'won' THEN 'positive' WHEN 'lost' THEN 'negative' ELSE 'neutral' END ELSE 'neutral' END AS win_signal FROM orders""")
 def a3_resolve_outcome(spark: SparkSession, d: str) -> DataFrame:
     return B.resolve_outcome(*_named(spark, d))
 

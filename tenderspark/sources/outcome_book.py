@@ -45,12 +45,37 @@ def read_outcome_book(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def contained_names(short: DataFrame, long: DataFrame, size: int = 8) -> DataFrame:
+    """(short, long): every two names of the columns `name` of which the second contains the first.
+
+    A contained name's rarest piece of `size` characters stands in the longer name too, so the two meet there in an
+    equi-join, and contains() decides; names shorter than a piece are equal to a part of the longer one."""
+    def pieces(names: DataFrame, n: Column, least: int) -> DataFrame:
+        at = F.sequence(F.lit(1), F.length("name") - n + 1)
+        cut = F.transform(at, lambda i: F.substring(F.col("name"), i, n))
+        return names.where(F.length("name") >= least).select("name", F.explode(F.array_distinct(cut)).alias("piece"))
+
+    short, long = short.select("name").distinct(), long.select("name").distinct()
+    held = pieces(long, F.lit(size), size)
+    counts = held.groupBy("piece").agg(F.count("*").alias("c"))
+    rarest = pieces(short, F.lit(size), size).join(counts, "piece", "left")
+    rarest = rarest.groupBy("name").agg(F.min_by("piece", F.coalesce("c", F.lit(0))).alias("piece"))
+    met = rarest.withColumnRenamed("name", "short").join(held.withColumnRenamed("name", "long"), "piece").where(F.contains("long", "short"))
+    tiny = short.where((F.length("name") > 0) & (F.length("name") < size))
+    parts = long.select("name", F.explode(F.sequence(F.lit(1), F.lit(size - 1))).alias("n")).where(F.length("name") >= F.col("n"))
+    at = F.sequence(F.lit(1), F.length("name") - F.col("n") + 1)
+    parts = parts.select("name", F.explode(F.array_distinct(F.transform(at, lambda i: F.substring(F.col("name"), i, F.col("n"))))).alias("piece"))
+    equal = tiny.select(F.col("name").alias("short"), F.col("name").alias("piece")).join(parts.withColumnRenamed("name", "long"), "piece")
+    return met.select("short", "long").union(equal.select("short", "long")).distinct()
+
+
 def resolve_outcome(tenders: DataFrame, book: DataFrame) -> DataFrame:
     """(id, level, win_signal) of each tender (id, hash, name) from the book (tender_id, hash, name, status, line).
 
     By id, then by hash, then by name as it is or without suffix, then by names of which one contains the other; of
     book rows with equal keys the last line counts; a tender found nowhere is neutral (level null). The first levels are
-    equi-joins; containment is tried only for tenders that they leave, against the book's different names."""
+    equi-joins; containment is tried only for tenders that they leave, against the book's different names, by an equi-join
+    on their rarest pieces."""
     signal = derive_win_signal(F.col("status"))
     book = book.withColumn("signal", signal)
 
@@ -74,7 +99,9 @@ def resolve_outcome(tenders: DataFrame, book: DataFrame) -> DataFrame:
     left = tenders.join(found, "id", "left_anti").select("id", "name")
     # a distinct list of names; only what the equi-joins left is compared with it
     some = book.where("length(name) > 0").groupBy("name").agg(F.max_by("signal", "line").alias("signal"), F.max("line").alias("line"))
-    close = left.join(some.withColumnRenamed("name", "other"), F.contains("name", "other") | F.contains("other", "name"))
+    within = contained_names(left, some).select(F.col("short").alias("name"), F.col("long").alias("other"))
+    around = contained_names(some, left).select(F.col("long").alias("name"), F.col("short").alias("other"))
+    close = left.join(within.union(around).distinct(), "name").join(some.withColumnRenamed("name", "other"), "other")
     close = close.groupBy("id").agg(F.min_by("signal", "line").alias("signal")).withColumn("level", F.lit(4))
     every = found.unionByName(close.select("id", "level", "signal"))
     return tenders.select("id").join(every, "id", "left").select("id", "level", F.coalesce("signal", F.lit("neutral")).alias("win_signal"))
