@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenderspark.llm.common import connected_components, packed, stored, unpacked, with_text_columns
+from tenderspark.llm.common import connected_components, forget, packed, stored, unpacked, with_text_columns
 
 SEED = 42
 #: Hashes are unpacked to bits in blocks of so many: bounds memory, not what is read.
@@ -171,14 +171,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 2, shingle: int = 3) -> DataFrame:
     """`docs` with one row of each component: that of the smallest id (nulls last), one of them if ids repeat.
 
-    Components all of whose ids are null keep all their rows."""
-    own = with_fingerprints(packed(docs), ["_doc"], f"_doc.{text_col}", shingle).withColumn("_id", F.col("_doc").getField(id_col))
-    own = stored(own.withColumn("_row", F.monotonically_increasing_id()))
-    parts = group(own.select("fp", "_id"), "_id", threshold)
-    ids = own.select("fp", "_row", "_id").join(parts, "fp")
+    Components all of whose ids are null keep all their rows; null and empty texts have fingerprint zero; texts of any
+    length are read whole. `docs` must give the same rows whenever it is read (files or a stored table): only row numbers
+    and fingerprints are stored."""
+    own = packed(docs).withColumn("_row", F.monotonically_increasing_id())
+    keyed = own.select("_row", F.col("_doc").getField(id_col).alias("_id"), F.col("_doc").getField(text_col).alias("_text"))
+    keyed = stored(with_fingerprints(keyed, ["_row", "_id"], "_text", shingle))
+    ids = keyed.join(group(keyed.select("fp", "_id"), "_id", threshold), "fp")
     # a component's rows are those of several fingerprints; its smallest id names it
     first = ids.where(F.col("_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("_row").alias("_row"))
     if id_col in docs.columns and docs.schema[id_col].nullable:
         # components without any id: one row of each root would do, but they have no name to group by, so all stay
         first = first.where("component_id is not null").select("_row").union(ids.where("component_id is null").select("_row"))
-    return unpacked(own.join(first.select("_row"), "_row", "left_semi"), docs.columns)
+    first = stored(first.select("_row"))
+    forget(keyed)
+    return unpacked(own.join(first, "_row", "left_semi"), docs.columns)

@@ -19,3 +19,10 @@ def test_run(spark):
     packed = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     ids = {r["doc_id"] for r in packed.select("doc_id").distinct().collect()}
     assert 150 < len(ids) <= 200 and packed.groupBy("sequence_id").sum("length").where("`sum(length)` > 2048").count() == 0
+
+
+def test_stages_take_an_empty_table(spark, odd):
+    docs = odd.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stored(stage(spark, docs, ""))
+        assert docs.count() == 0, name
