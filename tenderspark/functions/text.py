@@ -132,28 +132,33 @@ def sliding_chunks(text: Column, size: int = 500, overlap: int = 50, most: float
     """Array of overlapping chunks: windows of `size` characters, cut after the last sentence end in their final fifth.
 
     The next window starts min(overlap, size * most) before the end of the last, and at least one character later.
-    Short texts are one chunk, blank ones none."""
+    Short texts are one chunk, blank ones none. Each text is split into characters once and every window looks at its
+    own part of them, so the work grows with the length."""
     s = F.coalesce(text, F.lit(""))
-    n = F.length(s)
     back = min(overlap, int(size * most))
-    tail = size // 5
-    least = size - tail + 1 - back  # every step but the last gets this far at least
-    state = "struct<a:int,cuts:array<struct<a:int,n:int>>>"
-
-    def step(acc: Column, _: Column) -> Column:
-        window = F.substring(s, acc["a"] + 1, F.lit(size))
-        kept = F.length(F.regexp_replace(window, r"[^\n。！？.!?]*$", ""))
-        last = acc["a"] + size >= n
-        length = F.when(last, n - acc["a"]).when(kept > size - tail, kept).otherwise(F.lit(size)).cast("int")
-        cut = F.struct(acc["a"].alias("a"), length.alias("n"))
-        then = F.when(last, n).otherwise(F.greatest(acc["a"] + length - back, acc["a"] + 1)).cast("int")
-        return F.when(acc["a"] >= n, acc).otherwise(
-            F.struct(then.alias("a"), F.concat(acc["cuts"], F.array(cut)).alias("cuts"))
-        )
-
-    start = F.struct(F.lit(0).alias("a"), F.array().cast("array<struct<a:int,n:int>>").alias("cuts")).cast(state)
-    steps = F.sequence(F.lit(1), F.greatest(F.ceil(n / max(1, least)) + 1, F.lit(1)).cast("int"))
-    cuts = F.when(F.trim(F.translate(s, "\n\t\r", "   ")) == "", F.array().cast("array<struct<a:int,n:int>>")).otherwise(
-        F.aggregate(steps, start, step, lambda acc: acc["cuts"])
-    )
-    return F.transform(cuts, lambda c: F.substring(s, c["a"] + 1, c["n"]))
+    near = int(size * 0.8)
+    cuts_type = "array<struct<a:int,n:int>>"
+    chars = F.split(s, "")
+    ends = F.transform(chars, lambda c, i: F.when(c.isin(*"\n。！？.!?"), i + 1))
+
+    def cut(t: Column) -> Column:
+        n = F.size(t["chars"])
+
+        def step(acc: Column, _: Column) -> Column:
+            a = acc["a"]
+            last = a + size >= n
+            end = F.array_max(F.slice(t["ends"], a + near + 1, size - near))
+            stop = F.when(last, n).otherwise(F.coalesce(end, a + size)).cast("int")
+            then = F.when(last, n).otherwise(F.greatest(stop - back, a + 1)).cast("int")
+            done = F.concat(acc["cuts"], F.array(F.struct(a.alias("a"), (stop - a).alias("n"))))
+            return F.when(a >= n, acc).otherwise(F.struct(then.alias("a"), done.alias("cuts")))
+
+        start = F.struct(F.lit(0).alias("a"), F.array().cast(cuts_type).alias("cuts"))
+        steps = F.sequence(F.lit(1), (F.ceil(n / max(1, near + 1 - back)) + 1).cast("int"))
+        cuts = F.aggregate(steps, start, step, lambda acc: acc["cuts"])
+        return F.transform(cuts, lambda c: F.array_join(F.slice(t["chars"], c["a"] + 1, c["n"]), ""))
+
+    # one element, so that characters and sentence ends are made once for each text
+    one = F.array(F.struct(chars.alias("chars"), ends.alias("ends")))
+    blank = F.trim(F.translate(s, "\n\t\r", "   ")) == ""
+    return F.when(blank, F.array().cast("array<string>")).otherwise(F.transform(one, cut)[0])
