@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -67,25 +67,54 @@ def soft_delete(projects: DataFrame, ids: DataFrame, restore: bool = False) -> D
     return projects.join(asked, "id", "left").withColumn("deleted", flag).drop("_asked")
 
 
-def clone_projects(sources: DataFrame, names: DataFrame, kind: str) -> DataFrame:
-    """(source_id, name, parent_id) of a copy of each source: its name with the first unused ` (n)`.
+# What follows a source's name in its copy's.
+CLONE_SUFFIX = {"rebid": " - 重投", "annual_renewal": " - 新一期"}
 
-    Copies of sources with one name get successive numbers; only a rebid keeps the link to its parent."""
-    base = F.regexp_replace("name", r" \(\d+\)$", "")
-    number = F.coalesce(F.nullif(F.regexp_extract("name", r" \((\d+)\)$", 1), F.lit("")).try_cast("int"), F.lit(0))
-    used = names.select(base.alias("base"), number.alias("n")).groupBy("base").agg(F.max("n").alias("top"))
-    rank = F.row_number().over(W.partitionBy("base").orderBy("id"))
-    rows = sources.select("id", base.alias("base")).withColumn("k", rank).join(used, "base", "left")
-    name = F.format_string("%s (%d)", "base", F.coalesce("top", F.lit(0)) + F.col("k"))
-    parent = F.col("id") if kind == "rebid" else F.lit(None).cast("long")
-    return rows.select(F.col("id").alias("source_id"), name.alias("name"), parent.alias("parent_id"))
+
+def clone_projects(sources: DataFrame, names: DataFrame, kind: str, year: int | None = None) -> DataFrame:
+    """A copy of each source (id, name, ...): its columns with source_id, a new name, parent_id, status and retender flag.
+
+    The name is the source's with the kind's suffix (the year for a renewal of a given one), then with the first unused
+    ` (n)`, n from 2; `names` are those in use. Copies of sources with one name get successive numbers, by id. Only a rebid
+    keeps the link to its parent. Further columns, such as owner and budget, are inherited."""
+    suffix = f" - {year}" if kind == "annual_renewal" and year else CLONE_SUFFIX[kind]
+    asked = sources.withColumn("base", F.concat("name", F.lit(suffix)))
+    asked = asked.withColumn("k", F.row_number().over(W.partitionBy("base").orderBy("id")))
+    numbered = r"^(.*) \(([1-9]\d*)\)$"
+    n = F.regexp_extract("name", numbered, 2).try_cast("int")
+    used = names.select(F.col("name").alias("base"), F.lit(1).alias("n")).unionByName(
+        names.where(n >= 2).select(F.regexp_extract("name", numbered, 1).alias("base"), n.alias("n"))
+    ).distinct().join(asked.select("base").distinct(), "base", "left_semi")
+    # the n-th used number has n - (used up to it) free ones before it; a copy goes behind those with fewer than k
+    gap = F.col("n") - F.row_number().over(W.partitionBy("base").orderBy("n"))
+    marks = used.select("base", gap.alias("at"), F.lit(0).alias("copy"), F.lit(None).cast(sources.schema["id"].dataType).alias("id"))
+    marks = marks.unionByName(asked.select("base", (F.col("k") - 1).alias("at"), F.lit(1).alias("copy"), "id"))
+    before = F.sum(1 - F.col("copy")).over(W.partitionBy("base").orderBy("at", "copy").rowsBetween(W.unboundedPreceding, 0))
+    number = marks.withColumn("n", F.col("at") + 1 + before).where("copy = 1").select("id", "n")
+    name = F.when(F.col("n") == 1, F.col("base")).otherwise(F.format_string("%s (%d)", "base", "n"))
+    parent = F.col("id") if kind == "rebid" else F.lit(None).cast(sources.schema["id"].dataType)
+    return asked.drop("k").join(number, "id").withColumns(
+        {"name": name, "parent_id": parent, "status": F.lit("uploaded"), "is_retender": F.lit(kind == "rebid")}
+    ).withColumnRenamed("id", "source_id").drop("base", "n")
+
+
+def cloned_sections(clones: DataFrame, sections: DataFrame) -> DataFrame:
+    """(source_id, clone, name, content): the sections (project, name, content) of each source for its copy."""
+    rows = clones.select("source_id", F.col("name").alias("clone"))
+    return rows.join(sections.select(F.col("project").alias("source_id"), "name", "content"), "source_id")
+
+
+def _mode(asked: Column) -> Column:
+    """What is not AUTO is guided."""
+    return F.when(asked == "AUTO", "auto").otherwise("guided")
 
 
 def apply_approvals(projects: DataFrame, actions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(applied, rejected) of actions (project, role, action, reason) on projects (id, status, level, fatal).
+    """(applied, rejected) of actions (project, role, action, reason, mode) on projects (id, status, level, fatal).
 
     After the deadline only terminate is allowed; approving against fatal risks needs a reason of ten characters;
-    role and action must have a transition. Applied rows hold the new status and the audit action."""
+    role and action must have a transition. Applied rows hold the new status, the audit action and the generation mode,
+    null where that stays as it is. `approval_log` and `discards` make the side tables' rows."""
     spark = projects.sparkSession
     moves = spark.createDataFrame(list(TRANSITIONS), "role string, action string, new_status string, audit string")
     rows = actions.join(projects.select(F.col("id").alias("project"), "status", "level", "fatal"), "project", "left")
@@ -94,21 +123,68 @@ def apply_approvals(projects: DataFrame, actions: DataFrame) -> tuple[DataFrame,
         F.when(F.col("status").isNull(), "no_project")
         .when(F.col("new_status").isNull(), "no_transition")
         .when((F.col("level") == "expired") & (F.col("action") != "terminate"), "expired")
-        .when((F.col("action") == "approve") & (F.col("fatal") > 0) & (F.length(F.trim(F.coalesce("reason", F.lit("")))) < 10), "reason_needed")
+        .when((F.col("action") == "approve") & (F.col("fatal") > 0) & (F.length(F.coalesce("reason", F.lit(""))) < 10), "reason_needed")
     )
-    rows = rows.withColumn("why", why)
-    applied = rows.where("why is null").select("project", "role", "action", F.col("status").alias("original_status"), "new_status", "audit")
+    mode = F.when(F.col("action").isin("approve", "direct_execute"), _mode(F.col("mode")))
+    rows = rows.withColumns({"why": why, "generation_mode": mode})
+    applied = rows.where("why is null").select("project", "role", "action", F.col("status").alias("original_status"), "new_status", "audit", "reason", "generation_mode")
     return applied, rows.where("why is not null").select("project", "role", "action", "why")
 
 
+def approval_log(applied: DataFrame) -> DataFrame:
+    """Audit rows of applied approvals, all in the specialist's name."""
+    return applied.select(
+        "project", F.col("audit").alias("action_type"), F.lit("specialist").alias("actor_role"), F.col("reason").alias("reason_text"), "original_status", "new_status"
+    )
+
+
+def discards(applied: DataFrame) -> DataFrame:
+    """(project, discarded_by, discard_reason, discard_stage, can_be_revived) of terminated and of the boss's rejected projects."""
+    gone = applied.where("action = 'terminate' or (role = 'boss' and action = 'reject')")
+    boss = F.col("action") == "reject"
+    return gone.select(
+        "project", F.when(boss, "boss").otherwise("specialist").alias("discarded_by"),
+        F.coalesce(F.nullif("reason", F.lit("")), F.when(boss, "老板否决").otherwise("专员直接终止")).alias("discard_reason"),
+        F.when(boss, "boss_rejected").otherwise("specialist_terminated").alias("discard_stage"), boss.alias("can_be_revived"),
+    )
+
+
 def apply_overrides(projects: DataFrame, overrides: DataFrame) -> DataFrame:
-    """(id, action, new_status, ok): terminate only what is approved, revive only what was rejected."""
-    rows = projects.join(overrides, "id")
-    ok = ((F.col("action") == "terminate") & (F.col("status") == "approved_by_specialist")) | (
-        (F.col("action") == "revive") & (F.col("status") == "rejected_by_specialist")
+    """Overrides (id, action, mode, reason) on projects (id, status): terminate only what is approved, revive only what
+    was rejected. Gives (id, action, original_status, new_status, generation_mode, audit, reason, ok); the mode is null
+    where it stays, the audit action where nothing happened."""
+    rows = projects.select("id", F.col("status").alias("original_status")).join(overrides, "id")
+    kill = (F.col("action") == "terminate") & (F.col("original_status") == "approved_by_specialist")
+    revive = (F.col("action") == "revive") & (F.col("original_status") == "rejected_by_specialist")
+    to = F.when(kill, "terminated_by_boss").when(revive, "approved_by_specialist").otherwise(F.col("original_status"))
+    audit = F.when(kill, "boss_override_terminate").when(revive, "boss_override_revive")
+    return rows.select(
+        "id", "action", "original_status", to.alias("new_status"), F.when(revive, _mode(F.col("mode"))).alias("generation_mode"), audit.alias("audit"), "reason", (kill | revive).alias("ok")
+    )
+
+
+def overridden_discards(discarded: DataFrame, applied: DataFrame, by: str, now: Column) -> DataFrame:
+    """The discard table (project, discarded_by, discard_reason, discard_stage, can_be_revived, revived_at, revived_by)
+    after applied overrides: terminated projects are added, revived ones marked, or added as marked if they had no row."""
+    ok = applied.where("ok")
+    revived = ok.where("action = 'revive'").select(F.col("id").alias("project")).distinct().withColumn("_revived", F.lit(True))
+    hit = F.col("_revived").isNotNull()
+    old = discarded.join(revived, "project", "left").withColumns(
+        {"revived_at": F.when(hit, now).otherwise(F.col("revived_at")), "revived_by": F.when(hit, F.lit(by)).otherwise(F.col("revived_by"))}
+    ).drop("_revived")
+
+    def row(df: DataFrame, who: str, reason: Column, stage: str, at: Column, by_whom: Column) -> DataFrame:
+        return df.select(
+            "project", F.lit(who).alias("discarded_by"), reason.alias("discard_reason"), F.lit(stage).alias("discard_stage"),
+            F.lit(True).alias("can_be_revived"), at.cast(discarded.schema["revived_at"].dataType).alias("revived_at"), by_whom.cast("string").alias("revived_by"),
+        )
+
+    none = F.lit(None)
+    killed = ok.where("action = 'terminate'").withColumnRenamed("id", "project")
+    lost = revived.join(discarded, "project", "left_anti")
+    return old.unionByName(row(killed, "boss", F.col("reason"), "specialist_approved", none, none)).unionByName(
+        row(lost, "specialist", F.lit("Initial rejection"), "specialist_rejected", now, F.lit(by))
     )
-    to = F.when(ok, F.when(F.col("action") == "terminate", "terminated_by_boss").otherwise("approved_by_specialist")).otherwise(F.col("status"))
-    return rows.select("id", "action", to.alias("new_status"), ok.alias("ok"))
 
 
 # Statuses in which a changed relationship takes a project back.
@@ -116,13 +192,27 @@ LATE = ("generating_documents", "awaiting_pricing", "awaiting_review", "complete
 
 
 def apply_relationship_changes(projects: DataFrame, changes: DataFrame) -> DataFrame:
-    """(id, related, new_status, rolled_back, ok): setting the flag needs guidance; a flip in a late status goes back."""
+    """Changes (id, related, guidance) on projects (id, status, related, generation_mode): setting the flag needs guidance;
+    a flip in a late status takes the project back to evaluation_ready and clears its mode.
+
+    Gives (id, was_related, related, original_status, new_status, generation_mode, rolled_back, ok)."""
     rows = projects.join(changes.select("id", F.col("related").alias("to"), "guidance"), "id")
-    ok = ~F.col("to") | (F.length(F.trim(F.coalesce("guidance", F.lit("")))) > 0)
+    ok = ~F.col("to") | (F.length(F.coalesce("guidance", F.lit(""))) > 0)
     back = ok & (F.col("to") != F.col("related")) & F.col("status").isin(*LATE)
     return rows.select(
-        "id", F.when(ok, F.col("to")).otherwise(F.col("related")).alias("related"),
-        F.when(back, "evaluation_ready").otherwise(F.col("status")).alias("new_status"), back.alias("rolled_back"), ok.alias("ok"),
+        "id", F.col("related").alias("was_related"), F.when(ok, F.col("to")).otherwise(F.col("related")).alias("related"),
+        F.col("status").alias("original_status"), F.when(back, "evaluation_ready").otherwise(F.col("status")).alias("new_status"),
+        F.when(~back, F.col("generation_mode")).alias("generation_mode"), back.alias("rolled_back"), ok.alias("ok"),
+    )
+
+
+def relationship_log(changed: DataFrame) -> DataFrame:
+    """Audit rows of the projects that a changed relationship took back."""
+    said = lambda c: F.initcap(F.col(c).cast("string"))
+    text = F.concat(F.lit("关系标识变更触发强制回滚: "), said("was_related"), F.lit("→"), said("related"), F.lit("，技术标/定价数据已清空"))
+    return changed.where("rolled_back").select(
+        F.col("id").alias("project"), F.lit("specialist_terminate").alias("action_type"), F.lit("specialist").alias("actor_role"),
+        text.alias("reason_text"), "original_status", "new_status",
     )
 
 
@@ -182,3 +272,9 @@ def workload_conflicts(reviews: DataFrame) -> DataFrame:
     close = (F.unix_micros(F.col("at_b").cast("timestamp")) - F.unix_micros(F.col("at_a").cast("timestamp"))).between(0, 86_399_999_999)
     after = (F.col("at_b") > F.col("at_a")) | (F.col("b") > F.col("a"))
     return left.join(right, ["person", "day"]).where(close & after).select("person", "a", "b")
+
+
+def workload_overload(projects: DataFrame, most: int = 3) -> DataFrame:
+    """(person, active) of those with more than `most` projects (person, status) that are neither abandoned nor completed."""
+    live = projects.where(~F.col("status").isin("abandoned", "completed"))
+    return live.groupBy("person").agg(F.count("*").alias("active")).where(F.col("active") > most)
