@@ -115,12 +115,23 @@ def review_queue(extractions: DataFrame, least: float = 0.8) -> DataFrame:
     return extractions.where(F.col("confidence") < least)
 
 
-def confirmation_summary(extractions: DataFrame) -> DataFrame:
-    """(project, n, pending, fields): fields per project in order, those of low confidence and not validated pending."""
-    pending = (F.col("confidence") < 0.8) & ~F.col("is_validated")
-    return extractions.withColumn("pending", pending).groupBy("project").agg(
-        F.count("*").alias("n"), F.count_if("pending").alias("pending"),
-        F.array_sort(F.collect_list(F.struct("id", "cert_code", "pending"))).alias("fields"),
+def confirmation_summary(images: DataFrame, extractions: DataFrame) -> DataFrame:
+    """(project, n, pending, images): each project's images (project, image, page, ...) by page with their extracted fields.
+
+    Extractions (id, image, confidence, is_validated, ...) under 0.8 that nobody validated need a review; n counts the
+    fields, pending those. Images without any field stay, with an empty list."""
+    needs = F.coalesce((F.col("confidence") < 0.8) & ~F.col("is_validated"), F.lit(False))
+    own = [c for c in extractions.columns if c not in ("id", "image", "project")]
+    fields = extractions.withColumn("needs_review", needs).groupBy("image").agg(
+        F.array_sort(F.collect_list(F.struct("id", *own, "needs_review"))).alias("fields"), F.count_if("needs_review").alias("pending")
+    )
+    rows = images.join(fields, "image", "left")
+    empty = F.array().cast(fields.schema["fields"].dataType)
+    about = [c for c in images.columns if c not in ("project", "image", "page")]
+    image = F.struct("page", "image", *about, F.coalesce("fields", empty).alias("fields"))
+    return rows.groupBy("project").agg(
+        F.sum(F.coalesce(F.size("fields"), F.lit(0))).alias("n"), F.sum(F.coalesce("pending", F.lit(0))).alias("pending"),
+        F.array_sort(F.collect_list(image)).alias("images"),
     )
 
 

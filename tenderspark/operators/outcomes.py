@@ -86,6 +86,26 @@ def revive_drafts(drafts: DataFrame, now: Column, within: int = 365) -> DataFram
     return drafts.select("id", "project", reason.isNull().alias("ok"), reason.alias("reason"), F.when(reason.isNull(), "evaluation_ready").alias("new_status"))
 
 
+def revived_drafts(drafts: DataFrame, now: Column, within: int = 365) -> DataFrame:
+    """The drafts after their revival: those that may be are marked with time and project and cannot be revived again."""
+    ok = revive_drafts(drafts, now, within).where("ok").select("id", F.lit(True).alias("_ok"))
+    hit = F.col("_ok").isNotNull()
+    return drafts.join(ok, "id", "left").withColumns(
+        {"can_be_revived": ~hit & F.col("can_be_revived"), "revived_at": F.when(hit, now), "revived_to_project_id": F.when(hit, F.col("project"))}
+    ).drop("_ok")
+
+
+def draft_revivals(drafts: DataFrame, now: Column, by: Column, notes: Column, within: int = 365) -> DataFrame:
+    """A revival row for each draft (id, project, termination_reason, ...) that may be revived, for the same project."""
+    ok = revive_drafts(drafts, now, within).where("ok").select("id")
+    kind = F.lit("rebid_same_project")
+    content = F.struct(F.col("project").alias("original_project_id"), "termination_reason", kind.alias("revival_type"))
+    return drafts.join(ok, "id").select(
+        F.col("id").alias("abandoned_draft_id"), F.col("project").alias("new_project_id"), kind.alias("revival_type"), content.alias("revived_content"),
+        notes.alias("adaptation_notes"), by.alias("revived_by"), now.alias("revived_at"), F.lit(True).alias("is_successful"),
+    )
+
+
 def evolution_report(chunks: DataFrame, dna: DataFrame, traps: DataFrame, quality: DataFrame, now: Column) -> DataFrame:
     """One row: chunks, those deprecated, DNA and traps of the last 30 days, and the trend of mean quality against the
     30 days before (up or down by more than 2; no chunks count as 0)."""
@@ -116,6 +136,13 @@ def corpus_inventory(chunks: DataFrame) -> DataFrame:
     )
 
 
+def inventory_by_dimension(chunks: DataFrame) -> DataFrame:
+    """(dimension, n, share): chunks with each dimension tag, and their share of all chunks."""
+    n = chunks.select(F.explode(F.array_distinct("tags")).alias("dimension")).groupBy("dimension").agg(F.count("*").alias("n"))
+    every = chunks.agg(F.count("*").alias("every"))  # a single row
+    return n.crossJoin(every).select("dimension", "n", F.round(F.col("n") / F.col("every"), 6).alias("share"))
+
+
 def weekly_evolution(chunks: DataFrame, wins: DataFrame) -> DataFrame:
     """(chunk_id, quality, deprecate): 10 more for each win; unused old chunks under 50 are deprecated."""
     n = wins.groupBy("project").agg(F.count("*").alias("wins"))

@@ -36,18 +36,37 @@ def price_rows(projects: DataFrame, prices: DataFrame) -> DataFrame:
     )
 
 
-def section_coverage(required: DataFrame, sections: DataFrame) -> DataFrame:
+def scoring_standard(tenders: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(required, broken) of tenders (project, scoring): the sections (project, name) that a scoring standard, a JSON list,
+    asks for by name, section_title or title; and the projects whose standard cannot be read."""
+    rows = tenders.where("scoring <> ''").withColumn("items", F.from_json("scoring", "array<struct<name:string,section_title:string,title:string>>"))
+    good = F.try_parse_json("scoring").isNotNull()
+    some = lambda c: F.nullif(F.col(c), F.lit(""))
+    names = rows.where(good).select("project", F.inline("items")).select("project", F.coalesce(some("name"), some("section_title"), some("title")).alias("name"))
+    return names.where("name is not null").distinct(), rows.where(~good).select("project").distinct()
+
+
+def section_coverage(projects: DataFrame, required: DataFrame, proposals: DataFrame, sections: DataFrame, broken: DataFrame) -> DataFrame:
     """(project, item, risk_level, system_status) of required sections (project, name) that no section title covers.
 
-    A title covers a name if either contains the other; the join is keyed by project. Projects without any section
-    get one warning instead."""
-    have = sections.select("project").distinct()
-    titles = sections.select("project", "title").distinct()
+    A title covers a name if either contains the other; the join is keyed by project. One row instead for projects without
+    a confirmed proposal (a warning), for those whose scoring standard cannot be read (fatal), and for those where the
+    standard and the proposal are both empty (a warning)."""
+    key = lambda df: df.select("project").distinct()
+    every = projects.select(F.col("id").alias("project"))
+    made, asked = every.join(key(proposals), "project", "left_semi"), key(required)
+    titles = sections.where("title <> ''").select("project", "title").distinct()
     hit = required.join(titles, "project").where(F.contains("title", "name") | F.contains("name", "title")).select("project", "name")
-    open_ = required.join(hit, ["project", "name"], "left_anti").join(have, "project", "left_semi")
-    none = required.join(have, "project", "left_anti").select("project").distinct()
+    unread = made.join(key(broken), "project", "left_semi").join(asked, "project", "left_anti")
+    empty = made.join(key(broken), "project", "left_anti").join(asked, "project", "left_anti").join(key(sections), "project", "left_anti")
+    open_ = required.distinct().join(hit, ["project", "name"], "left_anti").join(made, "project", "left_semi")
     row = lambda df, item, level, status: df.select("project", item.alias("item"), F.lit(level).alias("risk_level"), F.lit(status).alias("system_status"))
-    return row(open_, F.concat(F.lit("section:"), F.col("name")), "fatal", "failed").unionByName(row(none, F.lit("sections"), "warning", "warning"))
+    return (
+        row(open_, F.concat(F.lit("section:"), F.col("name")), "fatal", "failed")
+        .unionByName(row(every.join(key(proposals), "project", "left_anti"), F.lit("proposal"), "warning", "warning"))
+        .unionByName(row(unread, F.lit("scoring"), "fatal", "failed"))
+        .unionByName(row(empty, F.lit("sections"), "warning", "warning"))
+    )
 
 
 def seal_rows(projects: DataFrame) -> DataFrame:
@@ -110,10 +129,10 @@ def package_readiness(projects: DataFrame, sections: DataFrame, extractions: Dat
 
 
 def draft_preview(items: DataFrame, prices: DataFrame) -> DataFrame:
-    """Per project: items by risk level and status, and the latest decided price."""
+    """Per project: items in all, by risk level, passed and pending ones, and the latest decided price."""
     n = items.groupBy("project").agg(
-        *(F.count_if(F.col("risk_level") == r).alias(r) for r in ("fatal", "warning", "info")),
-        F.count_if(F.col("specialist_status") == "pending").alias("pending"),
+        F.count("*").alias("total"), *(F.count_if(F.col("risk_level") == r).alias(r) for r in ("fatal", "warning", "info")),
+        F.count_if(F.col("system_status") == "passed").alias("passed"), F.count_if(F.col("specialist_status") == "pending").alias("pending"),
     )
     return n.join(latest(prices, "project", F.desc("version")).select("project", "price"), "project", "left")
 

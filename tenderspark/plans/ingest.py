@@ -99,12 +99,14 @@ def _matched(spark: SparkSession, d: str) -> DataFrame:
     return C.match_qualifications(req, ext, _certs(spark, d), projects(spark, d))
 
 
-@query()
+@query("""WITH metal AS (SELECT DISTINCT string_split(p_type, ' ')[-1] AS name FROM part), texts AS (SELECT DISTINCT p_type AS text FROM part),
+scored AS (SELECT text, name, CASE WHEN text = name THEN 1.0 WHEN contains(text, 'ALLOY ' || name) OR contains(text, name) THEN 0.9 WHEN contains(text, substr(name, 1, 3)) THEN 0.8 ELSE 0 END AS score
+FROM texts, metal WHERE NOT contains(text, 'SMALL')) SELECT text, arg_max(name, score) AS cert_code, CAST(max(score) AS DOUBLE) AS score FROM scored GROUP BY 1 HAVING max(score) >= 0.5""")
 def d1_suggest_cert(spark: SparkSession, d: str) -> DataFrame:
     """Part types as recognised texts against one certificate for each metal."""
     metal = F.substring_index("p_type", " ", -1)
-    certs = table(spark, d, "part").groupBy(metal.alias("cert_full_name")).agg(F.min("p_size").alias("cert_id")).select(
-        "cert_id", F.col("cert_full_name").alias("cert_code"), "cert_full_name", F.substring("cert_full_name", 1, 3).alias("cert_short_name"),
+    certs = table(spark, d, "part").select(metal.alias("cert_full_name")).distinct().select(
+        F.crc32("cert_full_name").alias("cert_id"), F.col("cert_full_name").alias("cert_code"), "cert_full_name", F.substring("cert_full_name", 1, 3).alias("cert_short_name"),
         F.array(F.concat(F.lit("ALLOY "), "cert_full_name")).alias("aliases"), F.array().cast("array<string>").alias("required_keywords"), F.array(F.lit("SMALL")).alias("exclude_keywords"),
     )
     return C.suggest_cert(table(spark, d, "part").select(F.col("p_type").alias("text")), certs)
@@ -145,9 +147,18 @@ def b7_review_queue(spark: SparkSession, d: str) -> DataFrame:
     return C.review_queue(_requirements(spark, d)[1]).select("id", "project")
 
 
-@query(f"WITH {EXTRACTION} SELECT project, count(*) AS n, count(*) FILTER (WHERE confidence < 0.8 AND NOT is_validated) AS pending, min(id) AS first_id FROM ext GROUP BY 1")
+@query(f"""WITH {EXTRACTION}, image AS (SELECT DISTINCT l_orderkey AS project, l_orderkey * 100 + l_suppkey % 4 AS image, l_suppkey % 4 AS page FROM lineitem),
+f AS (SELECT id // 1000000 * 100 + l_suppkey % 4 AS image, confidence < 0.8 AND NOT is_validated AS needs FROM ext JOIN lineitem ON id = l_orderkey * 1000000 + l_partkey * 10 + l_linenumber),
+g AS (SELECT project, i.image, page, count(needs) AS fields, count(*) FILTER (WHERE needs) AS waiting FROM image i LEFT JOIN f ON f.image = i.image GROUP BY 1, 2, 3)
+SELECT project, sum(fields) OVER (PARTITION BY project) AS n, sum(waiting) OVER (PARTITION BY project) AS pending, page, image, fields FROM g""")
 def d6_confirmation_summary(spark: SparkSession, d: str) -> DataFrame:
-    return C.confirmation_summary(_requirements(spark, d)[1]).select("project", "n", "pending", F.col("fields")[0]["id"].alias("first_id"))
+    lines = table(spark, d, "lineitem")
+    page = F.col("l_suppkey") % 4
+    of = (F.col("l_orderkey") * 100 + page).alias("image")
+    images = lines.select(F.col("l_orderkey").alias("project"), of, page.alias("page")).distinct()
+    places = lines.select((F.col("l_orderkey") * 1000000 + F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("id"), of)
+    rows = C.confirmation_summary(images, _requirements(spark, d)[1].join(places, "id"))
+    return rows.select("project", "n", "pending", F.inline("images")).withColumn("fields", F.size("fields"))
 
 
 @query(f"""WITH {EXTRACTION} SELECT id, project, CASE WHEN NOT is_validated AND project % 3 = 0 THEN 'new' ELSE value END AS value, is_validated OR project % 3 = 0 AS is_validated,

@@ -31,10 +31,14 @@ def _prices(spark: SparkSession, d: str) -> DataFrame:
 H1 = f"""dated AS (SELECT e.project, 'cert:' || e.id AS item, date_diff('day', CAST(bid_open_date AS DATE), valid_until) AS days FROM ext e JOIN project p ON p.id = e.project),
 validity AS (SELECT project, item, CASE WHEN days < 0 THEN 'fatal' WHEN days < 90 THEN 'warning' ELSE 'info' END AS risk_level, CASE WHEN days < 0 THEN 'failed' WHEN days < 90 THEN 'warning' ELSE 'passed' END AS system_status FROM dated)"""
 H2 = "priced AS (SELECT id AS project, 'price' AS item, CASE WHEN price > budget THEN 'fatal' ELSE 'info' END AS risk_level, CASE WHEN price > budget THEN 'failed' ELSE 'passed' END AS system_status FROM project JOIN lastp ON lastp.project = id)"
-H3 = """need AS (SELECT DISTINCT user_id AS project, event_type AS name FROM events), title AS (SELECT DISTINCT conv_id AS project, CASE role WHEN 'user' THEN 'the view of all' WHEN 'assistant' THEN 'sign' ELSE 'errors' END AS title FROM conversations),
-cover AS (SELECT project, 'section:' || name AS item, 'fatal' AS risk_level, 'failed' AS system_status FROM need n WHERE project IN (SELECT project FROM title)
+H3 = """need AS (SELECT DISTINCT user_id AS project, event_type AS name FROM events WHERE user_id % 7 <> 0), broken AS (SELECT DISTINCT user_id AS project FROM events WHERE user_id % 7 = 0),
+title AS (SELECT DISTINCT conv_id AS project, CASE role WHEN 'user' THEN 'the view of all' WHEN 'assistant' THEN 'sign' ELSE 'errors' END AS title FROM conversations),
+made AS (SELECT id AS project FROM project WHERE id % 3 <> 1),
+cover AS (SELECT project, 'section:' || name AS item, 'fatal' AS risk_level, 'failed' AS system_status FROM need n WHERE project IN (SELECT project FROM made)
 AND NOT EXISTS (SELECT 1 FROM title t WHERE t.project = n.project AND (contains(title, name) OR contains(name, title)))
-UNION ALL SELECT DISTINCT project, 'sections', 'warning', 'warning' FROM need WHERE project NOT IN (SELECT project FROM title))"""
+UNION ALL SELECT id, 'proposal', 'warning', 'warning' FROM project WHERE id % 3 = 1
+UNION ALL SELECT project, 'scoring', 'fatal', 'failed' FROM broken WHERE project IN (SELECT project FROM made)
+UNION ALL SELECT project, 'sections', 'warning', 'warning' FROM made WHERE project NOT IN (SELECT project FROM need) AND project NOT IN (SELECT project FROM broken) AND project NOT IN (SELECT project FROM title))"""
 
 
 def _h1(spark, d):
@@ -42,10 +46,18 @@ def _h1(spark, d):
 
 
 def _h3(spark, d):
-    need = table(spark, d, "events").select(F.col("user_id").alias("project"), F.col("event_type").alias("name")).distinct()
+    # each user's event types as the scoring standard of one project, every seventh cut off
+    kind = F.when(F.col("user_id") % 2 == 0, F.struct(F.col("event_type").alias("name"), F.lit(None).cast("string").alias("title"))).otherwise(
+        F.struct(F.lit(None).cast("string").alias("name"), F.col("event_type").alias("title"))
+    )
+    said = table(spark, d, "events").groupBy(F.col("user_id").alias("project")).agg(F.to_json(F.collect_set(kind)).alias("json"))
+    said = said.select("project", F.when(F.col("project") % 7 == 0, F.expr("left(json, length(json) - 2)")).otherwise(F.col("json")).alias("scoring"))
+    required, broken = R.scoring_standard(said)
     r = F.col("role")
     title = F.when(r == "user", "the view of all").when(r == "assistant", "sign").otherwise("errors")
-    return R.section_coverage(need, table(spark, d, "conversations").select(F.col("conv_id").alias("project"), title.alias("title")))
+    sections = table(spark, d, "conversations").select(F.col("conv_id").alias("project"), title.alias("title"))
+    p = projects(spark, d)
+    return R.section_coverage(p, required, p.where("id % 3 <> 1").select(F.col("id").alias("project")), sections, broken)
 
 
 @query(f"WITH {EXTRACTION}, {H1} SELECT * FROM validity")
@@ -102,10 +114,11 @@ def h8_package_readiness(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(f"""WITH {ITEMS}, {LASTP} SELECT i.project, count(*) FILTER (WHERE risk_level = 'fatal') AS fatal, count(*) FILTER (WHERE risk_level = 'warning') AS warning, count(*) FILTER (WHERE risk_level = 'info') AS info,
+@query(f"""WITH {ITEMS}, {LASTP} SELECT i.project, count(*) AS total, count(*) FILTER (WHERE id % 5 = 0) AS passed, count(*) FILTER (WHERE risk_level = 'fatal') AS fatal, count(*) FILTER (WHERE risk_level = 'warning') AS warning, count(*) FILTER (WHERE risk_level = 'info') AS info,
 count(*) FILTER (WHERE specialist_status = 'pending') AS pending, CAST(any_value(price) AS DOUBLE) AS price FROM items i LEFT JOIN lastp ON lastp.project = i.project GROUP BY 1""")
 def h9_draft_preview(spark: SparkSession, d: str) -> DataFrame:
-    return R.draft_preview(_items(spark, d), _prices(spark, d)).withColumn("price", F.col("price").cast("double"))
+    items = _items(spark, d).withColumn("system_status", F.when(F.col("id") % 5 == 0, "passed").otherwise("warning"))
+    return R.draft_preview(items, _prices(spark, d)).withColumn("price", F.col("price").cast("double"))
 
 
 @query(f"WITH {ITEMS} SELECT id, project FROM items WHERE specialist_status = 'pending' AND risk_level = 'fatal'")
@@ -203,11 +216,31 @@ def i8_revivable_drafts(spark: SparkSession, d: str) -> DataFrame:
     return O.revivable_drafts(_rebids(spark, d), drafts).select("id", F.array_join("drafts", ",").alias("drafts"))
 
 
+def _drafts(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("id")
+    return projects(spark, d).select(
+        "id", k.alias("project"), (k % 4 != 0).alias("can_be_revived"), F.when(k % 7 != 0, F.col("bid_open_date")).alias("archived_at"), F.col("region").alias("termination_reason")
+    )
+
+
 @query("""WITH r AS (SELECT id, CASE WHEN id % 4 = 0 THEN 'not_revivable' WHEN id % 7 = 0 THEN 'not_archived' WHEN date_diff('day', CAST(bid_open_date AS DATE), DATE '2001-01-01') > 365 THEN 'too_old' END AS reason FROM project)
 SELECT id, id AS project, reason IS NULL AS ok, reason, CASE WHEN reason IS NULL THEN 'evaluation_ready' END AS new_status FROM r""")
 def i9_revive_drafts(spark: SparkSession, d: str) -> DataFrame:
-    rows = projects(spark, d).select("id", F.col("id").alias("project"), (F.col("id") % 4 != 0).alias("can_be_revived"), F.when(F.col("id") % 7 != 0, F.col("bid_open_date")).alias("archived_at"))
-    return O.revive_drafts(rows, F.lit("2001-01-01").cast("date"))
+    return O.revive_drafts(_drafts(spark, d), F.lit("2001-01-01").cast("date"))
+
+
+@query("""WITH ok AS (SELECT id, region FROM project WHERE id % 4 <> 0 AND id % 7 <> 0 AND date_diff('day', CAST(bid_open_date AS DATE), DATE '2001-01-01') <= 365)
+SELECT id AS abandoned_draft_id, id AS new_project_id, 'rebid_same_project' AS revival_type, id AS original_project_id, region AS termination_reason,
+'again' AS adaptation_notes, 7 AS revived_by, DATE '2001-01-01' AS revived_at, true AS is_successful FROM ok""")
+def i9_draft_revivals(spark: SparkSession, d: str) -> DataFrame:
+    return O.draft_revivals(_drafts(spark, d), F.lit("2001-01-01").cast("date"), F.lit(7), F.lit("again")).select("*", "revived_content.original_project_id", "revived_content.termination_reason").drop("revived_content")
+
+
+@query("""SELECT id, id AS project, CASE WHEN ok THEN false ELSE id % 4 <> 0 END AS can_be_revived, CASE WHEN id % 7 <> 0 THEN CAST(bid_open_date AS DATE) END AS archived_at, region AS termination_reason,
+CASE WHEN ok THEN DATE '2001-01-01' END AS revived_at, CASE WHEN ok THEN id END AS revived_to_project_id
+FROM (SELECT *, id % 4 <> 0 AND id % 7 <> 0 AND date_diff('day', CAST(bid_open_date AS DATE), DATE '2001-01-01') <= 365 AS ok FROM project)""")
+def i9_revived_drafts(spark: SparkSession, d: str) -> DataFrame:
+    return O.revived_drafts(_drafts(spark, d), F.lit("2001-01-01").cast("date")).withColumn("archived_at", F.to_date("archived_at"))
 
 
 @query(f"""WITH e AS (SELECT event_type, value, date_diff('day', CAST(ts AS DATE), DATE '2024-01-25') AS age FROM events),
@@ -234,6 +267,11 @@ def i12_corpus_inventory(spark: SparkSession, d: str) -> DataFrame:
     return O.corpus_inventory(chunks(spark, d).withColumn("tags", F.when(F.col("chunk_id") % 3 == 0, F.array(F.lit("x"))).otherwise(none)))
 
 
+@query("""WITH t AS (SELECT chunk_id, unnest(dims) AS dimension FROM chunk) SELECT dimension, count(*) AS n, round(count(*) / (SELECT count(*) FROM chunk), 6) AS share FROM t GROUP BY 1""")
+def i12_inventory_by_dimension(spark: SparkSession, d: str) -> DataFrame:
+    return O.inventory_by_dimension(chunks(spark, d).withColumnRenamed("dimension_tags", "tags"))
+
+
 @query("""WITH w AS (SELECT user_id AS project, count(*) AS wins FROM events WHERE event_type = 'purchase' GROUP BY 1),
 q AS (SELECT doc_id AS chunk_id, doc_id % 40 + 10 * coalesce(wins, 0) AS quality FROM documents LEFT JOIN w ON w.project = doc_id % 200)
 SELECT chunk_id, quality, chunk_id % 3 <> 0 AND chunk_id % 2 = 0 AND quality < 50 AS deprecate FROM q""")
