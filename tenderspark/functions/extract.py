@@ -5,38 +5,78 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tenderspark.functions import text as T
+
 FIELD = "struct<field:string,value:string,confidence:double>"
 
-# Labels of each field in order of preference, and the confidence of what stands behind them.
-LABELS = (
-    ("project_name", ("项目名称：", "项目名称:"), 0.95),
-    ("owner_unit", ("采购人：", "招标人：", "业主单位："), 0.90),
-    ("budget", ("预算金额：", "采购预算："), 0.90),
-    ("region", ("地址：",), 0.80),
-    ("agency", ("采购代理机构：",), 0.85),
-)
+# Labels of each field in order of preference, prefixes that recognition leaves in values, what marks the
+# next line as another label, and the confidence of each field.
+LABELS = {
+    "project_name": ("项目名称：",),
+    "owner_unit": ("采购人：", "招标人：", "业主单位："),
+    "budget_amount": ("预算金额：", "采购预算："),
+    "region": ("地址：",),
+    "bid_open_date": (
+        "提交投标文件截止时间和开标时间：", "开标时间：", "投标截止时间：", "开标日期：", "投标截止日期：", "提交投标文件截止时间：",
+        "递交投标文件截止时间：", "投标文件递交截止时间：", "截标时间：", "截标日期：", "投标文件提交截止时间：", "开标时间（北京时间）：",
+        "投标截止时间（北京时间）：", "提交投标文件的截止时间：", "投标文件递交截止时间（北京时间）：",
+    ),
+}
+PREFIXES = ("项目名称：", "采购人：", "招标人：", "业主单位：", "采购计划编号：", "采购项目编号：", "采购代理机构：", "预算金额：", "采购预算：", "地址：", "联系方式：")
+OTHER_LABEL = ("信息", "名称", "编号", "方式", "金额", "地址", "电话", "联系人")
+CONFIDENCE = {"project_name": 0.95, "owner_unit": 0.95, "budget_amount": 0.90, "region": 0.80, "plan_code": 0.95, "agency_project_code": 0.90, "bid_open_date": 0.75}
 
 
 def _nonempty(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
 
 
-def labelled_value(text: Column, label: str) -> Column:
-    """What follows a label on its line, else on the next line, blanks removed; null without either."""
-    value = F.regexp_extract(text, rf"{label} ?[ \t]*([^\n]*)(?:\n[ \t]*([^\n]*))?", 1)
-    below = F.regexp_extract(text, rf"{label} ?[ \t]*\n[ \t]*([^\n]*)", 1)
-    return F.coalesce(_nonempty(F.replace(value, F.lit(" "), F.lit(""))), _nonempty(F.replace(below, F.lit(" "), F.lit(""))))
-
-
-def extract_labelled_fields(pages: DataFrame, labels: tuple = LABELS) -> DataFrame:
-    """(doc, page, field, value, confidence) of pages (doc, page, text); the project name only from page 1, of five
-    characters at least."""
-    fields = F.array(*(
-        F.struct(F.lit(name).alias("field"), F.coalesce(*(labelled_value(F.col("text"), x) for x in words)).alias("value"), F.lit(sure).alias("confidence"))
-        for name, words, sure in labels
-    ))
-    rows = pages.select("doc", "page", F.inline(fields)).where("value is not null")
-    return rows.where((F.col("field") != "project_name") | ((F.col("page") == 1) & (F.length("value") >= 5)))
+def _strip(c: Column) -> Column:
+    return F.regexp_replace(c, "^[\\s\u3000]+|[\\s\u3000]+$", "")
+
+
+def labelled_value(text: Column, label: Column) -> Column:
+    """What follows a label on its line, else on the next line, without blanks and without a label of its own; null
+    without either, or if the next line begins like another label."""
+    rest = F.substring_index(F.substring(text, F.instr(text, label) + F.length(label), F.length(text)), "\n", 2)
+    lines = F.split(rest, "\n")
+    here, below = _strip(lines[0]), F.replace(_strip(F.coalesce(F.get(lines, 1), F.lit(""))), F.lit(" "), F.lit(""))
+    start = F.substring(below, 1, 4)
+    foreign = (start != F.substring(label, 1, 4)) & start.rlike("|".join(OTHER_LABEL))
+    value = F.when(here != "", F.replace(here, F.lit(" "), F.lit(""))).when(~foreign, below)
+    value = F.regexp_replace(value, "^(" + "|".join(PREFIXES) + ")", "")
+    return F.when(F.instr(text, label) > 0, F.nullif(_strip(value), F.lit("")))
+
+
+def extract_labelled_fields(pages: DataFrame, labels: dict = LABELS) -> DataFrame:
+    """(doc, page, field, value, confidence) of pages (doc, page, text): labelled fields, codes and the project type.
+
+    The project name only from page 1, of five characters at least; owners have two, budgets are whole numbers above zero,
+    regions end at their city or before a telephone number, and dates are read in any loose form."""
+    t = F.col("text")
+    said = F.struct(*(F.transform(F.array(*map(F.lit, words)), lambda x: labelled_value(t, x)).alias(f) for f, words in labels.items()))
+    first = lambda f, n=1: F.get(F.filter(f"_said.{f}", lambda v: F.length(v) >= n), 0)
+    # each step is a projection of its own, so that later ones read what the first has found
+    rows = pages.withColumn("_said", said).withColumns({
+        "_number": F.replace(F.regexp_extract(first("budget_amount"), "([0-9][0-9,.]{2,20})", 1), F.lit(","), F.lit("")),
+        "_where": F.when(F.length(first("region")) >= 4, first("region")), "_day": first("bid_open_date"),
+        "_codes": extract_plan_codes(t), "_kind": T.classify_project_type(t),
+    })
+    city = _nonempty(F.regexp_extract("_where", r"(广东省[^\s\d\-A-Za-z]{0,15}市)", 1))
+    rows = rows.withColumn("_place", F.coalesce(city, _strip(F.regexp_replace("_where", r"[\d\-\sA-Za-z]{4,}$", ""))))
+    number, name = F.col("_number"), first("project_name")
+    values = {
+        "project_name": F.when((F.col("page") == 1) & (F.length(name) >= 5), name),
+        "owner_unit": first("owner_unit", 2),
+        "budget_amount": F.when(number.try_cast("double") > 0, F.floor(number.try_cast("decimal(38,6)")).cast("string")),
+        "region": F.when((F.length("_place") >= 4) & ~F.startswith(F.col("_place"), F.lit("采购")), F.col("_place")),
+        "plan_code": F.col("_codes.plan_code"),
+        "agency_project_code": F.col("_codes.project_code"),
+        "bid_open_date": T.parse_loose_date(F.col("_day")).cast("string"),
+    }
+    found = [F.struct(F.lit(f).alias("field"), v.alias("value"), F.lit(CONFIDENCE[f]).alias("confidence")) for f, v in values.items()]
+    found.append(F.struct(F.lit("project_type").alias("field"), F.col("_kind.type").alias("value"), F.col("_kind.confidence").alias("confidence")))
+    return rows.select("doc", "page", F.inline(F.array(*found))).where("value is not null")
 
 
 def extract_plan_codes(text: Column) -> Column:
@@ -101,13 +141,16 @@ def classify_image(width: Column, height: Column) -> Column:
     return F.when(wide & (width > 800), "business_license").when(wide & (width > 400), "certification").otherwise("other")
 
 
-def chunk_by_dimensions(docs: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    """(doc, seg, dimension, body): text from each dimension name at a start, blank or bracket up to the next one.
+def chunk_by_dimensions(docs: DataFrame, names: tuple[str, ...], size: int = 600, overlap: int = 80) -> DataFrame:
+    """(doc, seg, k, dimension, body): overlapping chunks of what follows each dimension name up to the next one.
 
-    Texts without any are one segment of no dimension."""
-    pattern = r"(?<=^|[\n\r\t （(])(?=(?:" + "|".join(names) + "))"
-    parts = docs.select("doc", F.posexplode(F.split("text", pattern)).alias("seg", "body"))
-    name = _nonempty(F.regexp_extract("body", "^(" + "|".join(names) + ")", 1))
-    rows = parts.withColumn("dimension", name)
-    any_hit = docs.select("doc", F.col("text").rlike(pattern).alias("hit"))
-    return rows.join(any_hit, "doc").where((~F.col("hit") | F.col("dimension").isNotNull()) & (F.trim("body") != "")).select("doc", "seg", "dimension", "body")
+    A name counts at the start and behind a blank, a line end or an opening bracket; of several at one place the last
+    listed. What stands before the first name is left out; a text without any is one segment of no dimension."""
+    any_name = "|".join(reversed(names))
+    pattern = rf"(?<=^|[\n\r\t （(])(?=(?:{any_name}))"
+    parts = docs.select("doc", F.col("text").rlike(pattern).alias("hit"), F.posexplode(F.split("text", pattern)).alias("seg", "part"))
+    name = _nonempty(F.regexp_extract("part", f"^({any_name})", 1))
+    parts = parts.withColumn("dimension", F.when(F.col("hit"), name)).where("not hit or dimension is not null")
+    inner = _strip(F.substring(F.col("part"), F.length("dimension") + 1, F.length("part")))
+    body = F.when(F.col("hit"), inner).otherwise(F.col("part"))
+    return parts.select("doc", "seg", "dimension", F.posexplode(T.sliding_chunks(body, size, overlap)).alias("k", "body"))

@@ -21,13 +21,31 @@ def b2_parse_loose_date(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", T.parse_loose_date(said).alias("parsed"))
 
 
-@query("""SELECT o_orderkey AS doc, 'owner_unit' AS field, c_name AS value, 0.9::DOUBLE AS confidence FROM orders JOIN customer ON o_custkey = c_custkey
-UNION ALL SELECT o_orderkey, 'budget', CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR), 0.9::DOUBLE FROM orders WHERE o_orderkey % 2 = 0""")
+@query("""WITH o AS (SELECT o_orderkey AS k, o_orderdate AS day, CAST(floor(o_totalprice) AS BIGINT) AS money, c_name, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)
+SELECT k AS doc, 'owner_unit' AS field, c_name AS value, 0.95::DOUBLE AS confidence FROM o WHERE k % 4 <> 3 OR k % 5 = 0
+UNION ALL SELECT k, 'project_name', '第' || k || '号餐饮服务', 0.95::DOUBLE FROM o WHERE k % 3 = 0
+UNION ALL SELECT k, 'budget_amount', CAST(money AS VARCHAR), 0.9::DOUBLE FROM o WHERE k % 2 = 0
+UNION ALL SELECT k, 'region', CASE WHEN k % 5 < 2 THEN '广东省惠州市' ELSE '南昌红谷滩' END, 0.8::DOUBLE FROM o WHERE k % 5 < 4
+UNION ALL SELECT k, 'plan_code', (100000 + k) || '-' || year(day) || '-' || (50000 + k % 1000), 0.95::DOUBLE FROM o WHERE k % 7 < 3
+UNION ALL SELECT k, 'project_type', CASE WHEN k % 3 = 0 THEN 'service' ELSE 'engineering' END, CASE WHEN k % 3 = 0 THEN 0.85 ELSE 0.8 END::DOUBLE FROM o WHERE k % 3 < 2
+UNION ALL SELECT k, 'bid_open_date', CAST(CAST(day AS DATE) AS VARCHAR), 0.75::DOUBLE FROM o WHERE k % 6 < 4""")
 def b3_extract_labelled_fields(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    money = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("\n预算金额： "), F.floor("o_totalprice"))).otherwise(F.lit(""))
-    text = F.concat(F.lit("采购人：\n"), F.col("c_name"), money)
-    pages = rows.select(F.col("o_orderkey").alias("doc"), F.lit(1).alias("page"), text.alias("text"))
+    """Pages with every field in several shapes: on the label's line or the next one, by several labels, or missing."""
+    nations = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = table(spark, d, "orders").join(nations, F.col("o_custkey") == F.col("c_custkey"))
+    k, day = F.col("o_orderkey"), lambda p: F.date_format("o_orderdate", p)
+    said = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    owner = F.when(k % 4 == 0, said("采购人：\n  ", F.col("c_name"), "\n")).when(k % 4 == 1, said("招标人： ", F.col("c_name"), "\n")).when(
+        k % 4 == 2, said("采购人：甲\n业主单位：", F.col("c_name"), "\n")).when(k % 5 == 0, said("采购人：采购人：", F.col("c_name"), "\n")).otherwise("采购人：\n联系方式：123\n")
+    name = F.when(k % 3 == 0, said("项目名称： 第 ", k.cast("string"), " 号 餐饮服务\n")).when(k % 3 == 1, said("项目名称：施工\n")).otherwise("")
+    cash = F.floor("o_totalprice")
+    money = F.when(k % 4 == 0, said("预算金额：", F.format_number(cash, 0), "元\n")).when(k % 2 == 0, said("采购预算：\n人民币", cash.cast("string"), ".50元\n")).otherwise("预算金额：面议\n")
+    place = F.when(k % 5 == 0, "地址：广东省惠州市某路 12 号\n").when(k % 5 == 1, "地址：\n中国广东省惠州市\n").when(k % 5 == 2, "地址：南昌红谷滩 0791-8765432\n").when(k % 5 == 3, "地址：南昌红谷滩\n").otherwise("地址：某路\n")
+    code = [(100000 + k).cast("string"), day("yyyy"), (50000 + k % 1000).cast("string")]
+    plan = F.when(k % 7 == 0, said("采购计划编号：", F.concat_ws("-", *code), "\n")).when(k % 7 < 3, said("采购计划编号: ", F.concat_ws(" - ", *code), "\n")).otherwise("项目编号：1234567\n")
+    opens = F.when(k % 6 == 0, said("开标时间：", day("yyyy-MM-dd"))).when(k % 6 == 1, said("截标日期：\n", day("yyyy年M月d日"))).when(
+        k % 6 == 2, said("投标截止时间（北京时间）： ", day("yyyy/M/d"))).when(k % 6 == 3, said("开标日期：", F.translate(day("yyyyMMdd"), "0", "O"))).otherwise("开标时间：待定")
+    pages = rows.select(k.alias("doc"), F.lit(1).alias("page"), F.concat(name, owner, money, place, plan, opens).alias("text"))
     return X.extract_labelled_fields(pages).drop("page")
 
 
@@ -83,3 +101,19 @@ WHERE c.n = 1 AND EXISTS (SELECT 1 FROM conversations x WHERE x.conv_id = c.doc
 def a12_table_to_markdown(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("row"), F.array("role", F.col("turn").cast("string")).alias("cells"))
     return S.table_to_markdown(rows).select("doc", F.md5("markdown").alias("markdown"))
+
+
+B15_NAMES = ("and", "der", "que", "los")
+
+
+@query(f"""WITH RECURSIVE cut AS (SELECT doc_id, string_split(regexp_replace(text, '(^|[\n\r\t （(])({"|".join(B15_NAMES)})', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS parts FROM documents),
+part AS (SELECT doc_id, generate_subscripts(parts, 1) - 1 AS i, unnest(parts) AS p, len(parts) AS n FROM cut),
+named AS (SELECT doc_id, CASE WHEN n > 1 THEN (SELECT count(*) FROM cut c WHERE c.doc_id = part.doc_id AND c.parts[1] <> '') + i - 1 ELSE 0 END AS seg, CASE WHEN n > 1 THEN left(p, 3) END AS dimension,
+CASE WHEN n > 1 THEN regexp_replace(substr(p, 4), '^[\\s\u3000]+|[\\s\u3000]+$', '', 'g') ELSE p END AS text FROM part WHERE n = 1 OR i > 0),
+d AS (SELECT *, length(text) AS n FROM named WHERE trim(translate(text, chr(10) || chr(9) || chr(13), '   ')) <> ''),
+c AS (SELECT doc_id, seg, dimension, text, n, 0 AS k, 0 AS a, least(n, 600) AS e FROM (SELECT * FROM d)
+UNION ALL SELECT doc_id, seg, dimension, text, n, k + 1, s, least(n, s + 600) FROM (SELECT *, greatest(a + m - 80, a + 1) AS s FROM (SELECT *, {{cut}} AS m FROM c) WHERE a + 600 < n))
+SELECT doc_id AS doc, CAST(seg AS INTEGER) AS seg, dimension, k, md5(substr(text, a + 1, {{cut}})) AS body FROM c""".replace("{cut}", "CASE WHEN a + 600 >= n THEN n - a WHEN length(regexp_replace(substr(text, a + 1, 600), '[^\n。！？.!?]*$', '')) > 480 THEN length(regexp_replace(substr(text, a + 1, 600), '[^\n。！？.!?]*$', '')) ELSE 600 END"))
+def b15_chunk_by_dimensions(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text")
+    return X.chunk_by_dimensions(docs, B15_NAMES).withColumn("body", F.md5("body"))

@@ -75,20 +75,21 @@ def h3_section_coverage(spark: SparkSession, d: str) -> DataFrame:
     return _h3(spark, d)
 
 
-@query("""WITH u AS (SELECT id AS project, 'signature_seal' AS category, unnest(CASE WHEN id % 3 = 0 THEN [region] ELSE ['法定代表人签字或签章', '授权委托书签字盖章', '骑缝章完整性', '正副本份数与标识'] END) AS item FROM project
-UNION ALL SELECT id, 'seal_requirements', unnest(CASE WHEN id % 3 = 0 THEN [region] WHEN id % 3 = 1 THEN [owner_unit] ELSE ['投标文件分别封装', '封套粘贴与密封', '电子版文件一致性', '包封标注完整性'] END) FROM project)
-SELECT *, 'warning' AS risk_level, 'uncertain' AS system_status FROM u""")
+H4 = """seal AS (SELECT id AS project, 'signature_seal' AS category, unnest(CASE WHEN id % 3 = 0 THEN [region] ELSE ['法定代表人签字或签章', '授权委托书签字盖章', '骑缝章完整性', '正副本份数与标识'] END) AS item FROM project
+UNION ALL SELECT id, 'seal_requirements', unnest(CASE WHEN id % 3 = 0 THEN [region] WHEN id % 3 = 1 THEN [owner_unit] ELSE ['投标文件分别封装', '封套粘贴与密封', '电子版文件一致性', '包封标注完整性'] END) FROM project)"""
+
+
+@query(f"WITH {H4} SELECT *, 'warning' AS risk_level, 'uncertain' AS system_status FROM seal")
 def h4_seal_rows(spark: SparkSession, d: str) -> DataFrame:
     none = F.array().cast("array<string>")
     own = lambda k, c: F.when(F.col("id") % 3 == k, F.array(c)).otherwise(none)
     return R.seal_rows(projects(spark, d).select("id", own(0, "region").alias("seals"), own(1, "owner_unit").alias("packaging")))
 
 
-@query(f"""WITH {EXTRACTION}, {LASTP}, {H1}, {H2}, {H3} SELECT *, 'pending' AS specialist_status FROM (SELECT * FROM validity UNION ALL SELECT * FROM priced UNION ALL SELECT * FROM cover
-UNION ALL SELECT id, unnest(['法定代表人签字或签章', '授权委托书签字盖章', '骑缝章完整性', '正副本份数与标识', '投标文件分别封装', '封套粘贴与密封', '电子版文件一致性', '包封标注完整性']), 'warning', 'uncertain' FROM project WHERE id % 3 = 2)""")
+@query(f"""WITH {EXTRACTION}, {LASTP}, {H1}, {H2}, {H3}, {H4} SELECT *, 'pending' AS specialist_status FROM (SELECT * FROM validity UNION ALL SELECT * FROM priced UNION ALL SELECT * FROM cover
+UNION ALL SELECT project, item, 'warning', 'uncertain' FROM seal)""")
 def h5_checklist(spark: SparkSession, d: str) -> DataFrame:
-    seals = h4_seal_rows(spark, d).where("project % 3 = 2").drop("category")
-    return R.checklist(_h1(spark, d), R.price_rows(projects(spark, d), _prices(spark, d)), _h3(spark, d), seals)
+    return R.checklist(_h1(spark, d), R.price_rows(projects(spark, d), _prices(spark, d)), _h3(spark, d), h4_seal_rows(spark, d).drop("category"))
 
 
 @query(f"""WITH {ITEMS}, g AS (SELECT project, count(*) AS total, count(*) FILTER (WHERE specialist_status = 'confirmed') AS confirmed,

@@ -12,6 +12,7 @@ from tenderspark.functions import extract as X
 from tenderspark.functions import text as T
 from tenderspark.operators import certs as C
 from tenderspark.operators import evaluation as E
+from tenderspark.operators import lifecycle as L
 from tenderspark.operators import pricing as P
 from tenderspark.operators import segments as S
 from tenderspark.sources import outcome_book as B
@@ -141,6 +142,29 @@ def test_labelled_fields_and_codes(spark):
     assert codes[0]["plan_code"] == "441301-2025-03605" and codes[0]["project_code"] == "HZJJ-2025118号" and codes[1]["plan_code"] == "441301-2025-03605" and codes[2]["project_code"] is None
 
 
+def test_labelled_field_shapes(spark):
+    texts = [
+        "采购人：\n联系方式：1\n招标人：乙公司\n开标时间：2025年11月20日\n预算金额：9,000,000.00元\n地址：广东省惠州市江北 1 号",
+        "采购人：甲\n业主单位：某大学\n预算金额：面议\n截标日期：待定\n地址：采购中心大楼\n项目编号：1234567",
+        "", None, "项目名称：短名",
+    ]
+    df = spark.createDataFrame([(i, 1, t) for i, t in enumerate(texts)], "doc int, page int, text string")
+    got = {}
+    for r in X.extract_labelled_fields(df).collect():
+        got.setdefault(r["doc"], {})[r["field"]] = r["value"]
+    assert got[0] == {"owner_unit": "乙公司", "bid_open_date": "2025-11-20", "budget_amount": "9000000", "region": "广东省惠州市"}
+    assert got[1] == {"owner_unit": "某大学"} and set(got) == {0, 1}
+
+
+def test_clone_names_fill_gaps(spark):
+    sources = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a"), (4, "b")], "id long, name string")
+    used = spark.createDataFrame([("a - 重投",), ("a - 重投 (3)",), ("a - 重投 (03)",), ("b",)], "name string")
+    got = {r["source_id"]: r["name"] for r in L.clone_projects(sources, used, "rebid").collect()}
+    assert got == {1: "a - 重投 (2)", 2: "a - 重投 (4)", 3: "a - 重投 (5)", 4: "b - 重投"}
+    got = L.clone_projects(sources.where("id = 4"), used, "annual_renewal", 2026).first()
+    assert got["name"] == "b - 2026" and got["parent_id"] is None and not got["is_retender"]
+
+
 def test_license_requirements_images(spark):
     f = values(spark, [("某某有限公司\n统一 91440101MA5XXXXX1Q\n住所：广州", "license"), ("食品经营许可证 证书编号：JY12345678901", "cert"), ("x", "other")], "t string, k string", X.extract_license_fields(F.col("t"), F.col("k")))
     assert [x["field"] for x in f[0]] == ["credit_code", "company_name", "address"] and f[1][1]["value"] == "JY12345678901" and f[2] == []
@@ -154,7 +178,7 @@ def test_tables_dimensions_defaults(spark):
     assert [tuple(r) for r in S.table_to_markdown(cells).collect()] == [(1, "| name | value |\n| --- | --- |\n| quality |  |")]
     docs = spark.createDataFrame([(1, "前言\n冷链管理 甲乙\n服务方案 丙"), (2, "没有")], "doc int, text string")
     got = {(r["doc"], r["dimension"]): r["body"].strip() for r in X.chunk_by_dimensions(docs, ("冷链管理", "服务方案")).collect()}
-    assert got == {(1, "冷链管理"): "冷链管理 甲乙", (1, "服务方案"): "服务方案 丙", (2, None): "没有"}
+    assert got == {(1, "冷链管理"): "甲乙", (1, "服务方案"): "丙", (2, None): "没有"}
     rows = spark.createDataFrame([("  ", None, None), ("n" * 600, Decimal(1), "open")], "name string, winning_price decimal(15,2), status string")
     got = B.tender_defaults(rows).collect()
     assert got[0]["name"] == "未命名" and not got[0]["price_revealed"] and got[0]["status"] == "closed" and len(got[1]["name"]) == 500
