@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tenderspark.plans import evaluation, extract, ingest, lifecycle, pricing, retrieval, review, text  # noqa: F401
+from tenderspark.plans import evaluation, extract, ingest, lifecycle, pricing, retrieval, review, stored, text  # noqa: F401
 from tenderspark.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]

@@ -20,7 +20,8 @@ def ingest_chunks(spark: SparkSession, source: str, schema: str, target: str, le
 
     Every micro-batch drops what the ledger has and repeats within itself, appends the rest and then records it. Chunk
     and ledger files are kept by batch, so a batch that is run again after a failure replaces its own files. Rows whose
-    content is null go to `target`_errors."""
+    content is null go to `target`_errors, and a row for each path and batch to `ledger`_files: `import_totals` reads it.
+    A file that cannot be read is left out without ending the batch."""
 
     def one(batch: DataFrame, batch_id: int) -> None:
         batch = batch.withColumn("hash", F.sha2("content", 256))
@@ -30,9 +31,39 @@ def ingest_chunks(spark: SparkSession, source: str, schema: str, target: str, le
         fresh.select("hash").write.mode("overwrite").parquet(f"{ledger}/batch={batch_id}")
         bad = batch.where("content is null")
         bad.write.mode("overwrite").parquet(f"{target}_errors/batch={batch_id}")
+        file_states(batch, fresh).write.mode("overwrite").parquet(f"{ledger}_files/batch={batch_id}")
         fresh.unpersist()
 
     empty = spark.createDataFrame([], "hash string")
     empty.write.mode("ignore").parquet(f"{ledger}/batch=-1")
-    rows = spark.readStream.schema(schema).parquet(source)
+    rows = spark.readStream.schema(schema).option("ignoreCorruptFiles", True).parquet(source)
     return rows.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def file_states(batch: DataFrame, fresh: DataFrame) -> DataFrame:
+    """(path, state, chunks, errors): processed if a chunk of it was new, error if it has none and some had no content,
+    else skipped."""
+    new = fresh.groupBy("path").agg(F.count("*").alias("chunks"))
+    rows = batch.groupBy("path").agg(F.count_if(F.col("content").isNull()).alias("errors")).join(new, "path", "left")
+    state = F.when(F.col("chunks") > 0, "processed").when(F.col("errors") > 0, "error").otherwise("skipped")
+    return rows.select("path", state.alias("state"), F.coalesce("chunks", F.lit(0)).alias("chunks"), "errors")
+
+
+def import_totals(spark: SparkSession, ledger: str) -> DataFrame:
+    """(state, files, chunks, errors) over all batches of an ingest."""
+    files = spark.read.parquet(f"{ledger}_files")
+    return files.groupBy("state").agg(F.count("*").alias("files"), F.sum("chunks").alias("chunks"), F.sum("errors").alias("errors"))
+
+
+def keep_state(log: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Run `running_state` over what is there; every batch writes the states that it changed to `target`."""
+
+    def one(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+
+    return running_state(log).writeStream.outputMode("update").foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def kept_state(spark: SparkSession, target: str) -> DataFrame:
+    """(project, status, n): the newest state of each project in `target`."""
+    return spark.read.parquet(target).groupBy("project").agg(F.max_by("status", "n").alias("status"), F.max("n").alias("n"))
