@@ -24,9 +24,14 @@ LONG = 16
 
 
 def shingles(words: str, size: int) -> Column:
-    """Different 64-bit hashes of every `size` words in a row of the array column `words`; of all words, if there are fewer."""
-    at = lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(size)))
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - size, F.lit(0))), at))
+    """Different 64-bit hashes of every `size` words in a row of the array column `words`; of all words, if there are fewer.
+
+    Each word is hashed once; a shingle's hash is that of its words' hashes, which are bound for the inner function by an
+    array of one element."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size(words) - size, F.lit(0)))
+    hashes = F.array(F.transform(words, lambda w: F.xxhash64(w)))
+    at = lambda h: F.transform(starts, lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(size))))
+    return F.array_distinct(F.get(F.transform(hashes, at), 0))
 
 
 def normalised(docs: DataFrame, text_col: str) -> DataFrame:
