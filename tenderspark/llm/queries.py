@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderspark.llm import brown_lm, byte_bpe, langid, line_dedup, multi_index, packing, quality, secret_scan, simhash, spotsigs
+from tenderspark.llm import brown_lm, byte_bpe, filter_audit, importance, langid, line_dedup, multi_index, packing, quality, secret_scan, simhash, spotsigs
 from tenderspark.llm.common import id_bucket
 
 
@@ -77,6 +77,15 @@ def op10_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edited_against_next(_table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = F.coalesce("lang", F.lit(""))
+    return filter_audit.audit(filter_audit.failures(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), part))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -90,7 +99,44 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_language_id,
         op9_brown_lm,
         op10_spot_signatures,
+        op11_filter_audit,
+        op12_importance_resampling,
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op11_filter_audit": r"""
+WITH known AS (
+  SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id
+), docs AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce("text", '') AS t,
+    regexp_extract_all(coalesce("text", ''), '[^\x20\x09-\x0D]+') AS words,
+    min(doc_id) OVER (PARTITION BY coalesce("text", '')) AS least
+  FROM documents
+), hist AS (
+  SELECT d.part,
+    (len(words) < 200)::INT + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::INT
+      + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t))::INT
+      + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(least < d.doc_id, false)::INT AS mask,
+    coalesce(k.good, false) AS good, coalesce(k.toxic, false) AS toxic, count(*) AS n
+  FROM docs d LEFT JOIN known k ON d.doc_id = k.doc_id GROUP BY ALL
+), f AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) f(l, b)), orders AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bits
+  FROM f a, f b, f c, f d, f e WHERE (a.b | b.b | c.b | d.b | e.b) = 31
+), steps AS (
+  SELECT filter_order, s.step::INT AS step, bits[s.step] AS bit, coalesce(list_sum(bits[1:s.step - 1]), 0)::INT AS state
+  FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step) s
+), counted AS (
+  SELECT part, filter_order, step, bit,
+    sum(CASE WHEN mask & (state | bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+    sum(CASE WHEN mask & bit <> 0 AND mask & state = 0 THEN n ELSE 0 END)::BIGINT AS removed,
+    sum(CASE WHEN mask & bit <> 0 AND mask & state <> 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+    sum(CASE WHEN mask = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN mask & bit <> 0 AND mask & state = 0 AND good THEN n ELSE 0 END)::BIGINT AS good_lost,
+    sum(CASE WHEN mask & bit <> 0 AND mask & state = 0 AND toxic THEN n ELSE 0 END)::BIGINT AS toxic_lost
+  FROM hist, steps GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  sum(removed) OVER (PARTITION BY part, bit)::BIGINT AS shapley
+FROM counted"""
+}

@@ -172,7 +172,7 @@ def test_neighbours_of_odd_vectors(spark):
 
 
 def test_registered_names():
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 14)}
 
 
 def test_ties_of_neighbours_go_to_smaller_ids_and_lengths_stay_apart(spark):
