@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderspark.llm import brown_lm, byte_bpe, filter_audit, importance, langid, line_dedup, multi_index, packing, quality, secret_scan, simhash, spotsigs
+from tenderspark.llm import brown_lm, byte_bpe, filter_audit, importance, langid, line_dedup, multi_index, packing, pii, quality, secret_scan, simhash, spotsigs
 from tenderspark.llm.common import id_bucket
 
 
@@ -86,6 +86,12 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.fit(docs), ["doc_id"])
+    return found.select("doc_id", *(pii.count_kind(k).alias(f"n_{k}") for k in pii.KINDS), "base_sha256", "spans", F.size("added").cast("long").alias("n_added"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -101,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_spot_signatures,
         op11_filter_audit,
         op12_importance_resampling,
+        op13_personal_data,
     )
 }
 
