@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tenderspark.llm.common import with_text_columns
@@ -103,14 +104,13 @@ def fit(
 ) -> Model:
     """Learn from the rows where `train` holds and text and language are not null.
 
-    Document frequencies cover all of them. Centroids are fitted, one task a language, on a sample of different texts chosen by a hash of
-    the text, of at most about `sample_per_language` texts a language however many there are.
+    Document frequencies cover all of them. Centroids are fitted, one task a language, on its `sample_per_language` different
+    texts of smallest hash (all, if there are fewer), so a text that very many rows share counts as one and no language
+    with a text is left out.
     Cosines under `slack` times the `quantile` of those of all samples' texts are rejected, and always ones under `nearest`."""
     rows = docs.where(train & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
         F.col(text_col).alias("t"), F.col(lang_col).alias("lang")
     )
-    per_lang = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(1 << BITS, np.int64)
         for batch in batches:
@@ -122,17 +122,19 @@ def fit(
     found = rows.select("t").mapInArrow(frequencies, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros(1 << BITS)
     df[found["b"].to_numpy(int)] = found["n"].to_numpy(float)
-    idf = np.log((1 + sum(per_lang.values())) / (1 + df)) + 1
-
-    share = F.lit(1.0)
-    for lang, n in per_lang.items():
-        share = F.when(F.col("lang") == lang, F.lit(sample_per_language / n)).otherwise(share)
-    picked = rows.withColumn("h", F.xxhash64("t")).where(
-        F.pmod(F.col("h"), F.lit(1 << 40)) < share * (1 << 40)
-    )
-    # a text that very many rows share is one text of the sample
+    idf = np.log((1 + rows.count()) / (1 + df)) + 1
+
+    hashed = rows.withColumn("h", F.pmod(F.xxhash64("t"), F.lit(1 << 62)))
+    # the last hash that each language takes: first of slices of its hashes, then of what they leave
+    some = hashed.select("lang", "h").distinct().withColumn("slice", F.col("h") % 64)
+    for by in (["lang", "slice"], ["lang"]):
+        at = F.row_number().over(W.partitionBy(*by).orderBy("h"))
+        some = some.withColumn("n", at).where(F.col("n") <= sample_per_language)
+    last = some.groupBy("lang").agg(F.max("h").alias("last"))
+    # one row for each language, of which the model itself holds several centroids
+    picked = hashed.join(F.broadcast(last), "lang").where("h <= last").groupBy("lang", "h").agg(F.min("t").alias("t"))
     got = (
-        picked.distinct().groupBy("lang")
+        picked.select("t", "lang", "h").groupBy("lang")
         .applyInPandas(_kmeans(idf, clusters), "lang string, centroid array<float>, seen array<double>")
         .toPandas()
         .sort_values("lang", kind="stable")

@@ -75,6 +75,41 @@ def test_language(spark, tables, odd):
     assert langid.predict(odd.limit(0), model, ["doc_id"]).count() == 0
 
 
+def test_no_language_is_left_out_of_a_table_of_copies(spark, make):
+    words = {"de": "der die das und ist nicht ein eine auf mit sich auch", "en": "the and that with this have from they which their would there"}
+    r = np.random.default_rng(5)
+    text = lambda lang: " ".join(r.choice(words[lang].split(), 30))
+    german = [text("de") for _ in range(3)]
+    rows = [(k, german[k % 3], "de") for k in range(9000)] + [(10_000 + k, text("en"), "en") for k in range(60)] + [(20_000, "x" * 50, None)]
+    docs = make(rows)
+    model = langid.fit(docs, F.lit(True))
+    assert set(model.languages) == {"de", "en"}
+    got = langid.predict(docs.where("lang is not null"), model, ["doc_id", "lang"])
+    assert got.where("lang <> lang_pred or rejected").count() == 0
+
+
+def test_the_sample_is_the_first_texts_by_hash(spark, make):
+    """The centroids of a small table against those of all its different texts, worked out one by one."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("lang is not null")
+    model = langid.fit(docs, F.lit(True), sample_per_language=20)
+    rows = docs.select("lang", "text", F.pmod(F.xxhash64("text"), F.lit(1 << 62)).alias("h")).collect()
+    n = Counter()
+    for x in rows:
+        n.update(langid._counts(x["text"])[0].tolist())
+    idf = np.array([math.log((1 + len(rows)) / (1 + n[b])) + 1 for b in range(1 << langid.BITS)])
+    assert np.allclose(idf, model.idf)
+    for lang in set(model.languages):
+        texts = [t for _, t in sorted({(x["h"], x["text"]) for x in rows if x["lang"] == lang})[:20]]
+        x = np.zeros((len(texts), len(idf)), np.float32)
+        for k, t in enumerate(texts):
+            at, count = langid._counts(t)
+            v = (1 + np.log(count)) * idf[at]
+            x[k, at] = v / np.sqrt(v @ v)
+        want = langid._centroids(x, 4)
+        got = model.centroids.T[[k for k, of in enumerate(model.languages) if of == lang]]
+        assert np.allclose(np.sort(want @ want.T), np.sort(got @ got.T), atol=1e-4)
+
+
 def test_foreign_languages_are_rejected(spark, make):
     foreign = [
         "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.",
