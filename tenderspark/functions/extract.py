@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenderspark.functions import text as T
+from tenderspark.functions.text import strip
 
 FIELD = "struct<field:string,value:string,confidence:double>"
 
@@ -28,11 +29,7 @@ CONFIDENCE = {"project_name": 0.95, "owner_unit": 0.95, "budget_amount": 0.90, "
 
 
 def _nonempty(c: Column) -> Column:
-    return F.nullif(F.trim(c), F.lit(""))
-
-
-def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, "^[\\s\u3000]+|[\\s\u3000]+$", "")
+    return F.nullif(strip(c), F.lit(""))
 
 
 def labelled_value(text: Column, label: Column) -> Column:
@@ -40,12 +37,12 @@ def labelled_value(text: Column, label: Column) -> Column:
     without either, or if the next line begins like another label."""
     rest = F.substring_index(F.substring(text, F.instr(text, label) + F.length(label), F.length(text)), "\n", 2)
     lines = F.split(rest, "\n")
-    here, below = _strip(lines[0]), F.replace(_strip(F.coalesce(F.get(lines, 1), F.lit(""))), F.lit(" "), F.lit(""))
+    here, below = strip(lines[0]), F.replace(strip(F.coalesce(F.get(lines, 1), F.lit(""))), F.lit(" "), F.lit(""))
     start = F.substring(below, 1, 4)
     foreign = (start != F.substring(label, 1, 4)) & start.rlike("|".join(OTHER_LABEL))
     value = F.when(here != "", F.replace(here, F.lit(" "), F.lit(""))).when(~foreign, below)
     value = F.regexp_replace(value, "^(" + "|".join(PREFIXES) + ")", "")
-    return F.when(F.instr(text, label) > 0, F.nullif(_strip(value), F.lit("")))
+    return F.when(F.instr(text, label) > 0, F.nullif(strip(value), F.lit("")))
 
 
 def extract_labelled_fields(pages: DataFrame, labels: dict = LABELS) -> DataFrame:
@@ -63,7 +60,7 @@ def extract_labelled_fields(pages: DataFrame, labels: dict = LABELS) -> DataFram
         "_codes": extract_plan_codes(t), "_kind": T.classify_project_type(t),
     })
     city = _nonempty(F.regexp_extract("_where", r"(广东省[^\s\d\-A-Za-z]{0,15}市)", 1))
-    rows = rows.withColumn("_place", F.coalesce(city, _strip(F.regexp_replace("_where", r"[\d\-\sA-Za-z]{4,}$", ""))))
+    rows = rows.withColumn("_place", F.coalesce(city, strip(F.regexp_replace("_where", r"[\d\-\sA-Za-z]{4,}$", ""))))
     number, name = F.col("_number"), first("project_name")
     values = {
         "project_name": F.when((F.col("page") == 1) & (F.length(name) >= 5), name),
@@ -124,7 +121,7 @@ def normalise_requirements(rows: DataFrame, json_col: str = "json") -> DataFrame
     items = F.from_json(F.get_json_object(json_col, "$.qualifications"), item)
     each = rows.select("project", F.explode(items).alias("q")).where("q is not null and (q.title is not null or q.cert_name is not null or q.type is not null)")
     title = F.coalesce(F.nullif("q.title", F.lit("")), "q.cert_name", F.lit(""))
-    kind = F.coalesce(F.trim("q.type"), F.lit("通用法定资质"))
+    kind = F.coalesce(strip(F.col("q.type")), F.lit("通用法定资质"))
     code = F.lit("OTHER_CERT")
     for where, words, name in reversed(REQUIREMENT_CODES):
         source = kind if where == "type" else F.lower(title)
@@ -151,6 +148,6 @@ def chunk_by_dimensions(docs: DataFrame, names: tuple[str, ...], size: int = 600
     parts = docs.select("doc", F.col("text").rlike(pattern).alias("hit"), F.posexplode(F.split("text", pattern)).alias("seg", "part"))
     name = _nonempty(F.regexp_extract("part", f"^({any_name})", 1))
     parts = parts.withColumn("dimension", F.when(F.col("hit"), name)).where("not hit or dimension is not null")
-    inner = _strip(F.substring(F.col("part"), F.length("dimension") + 1, F.length("part")))
+    inner = strip(F.substring(F.col("part"), F.length("dimension") + 1, F.length("part")))
     body = F.when(F.col("hit"), inner).otherwise(F.col("part"))
     return parts.select("doc", "seg", "dimension", F.posexplode(T.sliding_chunks(body, size, overlap)).alias("k", "body"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,10 +37,19 @@ DIMENSIONS = {
 DOC_SUFFIXES = ("_投标文件", "_招标文件", "_价格文件", "_资格证明文件", "_投标书")
 
 
+#: What Python's strip() takes away: blanks, tabs and line ends, and the wide ones of other scripts.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def strip(text: Column) -> Column:
+    """The text without any white space around it, that of other scripts included."""
+    return F.btrim(text, F.lit(BLANKS))
+
+
 def normalize_text(text: Column) -> Column:
     """Full-width digits, letters and blanks to ASCII, trimmed, runs of blanks as one; null becomes empty."""
     narrow = F.translate(F.coalesce(text, F.lit("")), _WIDE + "　", _NARROW + " ")
-    return F.trim(F.regexp_replace(narrow, " +", " "))
+    return F.regexp_replace(strip(narrow), " +", " ")
 
 
 def has_any(text: Column, keywords: tuple[str, ...]) -> Column:
@@ -92,73 +102,73 @@ def strip_doc_suffix(name: Column) -> Column:
 
 def salvage_json(text: Column) -> Column:
     """JSON left in a model's answer: thoughts removed; as it is if valid, else from the first brace to the last."""
-    bare = F.trim(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""))
+    bare = strip(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""))
     inner = F.regexp_extract(bare, r"(?s)\{.*\}", 0)
     valid = F.try_parse_json(bare).isNotNull()
     return F.when(valid, bare).otherwise(F.when(inner != "", inner))
 
 
 def parse_loose_date(text: Column) -> Column:
-    """Date in any of the loose forms: open-ended words, misread digits, - . / or year-month-day characters.
+    """Date in any of the loose forms: open-ended words, misread digits, one of - . / between all parts, or the
+    characters of year, month and day (of a year of five digits the first four count).
 
     A year and month give the month's last day, a year alone its last day; anything else is null."""
-    s = F.trim(text)
-    digits = F.translate(s, "OIlB", "0118")
-    ymd = F.regexp_replace(digits, r"[./]", "-")
-    full = F.regexp_extract(digits, r"^(\d{4})年(\d{1,2})月(\d{1,2})日?$", 0)
-    as_date = lambda p: F.make_date(*(F.nullif(F.regexp_extract(digits, p, k), F.lit("")).try_cast("int") for k in (1, 2, 3)))
-    cjk = F.when(full != "", F.try_to_date(F.regexp_replace(full, "^(\\d{4})年(\\d{1,2})月(\\d{1,2})日?$", "$1-$2-$3"), "yyyy-M-d"))
-    month = F.try_to_date(F.regexp_replace(digits, r"^(\d{4})年(\d{1,2})月$", "$1-$2-1"), "yyyy-M-d")
-    month = F.when(digits.rlike(r"^\d{4}年\d{1,2}月$"), F.last_day(month))
-    year = F.when(digits.rlike(r"^\d{4}年$"), F.try_to_date(F.concat(F.substring(digits, 1, 4), F.lit("-12-31")), "yyyy-M-d"))
-    plain = F.when(ymd.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_date(ymd, "yyyy-M-d"))
-    compact = F.when(digits.rlike(r"^\d{8}$"), F.try_to_date(digits, "yyyyMMdd"))
-    return F.when(s.isin("长期", "永久"), F.lit("2099-12-31").cast("date")).otherwise(F.coalesce(plain, cjk, month, year, compact))
+    s = strip(text)
+    digits = F.translate(s, "OoIlB", "00118")
+    part = lambda p, k: F.regexp_extract(digits, p, k)
+    day = lambda *parts: F.try_to_date(F.concat_ws("-", *parts), "yyyy-M-d")
+    forms = [(rf"^(\d{{4}}){sep}(\d{{1,2}}){sep}(\d{{1,2}})$") for sep in ("-", r"\.", "/")] + [r"^(\d{4})\d?年(\d{1,2})月(\d{1,2})日$"]
+    whole = [F.when(digits.rlike(p), day(part(p, 1), part(p, 2), part(p, 3))) for p in forms]
+    months, years = r"^(\d{4})\d?年(\d{1,2})月$", r"^(\d{4})\d?年$"
+    month = F.when(digits.rlike(months), F.last_day(day(part(months, 1), part(months, 2), F.lit("1"))))
+    year = F.when(digits.rlike(years), day(part(years, 1), F.lit("12"), F.lit("31")))
+    open_ended = F.contains(s, F.lit("长期")) | F.contains(s, F.lit("永久"))
+    return F.when(open_ended, F.lit("2099-12-31").cast("date")).otherwise(F.coalesce(*whole, month, year))
+
+
+#: Forms of page marks (numbered heading, name, chapter; each followed by a page number).
+PAGE_MARKS = (
+    r"^\d{1,2}\.\d{1,2}\.\d{1,2}[\s　]+[一-龥【】]+[ \t　]+\d{3,5}$",
+    r"^[一-龥]+[ \t　]+\d{4,}$",
+    r"^第[一二三四五六七八九十百\d]+章[ \t　]+[一-龥]+[ \t　]+\d+$",
+)
 
 
 def flag_navigation(text: Column) -> Column:
-    """A page mark of at most 100 characters: numbered headings or chapter names followed by a page number."""
-    s = F.trim(text)
-    han = "[一-龥]"
-    marks = (
-        rf"^\d{{1,2}}\.\d{{1,2}}\.\d{{1,2}}[\s　]+[一-龥【】]+[ \t　]+\d{{3,5}}$",
-        rf"^{han}+[ \t　]+\d{{4,}}$",
-        rf"^第[一二三四五六七八九十百\d]+章[ \t　]+{han}+[ \t　]+\d+$",
-    )
-    return F.coalesce((F.length(s) <= 100) & reduce(lambda a, b: a | b, (s.rlike(m) for m in marks)), F.lit(False))
+    """A page mark of at most 100 characters."""
+    s = strip(text)
+    return F.coalesce((F.length(s) <= 100) & reduce(lambda a, b: a | b, (s.rlike(m) for m in PAGE_MARKS)), F.lit(False))
+
+
+#: What ends a sentence.
+SENTENCE_ENDS = "\n。！？.!?"
+
+
+def cut_points(text: str, size: int, overlap: int, most: float) -> list[tuple[int, int]]:
+    """(start, end) of the chunks of a text: one pass from left to right that looks at each window's final fifth."""
+    if not text or text.isspace():
+        return []
+    back, near, out, at = min(overlap, int(size * most)), int(size * 0.8), [], 0
+    while True:
+        end = at + size
+        if end >= len(text):
+            out.append((at, len(text)))
+            return out
+        last = max(text.rfind(c, at + near, end) for c in SENTENCE_ENDS)
+        end = last + 1 if last >= 0 else end
+        out.append((at, end))
+        at = max(end - back, at + 1)
 
 
 def sliding_chunks(text: Column, size: int = 500, overlap: int = 50, most: float = 0.3) -> Column:
     """Array of overlapping chunks: windows of `size` characters, cut after the last sentence end in their final fifth.
 
     The next window starts min(overlap, size * most) before the end of the last, and at least one character later.
-    Short texts are one chunk, blank ones none. Each text is split into characters once and every window looks at its
-    own part of them, so the work grows with the length."""
-    s = F.coalesce(text, F.lit(""))
-    back = min(overlap, int(size * most))
-    near = int(size * 0.8)
-    cuts_type = "array<struct<a:int,n:int>>"
-    chars = F.split(s, "")
-    ends = F.transform(chars, lambda c, i: F.when(c.isin(*"\n。！？.!?"), i + 1))
-
-    def cut(t: Column) -> Column:
-        n = F.size(t["chars"])
-
-        def step(acc: Column, _: Column) -> Column:
-            a = acc["a"]
-            last = a + size >= n
-            end = F.array_max(F.slice(t["ends"], a + near + 1, size - near))
-            stop = F.when(last, n).otherwise(F.coalesce(end, a + size)).cast("int")
-            then = F.when(last, n).otherwise(F.greatest(stop - back, a + 1)).cast("int")
-            done = F.concat(acc["cuts"], F.array(F.struct(a.alias("a"), (stop - a).alias("n"))))
-            return F.when(a >= n, acc).otherwise(F.struct(then.alias("a"), done.alias("cuts")))
-
-        start = F.struct(F.lit(0).alias("a"), F.array().cast(cuts_type).alias("cuts"))
-        steps = F.sequence(F.lit(1), (F.ceil(n / max(1, near + 1 - back)) + 1).cast("int"))
-        cuts = F.aggregate(steps, start, step, lambda acc: acc["cuts"])
-        return F.transform(cuts, lambda c: F.array_join(F.slice(t["chars"], c["a"] + 1, c["n"]), ""))
-
-    # one element, so that characters and sentence ends are made once for each text
-    one = F.array(F.struct(chars.alias("chars"), ends.alias("ends")))
-    blank = F.trim(F.translate(s, "\n\t\r", "   ")) == ""
-    return F.when(blank, F.array().cast("array<string>")).otherwise(F.transform(one, cut)[0])
+    Short texts are one chunk, null and blank ones none. Where a window ends depends on all before it, so a text is cut
+    by a loop over its windows, in Arrow batches; its work and memory grow with the length."""
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return pd.Series([[t[a:b] for a, b in cut_points(t, size, overlap, most)] for t in texts], dtype=object)
+
+    return cut(F.coalesce(text, F.lit("")))

@@ -2,60 +2,39 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from difflib import SequenceMatcher
-
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
-
-
-#: Certificates that are broadcast at most; a longer list is left to Spark's own choice of join.
-MOST_BROADCAST = 10_000
-
-
-@F.pandas_udf(DoubleType())
-def fuzzy_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Matching-blocks ratio of two strings; null stays null."""
-    for a, b in pairs:
-        yield pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else None for x, y in zip(a, b, strict=True)])
-
-
-def _within(a: Column, b: Column) -> Column:
-    return F.contains(a, b) | F.contains(b, a)
-
-
-def suggest_cert(texts: DataFrame, certs: DataFrame, least: float = 0.5) -> DataFrame:
-    """(text, cert_code, score): the best certificate for each different text, none under `least`.
-
-    Names and aliases count equal or contained; only where neither decides is the fuzzy ratio taken. A text with an
-    excluding keyword of a certificate never gets it. `certs` is a small dimension, so that the theta join with the
-    different texts stays linear in these."""
-    t, low = F.col("text"), F.lower("text")
-    small = certs.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    each = texts.select("text").distinct().crossJoin(F.broadcast(certs) if small else certs)
-    excluded = F.exists("exclude_keywords", lambda k: F.contains(low, F.lower(k)))
-    each = each.where(~F.coalesce(excluded, F.lit(False)) & (F.length("text") > 0))
-    full, short = F.lower("cert_full_name"), F.lower(F.nullif(F.col("cert_short_name"), F.lit("")))
-    zero = F.lit(0.0)
-    by_full = F.when(_within(low, full), 0.9).otherwise(zero)
-    by_short = F.when(t == F.col("cert_short_name"), 0.9).when(_within(low, short), 0.8).otherwise(zero)
-    alias_equal = F.exists("aliases", lambda a: F.lower(a) == low)
-    alias_within = F.exists("aliases", lambda a: _within(low, F.lower(a)))
-    named = F.greatest(by_full, by_short, F.when(alias_within, 0.8).otherwise(zero))
-    needed = F.exists("required_keywords", lambda k: F.contains(low, F.lower(k)))
-    exact = F.when(t == F.col("cert_full_name"), 1.0).when(alias_equal, 0.95)
-    each = each.select("text", "cert_id", "cert_code", "aliases", exact.alias("exact"), named.alias("named"), F.coalesce(needed, F.lit(False)).alias("needed"))
-    open_ = each.where("exact is null and named < 0.6").select("text", "cert_id", F.explode("aliases").alias("alias"))
-    ratios = open_.select("text", "cert_id", fuzzy_ratio(F.lower("text"), F.lower("alias")).alias("r")).groupBy("text", "cert_id").agg(F.max("r").alias("r"))
-    rows = each.join(ratios, ["text", "cert_id"], "left")
-    fuzzy = F.when(F.col("r") > 0.6, F.col("r") * 0.7).otherwise(zero)
-    score = F.coalesce("exact", F.greatest("named", fuzzy, F.when(F.col("needed"), 0.5).otherwise(zero)))
-    rows = rows.select("text", "cert_id", "cert_code", F.round(score, 2).alias("score")).where(F.col("score") >= least)
-    rank = F.row_number().over(W.partitionBy("text").orderBy(F.desc("score"), "cert_id"))
-    return rows.withColumn("n", rank).where("n = 1").select("text", "cert_code", "score")
+
+from tenderspark.functions.text import strip
+from tenderspark.operators.names import BLOCK, best_certificates, block_pairs
+
+
+def suggest_cert(texts: DataFrame, certs: DataFrame, least: float = 0.5, size: int = BLOCK) -> DataFrame:
+    """(text, cert_code, score): the best certificate for each different text, to two digits, none under `least`.
+
+    Blocks of texts meet blocks of certificates, and each task gives its best certificate for a text: names that contain
+    one another and keywords come from automata, and only pairs that share enough characters for a ratio over 0.6 are
+    compared. Of equal scores the smallest cert_id counts. Texts are compared without the blanks around them; null and
+    blank texts have no row, null and empty names, aliases and lists match nothing."""
+
+    def meet(asked: pa.Table, known: pa.Table) -> pa.Table:
+        known = known.sort_by("cert_id")
+        rows, given, bare = known.to_pylist(), asked["text"].to_pylist(), asked["bare"].to_pylist()
+        found = [(t, *hit) for t, hit in zip(given, best_certificates(bare, rows)) if hit]
+        return pa.table({
+            "text": pa.array([t for t, _, _ in found], pa.string()), "cert_id": pa.array([rows[k]["cert_id"] for _, k, _ in found], pa.int64()),
+            "cert_code": pa.array([rows[k]["cert_code"] for _, k, _ in found], pa.string()), "exact": pa.array([s for *_, s in found], pa.float64()),
+            "score": pa.array([round(s, 2) for *_, s in found], pa.float64()),
+        })
+
+    asked = texts.select("text").distinct().withColumn("bare", strip(F.col("text"))).where("bare <> ''").withColumn("key", F.col("text"))
+    known = certs.select(F.col("cert_id").cast("long").alias("cert_id"), "cert_code", "cert_full_name", "cert_short_name", "aliases", "required_keywords", "exclude_keywords")
+    known = known.where("cert_id is not null").withColumn("key", F.col("cert_id").cast("string"))
+    rows = block_pairs(asked, known, "key", meet, "text string, cert_id long, cert_code string, exact double, score double", size)
+    best = rows.groupBy("text").agg(F.min_by(F.struct("cert_code", "score"), F.struct(-F.col("exact"), "cert_id")).alias("b"))
+    return best.select("text", "b.cert_code", "b.score").where(F.col("score") >= least)
 
 
 def extract_validity_date(text: Column) -> Column:
@@ -110,6 +89,23 @@ def qualification_score(projects: DataFrame, matched: DataFrame) -> DataFrame:
     return rows.select("project", score.alias("score"), (failed == 0).alias("passed"), failed.alias("n_failed"))
 
 
+#: The system's own fatal rows, for a tender without requirements and for one whose optional ones were all missed.
+NOT_EXTRACTED, NONE_MATCHED = "SYSTEM_EXTRACTION_FAILED", "SYSTEM_CERT_EXTRACTION_FAILED"
+
+
+def qualification_report(projects: DataFrame, matched: DataFrame) -> DataFrame:
+    """(id, score, passed, missing, extraction_valid): `qualification_score` with the codes of its fatal rows, sorted, and
+    whether the tender's requirements were extracted at all."""
+    bad = F.col("is_mandatory") & F.col("status").isin("missing", "wrong", "expired")
+    codes = matched.groupBy("project").agg(F.array_sort(F.collect_list(F.when(bad, F.col("cert_code")))).alias("codes"), F.count_if("is_mandatory").alias("m"))
+    rows = qualification_score(projects, matched).join(codes, "project", "left")
+    none = F.array().cast("array<string>")
+    system = F.when(F.col("m").isNull(), F.array(F.lit(NOT_EXTRACTED))).when(~F.col("passed") & (F.col("m") == 0), F.array(F.lit(NONE_MATCHED)))
+    return rows.select(
+        F.col("project").alias("id"), "score", "passed", F.concat(F.coalesce("codes", none), F.coalesce(system, none)).alias("missing"), F.col("m").isNotNull().alias("extraction_valid")
+    )
+
+
 def review_queue(extractions: DataFrame, least: float = 0.8) -> DataFrame:
     """Extractions of low confidence."""
     return extractions.where(F.col("confidence") < least)

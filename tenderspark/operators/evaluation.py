@@ -43,7 +43,7 @@ def heuristic_cost(staff: Column, months: Column, deposit: Column, special: Colu
     base = (zero(staff) * zero(months) * 8000 + zero(deposit)).cast("decimal(15,2)")
     total = F.when(F.coalesce(special, F.lit(False)), base * F.lit("1.15").cast("decimal(3,2)")).otherwise(base).cast("decimal(18,4)")
     return {
-        "total": total, "low": total * F.lit("0.90").cast("decimal(3,2)"), "high": total * F.lit("1.15").cast("decimal(3,2)"),
+        "total": total, "low": F.bround(total * F.lit("0.90").cast("decimal(3,2)"), 2), "high": F.bround(total * F.lit("1.15").cast("decimal(3,2)"), 2),
         "confidence": F.when(known >= 4, "high").when(known >= 2, "medium").otherwise("low"),
     }
 
@@ -81,18 +81,29 @@ def collect_risks(passed: Column, missing: Column, level: Column, new_owner: Col
     }
 
 
-def evaluate(projects: DataFrame, owners: DataFrame, qualification: DataFrame, now: Column, competitors: int = 1) -> DataFrame:
-    """One report row per project from its qualification (id, score, passed, missing), time and owner."""
+def evaluate(projects: DataFrame, owners: DataFrame, qualification: DataFrame, now: Column, competitors: int = 1, scale: DataFrame | None = None) -> DataFrame:
+    """One report row per project from its qualification (id, score, passed, missing, extraction_valid), time, owner and
+    the figures of its scale (id, staff, months, deposit, special), which give a cost, its range and a confidence.
+
+    `certs.qualification_report` gives the qualification; a project without one has no score and no valid extraction.
+    Without figures of scale the cost is 0 and of low confidence."""
     rows = owner_profile(projects, owners).join(qualification, "id", "left")
+    if scale is None:
+        scale = projects.sparkSession.createDataFrame([], "id long, staff int, months int, deposit decimal(15,2), special boolean")
+    rows = rows.join(scale.select("id", "staff", "months", "deposit", "special"), "id", "left")
+    cost = heuristic_cost(*map(F.col, ("staff", "months", "deposit", "special")))
+    costs = F.struct(*(cost[k].alias(k) for k in ("total", "low", "high", "confidence"))).alias("cost")
+    valid = F.coalesce("extraction_valid", F.lit(False)).alias("extraction_valid")
     qual, passed = F.coalesce("score", F.lit(0)), F.coalesce("passed", F.lit(False))
     missing = F.coalesce("missing", F.array().cast("array<string>"))
     time = time_urgency(F.col("bid_open_date"), now)
-    rows = rows.select("id", qual.alias("qual"), passed.alias("passed"), missing.alias("missing"), time["level"].alias("level"), relationship_index(F.col("relationship")).alias("rel"), "is_new_owner")
+    rows = rows.select("id", qual.alias("qual"), passed.alias("passed"), missing.alias("missing"), time["level"].alias("level"), relationship_index(F.col("relationship")).alias("rel"), "is_new_owner", valid, costs)
     p = win_probability(F.col("qual"), F.col("level"), F.col("rel"), F.lit(competitors))
     rows = rows.withColumn("probability", p)
-    what, why = recommend(F.col("probability"), F.col("qual"), F.col("level"), F.lit(True))
+    what, why = recommend(F.col("probability"), F.col("qual"), F.col("level"), F.col("extraction_valid"))
     risks = collect_risks(F.col("passed"), F.col("missing"), F.col("level"), F.col("is_new_owner"))
-    return rows.select("id", "qual", "level", "probability", what.alias("recommendation"), why.alias("reason"), F.size(risks["fatal"]).alias("n_fatal"), risks["risk_level"].alias("risk_level"))
+    return rows.select("id", "qual", "level", "probability", what.alias("recommendation"), why.alias("reason"), F.size(risks["fatal"]).alias("n_fatal"), risks["risk_level"].alias("risk_level"),
+        "extraction_valid", F.col("cost.total").alias("estimated_cost"), F.col("cost.low").alias("price_low"), F.col("cost.high").alias("price_high"), F.col("cost.confidence").alias("cost_confidence"))
 
 
 def next_versions(reports: DataFrame, key: str = "project") -> DataFrame:

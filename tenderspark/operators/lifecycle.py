@@ -15,6 +15,10 @@ IN_PROGRESS = (
 )
 DISCARDED = ("discarded", "terminated_by_boss")
 COMPLETED = ("completed",)
+ACTIVE = (
+    "uploaded", "parsing", "parsed", "evaluating", "evaluation_ready", "pending_boss_approval", "approved_by_specialist", "rejected_by_specialist",
+    "generating_documents", "awaiting_pricing", "awaiting_review", "completed",
+)
 TRANSITIONS = (
     ("specialist", "submit_to_boss", "pending_boss_approval", "specialist_worthy"),
     ("specialist", "direct_execute", "generating_documents", "specialist_direct_execute"),
@@ -30,13 +34,14 @@ TRANSITIONS = (
 
 
 def list_projects(projects: DataFrame, role: str, user: str | None = None) -> DataFrame:
-    """What a role sees of the projects that are not deleted: finance three statuses, a specialist the own ones."""
+    """What a role sees of the projects that are not deleted, newest first: finance three statuses, a specialist the own
+    ones, all if there is no user."""
     rows = projects.where(~F.col("deleted"))
     if role == "finance":
         rows = rows.where(F.col("status").isin(*FINANCE_SEES))
-    if role == "specialist":
+    if role == "specialist" and user is not None:
         rows = rows.where(F.col("owner_unit") == user)
-    return rows
+    return rows.orderBy(F.desc("id"))
 
 
 def status_tabs(projects: DataFrame) -> DataFrame:
@@ -49,7 +54,7 @@ def find_duplicates(new: DataFrame, existing: DataFrame) -> DataFrame:
     """(id, kind, match): each new project's first duplicate, by plan code, then agency code, then name.
 
     Only active rows that are not deleted count; rows with `force` are not asked for."""
-    live = existing.where(~F.col("deleted") & (F.col("status") != "discarded"))
+    live = existing.where(~F.col("deleted") & F.col("status").isin(*ACTIVE))
     asked = new.where(~F.col("force"))
     kinds = ("plan_code", "agency_code", "name")
     keys = lambda df, id_name: df.select(
@@ -132,9 +137,9 @@ def apply_approvals(projects: DataFrame, actions: DataFrame) -> tuple[DataFrame,
 
 
 def approval_log(applied: DataFrame) -> DataFrame:
-    """Audit rows of applied approvals, all in the specialist's name."""
+    """Audit rows of applied approvals, in the name of the role that acted."""
     return applied.select(
-        "project", F.col("audit").alias("action_type"), F.lit("specialist").alias("actor_role"), F.col("reason").alias("reason_text"), "original_status", "new_status"
+        "project", F.col("audit").alias("action_type"), F.col("role").alias("actor_role"), F.col("reason").alias("reason_text"), "original_status", "new_status"
     )
 
 

@@ -17,8 +17,12 @@ def win_history(wins: DataFrame) -> DataFrame:
 
 
 def lose_history(losses: DataFrame) -> DataFrame:
-    """Lost projects (id, competitor_price, final_price) of which both prices are known."""
-    return losses.where("competitor_price is not null and final_price is not null").select("id", "competitor_price", "final_price")
+    """History rows of lost projects (id, project_type, region, budget, cost, final_price, competitor_price) of which both
+    prices are known: the discount rate is what the price leaves over the cost, by the budget, 0 without one."""
+    known = losses.where("competitor_price is not null and final_price is not null")
+    gain = (F.col("final_price") - F.col("cost")).cast("double")
+    rate = F.when(F.col("budget") > 0, gain / F.col("budget").cast("double")).otherwise(0.0)
+    return known.select("id", "project_type", "region", "budget", "cost", "final_price", "competitor_price", rate.alias("discount_rate"), F.lit(False).alias("won"))
 
 
 def extract_dna(proposals: DataFrame) -> DataFrame:
@@ -43,13 +47,13 @@ def evolution_log(outcomes: DataFrame, chunks: DataFrame, delta: int = 20) -> Da
 def upsert_traps(traps: DataFrame, disqualified: DataFrame) -> DataFrame:
     """Traps (title, code, n) with new reasons (id, category, reason) counted in; a new title gets TRAP_<category>_<id>.
 
-    Without a reason the title is Unknown disqualification."""
+    Without a reason the title is Unknown disqualification, without a category it is format."""
     title = F.coalesce(F.nullif(F.substring("reason", 1, 255), F.lit("")), F.lit("Unknown disqualification"))
     new = disqualified.groupBy(title.alias("title")).agg(
         F.count("*").alias("more"), F.min_by("category", "id").alias("category"), F.min("id").alias("first")
     )
     return traps.join(new, "title", "full_outer").select(
-        "title", F.coalesce("code", F.format_string("TRAP_%s_%d", "category", "first")).alias("code"),
+        "title", F.coalesce("code", F.format_string("TRAP_%s_%d", F.coalesce(F.nullif("category", F.lit("")), F.lit("format")), "first")).alias("code"),
         (F.coalesce("n", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n"),
     )
 
@@ -107,14 +111,14 @@ def draft_revivals(drafts: DataFrame, now: Column, by: Column, notes: Column, wi
 
 
 def evolution_report(chunks: DataFrame, dna: DataFrame, traps: DataFrame, quality: DataFrame, now: Column) -> DataFrame:
-    """One row: chunks, those deprecated, DNA and traps of the last 30 days, and the trend of mean quality against the
-    30 days before (up or down by more than 2; no chunks count as 0)."""
-    age = F.datediff(now, F.to_date("at"))
-    recent = age.between(0, 29)
+    """One row: chunks, those deprecated, DNA and traps since 30 days before `now` (that moment included), and the trend of
+    mean quality against the 30 days before (up or down by more than 2; no chunks count as 0)."""
+    since = lambda days: F.col("at") >= now - F.make_dt_interval(F.lit(days))
+    recent = F.coalesce(since(30), F.lit(False))
     a = chunks.agg(F.count("*").alias("total_chunks"), F.count_if(F.col("is_deprecated") & recent).alias("deprecated"))
     b = dna.agg(F.count_if(recent).alias("new_dna"))
     c = traps.agg(F.count_if(recent).alias("new_traps"))
-    q = quality.agg(F.avg(F.when(recent, F.col("quality"))).alias("now"), F.avg(F.when(age.between(30, 59), F.col("quality"))).alias("before"))
+    q = quality.agg(F.avg(F.when(recent, F.col("quality"))).alias("now"), F.avg(F.when(since(60) & ~recent, F.col("quality"))).alias("before"))
     change = F.coalesce("now", F.lit(0.0)) - F.coalesce("before", F.lit(0.0))
     trend = F.when(change > 2, "up").when(change < -2, "down").otherwise("stable")
     one = a.crossJoin(b).crossJoin(c).crossJoin(q)  # single rows

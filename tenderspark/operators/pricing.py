@@ -5,10 +5,14 @@ from __future__ import annotations
 import math
 from decimal import Decimal
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tenderspark.functions.text import strip
+
 MONEY = "decimal(15,2)"
 
 
@@ -116,31 +120,73 @@ def with_context(projects: DataFrame, benchmark: DataFrame) -> DataFrame:
 def similar_history(projects: DataFrame, history: DataFrame, within: str = "0.2") -> DataFrame:
     """(id, budget, history_id, history_budget, cost): same region and type, budget within +-20 %.
 
-    Budgets are dealt to bins as wide as the band is on a logarithmic scale, so a project meets its own and the two
-    neighbouring bins only; budgets of zero or less have a bin of their own."""
-    width = math.log((1 + float(within)) / (1 - float(within)))
-    bin_of = F.when(F.col("budget") > 0, F.floor(F.log(F.col("budget").cast("double")) / width)).otherwise(F.lit(-10_000)).cast("int")
-    projects = projects.withColumn("_bin", F.explode(F.sequence(bin_of - 1, bin_of + 1)))
+    One row for each pair; `similar_summary` gives what estimates need without them. Budgets are dealt to bins as wide
+    as the band is on a logarithmic scale, so a project meets its own and the two neighbouring bins only."""
+    projects = projects.withColumn("_bin", F.explode(F.sequence(_band(within) - 1, _band(within) + 1)))
     h = history.select(
-        "region", "project_type", bin_of.alias("_bin"), F.col("id").alias("history_id"), F.col("budget").alias("history_budget"), "cost"
+        "region", "project_type", _band(within).alias("_bin"), F.col("id").alias("history_id"), F.col("budget").alias("history_budget"), "cost"
     )
     band = F.col("history_budget").between(F.col("budget") * (1 - dec(within)), F.col("budget") * (1 + dec(within)))
-    return projects.select("id", "region", "project_type", "budget", "_bin").join(h, ["region", "project_type", "_bin"]).where(
-        band & (F.col("id") != F.col("history_id"))
-    ).select("id", "budget", "history_id", "history_budget", "cost")
+    rows = projects.select("id", "region", "project_type", "budget", "_bin").join(h, ["region", "project_type", "_bin"])
+    return rows.where(band).select("id", "budget", "history_id", "history_budget", "cost")
 
 
-def estimate_from_history(projects: DataFrame, similar: DataFrame) -> DataFrame:
-    """Cost per project: mean of similar costs, weighted by closeness of budgets, plus 5 %; else 75 % of the budget."""
-    b, h = F.col("budget").cast("double"), F.col("history_budget").cast("double")
-    weight = 1 / (1 + F.abs(b - h) / h)
-    found = similar.groupBy("id").agg(
-        F.count("*").alias("n"), (F.sum(weight * F.col("cost").cast("double")) / F.sum(weight) * 1.05).alias("cost")
-    )
-    n = F.coalesce("n", F.lit(0))
+def _band(within: str) -> Column:
+    """Bin of a budget on a logarithmic scale, as wide as the band; budgets of zero or less have a bin of their own."""
+    width = math.log((1 + float(within)) / (1 - float(within)))
+    return F.when(F.col("budget") > 0, F.floor(F.log(F.col("budget").cast("double")) / width)).otherwise(F.lit(-10_000)).cast("int")
+
+
+#: Projects of one bin that a task sums up at most.
+SWEEP = 20_000
+
+
+SUMMARY = pa.schema([*((c, pa.int64()) for c in ("id", "n", "first")), *((c, pa.float64()) for c in ("budgets", "weights", "costs"))])
+
+
+def similar_summary(projects: DataFrame, history: DataFrame, within: str = "0.2") -> DataFrame:
+    """(id, n, first, budgets, weights, costs) of the projects that have similar history: how many rows, their smallest
+    id and sum of budgets, the sum of their weights and of weighted costs; a weight is 1 / (1 + |budget - h| / h).
+
+    History of equal budgets is one row. A bin of projects meets the history of its own and the neighbouring bins in one
+    task (several, if it is crowded), where both lie in the order of budgets and a window slides along; no pair of rows
+    is made. Rows without region, type or budget have no history; history of no budget above zero is left out."""
+    key, cents = ["region", "project_type"], (F.col("budget") * 100).cast("long")
+    asked = projects.where("budget is not null").select("id", *key, _band(within).alias("bin"), cents.alias("b"))
+    known = history.where("budget > 0").select("id", *key, _band(within).alias("bin"), cents.alias("h"), F.col("cost").cast("double").alias("cost"))
+    known = known.groupBy(*key, "bin", "h").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.sum("cost").alias("cost"))
+    parts = asked.groupBy(*key, "bin").agg(F.ceil(F.count("*") / SWEEP).cast("int").alias("parts"))
+    asked = asked.join(parts, [*key, "bin"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
+    near = known.withColumn("bin", F.explode(F.sequence(F.col("bin") - 1, F.col("bin") + 1))).join(parts, [*key, "bin"])
+    near = near.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    low, high = (int((1 + sign * Decimal(within)) * 1000) for sign in (-1, 1))
+
+    def sweep(mine: pa.Table, past: pa.Table) -> pa.Table:
+        past = past.sort_by("h")
+        h, n, cost, first = (past[c].to_numpy() for c in ("h", "n", "cost", "first"))
+        b = mine["b"].to_numpy()
+        start, end = np.searchsorted(h * 1000, b * low, "left"), np.searchsorted(h * 1000, b * high, "right")
+        rows = []
+        for at in np.flatnonzero(end > start):
+            s = slice(start[at], end[at])
+            weight = h[s] / (h[s] + np.abs(b[at] - h[s]))
+            rows.append((at, int(n[s].sum()), int(first[s].min()), float((h[s] * n[s]).sum()) / 100, float((weight * n[s]).sum()), float((weight * cost[s]).sum())))
+        at, *sums = zip(*rows) if rows else ((),) * 6
+        return pa.table([mine["id"].take(pa.array(at, pa.int64())), *sums], schema=SUMMARY)
+
+    near = near.select(*(F.col(c).alias(c) for c in near.columns))  # `history` may be made of the same columns
+    groups = [df.groupBy(*key, "bin", "part") for df in (asked, near)]
+    return groups[0].cogroup(groups[1]).applyInArrow(sweep, "id long, n long, first long, budgets double, weights double, costs double")
+
+
+def estimate_from_history(projects: DataFrame, summary: DataFrame) -> DataFrame:
+    """Cost per project: mean of similar costs, weighted by closeness of budgets, plus 5 %, to the cent with halves to
+    even; 75 % of the budget for a project without a row in `summary`."""
+    found = summary.select("id", F.col("n").alias("_n"), F.bround(F.col("costs") / F.col("weights") * 1.05, 2).alias("_cost"))
+    n = F.coalesce("_n", F.lit(0))
     return projects.select("id", "budget").join(found, "id", "left").select(
         "id",
-        F.round(F.coalesce("cost", F.col("budget").cast("double") * 0.75), 4).alias("estimate"),
+        F.coalesce("_cost", F.col("budget").cast("double") * 0.75).alias("estimate"),
         n.alias("n"),
         F.when(n >= 3, "medium").otherwise("low").alias("confidence"),
         (n == 0).alias("fallback"),
@@ -156,23 +202,25 @@ def breakdown_cost(cost: Column) -> list[Column]:
 
 
 def win_probability(price: Column, cost: Column, budget: Column, relationship: Column, tech: str = "75", weight: str = "0.3") -> dict[str, Column]:
-    """Score, probability and profit of a price against an assumed lowest competitor at 85 % of the budget."""
-    lowest = budget * dec("0.85")
-    price_score = F.when(price <= lowest, F.lit(100.0)).otherwise(lowest.cast("double") / price.cast("double") * 100)
-    business = F.when(relationship >= 50, F.lit(90.0)).otherwise(75.0)
-    w = float(weight)
-    total = float(tech) * (1 - w - 0.3) + business * 0.3 + price_score * w
-    total = F.round(total, 6)
-    by_score = F.when(total >= 90, 0.85).when(total >= 80, 0.65).when(total >= 70, 0.40).otherwise(0.15)
-    chance = F.when(relationship >= 80, F.greatest(by_score, F.lit(0.75))).otherwise(by_score)
-    ok = price > 0
-    zero = lambda c: F.when(ok, c).otherwise(F.lit(0.0))
-    profit = (price - cost).cast("double")
+    """Score, probability and profit of a price against an assumed lowest competitor at 85 % of the budget.
+
+    All in decimals: the probability follows the score as it is; score and profit are given to two digits, the margin to
+    four, halves to even. A price of zero or less has zeros."""
+    exact = lambda c: c.cast("decimal(20,4)")
+    price, lowest = exact(price), exact(budget * dec("0.85"))
+    price_score = F.when(price <= lowest, dec("100")).otherwise(lowest / price * 100).cast("decimal(24,16)")
+    business = F.when(relationship >= 50, dec("90")).otherwise(dec("75"))
+    rest = str(1 - Decimal(weight) - Decimal("0.3"))
+    total = (dec(tech) * dec(rest) + business * dec("0.3") + price_score * dec(weight)).cast("decimal(24,16)")
+    by_score = F.when(total >= 90, dec("0.85")).when(total >= 80, dec("0.65")).when(total >= 70, dec("0.40")).otherwise(dec("0.15"))
+    chance = F.when(relationship >= 80, F.greatest(by_score, dec("0.75"))).otherwise(by_score)
+    profit = price - exact(cost)
+    number = lambda c: F.when(price > 0, c.cast("double")).otherwise(F.lit(0.0))
     return {
-        "total_score": zero(total),
-        "win_probability": zero(chance),
-        "expected_profit": zero(F.round(profit * chance, 6)),
-        "profit_margin": zero(F.round(profit / price.cast("double"), 6)),
+        "total_score": number(F.bround(total, 2)),
+        "win_probability": number(chance),
+        "expected_profit": number(F.bround(profit * chance, 2)),
+        "profit_margin": number(F.bround(profit / F.when(price > 0, price), 4)),
     }
 
 
@@ -258,7 +306,7 @@ def derive_decision(costs: DataFrame, scenarios: DataFrame, decided: DataFrame)
         deviation.alias("deviation"),
         (F.col("final_price") <= F.col("budget")).alias("under_limit"),
         level.alias("level"),
-        (~needs | (F.length(F.trim("reason")) >= 10)).alias("reason_ok"),
+        (~needs | (F.length(strip(F.col("reason"))) >= 10)).alias("reason_ok"),
     )
 
 

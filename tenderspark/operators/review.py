@@ -79,7 +79,7 @@ def seal_rows(projects: DataFrame) -> DataFrame:
     packaging = F.when(F.size("packaging") > 0, F.col("packaging"))
     kinds = F.array(
         F.struct(F.lit("signature_seal").alias("category"), F.coalesce(seals, usual(SEAL_ITEMS)).alias("items")),
-        F.struct(F.lit("seal_requirements").alias("category"), F.coalesce(seals, packaging, usual(PACKAGE_ITEMS)).alias("items")),
+        F.struct(F.lit("seal_requirement").alias("category"), F.coalesce(seals, packaging, usual(PACKAGE_ITEMS)).alias("items")),
     )
     rows = projects.select(F.col("id").alias("project"), F.inline(kinds)).select("project", "category", F.explode("items").alias("item"))
     return rows.select("*", F.lit("warning").alias("risk_level"), F.lit("uncertain").alias("system_status"))

@@ -25,7 +25,7 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-def half_even(scaled: str, unit: int) -> str:
+def half_even(scaled: str, unit: int | str) -> str:
     """SQL: the integer expression `scaled` divided by `unit`, halves to the even neighbour (for values >= 0)."""
     q, r = f"(({scaled}) // {unit})", f"(({scaled}) % {unit})"
     return f"({q} + CASE WHEN 2 * {r} > {unit} OR (2 * {r} = {unit} AND {q} % 2 = 1) THEN 1 ELSE 0 END)"
@@ -108,7 +108,9 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
         F.when(F.col("doc_id") % 3 == 0, F.array()).otherwise(F.array(F.lit("dim"), "source")).cast("array<string>").alias("dimension_tags"),
         F.array(F.when(F.col("doc_id") % 2 == 0, "goods").otherwise("service")).alias("project_type_tags"),
         F.when(F.col("doc_id") % 5 == 0, "project_upload").when(F.col("doc_id") % 5 == 1, "internal_postmortem").otherwise("historical_tender").alias("source_type"),
-        F.col("source").alias("source_label"),
+        F.when(F.col("doc_id") % 8 != 0, F.col("source")).alias("source_label"),
+        F.when(F.col("doc_id") % 4 == 0, "commercial").when(F.col("doc_id") % 16 != 1, "technical").alias("chunk_type"),
+        (F.col("doc_id") % 7).cast("int").alias("chunk_index"),
         (F.col("doc_id") % 10).cast("int").alias("project"),
         (F.col("doc_id") % 17 == 0).alias("is_deprecated"),
     )
@@ -148,7 +150,7 @@ chunk AS (
   SELECT d.doc_id AS chunk_id, d.text AS content, e.embedding AS vector,
          CASE quality WHEN 1 THEN 'positive' WHEN 0 THEN 'negative' ELSE 'neutral' END AS win_signal,
          d.lang AS region_tag, CASE WHEN d.doc_id % 3 = 0 THEN [] ELSE ['dim', d.source] END AS dims, CASE WHEN d.doc_id % 2 = 0 THEN 'goods' ELSE 'service' END AS ptype,
-         CASE d.doc_id % 5 WHEN 0 THEN 'project_upload' WHEN 1 THEN 'internal_postmortem' ELSE 'historical_tender' END AS source_type, d.source AS source_label, CAST(d.doc_id % 10 AS INTEGER) AS project,
+         CASE d.doc_id % 5 WHEN 0 THEN 'project_upload' WHEN 1 THEN 'internal_postmortem' ELSE 'historical_tender' END AS source_type, CASE WHEN d.doc_id % 8 <> 0 THEN d.source END AS source_label, CASE WHEN d.doc_id % 4 = 0 THEN 'commercial' WHEN d.doc_id % 16 <> 1 THEN 'technical' END AS chunk_type, CAST(d.doc_id % 7 AS INTEGER) AS chunk_index, CAST(d.doc_id % 10 AS INTEGER) AS project,
          d.doc_id % 17 = 0 AS is_deprecated
   FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id LEFT JOIN embeddings e ON e.vec_id = d.doc_id),
 query_vec AS (SELECT vec_id AS query_id, embedding AS query_vector, label AS project FROM embeddings WHERE vec_id % 50 = 0)"""

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tenderspark.operators import certs as C
 from tenderspark.operators import evaluation as E
-from tenderspark.plans.base import bids, projects, query, table
+from tenderspark.plans.base import bids, half_even, projects, query, table
+from tenderspark.plans.ingest import MATCHED, matched
 
 NOW = "TIMESTAMP '1998-06-15 12:00:00'"
 TIME = f"""timed AS (SELECT *, CAST(floor((epoch_us(bid_open_date) - epoch_us({NOW})) / 86400000000) AS BIGINT) AS days FROM project),
 leveled AS (SELECT *, CASE WHEN days IS NULL THEN 'unknown' WHEN days < 0 THEN 'expired' WHEN days <= 3 THEN 'urgent' WHEN days <= 7 THEN 'tight' WHEN days <= 15 THEN 'normal' ELSE 'relaxed' END AS level FROM timed)"""
 OWNERS = "owners AS (SELECT c_name AS owner_unit, CASE c_custkey % 5 WHEN 0 THEN 'strong' WHEN 1 THEN 'medium' WHEN 2 THEN 'weak' WHEN 3 THEN 'none' ELSE 'Medium' END AS relationship FROM customer WHERE c_custkey % 4 <> 0)"
-QUAL = "qual AS (SELECT id, 50 + id % 50 AS score, id % 7 <> 0 AS passed, id % 7 = 0 AS lacks FROM project WHERE id % 11 <> 0)"
 
 
 def _now():
@@ -41,10 +42,10 @@ def e2_owner_profile(spark: SparkSession, d: str) -> DataFrame:
     return E.owner_profile(projects(spark, d), _owners(spark, d)).select("id", "relationship", "is_new_owner")
 
 
-@query("""WITH c AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 5 <> 0 THEN p_size END AS staff, CASE WHEN p_partkey % 3 <> 0 THEN p_partkey % 12 + 1 END AS months,
+@query(f"""WITH c AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 5 <> 0 THEN p_size END AS staff, CASE WHEN p_partkey % 3 <> 0 THEN p_partkey % 12 + 1 END AS months,
 CASE WHEN p_partkey % 7 <> 0 THEN CAST(p_partkey * 10 AS BIGINT) END AS deposit, CASE WHEN p_partkey % 2 = 0 THEN p_size > 25 END AS special FROM part),
 t AS (SELECT *, (coalesce(staff, 0) * coalesce(months, 0) * 8000 + coalesce(deposit, 0)) * (CASE WHEN special THEN 115 ELSE 100 END) AS c FROM c)
-SELECT id, c / 100.0::DOUBLE AS total, c * 90 / 10000.0::DOUBLE AS low, c * 115 / 10000.0::DOUBLE AS high,
+SELECT id, c / 100.0::DOUBLE AS total, CAST({half_even('c * 90', 100)} AS DOUBLE) / 100 AS low, CAST({half_even('c * 115', 100)} AS DOUBLE) / 100 AS high,
 CASE WHEN (staff IS NOT NULL)::INT + (months IS NOT NULL)::INT + (deposit IS NOT NULL)::INT + coalesce(special, false)::INT >= 4 THEN 'high'
 WHEN (staff IS NOT NULL)::INT + (months IS NOT NULL)::INT + (deposit IS NOT NULL)::INT + coalesce(special, false)::INT >= 2 THEN 'medium' ELSE 'low' END AS confidence FROM t""")
 def e3_heuristic_cost(spark: SparkSession, d: str) -> DataFrame:
@@ -89,19 +90,30 @@ def e7_collect_risks(spark: SparkSession, d: str) -> DataFrame:
     return _projects(spark, d).select("id", F.size(r["fatal"]).alias("n_fatal"), r["warnings"].alias("warnings"), r["risk_level"].alias("risk_level"))
 
 
-@query(f"""WITH {TIME}, {OWNERS}, {QUAL}, r AS (SELECT l.id, level, coalesce(score, 0) AS qual, coalesce(passed, false) AS passed, coalesce(lacks, false) AS lacks, relationship IS NULL AS is_new,
-CASE lower(coalesce(relationship, 'none')) WHEN 'strong' THEN 3 WHEN 'medium' THEN 2 WHEN 'weak' THEN 1 ELSE 0 END AS rel, 1 AS competitors
-FROM leveled l LEFT JOIN owners USING (owner_unit) LEFT JOIN qual q ON q.id = l.id), p AS (SELECT *, {CHANCE} AS p FROM r)
-SELECT id, qual, level, p AS probability, CASE WHEN p = 0 THEN 'abandon' WHEN p > 0.6 THEN 'worth_bidding' ELSE 'conditional' END AS recommendation,
-CASE WHEN p = 0 THEN CASE WHEN level = 'expired' THEN 'expired' WHEN qual < 60 THEN 'qualification' ELSE 'fatal' END WHEN p > 0.6 THEN 'strong' ELSE 'review' END AS reason,
-(NOT passed AND lacks)::INT + (level = 'expired')::INT AS n_fatal,
-CASE WHEN (NOT passed AND lacks) OR level = 'expired' THEN 'high' WHEN is_new THEN 'medium' ELSE 'low' END AS risk_level FROM p""")
+SCALE = """scale AS (SELECT id, CASE WHEN id % 5 <> 0 THEN id % 40 END AS staff, CASE WHEN id % 3 <> 0 THEN id % 12 + 1 END AS months, CASE WHEN id % 7 <> 0 THEN id % 1000 * 10 END AS deposit,
+CASE WHEN id % 2 = 0 THEN id % 4 = 0 END AS special FROM project WHERE id % 13 <> 0),
+cost AS (SELECT id, (coalesce(staff, 0) * coalesce(months, 0) * 8000 + coalesce(deposit, 0)) * (CASE WHEN special THEN 115 ELSE 100 END) AS c,
+(staff IS NOT NULL)::INT + (months IS NOT NULL)::INT + (deposit IS NOT NULL)::INT + coalesce(special, false)::INT AS known FROM scale)"""
+
+
+@query(f"""WITH {TIME}, {OWNERS}, {MATCHED}, {SCALE}, per AS (SELECT project, count(*) FILTER (WHERE is_mandatory) AS m, count(*) AS n, count(*) FILTER (WHERE is_mandatory AND status = 'missing') AS gone,
+count(*) FILTER (WHERE is_mandatory AND status IN ('missing', 'wrong', 'expired')) AS failed, count(*) FILTER (WHERE NOT is_mandatory AND status NOT IN ('missing', 'wrong')) AS held FROM matched GROUP BY 1),
+r AS (SELECT l.id, level, CASE WHEN m > 0 THEN (m - gone) * 100 // m WHEN n > 0 THEN held * 100 // n ELSE 0 END AS qual, coalesce(failed, 0) + (coalesce(m, 0) = 0 AND coalesce(held, 0) = 0)::INT AS n_bad, n IS NOT NULL AS valid,
+relationship IS NULL AS is_new, CASE lower(coalesce(relationship, 'none')) WHEN 'strong' THEN 3 WHEN 'medium' THEN 2 WHEN 'weak' THEN 1 ELSE 0 END AS rel, 1 AS competitors
+FROM leveled l LEFT JOIN owners USING (owner_unit) LEFT JOIN per ON per.project = l.id), p AS (SELECT *, {CHANCE} AS p FROM r)
+SELECT p.id, CAST(qual AS INTEGER) AS qual, level, p AS probability, CASE WHEN p = 0 THEN 'abandon' WHEN p > 0.6 THEN 'worth_bidding' ELSE 'conditional' END AS recommendation,
+CASE WHEN p = 0 THEN CASE WHEN level = 'expired' THEN 'expired' WHEN qual < 60 THEN 'qualification' WHEN NOT valid THEN 'extraction' ELSE 'fatal' END WHEN p > 0.6 THEN 'strong' ELSE 'review' END AS reason,
+CAST(n_bad + (level = 'expired')::INT AS INTEGER) AS n_fatal, CASE WHEN n_bad > 0 OR level = 'expired' THEN 'high' WHEN is_new THEN 'medium' ELSE 'low' END AS risk_level, valid AS extraction_valid,
+coalesce(c, 0) / 100.0::DOUBLE AS estimated_cost, CAST({half_even("coalesce(c, 0) * 90", 100)} AS DOUBLE) / 100 AS price_low, CAST({half_even("coalesce(c, 0) * 115", 100)} AS DOUBLE) / 100 AS price_high,
+CASE WHEN coalesce(known, 0) >= 4 THEN 'high' WHEN coalesce(known, 0) >= 2 THEN 'medium' ELSE 'low' END AS cost_confidence FROM p LEFT JOIN cost ON cost.id = p.id""")
 def e8_evaluate(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("id")
-    lacks = F.when(k % 7 == 0, F.array(F.lit("FOOD"))).otherwise(F.array().cast("array<string>"))
-    qual = projects(spark, d).where("id % 11 <> 0").select("id", (50 + k % 50).alias("score"), (k % 7 != 0).alias("passed"), lacks.alias("missing"))
     p = _projects(spark, d).withColumn("bid_open_date", F.col("bid_open_date").cast("timestamp"))
-    return E.evaluate(p, _owners(spark, d), qual, _now().cast("timestamp"))
+    scale = p.where("id % 13 <> 0").select(
+        "id", F.when(k % 5 != 0, k % 40).alias("staff"), F.when(k % 3 != 0, k % 12 + 1).alias("months"), F.when(k % 7 != 0, k % 1000 * 10).alias("deposit"), F.when(k % 2 == 0, k % 4 == 0).alias("special")
+    )
+    report = E.evaluate(p, _owners(spark, d), C.qualification_report(p, matched(spark, d)), _now().cast("timestamp"), scale=scale)
+    return report.withColumns({c: F.col(c).cast("double") for c in ("estimated_cost", "price_low", "price_high")})
 
 
 @query("SELECT project, CAST(max(place) AS INTEGER) AS latest, CAST(max(place) + 1 AS INTEGER) AS next FROM bid GROUP BY 1")

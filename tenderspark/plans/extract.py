@@ -12,12 +12,14 @@ from tenderspark.plans.base import query, table
 from tenderspark.sources import outcome_book as B
 
 
-@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN CAST(ts AS DATE) WHEN 1 THEN CAST(ts AS DATE) WHEN 2 THEN CAST(ts AS DATE) WHEN 3 THEN last_day(CAST(ts AS DATE))
-WHEN 4 THEN make_date(year(ts), 12, 31) ELSE NULL END AS parsed FROM events""")
+@query("""SELECT event_id, CASE WHEN event_id % 12 IN (0, 1, 2, 6) THEN CAST(ts AS DATE) WHEN event_id % 12 = 3 THEN last_day(CAST(ts AS DATE))
+WHEN event_id % 12 = 4 THEN make_date(year(ts), 12, 31) WHEN event_id % 12 = 7 THEN DATE '2099-12-31' ELSE NULL END AS parsed FROM events""")
 def b2_parse_loose_date(spark: SparkSession, d: str) -> DataFrame:
-    k, f = F.col("event_id") % 6, lambda p: F.date_format("ts", p)
+    k, f = F.col("event_id") % 12, lambda p: F.date_format("ts", p)
     said = F.when(k == 0, F.translate(f("yyyy-MM-dd"), "01", "Ol")).when(k == 1, f("yyyy/M/d")).when(k == 2, f("yyyy'年'M'月'd'日'")).when(
-        k == 3, f("yyyy'年'M'月'")).when(k == 4, f("yyyy'年'")).otherwise(F.lit("soon"))
+        k == 3, f("yyyy'年'M'月'")).when(k == 4, f("yyyy'年'")).when(k == 5, "soon")
+    said = said.when(k == 6, F.translate(f("yyyy'5年'M'月'd'日'"), "02", "o2")).when(k == 7, F.concat(F.lit("　长期有效 "), f("yyyy"))).when(k == 8, f("yyyyMMdd")).when(
+        k == 9, f("yyyy'年'M'月'd")).when(k == 10, f("yyyy.M/d"))
     return table(spark, d, "events").select("event_id", T.parse_loose_date(said).alias("parsed"))
 
 
@@ -28,7 +30,7 @@ UNION ALL SELECT k, 'budget_amount', CAST(money AS VARCHAR), 0.9::DOUBLE FROM o
 UNION ALL SELECT k, 'region', CASE WHEN k % 5 < 2 THEN '广东省惠州市' ELSE '南昌红谷滩' END, 0.8::DOUBLE FROM o WHERE k % 5 < 4
 UNION ALL SELECT k, 'plan_code', (100000 + k) || '-' || year(day) || '-' || (50000 + k % 1000), 0.95::DOUBLE FROM o WHERE k % 7 < 3
 UNION ALL SELECT k, 'project_type', CASE WHEN k % 3 = 0 THEN 'service' ELSE 'engineering' END, CASE WHEN k % 3 = 0 THEN 0.85 ELSE 0.8 END::DOUBLE FROM o WHERE k % 3 < 2
-UNION ALL SELECT k, 'bid_open_date', CAST(CAST(day AS DATE) AS VARCHAR), 0.75::DOUBLE FROM o WHERE k % 6 < 4""")
+UNION ALL SELECT k, 'bid_open_date', CAST(CAST(day AS DATE) AS VARCHAR), 0.75::DOUBLE FROM o WHERE k % 6 < 3""")
 def b3_extract_labelled_fields(spark: SparkSession, d: str) -> DataFrame:
     """Pages with every field in several shapes: on the label's line or the next one, by several labels, or missing."""
     nations = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))

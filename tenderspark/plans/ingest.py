@@ -94,7 +94,7 @@ WHEN date_diff('day', CAST(p.bid_open_date AS DATE), f.valid_until) < 0 THEN 'ex
 FROM req1 r JOIN project p ON p.id = r.project LEFT JOIN first f ON f.project = r.project AND f.cert_code = r.cert_code)"""
 
 
-def _matched(spark: SparkSession, d: str) -> DataFrame:
+def matched(spark: SparkSession, d: str) -> DataFrame:
     req, ext = _requirements(spark, d)
     return C.match_qualifications(req, ext, _certs(spark, d), projects(spark, d))
 
@@ -114,7 +114,7 @@ def d1_suggest_cert(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {MATCHED} SELECT project, cert_code, is_mandatory, status FROM matched")
 def d2_match_qualifications(spark: SparkSession, d: str) -> DataFrame:
-    return _matched(spark, d)
+    return matched(spark, d)
 
 
 @query(f"""WITH {MATCHED}, per AS (SELECT project, count(*) FILTER (WHERE is_mandatory) AS m, count(*) AS n, count(*) FILTER (WHERE is_mandatory AND status = 'missing') AS gone,
@@ -123,7 +123,7 @@ f AS (SELECT p.id AS project, coalesce(m, 0) AS m, coalesce(n, 0) AS n, coalesce
 SELECT project, CAST(CASE WHEN m > 0 THEN (m - gone) * 100 // m WHEN n > 0 THEN held * 100 // n ELSE 0 END AS INTEGER) AS score,
 failed + (m = 0 AND held = 0)::INT = 0 AS passed, failed + (m = 0 AND held = 0)::INT AS n_failed FROM f""")
 def d3_qualification_score(spark: SparkSession, d: str) -> DataFrame:
-    return C.qualification_score(projects(spark, d), _matched(spark, d))
+    return C.qualification_score(projects(spark, d), matched(spark, d))
 
 
 @query("""SELECT event_id, CASE event_id % 3 WHEN 2 THEN NULL ELSE CAST(ts AS DATE) END AS valid_until FROM events""")

@@ -32,12 +32,12 @@ def g2_status_tabs(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH new AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN p_brand || p_size END AS plan_code, CASE WHEN p_partkey % 2 = 0 THEN p_type || p_brand END AS agency_code, p_name AS name FROM part),
 k AS (SELECT id, 0 AS o, 'plan_code' AS kind, plan_code AS key FROM new UNION ALL SELECT id, 1, 'agency_code', agency_code FROM new UNION ALL SELECT id, 2, 'name', name FROM new),
 h AS (SELECT a.id, a.kind, b.id AS match, row_number() OVER (PARTITION BY a.id ORDER BY a.o, b.id) AS n FROM k a JOIN k b ON a.o = b.o AND a.key = b.key AND a.id <> b.id
-WHERE a.key <> '' AND a.id % 5 <> 0 AND b.id % 10 <> 0) SELECT id, kind, match FROM h WHERE n = 1""")
+WHERE a.key <> '' AND a.id % 5 <> 0 AND b.id % 10 <> 0 AND b.id % 7 > 1) SELECT id, kind, match FROM h WHERE n = 1""")
 def g3_find_duplicates(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
     rows = table(spark, d, "part").select(
         k.alias("id"), F.when(k % 3 == 0, F.concat("p_brand", "p_size")).alias("plan_code"), F.when(k % 2 == 0, F.concat("p_type", "p_brand")).alias("agency_code"),
-        F.col("p_name").alias("name"), (k % 10 == 0).alias("deleted"), F.lit("evaluating").alias("status"), (k % 5 == 0).alias("force"),
+        F.col("p_name").alias("name"), (k % 10 == 0).alias("deleted"), F.when(k % 7 == 0, "terminated_by_boss").when(k % 7 == 1, "discarded").otherwise("evaluating").alias("status"), (k % 5 == 0).alias("force"),
     )
     return L.find_duplicates(rows, rows)
 
@@ -120,7 +120,7 @@ def g7_rejected_approvals(spark: SparkSession, d: str) -> DataFrame:
     return L.apply_approvals(_judged(spark, d), _actions(spark, d))[1]
 
 
-@query(f"""WITH {_JUDGED} SELECT project, audit AS action_type, 'specialist' AS actor_role, reason AS reason_text, original_status, new_status FROM j WHERE why IS NULL""")
+@query(f"""WITH {_JUDGED} SELECT project, audit AS action_type, role AS actor_role, reason AS reason_text, original_status, new_status FROM j WHERE why IS NULL""")
 def g7_approval_log(spark: SparkSession, d: str) -> DataFrame:
     return L.approval_log(L.apply_approvals(_judged(spark, d), _actions(spark, d))[0])
 

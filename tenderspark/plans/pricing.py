@@ -65,32 +65,23 @@ def f5_cold_start(spark: SparkSession, d: str) -> DataFrame:
     return P.with_context(projects(spark, d), _benchmark(spark, d).where("region <> 'ASIA'"))
 
 
-SIMILAR = """asked AS (SELECT * FROM project WHERE status = 'evaluating'), alike AS (
-SELECT p.id, p.budget, h.id AS history_id, h.budget AS history_budget, h.cost FROM asked p
-JOIN price_history h USING (region, project_type)
-WHERE h.budget BETWEEN p.budget * 0.8 AND p.budget * 1.2 AND h.id <> p.id)"""
-
-
-def _similar(spark: SparkSession, d: str) -> DataFrame:
-    return P.similar_history(projects(spark, d).where("status = 'evaluating'"), price_history(spark, d))
+SIMILAR = """alike AS (
+SELECT p.id, p.budget, h.id AS history_id, h.budget AS history_budget, h.cost, 1 / (1 + abs(CAST(p.budget AS DOUBLE) - CAST(h.budget AS DOUBLE)) / CAST(h.budget AS DOUBLE)) AS weight FROM project p
+JOIN price_history h USING (region, project_type) WHERE h.budget BETWEEN p.budget * 0.8 AND p.budget * 1.2 AND h.budget > 0)"""
 
 
 @query(f"WITH {SIMILAR} SELECT id, count(*) AS n, min(history_id) AS first, CAST(sum(history_budget) AS DOUBLE) AS budgets FROM alike GROUP BY 1")
 def f6_similar_history(spark: SparkSession, d: str) -> DataFrame:
-    return _similar(spark, d).groupBy("id").agg(
-        F.count("*").alias("n"), F.min("history_id").alias("first"), F.sum("history_budget").cast("double").alias("budgets")
-    )
+    return P.similar_summary(projects(spark, d), price_history(spark, d)).select("id", "n", "first", F.round("budgets", 2).alias("budgets"))
 
 
-@query(f"""WITH {SIMILAR}, f AS (SELECT id, count(*) AS n,
-sum(cost / (1 + abs(CAST(budget AS DOUBLE) - CAST(history_budget AS DOUBLE)) / CAST(history_budget AS DOUBLE)))
-/ sum(1 / (1 + abs(CAST(budget AS DOUBLE) - CAST(history_budget AS DOUBLE)) / CAST(history_budget AS DOUBLE))) * 1.05 AS cost
-FROM alike GROUP BY 1)
-SELECT a.id, round(coalesce(f.cost, CAST(a.budget AS DOUBLE) * 0.75), 4) AS estimate, coalesce(n, 0) AS n,
+@query(f"""WITH {SIMILAR}, f AS (SELECT id, count(*) AS n, sum(cost * weight) / sum(weight) * 1.05::DOUBLE AS cost FROM alike GROUP BY 1)
+SELECT p.id, coalesce(round_even(f.cost, 2), CAST(p.budget AS DOUBLE) * 0.75::DOUBLE) AS estimate, coalesce(n, 0) AS n,
 CASE WHEN coalesce(n, 0) >= 3 THEN 'medium' ELSE 'low' END AS confidence, coalesce(n, 0) = 0 AS fallback
-FROM asked a LEFT JOIN f USING (id)""")
+FROM project p LEFT JOIN f USING (id)""")
 def f7_estimate_from_history(spark: SparkSession, d: str) -> DataFrame:
-    return P.estimate_from_history(projects(spark, d).where("status = 'evaluating'"), _similar(spark, d))
+    p = projects(spark, d)
+    return P.estimate_from_history(p, P.similar_summary(p, price_history(spark, d)))
 
 
 @query("SELECT id, " + ", ".join(
@@ -108,14 +99,18 @@ CAST({half_even("CAST(budget * 100 AS BIGINT) * 75", 100)} AS DECIMAL(15,2)) / 1
 
 
 def _measures(price: str) -> str:
-    """SQL of the measures of a price in ten-thousandths (integer), over costs."""
-    p, c, b = f"({price} / 10000.0::DOUBLE)", "(cost_c / 100.0::DOUBLE)", "budget_c"
-    score = f"CASE WHEN {price} * 100 <= {b} * 8500 THEN 100.0 ELSE (CAST({b} * 85 AS DOUBLE) / 10000) / {p} * 100 END"
-    total = f"round(75.0 * (1 - 0.3::DOUBLE - 0.3::DOUBLE) + (CASE WHEN relationship >= 50 THEN 90.0 ELSE 75.0 END) * 0.3::DOUBLE + ({score}) * 0.3::DOUBLE, 6)"
-    by = f"(CASE WHEN {total} >= 90 THEN 0.85 WHEN {total} >= 80 THEN 0.65 WHEN {total} >= 70 THEN 0.40 ELSE 0.15 END)::DOUBLE"
-    chance = f"(CASE WHEN relationship >= 80 THEN greatest({by}, 0.75::DOUBLE) ELSE {by} END)"
-    profit = f"(({price} - cost_c * 100) / 10000.0::DOUBLE)"
-    return f"{total} AS total_score, {chance} AS win_probability, round({profit} * {chance}, 6) AS expected_profit, round({profit} / {p}, 6) AS profit_margin"
+    """SQL of the measures of a price in ten-thousandths (integer), over costs; whole numbers until the last division."""
+    x = f"CAST({price} AS HUGEINT)"
+    business = "CASE WHEN relationship >= 50 THEN 2700 ELSE 2250 END"
+    # the score times the price, in hundredths of points; at most 85 % of the budget has the full price score
+    whole = f"CASE WHEN {x} * 100 <= CAST(budget_c AS HUGEINT) * 8500 THEN (3000 + {business} + 3000) * {x} ELSE (3000 + {business}) * {x} + CAST(budget_c AS HUGEINT) * 255000 END"
+    by = f"(CASE WHEN {whole} >= 9000 * {x} THEN 85 WHEN {whole} >= 8000 * {x} THEN 65 WHEN {whole} >= 7000 * {x} THEN 40 ELSE 15 END)"
+    chance = f"(CASE WHEN relationship >= 80 THEN greatest({by}, 75) ELSE {by} END)"
+    profit = f"({x} - cost_c * 100)"
+    return (
+        f"CAST({half_even(whole, x)} AS DOUBLE) / 100 AS total_score, {chance} / 100.0::DOUBLE AS win_probability, "
+        f"CAST({half_even(f'{profit} * {chance}', 10000)} AS DOUBLE) / 100 AS expected_profit, CAST({half_even(f'{profit} * 10000', x)} AS DOUBLE) / 10000 AS profit_margin"
+    )
 
 
 def _costs(spark: SparkSession, d: str) -> DataFrame:

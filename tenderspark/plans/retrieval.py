@@ -31,6 +31,11 @@ def c2_search(spark: SparkSession, d: str) -> DataFrame:
     return R.search(chunks(spark, d), query_vectors(spark, d))
 
 
+@query(f"WITH {_found("AND c.chunk_type = 'technical'", 5)} SELECT * FROM found")
+def c2_search_of_a_type(spark: SparkSession, d: str) -> DataFrame:
+    return R.search(chunks(spark, d), query_vectors(spark, d), chunk_type="technical")
+
+
 PAST = "c.source_type IN ('historical_tender', 'internal_postmortem')"
 NEGATIVE = _found("AND c.win_signal = 'negative' AND c.region_tag IN ('en', 'fr') AND list_contains(c.dims, 'dim') AND c.ptype = 'goods'", 5, on=PAST)
 
@@ -48,17 +53,18 @@ def c4_dual_track(spark: SparkSession, d: str) -> DataFrame:
     return R.dual_track(chunks(spark, d), query_vectors(spark, d)).select("query_id", "win_signal", "rank", "chunk_id", "score")
 
 
-@query(f"""WITH {DUAL}, t AS (SELECT query_id, win_signal, string_agg('案例标签：' || source_label || chr(10) || '胜负信号：' || CASE win_signal WHEN 'positive' THEN '成功经验' ELSE '失败教训' END || chr(10) || '评分维度：' || CASE WHEN len(dims) > 0 THEN array_to_string(dims, ', ') ELSE '通用' END
+@query(f"""WITH {DUAL}, t AS (SELECT query_id, win_signal, string_agg('【历史资产摘要 — ' || (chunk_index + 1) || '/' || total || '】' || chr(10) || '案例标签：' || coalesce(source_label, chunk_type, '未标注') || chr(10) || '胜负信号：' || CASE win_signal WHEN 'positive' THEN '成功经验' ELSE '失败教训' END || chr(10) || '评分维度：' || CASE WHEN len(dims) > 0 THEN array_to_string(dims, ', ') ELSE '通用' END
 || chr(10) || '地区标签：' || region_tag || chr(10) || '项目类型：' || ptype || chr(10) || chr(10) || '正文：' || chr(10) || substr(content, 1, 800) || chr(10) || chr(10) || '---', chr(10) ORDER BY rank) AS t
-FROM found JOIN chunk USING (chunk_id, win_signal) GROUP BY 1, 2), c AS (SELECT query_id, win_signal, CASE WHEN length(t) > 3000 THEN substr(t, 1, 3000) || chr(10) || '...（已截断，共 ' || length(t) || ' 字符）' ELSE t END AS t FROM t)
-SELECT query_id, md5(coalesce(max(t) FILTER (WHERE win_signal = 'positive'), '')) AS positive, md5(coalesce(max(t) FILTER (WHERE win_signal = 'negative'), '')) AS negative FROM c GROUP BY 1""")
+FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS total FROM found) f JOIN chunk USING (chunk_id, win_signal) GROUP BY 1, 2), c AS (SELECT query_id, win_signal, CASE WHEN length(t) > 3000 THEN substr(t, 1, 3000) || chr(10) || '...（已截断，共 ' || length(t) || ' 字符）' ELSE t END AS t FROM t)
+SELECT query_id, md5(coalesce(max(t) FILTER (WHERE win_signal = 'positive'), '')) AS positive, md5(coalesce(max(t) FILTER (WHERE win_signal = 'negative'), '')) AS negative,
+md5(string_agg(CASE win_signal WHEN 'positive' THEN '【成功经验参考】' ELSE '【失败教训参考】' END || chr(10) || t, chr(10) || chr(10) ORDER BY win_signal DESC)) AS context FROM c GROUP BY 1""")
 def c5_build_context(spark: SparkSession, d: str) -> DataFrame:
     c = chunks(spark, d)
     found = R.build_context(R.dual_track(c, query_vectors(spark, d)), c)
-    return found.select("query_id", F.md5("positive").alias("positive"), F.md5("negative").alias("negative"))
+    return found.select("query_id", *(F.md5(c).alias(c) for c in ("positive", "negative", "context")))
 
 
-@query(f"""WITH {_found('', 3)} SELECT query_id, md5(string_agg('[' || source_label || ']' || chr(10) || substr(content, 1, 500), chr(10) || chr(10) ORDER BY rank)) AS context
+@query(f"""WITH {_found('', 3)} SELECT query_id, md5(string_agg('[' || coalesce(source_label, chunk_type, '文档片段') || ']' || chr(10) || substr(content, 1, 500), chr(10) || chr(10) ORDER BY rank)) AS context
 FROM found JOIN chunk USING (chunk_id) GROUP BY 1""")
 def c6_legacy_context(spark: SparkSession, d: str) -> DataFrame:
     c = chunks(spark, d)

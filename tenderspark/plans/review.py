@@ -76,7 +76,7 @@ def h3_section_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 H4 = """seal AS (SELECT id AS project, 'signature_seal' AS category, unnest(CASE WHEN id % 3 = 0 THEN [region] ELSE ['法定代表人签字或签章', '授权委托书签字盖章', '骑缝章完整性', '正副本份数与标识'] END) AS item FROM project
-UNION ALL SELECT id, 'seal_requirements', unnest(CASE WHEN id % 3 = 0 THEN [region] WHEN id % 3 = 1 THEN [owner_unit] ELSE ['投标文件分别封装', '封套粘贴与密封', '电子版文件一致性', '包封标注完整性'] END) FROM project)"""
+UNION ALL SELECT id, 'seal_requirement', unnest(CASE WHEN id % 3 = 0 THEN [region] WHEN id % 3 = 1 THEN [owner_unit] ELSE ['投标文件分别封装', '封套粘贴与密封', '电子版文件一致性', '包封标注完整性'] END) FROM project)"""
 
 
 @query(f"WITH {H4} SELECT *, 'warning' AS risk_level, 'uncertain' AS system_status FROM seal")
@@ -149,11 +149,14 @@ def i1_win_history(spark: SparkSession, d: str) -> DataFrame:
     return O.win_history(price_history(spark, d).where("won"))
 
 
-@query("""SELECT o.project AS id, CAST(w.price AS DOUBLE) AS competitor_price, CAST(o.price AS DOUBLE) AS final_price FROM our_bid o JOIN bid w ON w.project = o.project AND w.place = 1 WHERE NOT o.won AND o.project % 3 <> 0""")
+@query("""SELECT h.id, h.project_type, h.region, CAST(h.budget AS DOUBLE) AS budget, h.cost, CAST(h.final_price AS DOUBLE) AS final_price, CAST(w.price AS DOUBLE) AS competitor_price,
+CASE WHEN h.budget > 0 THEN (CAST(CAST(h.final_price * 100 AS BIGINT) - CAST(round(h.cost * 100) AS BIGINT) AS DOUBLE) / 100) / CAST(h.budget AS DOUBLE) ELSE 0 END AS discount_rate, false AS won
+FROM price_history h JOIN bid w ON w.project = h.id AND w.place = 1 WHERE NOT h.won AND h.id % 3 <> 0""")
 def i2_lose_history(spark: SparkSession, d: str) -> DataFrame:
     best = bids(spark, d).where("place = 1").select("project", F.when(F.col("project") % 3 != 0, F.col("price")).alias("competitor_price"))
-    rows = our_bids(spark, d).where("not won").join(best, "project").select(F.col("project").alias("id"), "competitor_price", F.col("price").alias("final_price"))
-    return O.lose_history(rows).select("id", F.col("competitor_price").cast("double").alias("competitor_price"), F.col("final_price").cast("double").alias("final_price"))
+    rows = price_history(spark, d).where("not won").join(best.withColumnRenamed("project", "id"), "id")
+    money = ("budget", "cost", "final_price", "competitor_price")
+    return O.lose_history(rows).withColumns({c: F.col(c).cast("double") for c in money})
 
 
 @query("""WITH c AS (SELECT conv_id AS project, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE conv_id % 2 = 0)
@@ -179,14 +182,14 @@ def i4_evolution_log(spark: SparkSession, d: str) -> DataFrame:
     return O.evolution_log(out, c)
 
 
-@query("""WITH n AS (SELECT CASE WHEN p_size % 10 = 3 THEN 'Unknown disqualification' ELSE p_brand END AS title, count(*) AS more, arg_min(p_size, p_partkey) AS category, min(p_partkey) AS first FROM part GROUP BY 1),
+@query("""WITH n AS (SELECT CASE WHEN p_size % 10 = 3 THEN 'Unknown disqualification' ELSE p_brand END AS title, count(*) AS more, arg_min(CASE WHEN p_size % 4 = 0 THEN 'format' ELSE CAST(p_size AS VARCHAR) END, p_partkey) AS category, min(p_partkey) AS first FROM part GROUP BY 1),
 t AS (SELECT DISTINCT p_brand AS title, 'OLD' AS code, 3 AS n FROM part WHERE p_size > 40 UNION ALL SELECT 'gone', 'OLD', 1)
 SELECT coalesce(t.title, n.title) AS title, coalesce(code, 'TRAP_' || category || '_' || first) AS code, coalesce(t.n, 0) + coalesce(more, 0) AS n FROM t FULL JOIN n ON n.title = t.title""")
 def i5_upsert_traps(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
     old = p.where("p_size > 40").select(F.col("p_brand").alias("title"), F.lit("OLD").alias("code"), F.lit(3).alias("n")).distinct()
     gone = p.limit(1).select(F.lit("gone").alias("title"), F.lit("OLD").alias("code"), F.lit(1).alias("n"))
-    return O.upsert_traps(old.union(gone), p.select(F.col("p_partkey").alias("id"), F.col("p_size").cast("string").alias("category"), F.when(F.col("p_size") % 10 != 3, F.col("p_brand")).when(F.col("p_size") > 20, "").alias("reason")))
+    return O.upsert_traps(old.union(gone), p.select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") % 8 == 0, "").when(F.col("p_size") % 4 != 0, F.col("p_size").cast("string")).alias("category"), F.when(F.col("p_size") % 10 != 3, F.col("p_brand")).when(F.col("p_size") > 20, "").alias("reason")))
 
 
 @query(f"WITH {ITEMS} SELECT project, bool_or(specialist_status = 'deleted' AND risk_level = 'fatal') AS manual_error FROM items GROUP BY 1")
@@ -244,14 +247,14 @@ def i9_revived_drafts(spark: SparkSession, d: str) -> DataFrame:
     return O.revived_drafts(_drafts(spark, d), F.lit("2001-01-01").cast("date")).withColumn("archived_at", F.to_date("archived_at"))
 
 
-@query(f"""WITH e AS (SELECT event_type, value, date_diff('day', CAST(ts AS DATE), DATE '2024-01-25') AS age FROM events),
-q AS (SELECT avg(value) FILTER (WHERE age BETWEEN 0 AND 29) AS a, avg(value) FILTER (WHERE age BETWEEN 30 AND 59) AS b FROM e)
-SELECT (SELECT count(*) FROM e) AS total_chunks, (SELECT count(*) FROM e WHERE event_type = 'error' AND age BETWEEN 0 AND 29) AS deprecated,
-(SELECT count(*) FROM e WHERE event_type = 'view' AND age BETWEEN 0 AND 29) AS new_dna, (SELECT count(*) FROM e WHERE event_type = 'click' AND age BETWEEN 0 AND 29) AS new_traps,
+@query(f"""WITH e AS (SELECT event_type, value, ts >= TIMESTAMP '2024-02-15' - INTERVAL 30 DAY AS recent, ts >= TIMESTAMP '2024-02-15' - INTERVAL 60 DAY AND ts < TIMESTAMP '2024-02-15' - INTERVAL 30 DAY AS earlier FROM events),
+q AS (SELECT avg(value) FILTER (WHERE recent) AS a, avg(value) FILTER (WHERE earlier) AS b FROM e)
+SELECT (SELECT count(*) FROM e) AS total_chunks, (SELECT count(*) FROM e WHERE event_type = 'error' AND recent) AS deprecated,
+(SELECT count(*) FROM e WHERE event_type = 'view' AND recent) AS new_dna, (SELECT count(*) FROM e WHERE event_type = 'click' AND recent) AS new_traps,
 round(a, 6) AS quality, CASE WHEN coalesce(a, 0) > coalesce(b, 0) + 2 THEN 'up' WHEN coalesce(a, 0) < coalesce(b, 0) - 2 THEN 'down' ELSE 'stable' END AS trend FROM q""")
 def i10_evolution_report(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select(F.col("ts").alias("at"), "event_type", F.col("value").alias("quality"), (F.col("event_type") == "error").alias("is_deprecated"))
-    return O.evolution_report(e, e.where("event_type = 'view'"), e.where("event_type = 'click'"), e, F.lit("2024-01-25").cast("date"))
+    return O.evolution_report(e, e.where("event_type = 'view'"), e.where("event_type = 'click'"), e, F.lit("2024-02-15").cast("timestamp"))
 
 
 @query("""SELECT o.project, CASE WHEN won THEN 'win' ELSE 'lose' END AS outcome, count(c.turn) AS n_dna, min(c.turn) AS first_dna

@@ -26,7 +26,9 @@ def _folder(spark: SparkSession, name: str) -> str:
 
 @query("""SELECT CASE WHEN o_orderkey % 4 <> 1 THEN o_orderkey END AS historical_tender_id, 'h' || o_orderkey AS tender_file_hash, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderstatus || ', "' || o_orderkey || '"' END AS tender_file_name,
 CASE WHEN o_orderkey % 6 <> 0 THEN CAST(o_totalprice AS DECIMAL(15,2)) END AS our_bid_price, CASE WHEN o_orderkey % 7 <> 3 THEN CAST(o_orderdate AS DATE) END AS submission_date,
-CASE WHEN o_orderkey % 3 = 0 THEN 'a,b' ELSE '' END AS tags, CASE o_orderstatus WHEN 'F' THEN 'positive' WHEN 'O' THEN 'negative' ELSE 'neutral' END AS win_signal FROM orders WHERE o_orderkey % 11 <> 0""")
+CASE WHEN o_orderkey % 3 = 0 THEN 'a,b' ELSE '' END AS tags, CASE o_orderstatus WHEN 'F' THEN 'positive' WHEN 'O' THEN 'negative' ELSE 'neutral' END AS win_signal,
+CASE o_orderstatus WHEN 'F' THEN 'won' WHEN 'O' THEN 'lost' ELSE '?' END AS our_bid_status, CASE WHEN o_orderkey % 2 = 0 THEN 'price,2' ELSE '' END AS factors, CASE WHEN o_orderkey % 9 < 8 THEN (o_orderkey % 9) / 2.0::DOUBLE END AS score,
+CASE WHEN o_orderkey % 5 = 1 THEN 'secret' ELSE 'internal' END AS confidential_level, CASE WHEN o_orderkey % 4 = 2 THEN 'said ' || o_orderkey END AS expert_feedback_text FROM orders WHERE o_orderkey % 11 <> 0""")
 def a1_read_outcome_book(spark: SparkSession, d: str) -> DataFrame:
     """Orders as a CSV ledger: quoted names, three forms of dates, numbers and lists that cannot be read, an id that is none."""
     k, day = F.col("o_orderkey"), lambda p: F.date_format("o_orderdate", p)
@@ -38,11 +40,23 @@ def a1_read_outcome_book(spark: SparkSession, d: str) -> DataFrame:
         F.when(F.col("o_orderstatus") == "F", " Won ").when(F.col("o_orderstatus") == "O", "lost").otherwise("?").alias("our_bid_status"),
         F.when(k % 6 == 0, "n/a").otherwise(F.col("o_totalprice").cast("decimal(15,2)").cast("string")).alias("our_bid_price"),
         date.alias("submission_date"), F.when(k % 3 == 0, '["a","b"]').when(k % 3 == 1, "oops").alias("loss_root_cause_tags"),
+        F.when(k % 2 == 0, '["price", 2]').alias("key_win_factors"), F.when(k % 9 == 8, "-").otherwise((k % 9 / 2).cast("string")).alias("technical_score"),
+        F.when(k % 5 == 1, "\u3000secret ").when(k % 5 == 2, " ").alias("confidential_level"), F.when(k % 4 == 2, F.concat(F.lit("said "), k)).alias("expert_feedback_text"),
     )
     path = _folder(spark, "book")
     book.write.csv(path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     rows = B.read_outcome_book(spark, path)
-    return rows.select("historical_tender_id", "tender_file_hash", "tender_file_name", "our_bid_price", "submission_date", F.array_join("loss_root_cause_tags", ",").alias("tags"), "win_signal")
+    return rows.select("historical_tender_id", "tender_file_hash", "tender_file_name", "our_bid_price", "submission_date", F.array_join("loss_root_cause_tags", ",").alias("tags"), "win_signal",
+        "our_bid_status", F.array_join("key_win_factors", ",").alias("factors"), F.col("technical_score").cast("double").alias("score"), "confidential_level", "expert_feedback_text")
+
+
+@query("SELECT page_id, sha256(html || chr(10)) AS hash, octet_length(encode(html)) + 1 AS length FROM pages")
+def a5_scan_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Every page as a text file in a folder of its own, found again with its hash."""
+    path = _folder(spark, "files")
+    table(spark, d, "pages").select("page_id", "html").repartition("page_id").write.partitionBy("page_id").text(path)
+    page = F.regexp_extract("path", "/page_id=([0-9]+)/", 1).cast("long")
+    return B.scan_documents(spark, path, ("txt",)).select(page.alias("page_id"), "hash", "length")
 
 
 @query("SELECT chunk_id, md5(content) AS content, win_signal FROM chunk")

@@ -18,7 +18,7 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text")
 
 
-@query("SELECT doc_id AS doc, trim(regexp_replace(text, ' +', ' ', 'g'), ' ') AS text FROM documents")
+@query(f"SELECT doc_id AS doc, regexp_replace(trim(text, '{T.BLANKS}'), ' +', ' ', 'g') AS text FROM documents")
 def b1_normalize_text(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc", T.normalize_text(F.col("text")).alias("text"))
 
@@ -37,36 +37,43 @@ def b8_salvage_json(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("event_id", F.get_json_object("j", "$.k").cast("long").alias("k"))
 
 
+BLANKS = "'" + T.BLANKS + "'"
 LINES = "lines AS (SELECT doc_id AS doc, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS line FROM documents)"
 
 
-@query(f"""WITH {LINES} SELECT doc, pos, length(line) AS n FROM lines WHERE trim(line, ' ') <> '' AND length(line) >= 30
+@query(f"""WITH {LINES} SELECT doc, pos, length(line) AS n FROM lines WHERE trim(line, {BLANKS}) <> '' AND length(trim(line, {BLANKS})) >= 30
 AND (contains(line, 'tion') OR NOT contains(line, 'the'))""")
 def b11_filter_boilerplate(spark: SparkSession, d: str) -> DataFrame:
     blocks = _docs(spark, d).select("doc", F.posexplode(F.split("text", "\n")).alias("pos", "content")).withColumn("block_type", F.lit("paragraph"))
     return S.filter_boilerplate(blocks, ("tion",), ("the",)).select("doc", "pos", F.length("content").alias("n"))
 
 
-SEGMENTS = f"""{LINES}, marked AS (SELECT *, length(line) < 60 AS head FROM lines),
+TAGGED = ", ".join(
+    f"CASE WHEN {' OR '.join(f'contains(title, {w!r})' for w in words)} OR {' + '.join(f'(length(body) - length(replace(body, {w!r}, {chr(39) * 2}))) // {len(w)}' for w in words)} >= 2 THEN '{k}' END"
+    for k, words in DIMS.items()
+)
+SEGMENTS = f"""{LINES}, marked AS (SELECT *, length(line) < 60 AND trim(line, {BLANKS}) <> '' AS head FROM lines),
 numbered AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc ORDER BY pos) AS seg FROM marked),
-segments AS (SELECT doc, seg, coalesce(max(trim(line, ' ')) FILTER (WHERE head), '') AS title,
-trim(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT head), ''), ' ') AS body FROM numbered GROUP BY 1, 2 HAVING body <> '')"""
+segments AS (SELECT doc, seg, coalesce(max(trim(line, {BLANKS})) FILTER (WHERE head), '') AS title,
+trim(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT head), ''), {BLANKS}) AS body FROM numbered GROUP BY 1, 2 HAVING body <> ''),
+tagged AS (SELECT *, list_sort(list_filter([{TAGGED}], lambda x: x IS NOT NULL)) AS tags FROM segments)"""
 
 
 def _segments(spark: SparkSession, d: str) -> DataFrame:
-    return S.segment_by_header(_docs(spark, d), F.length("line") < 60)
+    return S.segment_by_header(_docs(spark, d), F.length("line") < 60, DIMS)
 
 
-@query(f"WITH {SEGMENTS} SELECT doc, CAST(seg AS BIGINT) AS seg, title, md5(body) AS body FROM segments")
+@query(f"WITH {SEGMENTS} SELECT doc, CAST(seg AS BIGINT) AS seg, title, md5(body) AS body, array_to_string(tags, ',') AS tags FROM tagged")
 def b12_segment_by_header(spark: SparkSession, d: str) -> DataFrame:
-    return _segments(spark, d).withColumn("body", F.md5("body"))
+    return _segments(spark, d).withColumn("body", F.md5("body")).withColumn("tags", F.array_join("tags", ","))
 
 
-@query(f"""WITH {SEGMENTS}, k AS (SELECT *, length(body) >= 500 OR row_number() OVER (PARTITION BY doc ORDER BY seg) = 1 AS kept FROM segments),
+@query(f"""WITH {SEGMENTS}, k AS (SELECT *, length(body) >= 500 OR row_number() OVER (PARTITION BY doc ORDER BY seg) = 1 AS kept FROM tagged),
 g AS (SELECT *, sum(kept::INT) OVER (PARTITION BY doc ORDER BY seg) AS grp FROM k)
-SELECT doc, CAST(grp AS BIGINT) AS "into", max(title) FILTER (WHERE kept) AS title, md5(string_agg(body, chr(10) ORDER BY seg)) AS body, count(*) AS parts FROM g GROUP BY doc, grp""")
+SELECT doc, CAST(grp AS BIGINT) AS "into", max(title) FILTER (WHERE kept) AS title, md5(string_agg(body, chr(10) ORDER BY seg)) AS body,
+array_to_string(list_sort(list_distinct(flatten(list(tags)))), ',') AS tags, count(*) AS parts FROM g GROUP BY doc, grp""")
 def b13_merge_short_segments(spark: SparkSession, d: str) -> DataFrame:
-    return S.merge_short_segments(_segments(spark, d)).withColumn("body", F.md5("body"))
+    return S.merge_short_segments(_segments(spark, d)).withColumn("body", F.md5("body")).withColumn("tags", F.array_join("tags", ","))
 
 
 @query("""WITH RECURSIVE d AS (SELECT doc_id AS doc, text, length(text) AS n FROM documents WHERE trim(translate(text, chr(10) || chr(9) || chr(13), '   ')) <> ''),
@@ -149,8 +156,8 @@ def a11_downsample_pages(spark: SparkSession, d: str) -> DataFrame:
     return S.downsample_pages(pages, ("tion of",), 8, 3, 2, 4).select("doc", "page")
 
 
-@query(f"""WITH {LINES} SELECT doc, pos AS ord, 'paragraph' AS block_type, length(line) AS n FROM lines WHERE trim(line, ' ') <> ''
-UNION ALL SELECT conv_id, turn, 'table', length(text) FROM conversations WHERE trim(text, ' ') <> ''""")
+@query(f"""WITH {LINES} SELECT doc, pos AS ord, 'paragraph' AS block_type, length(line) AS n FROM lines WHERE trim(line, {BLANKS}) <> ''
+UNION ALL SELECT conv_id, turn, 'table', length(text) FROM conversations WHERE trim(text, {BLANKS}) <> ''""")
 def a13_to_blocks(spark: SparkSession, d: str) -> DataFrame:
     pages = _docs(spark, d).select("doc", F.posexplode(F.split("text", "\n")).alias("ord", "text")).withColumn("ord", F.col("ord").cast("long"))
     return S.to_blocks(pages, _sections(spark, d)).select("doc", "ord", "block_type", F.length("content").alias("n"))

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tenderspark.functions.text import strip_doc_suffix
+from tenderspark.functions.text import strip, strip_doc_suffix
+from tenderspark.operators.names import first_related
 
 MONEY = "decimal(15,2)"
 IDENTIFIERS = ("historical_tender_id", "tender_file_hash", "tender_file_name", "project_name")
@@ -14,59 +14,50 @@ IDENTIFIERS = ("historical_tender_id", "tender_file_hash", "tender_file_name", "
 
 def derive_win_signal(status: Column) -> Column:
     """won is positive, lost and failed negative, all else neutral."""
-    s = F.lower(F.trim(status))
+    s = F.lower(strip(status))
     return F.when(s == "won", "positive").when(s.isin("lost", "failed"), "negative").otherwise("neutral")
 
 
+#: The ledger's columns by what they hold.
+LISTS = ("loss_root_cause_tags", "win_breakthrough_tags", "key_win_factors", "key_loss_factors")
+SCORES = ("score_received", "score_max", "technical_score", "price_score")
+NOTES = ("expert_feedback_text", "bid_file_path", "notes")
+
+
 def read_outcome_book(spark: SparkSession, path: str) -> DataFrame:
-    """Typed rows of the ledger. Names and values are trimmed, empty is null; numbers, dates and tag lists that cannot
-    be read are null or empty; rows without an identifier, or with an id that is no number, are dropped."""
+    """Typed rows of the ledger. Names and values are trimmed, empty is null; numbers, dates and lists that cannot be
+    read are null or empty; rows without an identifier, or with an id that is no number, are dropped.
+
+    Statuses are in small letters; a row that names no confidential level is `internal`; columns that the file lacks
+    are null, empty lists or that default."""
     raw = spark.read.csv(path, header=True, encoding="UTF-8", multiLine=True, quote='"', escape='"')
-    raw = raw.toDF(*(c.replace("﻿", "").strip() for c in raw.columns))
-    raw = raw.select(*(F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")).alias(c) for c in raw.columns))
-    for c in (*IDENTIFIERS, "our_bid_status", "our_bid_price", "winning_price", "total_bidders_count", "win_rank", "submission_date", "loss_root_cause_tags", "win_breakthrough_tags"):
+    raw = raw.toDF(*(c.replace("\ufeff", "").strip() for c in raw.columns))
+    raw = raw.select(*(F.nullif(strip(F.col(f"`{c}`")), F.lit("")).alias(c) for c in raw.columns))
+    numbers = ("our_bid_price", "winning_price", "total_bidders_count", "win_rank", "submission_date")
+    for c in (*IDENTIFIERS, "our_bid_status", *numbers, *LISTS, *SCORES, *NOTES, "confidential_level"):
         if c not in raw.columns:
             raw = raw.withColumn(c, F.lit(None).cast("string"))
     any_id = F.coalesce(*IDENTIFIERS).isNotNull()
     id_ok = F.col("historical_tender_id").isNull() | F.col("historical_tender_id").try_cast("long").isNotNull()
     date = F.coalesce(*(F.try_to_date("submission_date", f) for f in ("yyyy-M-d", "yyyy/M/d", "yyyyMMdd")))
-    tags = lambda c: F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>"))
+    as_list = lambda c: F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>")).alias(c)
+    typed = lambda c, kind: F.col(c).try_cast(kind).alias(c)
     return raw.where(any_id & id_ok).select(
-        F.col("historical_tender_id").try_cast("long").alias("historical_tender_id"),
-        "tender_file_hash", "tender_file_name", "project_name", "our_bid_status",
-        F.col("our_bid_price").try_cast(MONEY).alias("our_bid_price"),
-        F.col("winning_price").try_cast(MONEY).alias("winning_price"),
-        F.col("total_bidders_count").try_cast("int").alias("total_bidders_count"),
-        F.col("win_rank").try_cast("int").alias("win_rank"),
-        date.alias("submission_date"),
-        tags("loss_root_cause_tags").alias("loss_root_cause_tags"),
-        tags("win_breakthrough_tags").alias("win_breakthrough_tags"),
+        typed("historical_tender_id", "long"), "tender_file_hash", "tender_file_name", "project_name",
+        F.lower("our_bid_status").alias("our_bid_status"), typed("our_bid_price", MONEY), typed("winning_price", MONEY),
+        typed("total_bidders_count", "int"), typed("win_rank", "int"), date.alias("submission_date"),
+        *map(as_list, LISTS), *(typed(c, "decimal(10,4)") for c in SCORES), *NOTES,
+        F.coalesce("confidential_level", F.lit("internal")).alias("confidential_level"),
         derive_win_signal(F.col("our_bid_status")).alias("win_signal"),
     )
 
 
-def contained_names(short: DataFrame, long: DataFrame, size: int = 8) -> DataFrame:
-    """(short, long): every two names of the columns `name` of which the second contains the first.
-
-    A contained name's rarest piece of `size` characters stands in the longer name too, so the two meet there in an
-    equi-join, and contains() decides; names shorter than a piece are equal to a part of the longer one."""
-    def pieces(names: DataFrame, n: Column, least: int) -> DataFrame:
-        at = F.sequence(F.lit(1), F.length("name") - n + 1)
-        cut = F.transform(at, lambda i: F.substring(F.col("name"), i, n))
-        return names.where(F.length("name") >= least).select("name", F.explode(F.array_distinct(cut)).alias("piece"))
-
-    short, long = short.select("name").distinct(), long.select("name").distinct()
-    held = pieces(long, F.lit(size), size)
-    counts = held.groupBy("piece").agg(F.count("*").alias("c"))
-    rarest = pieces(short, F.lit(size), size).join(counts, "piece", "left")
-    rarest = rarest.groupBy("name").agg(F.min_by("piece", F.coalesce("c", F.lit(0))).alias("piece"))
-    met = rarest.withColumnRenamed("name", "short").join(held.withColumnRenamed("name", "long"), "piece").where(F.contains("long", "short"))
-    tiny = short.where((F.length("name") > 0) & (F.length("name") < size))
-    parts = long.select("name", F.explode(F.sequence(F.lit(1), F.lit(size - 1))).alias("n")).where(F.length("name") >= F.col("n"))
-    at = F.sequence(F.lit(1), F.length("name") - F.col("n") + 1)
-    parts = parts.select("name", F.explode(F.array_distinct(F.transform(at, lambda i: F.substring(F.col("name"), i, F.col("n"))))).alias("piece"))
-    equal = tiny.select(F.col("name").alias("short"), F.col("name").alias("piece")).join(parts.withColumnRenamed("name", "long"), "piece")
-    return met.select("short", "long").union(equal.select("short", "long")).distinct()
+def hash_from_files(book: DataFrame, files: DataFrame) -> DataFrame:
+    """`book` in which rows with a file name and no hash have the hash of the file of that name among `files` (path,
+    hash), of several the one of the first path; a name that no file has keeps its null."""
+    named = files.groupBy(F.element_at(F.split("path", "/"), -1).alias("tender_file_name")).agg(F.min_by("hash", "path").alias("_hash"))
+    rows = book.join(named, "tender_file_name", "left")
+    return rows.select(*(F.coalesce(c, "_hash").alias(c) if c == "tender_file_hash" else c for c in book.columns))
 
 
 def resolve_outcome(tenders: DataFrame, book: DataFrame) -> DataFrame:
@@ -74,49 +65,46 @@ def resolve_outcome(tenders: DataFrame, book: DataFrame) -> DataFrame:
 
     By id, then by hash, then by name as it is or without suffix, then by names of which one contains the other; of
     book rows with equal keys the last line counts; a tender found nowhere is neutral (level null). The first levels are
-    equi-joins; containment is tried only for tenders that they leave, against the book's different names, by an equi-join
-    on their rarest pieces."""
-    signal = derive_win_signal(F.col("status"))
-    book = book.withColumn("signal", signal)
+    equi-joins. Containment is tried only for tenders that they leave: of the book's names, as they are and without
+    suffix, the one that came up first counts; names meet in blocks, and no pair is listed."""
+    book = book.withColumn("signal", derive_win_signal(F.col("status"))).withColumn("name", strip(F.col("name")))
 
     def last(key: Column, level: int) -> DataFrame:
         return book.where(key.isNotNull()).groupBy(key.cast("string").alias("key")).agg(
-            F.max_by("signal", "line").alias("signal"), F.max("line").alias("line")
+            F.max_by("signal", "line").alias("signal"), F.max("line").alias("line"), F.min("line").alias("since")
         ).withColumn("level", F.lit(level))
 
-    names = last(F.col("name"), 3).unionByName(last(strip_doc_suffix(F.col("name")), 3))
-    names = names.groupBy("key", "level").agg(F.max_by("signal", "line").alias("signal"), F.max("line").alias("line"))
-    index = last(F.col("tender_id"), 1).unionByName(last(F.col("hash"), 2)).unionByName(names)
+    bare = strip_doc_suffix(F.col("name"))
+    forms = last(F.col("name"), 3).withColumn("form", F.lit(0)).unionByName(last(F.nullif(bare, F.lit("")), 3).withColumn("form", F.lit(1)))
+    names = forms.groupBy("key", "level").agg(
+        F.max_by("signal", "line").alias("signal"), F.max("line").alias("line"), F.min(F.struct("since", "form")).alias("place")
+    )
+    known = last(F.col("tender_id"), 1).unionByName(last(F.col("hash"), 2)).drop("since").unionByName(names.drop("place"))
+    asked = tenders.withColumn("name", strip(F.col("name")))
     plain = strip_doc_suffix(F.col("name"))
-    asked = tenders.select(
-        "id", "name",
-        F.explode(F.array(*(F.struct(F.lit(lv).alias("level"), F.lit(o).alias("o"), k.cast("string").alias("key")) for lv, o, k in (
-            (1, 0, F.col("id")), (2, 1, F.col("hash")), (3, 2, F.col("name")), (3, 3, plain))))).alias("a"),
-    ).select("id", "name", "a.*")
-    hits = asked.join(index, ["level", "key"])
-    order = W.partitionBy("id").orderBy("level", "o")
-    found = hits.withColumn("n", F.row_number().over(order)).where("n = 1").select("id", "level", "signal")
-    left = tenders.join(found, "id", "left_anti").select("id", "name")
-    # a distinct list of names; only what the equi-joins left is compared with it
-    some = book.where("length(name) > 0").groupBy("name").agg(F.max_by("signal", "line").alias("signal"), F.max("line").alias("line"))
-    within = contained_names(left, some).select(F.col("short").alias("name"), F.col("long").alias("other"))
-    around = contained_names(some, left).select(F.col("long").alias("name"), F.col("short").alias("other"))
-    close = left.join(within.union(around).distinct(), "name").join(some.withColumnRenamed("name", "other"), "other")
-    close = close.groupBy("id").agg(F.min_by("signal", "line").alias("signal")).withColumn("level", F.lit(4))
-    every = found.unionByName(close.select("id", "level", "signal"))
+    keys = ((1, 0, F.col("id")), (2, 1, F.col("hash")), (3, 2, F.col("name")), (3, 3, plain))
+    each = F.array(*(F.struct(F.lit(lv).alias("level"), F.lit(o).alias("o"), k.cast("string").alias("key")) for lv, o, k in keys))
+    hits = asked.select("id", F.explode(each).alias("a")).select("id", "a.*").join(known, ["level", "key"])
+    found = hits.groupBy("id").agg(F.min_by(F.struct("level", "signal"), F.struct("level", "o")).alias("f")).select("id", "f.*")
+    left = asked.join(found, "id", "left_anti").select("id", "name")
+    # a key's place in the book: its first line, the name as it is before the one without suffix
+    placed = names.where("key <> ''").select("key", (F.col("place.since") * 2 + F.col("place.form")).cast("long").alias("place"), "signal")
+    first = first_related(left.select("name"), placed.select("key", "place")).join(placed.select("place", "signal"), "place")
+    close = left.join(first.select("name", "signal"), "name").select("id", F.lit(4).alias("level"), "signal")
+    every = found.unionByName(close)
     return tenders.select("id").join(every, "id", "left").select("id", "level", F.coalesce("signal", F.lit("neutral")).alias("win_signal"))
 
 
-def scan_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, hash) of all PDF and Word files below a folder; the hash is SHA-256 of the content."""
+def scan_documents(spark: SparkSession, path: str, kinds: tuple[str, ...] = ("pdf", "docx")) -> DataFrame:
+    """(path, length, hash) of all files of some kinds, PDF and Word, below a folder; the hash is SHA-256 of the content."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    wanted = F.lower("path").rlike(r"\.(pdf|docx)$")
+    wanted = F.lower("path").rlike(rf"\.({'|'.join(kinds)})$")
     return files.where(wanted).select("path", "length", F.sha2("content", 256).alias("hash"))
 
 
 def tender_defaults(rows: DataFrame) -> DataFrame:
     """Imported tenders are closed; a known price is revealed; names are cut to 500 characters, blank ones replaced."""
-    name = F.nullif(F.trim(F.coalesce("name", F.lit(""))), F.lit(""))
+    name = F.nullif(strip(F.coalesce("name", F.lit(""))), F.lit(""))
     return rows.withColumns({
         "status": F.coalesce("status", F.lit("closed")),
         "price_revealed": F.col("winning_price").isNotNull(),

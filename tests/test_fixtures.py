@@ -31,7 +31,9 @@ def test_normalize_text(spark):
 def test_loose_dates(spark):
     got = values(spark, ["2025年12月", "2025年", "长期", "2O25-O1-O2", "2025/1/2", "2024年2月30日", "x", None, "20250102"], "t string", T.parse_loose_date(F.col("t")))
     d = dt.date
-    assert got == [d(2025, 12, 31), d(2025, 12, 31), d(2099, 12, 31), d(2025, 1, 2), d(2025, 1, 2), None, None, None, d(2025, 1, 2)]
+    assert got == [d(2025, 12, 31), d(2025, 12, 31), d(2099, 12, 31), d(2025, 1, 2), d(2025, 1, 2), None, None, None, None]
+    more = values(spark, ["　长期有效", "2o24-01-05", "20245年3月1日", "2024年1月5", "2024.1-5", "2024年2月", "2024.12.31 ", "2024年13月"], "t string", T.parse_loose_date(F.col("t")))
+    assert more == [d(2099, 12, 31), d(2024, 1, 5), d(2024, 3, 1), None, None, d(2024, 2, 29), d(2024, 12, 31), None]
 
 
 def test_sliding_chunks(spark):
@@ -222,3 +224,215 @@ def test_cosine(spark, a, b, want):
 
     df = spark.createDataFrame([(a, b)], "a array<double>, b array<double>")
     assert abs(df.select(cosine_similarity(F.col("a"), F.col("b"))).first()[0] - want) < 1e-12
+
+
+def test_strip_is_that_of_python(spark):
+    rows = [c + "a" + c for c in map(chr, range(1, 0x3100)) if c.isspace() or c in "\u200b\x00x"]
+    assert values(spark, rows, "t string", T.strip(F.col("t"))) == [r.strip() for r in rows]
+
+
+def test_headers_and_boilerplate(spark):
+    docs = spark.createDataFrame([(1, "前言\n　　一、总则\n甲 服务 方案\n\t第二章 要求\n\n乙\n　 \n")], "doc int, text string")
+    got = [(r["title"], r["body"], r["tags"]) for r in S.segment_by_header(docs).orderBy("seg").collect()]
+    assert got == [("", "前言", []), ("一、总则", "甲 服务 方案", ["服务方案"]), ("第二章 要求", "乙", [])]
+    merged = S.merge_short_segments(S.segment_by_header(docs)).collect()
+    assert [(r["title"], r["body"], r["tags"]) for r in merged] == [("", "前言\n甲 服务 方案\n乙", ["服务方案"])]
+    blocks = [("table", "目录" + "x" * 27), ("table", "x" * 19), ("paragraph", "目录" + "x" * 40), ("paragraph", "目录\n" + "x" * 40 + "方案"), ("paragraph", "　" * 20 + "x" * 29), ("paragraph", "\n目录" + "x" * 40), ("paragraph", " \n"), ("paragraph", None)]
+    kept = S.filter_boilerplate(spark.createDataFrame([(i, *b) for i, b in enumerate(blocks)], "i int, block_type string, content string"), ("方案",), ("目录",))
+    assert sorted(r["i"] for r in kept.collect()) == [0, 3, 5]
+
+
+def test_chunks_of_a_long_text_take_time_by_its_length():
+    import time
+
+    took = []
+    for n in (1, 8):
+        text = ("words of a sentence. " * 50_000 + "x" * 10_000) * n
+        start = time.perf_counter()
+        cuts = T.cut_points(text, 500, 50, 0.3)
+        took.append(time.perf_counter() - start)
+        assert cuts[0][0] == 0 and cuts[-1][1] == len(text) and all(start == end - 50 and stop - start <= 500 for (_, end), (start, stop) in zip(cuts, cuts[1:]))
+    assert took[1] < 30 * took[0]
+
+
+CERT = "cert_id int, cert_code string, cert_full_name string, cert_short_name string, aliases array<string>, required_keywords array<string>, exclude_keywords array<string>"
+
+
+def plain_score(text, cert):
+    """The score of one certificate, step by step."""
+    from difflib import SequenceMatcher
+
+    low, score = text.lower(), 0.0
+    if any(w.lower() in low for w in cert[6] or []):
+        return 0.0
+    either = lambda a: bool(a) and (a.lower() in low or low in a.lower())
+    if text == cert[2]:
+        return 1.0
+    if either(cert[2]):
+        score = 0.9
+    if cert[3] and text == cert[3]:
+        score = max(score, 0.9)
+    elif either(cert[3]):
+        score = max(score, 0.8)
+    for alias in cert[4] or []:
+        if not alias:
+            continue
+        if alias.lower() == low:
+            return 0.95
+        if either(alias):
+            score = max(score, 0.8)
+            break
+        if score < 0.6:
+            ratio = SequenceMatcher(None, low, alias.lower()).ratio()
+            score = max(score, ratio * 0.7) if ratio > 0.6 else score
+    return max(score, 0.5) if score < 0.5 and any(w.lower() in low for w in cert[5] or []) else score
+
+
+def test_suggest_cert_is_every_pair_scored(spark):
+    import random
+
+    r = random.Random(4)
+    word = lambda a, b: "".join(r.choice("abcdABé营业") for _ in range(r.randint(a, b)))
+    some = lambda n, a, b: r.choice([None, [], [word(a, b) for _ in range(r.randint(1, n))]])
+    certs = [(k, f"c{k}", word(0, 9), r.choice([None, "", word(1, 5)]), some(4, 0, 9), some(2, 1, 3), some(2, 2, 4)) for k in range(150)]
+    texts = {word(1, 10) for _ in range(400)} | {c[2] for c in certs[:20]} | {"", " \u3000", " ab "}
+    want = {}
+    for t in texts:
+        bare = t.strip()
+        scores = [(-plain_score(bare, c), c[0]) for c in certs] if bare else []
+        if scores and round(-min(scores)[0], 2) >= 0.5:
+            want[t] = (f"c{min(scores)[1]}", round(-min(scores)[0], 2))
+    rows = spark.createDataFrame([(t,) for t in texts] + [(None,)], "text string")
+    for size in (20_000, 37):
+        got = {x["text"]: (x["cert_code"], x["score"]) for x in C.suggest_cert(rows, spark.createDataFrame(certs, CERT), size=size).collect()}
+        assert got == want and len(want) > 200
+    assert C.suggest_cert(rows, spark.createDataFrame([], CERT)).count() == 0
+    one = spark.createDataFrame([(1, "c", "zzz", None, ["abc", "abcdefghij"], [], [])], CERT)
+    assert C.suggest_cert(spark.createDataFrame([("abcdefghij",)], "text string"), one).first()["score"] == 0.8
+
+
+def test_only_likely_pairs_are_compared():
+    from difflib import SequenceMatcher
+    import random
+
+    from tenderspark.operators.names import SharedCharacters
+
+    r = random.Random(1)
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randint(1, 12))) for _ in range(400)]
+    index = SharedCharacters(words)
+    for text in words[:60]:
+        over = set(index.over(text, 0.6))
+        assert {k for k, w in enumerate(words) if SequenceMatcher(None, text, w).ratio() > 0.6} <= over and len(over) < len(words)
+
+
+def plain_outcomes(tenders, book):
+    """The book as dictionaries, looked up level by level."""
+    import re
+
+    def bare(name):
+        for s in T.DOC_SUFFIXES:
+            if name.endswith(s):
+                return name[: -len(s)]
+        return re.sub(r"_采购包\s*\d+$", "", name)
+
+    by_id, by_hash, by_name = {}, {}, {}
+    for i, h, n, status, _ in book:
+        sign = {"won": "positive", "lost": "negative", "failed": "negative"}.get(status, "neutral")
+        if i is not None:
+            by_id[i] = sign
+        if h:
+            by_hash[h] = sign
+        for key in (n, bare(n)) if n else ():
+            if key:
+                by_name[key] = sign
+    out = {}
+    for i, h, n in tenders:
+        hit = (1, by_id[i]) if i in by_id else (2, by_hash[h]) if h in by_hash else (3, by_name[n]) if n in by_name else (3, by_name[bare(n)]) if n and bare(n) in by_name else None
+        out[i] = hit or next(((4, s) for key, s in by_name.items() if n and (key in n or n in key)), (None, "neutral"))
+    return out
+
+
+def test_outcomes_are_those_of_dictionaries(spark):
+    import random
+
+    r = random.Random(8)
+    name = lambda: "".join(r.choice("甲乙丙X") for _ in range(r.randint(1, 7))) + r.choice(["", "", "_投标文件", "_采购包 3"])
+    book = [(r.choice([None, None, k]), r.choice([None, f"h{k % 20}"]), r.choice([None, name()]), r.choice(["won", "lost", "failed", "open"]), k) for k in range(60)]
+    tenders = [(k, f"h{k}", r.choice([name(), name(), None])) for k in range(10, 250)]
+    b = spark.createDataFrame(book, "tender_id long, hash string, name string, status string, line long")
+    t = spark.createDataFrame(tenders, "id long, hash string, name string")
+    got = {x["id"]: (x["level"], x["win_signal"]) for x in B.resolve_outcome(t, b).collect()}
+    assert got == plain_outcomes(tenders, book) and {lv for lv, _ in got.values()} == {None, 1, 2, 3, 4}
+    one = spark.createDataFrame([(None, None, "X项目_投标文件", "won", 1)], "tender_id long, hash string, name string, status string, line long")
+    assert B.resolve_outcome(spark.createDataFrame([(1, "h", "甲X项目乙")], "id long, hash string, name string"), one).first()["win_signal"] == "positive"
+
+
+def test_book_columns_and_hashes_of_files(spark, tmp_path):
+    p = tmp_path / "book.csv"
+    p.write_text('project_name,tender_file_name ,our_bid_status,key_win_factors,score_max,confidential_level,notes\n甲,a.pdf,　WON ,"[1, ""x""]",99.5,,\n乙,b.pdf,Lost,{},x,secret,n\n', encoding="utf-8")
+    book = B.read_outcome_book(spark, str(p))
+    rows = {r["project_name"]: r for r in book.collect()}
+    assert rows["甲"]["our_bid_status"] == "won" and rows["甲"]["key_win_factors"] == ["1", "x"] and rows["甲"]["score_max"] == Decimal("99.5") and rows["甲"]["confidential_level"] == "internal"
+    assert rows["乙"]["win_signal"] == "negative" and rows["乙"]["key_win_factors"] == [] and rows["乙"]["score_max"] is None and rows["乙"]["notes"] == "n" and rows["甲"]["notes"] is None
+    files = spark.createDataFrame([("file:/x/a.pdf", "h1"), ("file:/y/a.pdf", "h2")], "path string, hash string")
+    got = {r["project_name"]: r["tender_file_hash"] for r in B.hash_from_files(book, files).collect()}
+    assert got == {"甲": "h1", "乙": None}
+
+
+def test_history_in_bands(spark):
+    import random
+
+    r = random.Random(2)
+    shape = "id long, region string, project_type string, budget decimal(15,2), cost decimal(15,2)"
+    rows = [(k, r.choice("ab"), r.choice(["x", None]), r.choice([None, Decimal(r.randint(0, 400)), Decimal(r.randint(80, 130))]), Decimal(r.randint(1, 99))) for k in range(300)]
+    df = spark.createDataFrame(rows, shape)
+    want = {}
+    for i, region, kind, b, _ in rows:
+        near = [h for h in rows if b is not None and h[3] and kind and (h[1], h[2]) == (region, kind) and b * 4 <= h[3] * 5 and h[3] * 5 <= b * 6]
+        if near:
+            want[i] = (len(near), min(h[0] for h in near), float(sum(h[3] for h in near)))
+    before = P.SWEEP
+    for P.SWEEP in (before, 7):
+        found = P.similar_summary(df, df)
+        assert {x["id"]: (x["n"], x["first"], x["budgets"]) for x in found.collect()} == want
+    P.SWEEP = before
+    pairs = {x["id"]: x["n"] for x in P.similar_history(df.where("budget > 0"), df.where("budget > 0")).groupBy("id").agg(F.count("*").alias("n")).collect()}
+    assert pairs == {k: v[0] for k, v in want.items()}
+    est = {x["id"]: x for x in P.estimate_from_history(df, found).collect()}
+    one = next(k for k in want if want[k][0] == 1)
+    assert est[one]["confidence"] == "low" and not est[one]["fallback"] and all(est[i]["fallback"] == (i not in want) for i in est)
+
+
+def test_best_chunks_of_odd_vectors(spark):
+    from tenderspark.operators import retrieval as R
+
+    nan = float("nan")
+    vectors = [[1.0, 0.0], [0.0, 0.0], [2.0, 0.0, 5.0], [0.0, 1.0], [nan, 1.0], [None, 1.0], None, [1.0, 0.0], [3.0, 1.0]]
+    chunks = spark.createDataFrame([(k, 1 if k else None, v, False, "t" if k % 2 else "u") for k, v in enumerate(vectors)] + [(99, 1, [1.0, 0.0], True, "t")], "chunk_id long, project int, vector array<double>, is_deprecated boolean, chunk_type string")
+    asked = spark.createDataFrame([(1, 1, [1.0, 0.0]), (2, 2, [1.0, 0.0]), (3, 1, [0.0, 0.0])], "query_id long, project int, query_vector array<double>")
+    got = {}
+    sizes = R.VECTORS, R.QUERIES
+    for R.VECTORS, R.QUERIES in (sizes, (2, 1)):
+        got = {}
+        for x in R.search(chunks, asked, 3).orderBy("query_id", "rank").collect():
+            got.setdefault(x["query_id"], []).append((x["chunk_id"], round(x["score"], 6)))
+        assert got == {1: [(7, 1.0), (8, 0.948683), (2, 0.371391)], 3: [(1, 0.0), (2, 0.0), (3, 0.0)]}
+    R.VECTORS, R.QUERIES = sizes
+    assert [x["chunk_id"] for x in R.search(chunks, asked.where("query_id = 1"), 3, "t").orderBy("rank").collect()] == [7, 1, 3]
+    assert R.search(chunks.limit(0), asked).count() == R.search(chunks, asked.limit(0)).count() == 0
+
+
+def test_lifecycle_reports_and_traps(spark):
+    from tenderspark.operators import outcomes as O
+
+    rows = spark.createDataFrame([(1, "p", None, "n", False, "terminated_by_boss", False), (2, "p", None, "n", False, "evaluating", False), (3, "p", "", "", False, "created", False)], "id long, plan_code string, agency_code string, name string, deleted boolean, status string, force boolean")
+    assert sorted(tuple(x) for x in L.find_duplicates(rows, rows).collect()) == [(1, "plan_code", 2), (3, "plan_code", 2)]
+    assert [x["id"] for x in L.list_projects(rows.withColumn("owner_unit", F.lit("a")), "boss").collect()] == [3, 2, 1]
+    traps = spark.createDataFrame([("t", "OLD", 2)], "title string, code string, n int")
+    new = spark.createDataFrame([(7, None, None), (8, "", "u"), (9, "seal", "t")], "id long, category string, reason string")
+    assert {x["title"]: (x["code"], x["n"]) for x in O.upsert_traps(traps, new).collect()} == {"Unknown disqualification": ("TRAP_format_7", 1), "u": ("TRAP_format_8", 1), "t": ("OLD", 3)}
+    now = dt.datetime(2025, 3, 31, 12)
+    at = [now - dt.timedelta(days=n, seconds=s) for n, s in ((30, 0), (30, 1), (60, 0), (60, 1), (-1, 0))]
+    e = spark.createDataFrame([(a, True, float(q)) for a, q in zip(at, (10, 20, 30, 1000, 10))], "at timestamp, is_deprecated boolean, quality double")
+    got = O.evolution_report(e, e, e, e, F.lit(now)).first()
+    assert (got["deprecated"], got["new_dna"], got["quality"], got["trend"]) == (2, 2, 10.0, "down")
