@@ -67,25 +67,31 @@ def a14_write_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _ingested(spark: SparkSession, d: str) -> str:
-    """The conversations as files of chunks, one file a conversation, every seventh turn without content; taken in twice."""
+    """The conversations as files of contents, one file for each, every seventh turn without content, and a broken file;
+    taken in twice, the second time with a copy of each file."""
     base = _folder(spark, "ingest")
-    rows = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("path"), F.when(F.col("turn") % 7 != 6, F.col("text")).alias("content"))
-    rows.write.parquet(f"{base}/source")
+    rows = table(spark, d, "conversations").select("conv_id", F.when(F.col("turn") % 7 != 6, F.col("text")).alias("content")).repartition("conv_id")
+    rows.limit(1).select(F.lit("no such format")).write.text(f"{base}/source/conv_id=broken")
     for _ in range(2):
-        jobs.ingest_chunks(spark, f"{base}/source", "path string, content string", f"{base}/target", f"{base}/ledger", f"{base}/checkpoint").awaitTermination()
-        rows.write.mode("append").parquet(f"{base}/source")
+        rows.write.mode("append").partitionBy("conv_id").parquet(f"{base}/source")
+        jobs.ingest_chunks(spark, f"{base}/source", f"{base}/target", f"{base}/ledger", f"{base}/checkpoint", most_files=100_000)
     return base
 
 
 @query("SELECT DISTINCT md5(text) AS content FROM conversations WHERE turn % 7 <> 6 AND text IS NOT NULL")
 def s2_ingest_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{_ingested(spark, d)}/target").select(F.md5("content").alias("content"))
+    return spark.read.option("recursiveFileLookup", True).parquet(f"{_ingested(spark, d)}/target").select(F.md5("content").alias("content"))
 
 
-@query("SELECT count(DISTINCT text) FILTER (WHERE turn % 7 <> 6) AS chunks, 2 * count(*) FILTER (WHERE turn % 7 = 6 OR text IS NULL) AS errors, 2 * count(DISTINCT conv_id) AS files FROM conversations")
+@query("""WITH c AS (SELECT CAST(conv_id AS VARCHAR) AS file, CASE WHEN turn % 7 <> 6 THEN text END AS content FROM conversations),
+won AS (SELECT file, count(*) AS chunks FROM (SELECT content, min(file) AS file FROM c WHERE content IS NOT NULL GROUP BY 1) GROUP BY 1),
+f AS (SELECT c.file, count(*) FILTER (WHERE content IS NULL) AS nulls, coalesce(max(chunks), 0) AS chunks FROM c LEFT JOIN won ON won.file = c.file GROUP BY 1),
+s AS (SELECT CASE WHEN chunks > 0 THEN 'processed' WHEN nulls > 0 THEN 'error' ELSE 'skipped' END AS state, chunks, nulls FROM f
+UNION ALL SELECT CASE WHEN nulls > 0 THEN 'error' ELSE 'skipped' END, 0, nulls FROM f UNION ALL SELECT 'unreadable', 0, 0)
+SELECT state, count(*) AS files, CAST(sum(chunks) AS BIGINT) AS chunks, CAST(sum(nulls) AS BIGINT) AS nulls FROM s GROUP BY 1""")
 def a10_import_totals(spark: SparkSession, d: str) -> DataFrame:
-    totals = jobs.import_totals(spark, f"{_ingested(spark, d)}/ledger")
-    return totals.agg(F.sum("chunks").alias("chunks"), F.sum("errors").alias("errors"), F.sum("files").alias("files"))
+    base = _ingested(spark, d)
+    return jobs.import_totals(spark, f"{base}/target", f"{base}/ledger")
 
 
 @query("SELECT user_id AS project, arg_max(event_type, (ts, event_id)) AS status, count(*) AS n FROM events GROUP BY 1")
@@ -95,3 +101,21 @@ def s1_running_state(spark: SparkSession, d: str) -> DataFrame:
     log.write.parquet(f"{base}/log")
     jobs.keep_state(spark.readStream.schema(log.schema).parquet(f"{base}/log"), f"{base}/state", f"{base}/checkpoint").awaitTermination()
     return jobs.kept_state(spark, f"{base}/state")
+
+
+@query("""WITH l AS (SELECT user_id AS project, event_id, ts, event_type AS new_status, CASE WHEN CAST(json_extract(props, '$.k') AS BIGINT) % 2 = 0 THEN 'view' ELSE 'click' END AS original_status FROM events)
+SELECT *, lag(new_status) OVER w AS before, row_number() OVER w AS n, coalesce(lag(new_status) OVER w <> original_status, false) AS gap FROM l WINDOW w AS (PARTITION BY project ORDER BY ts, event_id)""")
+def s1_ordered_replay(spark: SparkSession, d: str) -> DataFrame:
+    """The audit log as files in no order; a last row, of no project, moves the watermark past all others."""
+    base = _folder(spark, "replay")
+    log = audit_log(spark, d)
+    log.repartition(4, "event_id").write.parquet(f"{base}/log")
+    last = log.agg(F.max("at").alias("at")).select(F.lit(-1).cast("long").alias("project"), F.lit(-1).cast("long").alias("event_id"), (F.col("at") + F.expr("INTERVAL 100 DAYS")).alias("at"), F.lit("end").alias("new_status"), F.lit("end").alias("original_status"))
+    for _ in range(2):
+        stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/log")
+        jobs.keep_replay(stream, "60 days", f"{base}/rows", f"{base}/checkpoint").awaitTermination()
+        last.write.mode("append").parquet(f"{base}/log")
+    stream = spark.readStream.schema(log.schema).parquet(f"{base}/log")
+    jobs.keep_replay(stream, "60 days", f"{base}/rows", f"{base}/checkpoint").awaitTermination()
+    rows = spark.read.option("recursiveFileLookup", True).parquet(f"{base}/rows").where("project <> -1")
+    return rows.select("project", "event_id", F.col("at").alias("ts"), "new_status", "original_status", "before", "n", "gap")

@@ -1,58 +1,119 @@
-"""Streaming twins: running project state from the approval log, and incremental ingest without duplicates."""
+"""Incremental ingest of chunk files without duplicates, and running project state from the approval log."""
 
 from __future__ import annotations
 
+import io
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tenderspark.operators.lifecycle import current_status
-from tenderspark.operators.merge import new_by_content
-
 
-def running_state(log: DataFrame) -> DataFrame:
-    """The audit replay on a stream of log rows: its update mode gives each project's state as it changes."""
-    return current_status(log)
-
-
-def ingest_chunks(spark: SparkSession, source: str, schema: str, target: str, ledger: str, checkpoint: str) -> StreamingQuery:
-    """Append new files' chunks (path, content) to `target`, each content once, over all runs.
+FILES = "path string, modificationTime timestamp, length long, content binary"
+
+
+def parquet_contents(data: bytes) -> list[str | None]:
+    """The column `content` of a Parquet file."""
+    return pq.read_table(io.BytesIO(data), columns=["content"])["content"].to_pylist()
+
+
+def parsed_files(files: DataFrame, parse: Callable[[bytes], list[str | None]], most_bytes: int) -> DataFrame:
+    """(path, at, content, error): the contents of each of `files` (path, length, content), at their place in it.
+
+    Each file is read by itself: one that `parse` cannot read, or of more than `most_bytes`, gives a single row with what
+    went wrong, and a file without contents a single row without either."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                try:
+                    if not data.is_valid:
+                        raise ValueError(f"over {most_bytes} bytes")
+                    found, error = parse(data.as_py()), None
+                except Exception as e:  # whatever a reader raises on a broken file: it goes to the ledger
+                    found, error = [], f"{type(e).__name__}: {e}"[:500]
+                rows = [(path, k, c, None) for k, c in enumerate(found)] or [(path, -1, None, error)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.string(), pa.string()))], names=["path", "at", "content", "error"])
+
+    small = files.select("path", F.when(F.col("length") <= most_bytes, F.col("content")).alias("content"))
+    return small.mapInArrow(work, "path string, at long, content string, error string")
+
+
+def ingest_chunks(
+    spark: SparkSession,
+    source: str,
+    target: str,
+    ledger: str,
+    checkpoint: str,
+    parse: Callable[[bytes], list[str | None]] = parquet_contents,
+    most_files: int = 1000,
+    most_bytes: int = 256 << 20,
+    stop_on_error: bool = False,
+) -> None:
+    """Take in the new files below `source`: their contents to `target`, each content once, over all runs.
+
+    The first stream lists new files, at most `most_files` a batch, reads each by itself, keeps one row of a content for
+    each batch (of the smallest path and place) and writes these to `ledger`/staged and a row for every file to
+    `ledger`/files: rows, contents that are null, and why it could not be read. With `stop_on_error` such a file is
+    fatal: its batch is recorded and the job stops; the next run takes the batch up again. The second stream drops the
+    contents that any earlier batch had, by a state keyed with the content's hash, and appends the rest to `target`; so
+    a batch looks up the hashes that it holds and reads no ledger, however long that has become.
+
+    Both streams keep their place below `checkpoint`: a run after a failure repeats the unfinished batch into the same
+    folders. Which of two batches' paths a repeated content has follows the order of batches."""
+
+    def stage(batch: DataFrame, batch_id: int) -> None:
+        rows = parsed_files(batch, parse, most_bytes).withColumn("hash", F.sha2("content", 256)).persist()
+        try:
+            fatal = F.max("error").isNotNull() & F.lit(stop_on_error)
+            files = rows.groupBy("path").agg(
+                F.count_if(F.col("at") >= 0).alias("rows"), F.count_if((F.col("at") >= 0) & F.col("content").isNull()).alias("nulls"), F.max("error").alias("error"), fatal.alias("fatal")
+            )
+            files.write.mode("overwrite").parquet(f"{ledger}/files/batch={batch_id}")
+            once = rows.where("hash is not null").groupBy("hash").agg(F.min(F.struct("path", "at")).alias("first"), F.min("content").alias("content"))
+            once.select("hash", "first.path", "content").write.mode("overwrite").parquet(f"{ledger}/staged/batch={batch_id}")
+            bad = rows.where("error is not null").first() if stop_on_error else None
+        finally:
+            rows.unpersist()
+        if bad:
+            raise RuntimeError(f"{bad['path']}: {bad['error']}")
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
-    Every micro-batch drops what the ledger has and repeats within itself, appends the rest and then records it. Chunk
-    and ledger files are kept by batch, so a batch that is run again after a failure replaces its own files. Rows whose
-    content is null go to `target`_errors, and a row for each path and batch to `ledger`_files: `import_totals` reads it.
-    A file that cannot be read is left out without ending the batch."""
+    listed = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", True).option("maxFilesPerTrigger", most_files).load(source)
+    once = listed.writeStream.foreachBatch(stage).option("checkpointLocation", f"{checkpoint}/files").trigger(availableNow=True).start()
+    once.awaitTermination()
+    # the folder of each batch is written over if the batch is run again, so only whole batches are read
+    staged = spark.readStream.schema("hash string, path string, content string").option("recursiveFileLookup", True).parquet(f"{ledger}/staged")
+    fresh = staged.dropDuplicates(["hash"]).select("path", "content", "hash")
+    fresh.writeStream.foreachBatch(add).option("checkpointLocation", f"{checkpoint}/contents").trigger(availableNow=True).start().awaitTermination()
 
-    def one(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.withColumn("hash", F.sha2("content", 256))
-        done = spark.read.schema("hash string, batch long").option("pathGlobFilter", "*.parquet").parquet(ledger)
-        fresh = new_by_content(batch.where("content is not null"), done.where(F.col("batch") != batch_id)).persist()
-        fresh.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
-        fresh.select("hash").write.mode("overwrite").parquet(f"{ledger}/batch={batch_id}")
-        bad = batch.where("content is null")
-        bad.write.mode("overwrite").parquet(f"{target}_errors/batch={batch_id}")
-        file_states(batch, fresh).write.mode("overwrite").parquet(f"{ledger}_files/batch={batch_id}")
-        fresh.unpersist()
 
-    empty = spark.createDataFrame([], "hash string")
-    empty.write.mode("ignore").parquet(f"{ledger}/batch=-1")
-    rows = spark.readStream.schema(schema).option("ignoreCorruptFiles", True).parquet(source)
-    return rows.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def file_states(spark: SparkSession, target: str, ledger: str) -> DataFrame:
+    """(path, state, chunks, nulls, error, fatal) of all files that were ever listed: unreadable with its error, processed
+    if a content of it is in `target`, error if it has none and some of its contents were null, else skipped."""
+    shape = "path string, rows long, nulls long, error string, fatal boolean"
+    files = spark.read.schema(shape).option("recursiveFileLookup", True).parquet(f"{ledger}/files")
+    new = spark.read.schema("path string").option("recursiveFileLookup", True).parquet(target).groupBy("path").agg(F.count("*").alias("chunks"))
+    state = F.when(F.col("error").isNotNull(), "unreadable").when(F.col("chunks") > 0, "processed").when(F.col("nulls") > 0, "error").otherwise("skipped")
+    return files.join(new, "path", "left").select("path", state.alias("state"), F.coalesce("chunks", F.lit(0)).alias("chunks"), "nulls", "error", "fatal")
 
 
-def file_states(batch: DataFrame, fresh: DataFrame) -> DataFrame:
-    """(path, state, chunks, errors): processed if a chunk of it was new, error if it has none and some had no content,
-    else skipped."""
-    new = fresh.groupBy("path").agg(F.count("*").alias("chunks"))
-    rows = batch.groupBy("path").agg(F.count_if(F.col("content").isNull()).alias("errors")).join(new, "path", "left")
-    state = F.when(F.col("chunks") > 0, "processed").when(F.col("errors") > 0, "error").otherwise("skipped")
-    return rows.select("path", state.alias("state"), F.coalesce("chunks", F.lit(0)).alias("chunks"), "errors")
+def import_totals(spark: SparkSession, target: str, ledger: str) -> DataFrame:
+    """(state, files, chunks, nulls) over all batches of an ingest."""
+    return file_states(spark, target, ledger).groupBy("state").agg(F.count("*").alias("files"), F.sum("chunks").alias("chunks"), F.sum("nulls").alias("nulls"))
 
 
-def import_totals(spark: SparkSession, ledger: str) -> DataFrame:
-    """(state, files, chunks, errors) over all batches of an ingest."""
-    files = spark.read.parquet(f"{ledger}_files")
-    return files.groupBy("state").agg(F.count("*").alias("files"), F.sum("chunks").alias("chunks"), F.sum("errors").alias("errors"))
+def running_state(log: DataFrame) -> DataFrame:
+    """The audit replay on a stream of log rows: its update mode gives each project's state as it changes."""
+    return current_status(log)
 
 
 def keep_state(log: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
@@ -67,3 +128,53 @@ def keep_state(log: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
 def kept_state(spark: SparkSession, target: str) -> DataFrame:
     """(project, status, n): the newest state of each project in `target`."""
     return spark.read.parquet(target).groupBy("project").agg(F.max_by("status", "n").alias("status"), F.max("n").alias("n"))
+
+
+REPLAYED = "project long, event_id long, at timestamp, before string, original_status string, new_status string, n long, gap boolean"
+_WAITING = "last string, n long, at array<long>, event_id array<long>, original_status array<string>, new_status array<string>"
+
+
+def replay(log: DataFrame, lateness: str) -> DataFrame:
+    """A stream of log rows (project, event_id, at, original_status, new_status) as each project's history in order.
+
+    Every row comes out once, when the watermark (`lateness` behind the newest row) has passed it: with its number in the
+    project, the status `before` it and `gap`, that its original status is not that one. Rows may arrive in any order;
+    until then they wait in the project's state, and event-time timeouts wake projects that get no more rows. Rows later
+    than `lateness` are dropped, as are rows without project or time. Equal times go by event_id. A null original status
+    is no gap; the first row of a project has none."""
+
+    def one(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, n, *kept = state.get if state.exists else (None, 0, [], [], [], [])
+        waiting = list(zip(*kept))
+        if not state.hasTimedOut:
+            for rows in batches:
+                at = rows["at"].astype("datetime64[us]").astype("int64")
+                text = lambda c: [None if pd.isna(x) else x for x in c]
+                waiting += zip(at.tolist(), rows["event_id"].tolist(), text(rows["original_status"]), text(rows["new_status"]))
+        waiting.sort(key=lambda w: w[:2])
+        mark = state.getCurrentWatermarkMs()
+        ready = [w for w in waiting if w[0] < mark * 1000]
+        waiting = waiting[len(ready) :]
+        out = []
+        for at, event, original, new in ready:
+            n += 1
+            out.append((key[0], event, pd.Timestamp(at, unit="us"), last, original, new, n, last is not None and original is not None and last != original))
+            last = new
+        state.update((last, n, *map(list, zip(*waiting))) if waiting else (last, n, [], [], [], []))
+        if waiting:
+            state.setTimeoutTimestamp(max(waiting[0][0] // 1000, mark) + 1)
+        if out:
+            yield pd.DataFrame(out, columns=["project", "event_id", "at", "before", "original_status", "new_status", "n", "gap"])
+
+    rows = log.select("project", "event_id", F.col("at").cast("timestamp").alias("at"), "original_status", "new_status").where("project is not null and at is not null")
+    marked = rows.withWatermark("at", lateness)
+    return marked.groupBy("project").applyInPandasWithState(one, REPLAYED, _WAITING, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def keep_replay(log: DataFrame, lateness: str, target: str, checkpoint: str) -> StreamingQuery:
+    """Run `replay` over what is there, its rows to `target`; a batch that is run again replaces its own folder."""
+
+    def one(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+
+    return replay(log, lateness).writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -207,15 +207,59 @@ def test_streams_agree_with_batches(spark, tmp_path):
     assert sorted(map(tuple, spark.table("running").collect())) == sorted(map(tuple, jobs.running_state(log).collect()))
 
 
-def test_ingest_twice_adds_nothing(spark, tmp_path):
-    rows = spark.createDataFrame([("a", "one"), ("b", "one"), ("c", None), ("d", "two")], "path string, content string")
-    rows.write.parquet(str(tmp_path / "src"))
-    run = lambda n: jobs.ingest_chunks(spark, str(tmp_path / "src"), "path string, content string", str(tmp_path / "t"), str(tmp_path / "l"), str(tmp_path / n)).awaitTermination()
-    run("c1")
-    first = spark.read.parquet(str(tmp_path / "t")).count()
-    rows.write.mode("append").parquet(str(tmp_path / "src"))
-    run("c1")
-    assert first == 2 and spark.read.parquet(str(tmp_path / "t")).count() == 2 and spark.read.parquet(str(tmp_path / "t_errors")).count() == 2
+def test_ingest_twice_adds_nothing_and_names_broken_files(spark, tmp_path):
+    src, at = tmp_path / "src", {n: str(tmp_path / n) for n in ("t", "l", "c")}
+    write = lambda name, rows: spark.createDataFrame([(r,) for r in rows], "content string").coalesce(1).write.parquet(str(src / name))
+    run = lambda **more: jobs.ingest_chunks(spark, str(src), at["t"], at["l"], at["c"], **more)
+    write("a", ["one", "two", None])
+    write("b", ["two", "three"])
+    whole = next((src / "a").glob("*.parquet")).read_bytes()
+    (src / "cut.parquet").write_bytes(whole[: len(whole) // 2])
+    (src / "big.parquet").write_bytes(whole + b" " * 5000)
+    write("none", [])
+    states = lambda: {r["path"].split("/src/")[1].split("/")[0]: r for r in jobs.file_states(spark, at["t"], at["l"]).collect()}
+    contents = lambda: sorted(r["content"] for r in spark.read.option("recursiveFileLookup", True).parquet(at["t"]).collect())
+    run(most_bytes=4000)
+    assert contents() == ["one", "three", "two"]
+    got = states()
+    assert {n: r["state"] for n, r in got.items()} == {"a": "processed", "b": "processed", "cut.parquet": "unreadable", "big.parquet": "unreadable", "none": "skipped"}
+    assert got["a"]["chunks"] == 2 and got["a"]["nulls"] == 1 and "over 4000 bytes" in got["big.parquet"]["error"] and got["cut.parquet"]["error"] and not got["cut.parquet"]["fatal"]
+    run(most_bytes=4000)
+    assert len(states()) == 5 and contents() == ["one", "three", "two"]
+    write("d", ["three", "four"])
+    run()
+    assert contents() == ["four", "one", "three", "two"] and states()["d"]["chunks"] == 1
+    # a fatal file ends the run and is recorded; the next run takes up the batch again
+    (src / "x.parquet").write_bytes(b"junk")
+    write("e", ["five"])
+    with pytest.raises(Exception, match="x.parquet"):
+        run(stop_on_error=True)
+    assert states()["x.parquet"]["fatal"] and "five" not in contents()
+    run()
+    assert contents() == ["five", "four", "one", "three", "two"] and not states()["x.parquet"]["fatal"]
+
+
+def test_replay_in_order_of_shuffled_files(spark, tmp_path):
+    shape = "project long, event_id long, at timestamp, original_status string, new_status string"
+    day = lambda n: dt.datetime(2025, 1, 1) + dt.timedelta(days=n)
+    rows = [(1, 3, day(3), "b", "c"), (1, 1, day(1), None, "a"), (1, 2, day(2), "x", "b"), (2, 5, day(1), "q", "a"), (1, 4, day(3), "c", "d"), (None, 9, day(1), "a", "a"), (2, 6, day(2), "a", "b")]
+    for i, r in enumerate(rows):
+        spark.createDataFrame([r], shape).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    run = lambda: jobs.keep_replay(spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log")), "10 days", str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+    run()
+    for n in (50, 51):
+        spark.createDataFrame([(7, n, day(n), "end", "end")], shape).write.mode("append").parquet(str(tmp_path / "log"))
+        run()
+    # a row later than the allowed lateness is dropped
+    spark.createDataFrame([(1, 8, day(1), "d", "z")], shape).write.mode("append").parquet(str(tmp_path / "log"))
+    run()
+    out = spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "out"))
+    got = {(r["project"], r["n"]): (r["event_id"], r["before"], r["gap"]) for r in out.where("project < 7").collect()}
+    assert got == {(1, 1): (1, None, False), (1, 2): (2, "a", True), (1, 3): (3, "b", False), (1, 4): (4, "c", False), (2, 1): (5, None, False), (2, 2): (6, "a", False)}
+    batch = spark.createDataFrame(rows, shape).where("project is not null")
+    assert {(r["project"], r["event_id"]) for r in L.audit_gaps(batch).collect()} == {(r["project"], r["event_id"]) for r in out.where("gap").collect()}
+    last = {r["project"]: r["status"] for r in L.current_status(batch).collect()}
+    assert last == {r["project"]: r["s"] for r in out.where("project < 7").groupBy("project").agg(F.max_by("new_status", "n").alias("s")).collect()}
 
 
 @pytest.mark.parametrize("a,b,want", [([1.0, 0.0], [3.0, 0.0, 4.0], 0.6), ([0.0, 0.0], [1.0, 1.0], 0.0)])
