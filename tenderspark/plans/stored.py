@@ -8,7 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderspark.plans.base import chunks, query, table
+from tenderspark.operators import snapshots
+from tenderspark.plans.base import bids, chunks, projects, query, table
 from tenderspark.plans.lifecycle import audit_log
 from tenderspark.sources import outcome_book as B
 from tenderspark.streaming import jobs
@@ -66,6 +67,29 @@ def a14_write_chunks(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path).select("chunk_id", F.md5("content").alias("content"), "win_signal")
 
 
+@query("""WITH u AS (SELECT user_id AS id, event_type AS status, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type DESC) AS n FROM events)
+SELECT coalesce(p.id, u.id) AS id, coalesce(u.status, p.status) AS status, p.region FROM project p FULL JOIN (SELECT * FROM u WHERE n = 1) u ON u.id = p.id""")
+def a6_merge_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    """The upsert as two versions of a stored table."""
+    root = _folder(spark, "snapshot")
+    snapshots.commit(spark, root, {"project": (projects(spark, d).select("id", "status", "region"), ["id"])})
+    updates = table(spark, d, "events").select(F.col("user_id").alias("id"), F.col("event_type").alias("status"), "ts")
+    snapshots.commit(spark, root, {"project": (updates, ["id"])}, {"project": "ts"})
+    return snapshots.read_table(spark, root, "project")
+
+
+@query("""SELECT b.project AS id, p.region, count(*) AS bids, CAST(min(b.price) AS DOUBLE) AS price, (SELECT count(*) FROM chunk) AS chunks FROM bid b JOIN project p ON p.id = b.project GROUP BY 1, 2""")
+def a14_atomic_import(spark: SparkSession, d: str) -> DataFrame:
+    """Tenders, bids and chunks, published as one version."""
+    root = _folder(spark, "import")
+    b = bids(spark, d).select("project", "place", "price")
+    snapshots.commit(spark, root, {"tenders": (projects(spark, d).select("id", "region"), ["id"]), "bids": (b, ["project", "place"]), "chunks": (chunks(spark, d).select("chunk_id", "content"), ["chunk_id"])})
+    read = lambda name: snapshots.read_table(spark, root, name)
+    n = read("chunks").agg(F.count("*").alias("chunks"))
+    rows = read("bids").join(read("tenders"), F.col("project") == F.col("id")).groupBy("id", "region").agg(F.count("*").alias("bids"), F.min("price").cast("double").alias("price"))
+    return rows.crossJoin(n)  # a single row
+
+
 def _ingested(spark: SparkSession, d: str) -> str:
     """The conversations as files of contents, one file for each, every seventh turn without content, and a broken file;
     taken in twice, the second time with a copy of each file."""

@@ -480,3 +480,36 @@ def test_lifecycle_reports_and_traps(spark):
     e = spark.createDataFrame([(a, True, float(q)) for a, q in zip(at, (10, 20, 30, 1000, 10))], "at timestamp, is_deprecated boolean, quality double")
     got = O.evolution_report(e, e, e, e, F.lit(now)).first()
     assert (got["deprecated"], got["new_dna"], got["quality"], got["trend"]) == (2, 2, 10.0, "down")
+
+
+def test_merges_rewrite_touched_buckets_only(spark, tmp_path):
+    from tenderspark.operators import snapshots as V
+
+    root = str(tmp_path / "v")
+    rows = spark.range(2000).selectExpr("id", "concat('a', id) AS name", "id % 7 AS n")
+    assert V.commit(spark, root, {"t": (rows, ["id"])}, buckets=256) == 0
+    ids = [3, 500, 1999, 5000]
+    news = spark.createDataFrame([(i, f"b{i}", k) for i in ids for k in (1, 2)], "id long, name string, at int")
+    assert V.commit(spark, root, {"t": (news, ["id"])}, {"t": "at"}) == 1 and V.versions(spark, root) == [0, 1]
+    old, new = (V._version(spark, root, k)["t"]["folders"] for k in (0, 1))
+    touched = {str(r[0]) for r in news.select(V.bucket_of(["id"], 256)).distinct().collect()}
+    assert {b for b in new if new[b] != old.get(b)} == touched and len(touched) <= 4
+    got = {r["id"]: (r["name"], r["n"]) for r in V.read_table(spark, root, "t").collect()}
+    assert len(got) == 2001 and got[3] == ("b3", 3) and got[5000] == ("b5000", None) and got[4] == ("a4", 4)
+    assert V.read_table(spark, root, "t", 0).where("name like 'b%'").count() == 0
+    # a failure between two tables shows none of them, and the version before stays
+    broken = F.udf(lambda i: 1 // (i - i), "long")("id")
+    more = spark.range(5).selectExpr("id", "'c' AS name", "id AS n")
+    with pytest.raises(Exception):
+        V.commit(spark, root, {"t": (more, ["id"]), "u": (more.withColumn("n", broken), ["id"])})
+    assert V.versions(spark, root) == [0, 1] and V.read_table(spark, root, "t").where("name = 'c'").count() == 0
+    with pytest.raises(KeyError):
+        V.read_table(spark, root, "u")
+    with pytest.raises(ValueError):
+        V.commit(spark, root, {"t": (more, ["name"])})
+    assert V.commit(spark, root, {"t": (more.limit(0), ["id"]), "u": (more.limit(0), ["id"])}) == 2
+    assert V.read_table(spark, root, "t").count() == 2001 and V.read_table(spark, root, "u").count() == 0
+    nulls = spark.createDataFrame([(None, "x", 1)] * 2, "id long, name string, n long")
+    V.commit(spark, root, {"u": (nulls, ["id"])})
+    V.commit(spark, root, {"u": (nulls.limit(1), ["id"])})
+    assert V.read_table(spark, root, "u").count() == 3
