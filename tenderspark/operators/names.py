@@ -19,12 +19,14 @@ from pyspark.sql import functions as F
 BLOCK = 20_000
 
 
-def block_pairs(left: DataFrame, right: DataFrame, key: str, f: Callable[[pa.Table, pa.Table], pa.Table], schema: str, size: int = BLOCK) -> DataFrame:
+def block_pairs(left: DataFrame, right: DataFrame, key: str, f: Callable[[pa.Table, pa.Table], pa.Table], schema: str, size: int = BLOCK, most: tuple[int, int] | None = None) -> DataFrame:
     """`f` of every two blocks of `left` and `right`, which are dealt by a hash of the column `key`.
 
+    `most` says how many rows the sides have at most, where that is cheaper to know than to count.
+
     Work and shuffle grow with blocks times rows: a side of n rows is copied for each `size` rows of the other one."""
     right = right.select(*(F.col(c).alias(c) for c in right.columns))  # both may be made of the same columns
-    blocks = [max(1, -(-df.count() // size)) for df in (left, right)]
+    blocks = [max(1, -(-n // size)) for n in most or (left.count(), right.count())]
     own = [F.pmod(F.xxhash64(key), F.lit(n)).cast("int") for n in blocks]
     other = [F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in blocks]
     a = left.withColumn("_l", own[0]).withColumn("_r", other[1]).groupBy("_l", "_r")
@@ -54,7 +56,7 @@ def within(index: ahocorasick.Automaton | None, text: str) -> Iterable[int]:
             yield from ks
 
 
-def first_related(names: DataFrame, keys: DataFrame, size: int = BLOCK) -> DataFrame:
+def first_related(names: DataFrame, keys: DataFrame, size: int = BLOCK, most: tuple[int, int] | None = None) -> DataFrame:
     """(name, place): for each different name the smallest `place` of the keys (key, place) that contain it or that it
     contains; names that no key is related to are left out, and so are null and empty names and keys."""
 
@@ -74,7 +76,7 @@ def first_related(names: DataFrame, keys: DataFrame, size: int = BLOCK) -> DataF
     asked = names.where("length(name) > 0").select("name").distinct()
     known = keys.where("length(key) > 0").groupBy("key").agg(F.min("place").alias("place"))
     known = known.select("key", F.col("place").cast("long").alias("place"), F.col("key").alias("name"))
-    return block_pairs(asked, known, "name", meet, "name string, place long", size).groupBy("name").agg(F.min("place").alias("place"))
+    return block_pairs(asked, known, "name", meet, "name string, place long", size, most).groupBy("name").agg(F.min("place").alias("place"))
 
 
 class SharedCharacters:

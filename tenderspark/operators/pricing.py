@@ -58,38 +58,36 @@ def discount_rate() -> Column:
     return F.when(rate != 0, rate)
 
 
-def median_of(rows: DataFrame, key: list[str], value: str, name: str) -> DataFrame:
-    """(key, name): the exact median, from how often each value occurs, so that a key's rows never meet in one task."""
-    counts = rows.groupBy(*key, value).agg(F.count("*").alias("_n"))
-    return counts.groupBy(*key).agg(F.percentile(value, 0.5, F.col("_n")).alias(name))
-
-
 def market_benchmark(tenders: DataFrame, our_bids: DataFrame) -> DataFrame:
     """Per (region, project_type): rates of eligible tenders; bidders, gaps and wins of our bids on them.
 
-    Keys with tenders but no bid of ours have has_data false, sample 0 and an empty win rate."""
+    Keys with tenders but no bid of ours have has_data false, sample 0 and an empty win rate. Either table is read once:
+    a tender and its bids become counted values, of which means and exact medians are made, so a key's rows never meet in
+    one task."""
     key = ["region", "project_type"]
-    sold = eligible_tenders(tenders).withColumn("rate", discount_rate())
-    market = sold.groupBy(*key).agg(
-        F.avg("rate").alias("avg_rate"),
+    sold = eligible_tenders(tenders).select("id", *key, "winning_price", discount_rate().alias("rate"))
+    per = our_bids.groupBy(F.col("project").alias("id")).agg(F.collect_list(F.struct("price", "bidders", "won")).alias("bids"))
+    value = lambda kind, v, gap, won: F.struct(F.lit(kind).alias("kind"), v.cast("double").alias("value"), gap.alias("gap"), won.alias("won"))
+    none = (F.lit(None).cast("double"), F.lit(None).cast("boolean"))
+    ours = F.transform("bids", lambda b: value("bid", b["bidders"], gap_percent(b["price"], F.col("winning_price")), b["won"]))
+    told = F.concat(F.array(value("rate", F.col("rate"), *none)), F.coalesce(ours, F.array().cast("array<struct<kind:string,value:double,gap:double,won:boolean>>")))
+    counts = sold.join(per, "id", "left").select(*key, F.inline(told)).groupBy(*key, "kind", "value").agg(
+        F.count("*").alias("n"), F.sum("gap").alias("gap"), F.count("gap").alias("gaps"), F.count_if("won").alias("won")
     )
-    market = market.join(median_of(sold, key, "rate", "median_rate"), key)
-    ours = sold.select("id", *key, "winning_price").join(our_bids, F.col("id") == F.col("project"))
-    own = ours.groupBy(*key).agg(
-        F.avg("bidders").alias("avg_bidders"),
-        F.avg(gap_percent(F.col("price"), F.col("winning_price"))).alias("avg_gap"),
-        F.count_if("won").alias("wins"),
-        F.count("*").alias("sample_size"),
+    of = lambda kind, c: F.when(F.col("kind") == kind, F.col(c))
+    # a tender without rate, or a bid without bidders, counts for neither mean nor median
+    times = lambda kind: F.when((F.col("kind") == kind) & F.col("value").isNotNull(), F.col("n"))
+    mean = lambda kind: F.sum(of(kind, "value") * F.col("n")) / F.sum(times(kind))
+    median = lambda kind: F.percentile(of(kind, "value"), 0.5, F.coalesce(times(kind), F.lit(0)))
+    rows = counts.groupBy(*key).agg(
+        mean("rate").alias("avg_rate"), median("rate").alias("median_rate"), mean("bid").alias("avg_bidders"), median("bid").alias("median_bidders"),
+        F.try_divide(F.sum("gap"), F.sum("gaps")).alias("avg_gap"), F.sum("won").alias("wins"), F.coalesce(F.sum(of("bid", "n")), F.lit(0)).alias("sample_size"),
     )
-    own = own.join(median_of(ours, key, "bidders", "median_bidders"), key)
-    n = F.coalesce("sample_size", F.lit(0))
-    return market.join(own, key, "left").select(
+    return rows.select(
         *key,
         *(F.round(c, 6).alias(c) for c in ("avg_rate", "median_rate", "avg_bidders", "median_bidders", "avg_gap")),
-        F.coalesce("wins", F.lit(0)).alias("wins"),
-        n.alias("sample_size"),
-        (n > 0).alias("has_data"),
-        F.round(F.col("wins") / F.col("sample_size"), 6).alias("win_rate"),
+        "wins", "sample_size", (F.col("sample_size") > 0).alias("has_data"),
+        F.round(F.try_divide("wins", "sample_size"), 6).alias("win_rate"),
         F.round(F.greatest(F.least("avg_rate", F.lit(1.5)), F.lit(0.01)), 4).alias("multiplier"),
     )
 
@@ -228,12 +226,12 @@ def win_probability(price: Column, cost: Column, budget: Column, relationship: C
 TIERS = (("aggressive", "0.96", "1.03"), ("balanced", "1.00", "1.08"), ("conservative", "1.06", "1.15"))
 
 
-def price_scenarios(costs: DataFrame) -> DataFrame:
-    """Three priced tiers for each row (id, cost, budget, multiplier or null, relationship).
+def priced_tiers(costs: DataFrame) -> DataFrame:
+    """`costs` (id, cost, budget, multiplier or null, relationship) with three priced tiers in an array and best_tier.
 
     With a market multiplier: its price, to the cent, times the tier's factor, but never under 1.01 of the cost, to the cent; else
-    the cost times the tier's other factor. The conservative tier is recommended; best_ev marks the largest expected
-    profit. Rows without a positive cost and budget have no scenarios."""
+    the cost times the tier's other factor. best_tier has the largest expected profit, of equal ones the first name. Rows
+    without a positive cost and budget are left out."""
     market = F.bround(F.col("multiplier").cast("decimal(6,4)") * F.col("budget"), 2).cast(MONEY)
 
     def price(of_market: str, of_cost: str) -> Column:
@@ -242,24 +240,26 @@ def price_scenarios(costs: DataFrame) -> DataFrame:
             F.col("multiplier").isNotNull(), F.greatest((market * dec(of_market)).cast("decimal(20,4)"), floor)
         ).otherwise(F.bround(F.col("cost") * dec(of_cost), 2).cast("decimal(20,4)"))
 
-    tiers = F.array(*(F.struct(F.lit(n).alias("tier"), price(m, c).alias("price")) for n, m, c in TIERS))
-    rows = costs.where("cost > 0 and budget > 0").select("id", "cost", "budget", "relationship", tiers.alias("tiers"))
-
     def measured(t: Column) -> Column:
         measures = win_probability(t["price"], F.col("cost"), F.col("budget"), F.col("relationship"))
         return F.struct(t["tier"].alias("tier"), t["price"].alias("price"), *(c.alias(k) for k, c in measures.items()))
 
-    # the best tier is found within the row: the largest profit, then the first name
-    rows = rows.select("id", F.transform("tiers", measured).alias("tiers"))
+    tiers = F.array(*(F.struct(F.lit(n).alias("tier"), price(m, c).alias("price")) for n, m, c in TIERS))
+    rows = costs.where("cost > 0 and budget > 0").withColumn("tiers", tiers).withColumn("tiers", F.transform("tiers", measured))
     top = F.array_max(F.col("tiers.expected_profit"))
     best = F.array_min(F.transform(F.filter("tiers", lambda t: t["expected_profit"] == top), lambda t: t["tier"]))
-    each = rows.select("id", best.alias("_best"), F.inline("tiers"))
+    return rows.withColumn("best_tier", best)
+
+
+def price_scenarios(costs: DataFrame) -> DataFrame:
+    """The tiers of `priced_tiers`, a row for each, with their risk; the conservative one is recommended."""
+    each = priced_tiers(costs).select("id", "best_tier", F.inline("tiers"))
     p = F.col("win_probability")
     return each.select(
-        *(c for c in each.columns if c != "_best"),
+        *(c for c in each.columns if c != "best_tier"),
         F.when(p > 0.7, "low").when(p > 0.4, "medium").otherwise("high").alias("risk"),
         (F.col("tier") == "conservative").alias("recommended"),
-        (F.col("tier") == F.col("_best")).alias("best_ev"),
+        (F.col("tier") == F.col("best_tier")).alias("best_ev"),
     )
 
 
@@ -329,15 +329,13 @@ def apply_pricing_actions(projects: DataFrame, actions: DataFrame) -> DataFrame:
     )
 
 
-def pricing_dashboard(costs: DataFrame, benchmark: DataFrame, scenarios: DataFrame) -> DataFrame:
-    """One row per project: cost, budget, benchmark in yuan and the three prices."""
-    tiers = scenarios.groupBy("id").agg(
-        *(F.max(F.when(F.col("tier") == t, F.col("price"))).alias(t) for t, _, _ in TIERS),
-        F.max(F.when(F.col("best_ev"), F.col("tier"))).alias("best_tier"),
-    )
+def pricing_dashboard(costs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """One row per project of `costs` (as for `priced_tiers`, with region and project_type) that has scenarios: cost,
+    budget, benchmark in yuan and the three prices."""
+    price = lambda t: F.filter("tiers", lambda x: x["tier"] == t)[0]["price"].alias(t)
     market = benchmark.select("region", "project_type", F.col("multiplier").alias("market_multiplier"), "sample_size")
-    return costs.join(tiers, "id").join(market, ["region", "project_type"], "left").select(
-        "id", "cost", "budget", *(t for t, _, _ in TIERS), "best_tier",
+    return priced_tiers(costs).join(market, ["region", "project_type"], "left").select(
+        "id", "cost", "budget", *(price(t) for t, _, _ in TIERS), "best_tier",
         F.coalesce("sample_size", F.lit(0)).alias("sample_size"),
         F.round(F.col("market_multiplier") * F.col("budget").cast("double"), 6).alias("expected_competitive_price"),
     )

@@ -140,10 +140,14 @@ tier = 'conservative' AS recommended,
 row_number() OVER (PARTITION BY id ORDER BY expected_profit DESC, tier) = 1 AS best_ev FROM measured)"""
 
 
-def _scenarios(spark: SparkSession, d: str) -> DataFrame:
+def _priced(spark: SparkSession, d: str) -> DataFrame:
     bench = _benchmark(spark, d).select("region", "project_type", F.when(F.col("has_data"), F.col("multiplier")).alias("m"))
     rows = _costs(spark, d).join(bench, ["region", "project_type"], "left")
-    return P.price_scenarios(rows.withColumn("multiplier", F.when(F.col("id") % 2 == 0, F.col("m"))))
+    return rows.withColumn("multiplier", F.when(F.col("id") % 2 == 0, F.col("m")))
+
+
+def _scenarios(spark: SparkSession, d: str) -> DataFrame:
+    return P.price_scenarios(_priced(spark, d))
 
 
 @query(f"WITH {SCENARIOS} SELECT * EXCLUDE (price_x) FROM scenario")
@@ -212,5 +216,5 @@ coalesce(any_value(sample_size), 0) AS sample_size, round(any_value(multiplier)
 FROM costs c JOIN scenario s ON s.id = c.id LEFT JOIN benchmark b ON b.region = c.region AND b.project_type = c.project_type
 GROUP BY c.id, cost_c, budget_c""")
 def f15_pricing_dashboard(spark: SparkSession, d: str) -> DataFrame:
-    found = P.pricing_dashboard(_costs(spark, d), _benchmark(spark, d), _scenarios(spark, d))
+    found = P.pricing_dashboard(_priced(spark, d), _benchmark(spark, d))
     return found.withColumns({c: F.col(c).cast("double") for c in ("cost", "budget", "conservative", "balanced", "aggressive")})

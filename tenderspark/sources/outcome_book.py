@@ -12,6 +12,9 @@ MONEY = "decimal(15,2)"
 IDENTIFIERS = ("historical_tender_id", "tender_file_hash", "tender_file_name", "project_name")
 
 
+SIGNALS = ("positive", "negative", "neutral")
+
+
 def derive_win_signal(status: Column) -> Column:
     """won is positive, lost and failed negative, all else neutral."""
     s = F.lower(strip(status))
@@ -87,10 +90,12 @@ def resolve_outcome(tenders: DataFrame, book: DataFrame) -> DataFrame:
     hits = asked.select("id", F.explode(each).alias("a")).select("id", "a.*").join(known, ["level", "key"])
     found = hits.groupBy("id").agg(F.min_by(F.struct("level", "signal"), F.struct("level", "o")).alias("f")).select("id", "f.*")
     left = asked.join(found, "id", "left_anti").select("id", "name")
-    # a key's place in the book: its first line, the name as it is before the one without suffix
-    placed = names.where("key <> ''").select("key", (F.col("place.since") * 2 + F.col("place.form")).cast("long").alias("place"), "signal")
-    first = first_related(left.select("name"), placed.select("key", "place")).join(placed.select("place", "signal"), "place")
-    close = left.join(first.select("name", "signal"), "name").select("id", F.lit(4).alias("level"), "signal")
+    # a key's place in the book: its first line, the name as it is before the one without suffix; and its signal behind that
+    signals = F.array(*map(F.lit, SIGNALS))
+    place = (F.col("place.since") * 2 + F.col("place.form")) * len(SIGNALS) + F.array_position(signals, F.col("signal")) - 1
+    placed = names.where("key <> ''").select("key", place.cast("long").alias("place"))
+    first = first_related(left.select("name"), placed, most=(tenders.count(), 2 * book.count()))
+    close = left.join(first, "name").select("id", F.lit(4).alias("level"), signals[F.pmod("place", F.lit(len(SIGNALS))).cast("int")].alias("signal"))
     every = found.unionByName(close)
     return tenders.select("id").join(every, "id", "left").select("id", "level", F.coalesce("signal", F.lit("neutral")).alias("win_signal"))
 
