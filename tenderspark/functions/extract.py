@@ -76,29 +76,44 @@ def extract_labelled_fields(pages: DataFrame, labels: dict = LABELS) -> DataFram
     return rows.select("doc", "page", F.inline(F.array(*found))).where("value is not null")
 
 
+# A plan's code in one piece and in three, the codes of a project by their label, what is no code.
+PLAN_CODE = r"采购计划编号[：:\s]*([A-Z0-9]{4,}-[0-9]{4}-[0-9]{5,})"
+PLAN_CODE_IN_PARTS = r"采购计划编号[：:\s]*([0-9]{4,})\s*[-－]\s*([0-9]{4})\s*[-－]\s*([0-9]{5,})"
+PROJECT_CODES = (
+    r"采购项目编号[：:\s]*([A-Z]{2,}[-_]?[A-Z0-9]+[-_]?[0-9]{4,}号?)",
+    r"(?<!采购)项目编号[：:\s]*([A-Z0-9]{4,}[-_]?[0-9]{3,}号?)",
+)
+ONLY_DIGITS = r"^[0-9]{6,}$"
+
+# Field, pattern and confidence of what a business licence and a certificate hold.
+LICENSE_FIELDS = (
+    ("credit_code", "([0-9A-Z]{18})", 0.95),
+    ("company_name", r"([^\n]+?有限公司)", 0.85),
+    ("registered_capital", r"注册[资金本]*\s*([0-9,.]+)\s*(?:万?元)?", 0.80),
+    ("address", r"(?:地址|住所)\s*[:：]?\s*([^\n]+)", 0.75),
+)
+CERT_FIELDS = (
+    ("cert_name", r"(食品经营许可证|营业执照|ISO\d+.*认证|证书)", 0.80),
+    ("cert_number", r"(?:证书编号|证号|编号)\s*[:：]?\s*([A-Z0-9]{10,})", 0.85),
+)
+
+
 def extract_plan_codes(text: Column) -> Column:
     """(plan_code, project_code): a code in one piece or in three parts; codes of digits only are none."""
     s = F.regexp_replace(text, " (?=[一-鿿])", "")
-    whole = _nonempty(F.regexp_extract(s, r"采购计划编号[：:\s]*([A-Z0-9]{4,}-[0-9]{4}-[0-9]{5,})", 1))
-    three = r"采购计划编号[：:\s]*([0-9]{4,})\s*[-－]\s*([0-9]{4})\s*[-－]\s*([0-9]{5,})"
-    parts = F.when(s.rlike(three), F.concat_ws("-", *(F.regexp_extract(s, three, k) for k in (1, 2, 3))))
-    named = _nonempty(F.regexp_extract(s, r"采购项目编号[：:\s]*([A-Z]{2,}[-_]?[A-Z0-9]+[-_]?[0-9]{4,}号?)", 1))
-    other = _nonempty(F.regexp_extract(s, r"(?<!采购)项目编号[：:\s]*([A-Z0-9]{4,}[-_]?[0-9]{3,}号?)", 1))
-    usable = lambda c: F.when(~c.rlike(r"^[0-9]{6,}$"), c)
-    return F.struct(F.coalesce(whole, parts).alias("plan_code"), F.coalesce(usable(named), usable(other)).alias("project_code"))
+    first = lambda p: _nonempty(F.regexp_extract(s, p, 1))
+    parts = F.when(s.rlike(PLAN_CODE_IN_PARTS), F.concat_ws("-", *(F.regexp_extract(s, PLAN_CODE_IN_PARTS, k) for k in (1, 2, 3))))
+    usable = lambda c: F.when(~c.rlike(ONLY_DIGITS), c)
+    return F.struct(F.coalesce(first(PLAN_CODE), parts).alias("plan_code"), F.coalesce(*(usable(first(p)) for p in PROJECT_CODES)).alias("project_code"))
 
 
 def extract_license_fields(text: Column, image_type: Column) -> Column:
     """Array of (field, value, confidence) of a business licence or a certificate; what is not found is left out."""
-    x = lambda p, k=1: _nonempty(F.regexp_extract(text, p, k))
-    row = lambda n, v, c: F.when(v.isNotNull(), F.struct(F.lit(n).alias("field"), v.alias("value"), F.lit(c).alias("confidence")))
-    licence = F.array(
-        row("credit_code", x("([0-9A-Z]{18})"), 0.95), row("company_name", x(r"([^\n]+?有限公司)"), 0.85),
-        row("registered_capital", x(r"注册[资金本]*\s*([0-9,.]+)\s*(?:万?元)?"), 0.80), row("address", x(r"(?:地址|住所)\s*[:：]?\s*([^\n]+)"), 0.75),
-    )
-    cert = F.array(
-        row("cert_name", x(r"(食品经营许可证|营业执照|ISO\d+.*认证|证书)"), 0.80), row("cert_number", x(r"(?:证书编号|证号|编号)\s*[:：]?\s*([A-Z0-9]{10,})"), 0.85)
-    )
+    def row(name: str, pattern: str, sure: float) -> Column:
+        value = _nonempty(F.regexp_extract(text, pattern, 1))
+        return F.when(value.isNotNull(), F.struct(F.lit(name).alias("field"), value.alias("value"), F.lit(sure).alias("confidence")))
+
+    licence, cert = (F.array(*(row(*f) for f in fields)) for fields in (LICENSE_FIELDS, CERT_FIELDS))
     return F.array_compact(F.when(image_type == "license", licence).when(image_type == "cert", cert).otherwise(F.array().cast(f"array<{FIELD}>")))
 
 
