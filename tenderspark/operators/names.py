@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Different names of a block.
-BLOCK = 20_000
+#: Different names of a block: for certificates, whose index also holds single characters, and for containment alone.
+BLOCK, NAMES = 20_000, 40_000
 
 
 def block_pairs(left: DataFrame, right: DataFrame, key: str, f: Callable[[pa.Table, pa.Table], pa.Table], schema: str, size: int = BLOCK, most: tuple[int, int] | None = None) -> DataFrame:
@@ -56,7 +56,7 @@ def within(index: ahocorasick.Automaton | None, text: str) -> Iterable[int]:
             yield from ks
 
 
-def first_related(names: DataFrame, keys: DataFrame, size: int = BLOCK, most: tuple[int, int] | None = None) -> DataFrame:
+def first_related(names: DataFrame, keys: DataFrame, size: int = NAMES, most: tuple[int, int] | None = None) -> DataFrame:
     """(name, place): for each different name the smallest `place` of the keys (key, place) that contain it or that it
     contains; names that no key is related to are left out, and so are null and empty names and keys."""
 
@@ -66,6 +66,7 @@ def first_related(names: DataFrame, keys: DataFrame, size: int = BLOCK, most: tu
         keys_in = automaton(zip(words, range(len(words))))
         for t, text in enumerate(texts):
             best[t] = min((places[k] for k in within(keys_in, text)), default=None)
+        del keys_in  # one index at a time
         names_in = automaton(zip(texts, range(len(texts))))
         for word, place in zip(words, places):
             for t in within(names_in, word):
