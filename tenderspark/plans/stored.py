@@ -142,4 +142,4 @@ def s1_ordered_replay(spark: SparkSession, d: str) -> DataFrame:
     stream = spark.readStream.schema(log.schema).parquet(f"{base}/log")
     jobs.keep_replay(stream, "60 days", f"{base}/rows", f"{base}/checkpoint").awaitTermination()
     rows = spark.read.option("recursiveFileLookup", True).parquet(f"{base}/rows").where("project <> -1")
-    return rows.select("project", "event_id", F.col("at").alias("ts"), "new_status", "original_status", "before", "n", "gap")
+    return rows.select("project", "event_id", F.col("at").cast("timestamp_ntz").alias("ts"), "new_status", "original_status", "before", "n", "gap")

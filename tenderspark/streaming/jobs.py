@@ -130,7 +130,7 @@ def kept_state(spark: SparkSession, target: str) -> DataFrame:
     return spark.read.parquet(target).groupBy("project").agg(F.max_by("status", "n").alias("status"), F.max("n").alias("n"))
 
 
-REPLAYED = "project long, event_id long, at timestamp, before string, original_status string, new_status string, n long, gap boolean"
+REPLAYED = "project long, event_id long, us long, before string, original_status string, new_status string, n long, gap boolean"
 _WAITING = "last string, n long, at array<long>, event_id array<long>, original_status array<string>, new_status array<string>"
 
 
@@ -148,9 +148,8 @@ def replay(log: DataFrame, lateness: str) -> DataFrame:
         waiting = list(zip(*kept))
         if not state.hasTimedOut:
             for rows in batches:
-                at = rows["at"].astype("datetime64[us]").astype("int64")
                 text = lambda c: [None if pd.isna(x) else x for x in c]
-                waiting += zip(at.tolist(), rows["event_id"].tolist(), text(rows["original_status"]), text(rows["new_status"]))
+                waiting += zip(rows["us"].tolist(), rows["event_id"].tolist(), text(rows["original_status"]), text(rows["new_status"]))
         waiting.sort(key=lambda w: w[:2])
         mark = state.getCurrentWatermarkMs()
         ready = [w for w in waiting if w[0] < mark * 1000]
@@ -158,17 +157,19 @@ def replay(log: DataFrame, lateness: str) -> DataFrame:
         out = []
         for at, event, original, new in ready:
             n += 1
-            out.append((key[0], event, pd.Timestamp(at, unit="us"), last, original, new, n, last is not None and original is not None and last != original))
+            out.append((key[0], event, at, last, original, new, n, last is not None and original is not None and last != original))
             last = new
         state.update((last, n, *map(list, zip(*waiting))) if waiting else (last, n, [], [], [], []))
         if waiting:
             state.setTimeoutTimestamp(max(waiting[0][0] // 1000, mark) + 1)
         if out:
-            yield pd.DataFrame(out, columns=["project", "event_id", "at", "before", "original_status", "new_status", "n", "gap"])
+            yield pd.DataFrame(out, columns=["project", "event_id", "us", "before", "original_status", "new_status", "n", "gap"])
 
-    rows = log.select("project", "event_id", F.col("at").cast("timestamp").alias("at"), "original_status", "new_status").where("project is not null and at is not null")
+    at = F.col("at").cast("timestamp")
+    rows = log.select("project", "event_id", at.alias("at"), F.unix_micros(at).alias("us"), "original_status", "new_status").where("project is not null and at is not null")
     marked = rows.withWatermark("at", lateness)
-    return marked.groupBy("project").applyInPandasWithState(one, REPLAYED, _WAITING, "append", GroupStateTimeout.EventTimeTimeout)
+    out = marked.groupBy("project").applyInPandasWithState(one, REPLAYED, _WAITING, "append", GroupStateTimeout.EventTimeTimeout)
+    return out.select(*(F.timestamp_micros("us").alias("at") if c == "us" else c for c in out.columns))
 
 
 def keep_replay(log: DataFrame, lateness: str, target: str, checkpoint: str) -> StreamingQuery:
