@@ -11,17 +11,37 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tenderspark.llm.common import with_text_columns
 from tenderspark.llm.ngrams import codes
 
+#: Byte n-grams: buckets and orders.
 BITS = 17
 ORDERS = (1, 2, 3)
-#: Word n-grams that are one word repeated so often have a bucket each, whatever the word. (Other word n-grams were tried
-#: and made held-out results worse.)
-RUNS = (3, 5, 8)
-SIZE = (1 << BITS) + len(RUNS)
+#: Word n-grams by their shape, which keeps only what repeats what: each word is the place of its first use in the n-gram.
+SHAPE_BITS = 13
+SHAPES = (3, 5, 8)
+SIZE = (1 << BITS) + (1 << SHAPE_BITS)
+
+
+def _shapes(words: list[bytes]) -> Iterator[np.ndarray]:
+    """Buckets of the shapes of all word n-grams, repeats included."""
+    number: dict[bytes, int] = {}
+    own = np.array([number.setdefault(w, len(number)) for w in words], np.int64)
+    same = [own[: max(0, len(own) - d)] == own[d:] for d in range(max(SHAPES))]
+    for n in SHAPES:
+        size = len(own) - n + 1
+        if size < 1:
+            break
+        code = np.full(size, n, np.uint32)
+        for k in range(1, n):
+            first = np.full(size, k, np.uint32)
+            for j in reversed(range(k)):
+                first[same[k - j][j : j + size]] = j
+            code = code * np.uint32(9) + first
+        yield code * np.uint32(0x9E3779B1) >> np.uint32(32 - SHAPE_BITS)
 
 
 def _indicators(text: str | None) -> np.ndarray:
@@ -30,12 +50,8 @@ def _indicators(text: str | None) -> np.ndarray:
     held = np.zeros(SIZE, bool)
     for c in codes(data, ORDERS, BITS):
         held[c] = True
-    words = data.split()
-    run, longest = 1, 1
-    for a, b in zip(words, words[1:]):
-        run = run + 1 if a == b else 1
-        longest = run if run > longest else longest
-    held[1 << BITS :] = [longest >= n for n in RUNS]
+    for c in _shapes(data.split()):
+        held[(1 << BITS) + c] = True
     return np.flatnonzero(held)
 
 
@@ -104,9 +120,9 @@ def fit(
     Whole texts are read, of any length; a row that repeats in `docs` or `labels` teaches as often as it occurs, as do
     both labels of one id; other columns are ignored, whatever their names; empty tables teach nothing.
 
-    Log-count ratios come from all of them. The hinge-loss model is fitted on a sample of about `sample_per_class`
-    texts of each class, chosen by a hash of the id. If a class is missing, every score is the share of label 1
-    (0.5 without labels)."""
+    Log-count ratios come from all of them. The hinge-loss model is fitted on a sample: the `sample_per_class` different
+    pairs of id and text of each class that come first by a hash, all if there are fewer. If a class is missing, every
+    score is the share of label 1 (0.5 without labels)."""
     known = labels.where(F.col(label_col).isNotNull()).select(
         F.col(id_col).alias("i"), (F.col(label_col) == 1).alias("good")
     )
@@ -141,24 +157,22 @@ def fit(
     p = (n + 1) / (n + 1).sum(1, keepdims=True)
     ratio = np.log(p[1] / p[0])
 
-    share = np.minimum(1.0, sample_per_class / texts)
-    picked = known.where(
-        F.pmod(F.xxhash64("i"), F.lit(1 << 40)) < F.when(F.col("good"), share[1]).otherwise(share[0]) * (1 << 40)
-    )
-    sample = docs.where(train).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-    # only ids that were trained on, so about 2 * sample_per_class rows
-    picked = picked.join(docs.where(train).select(F.col(id_col).alias("i")), "i", "left_semi")
-    sample = sample.join(F.broadcast(picked), "i")
-    sample = with_text_columns(
-        sample, ["i", "good"], "t", "at array<int>", lambda: lambda texts: [[_indicators(t).astype(np.int32) for t in texts]]
-    )
-    got = sample.toArrow().sort_by("i")
+    # the different texts of each class that come first by hash: keys without texts are ranked, at most
+    # 2 * sample_per_class of them are broadcast
+    keyed = docs.where(train).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h"))
+    keys = keyed.select("i", "h").join(known.hint("merge"), "i").distinct()
+    place = F.row_number().over(W.partitionBy("good").orderBy(F.xxhash64("i", "h"), "i", "h"))
+    picked = keys.withColumn("place", place).where(F.col("place") <= sample_per_class).select("i", "h", "good")
+    sample = keyed.join(F.broadcast(picked), ["i", "h"]).groupBy("i", "h", "good").agg(F.min("t").alias("t"))
+    got = with_text_columns(
+        sample, ["i", "h", "good"], "t", "at array<int>", lambda: lambda texts: [[_indicators(t).astype(np.int32) for t in texts]]
+    ).toArrow().sort_by([("i", "ascending"), ("h", "ascending"), ("good", "ascending")])
     good, lists = got["good"].to_numpy(), got["at"].combine_chunks()
     flat, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy()
     x = [flat[a:b] for a, b in zip(ends, ends[1:])]
     y = np.where(good, 1.0, -1.0)
-    # in the sample each text stands for 1 / share of its class
-    weight = np.where(good, 1 / share[1], 1 / share[0])
+    # each text of the sample stands for so many of its class
+    weight = np.where(good, texts[1] / max(1, good.sum()), texts[0] / max(1, (~good).sum()))
     balance = np.where(good, len(y) / (2 * max(1, good.sum())), len(y) / (2 * max(1, (~good).sum())))
     fold = np.arange(len(y)) % 4 == 0  # left out for the curve
     parts = [i for i in np.flatnonzero(~fold)] if (~fold).any() else list(range(len(y)))

@@ -140,6 +140,38 @@ def test_quality(spark, odd):
     assert abs(empty.score("x") - 0.5) < 1e-9
 
 
+def test_shapes_of_word_ngrams_are_those_of_a_plain_loop():
+    def plain(words):
+        found = set()
+        for n in quality.SHAPES:
+            for i in range(len(words) - n + 1):
+                code, gram = n, words[i : i + n]
+                for k in range(1, n):
+                    code = (code * 9 + gram.index(gram[k])) % (1 << 32)
+                found.add((code * 0x9E3779B1) % (1 << 32) >> (32 - quality.SHAPE_BITS))
+        return found
+
+    rng = np.random.default_rng(5)
+    for size in [0, 1, 2, 3, 4, 7, 8, 9, 60, 500]:
+        words = [b"w%d" % k for k in rng.integers(0, 4, size)]
+        assert {int(c) for part in quality._shapes(words) for c in part} == plain(words), size
+    one, other = quality._indicators("a a a b"), quality._indicators("c c c d")
+    assert set(one[one >= 1 << quality.BITS]) == set(other[other >= 1 << quality.BITS])
+
+
+def test_quality_of_ids_that_repeat(spark):
+    good = [(1, f"plain words about the river and hill number {k}") for k in range(300)]
+    bad = [(2 + k % 20, f"buy buy buy {k} $$$ now now now") for k in range(60)]
+    docs = spark.createDataFrame([*good, *bad], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), *((2 + k, 0) for k in range(20)), (3, 0), (4, None), (None, 1)], "doc_id long, quality int")
+    model = quality.fit(docs, labels, F.lit(True), sample_per_class=20)
+    assert model.score(good[7][1]) > 0.5 > model.score(bad[7][1])
+    again = quality.fit(docs.repartition(7), labels, F.lit(True), sample_per_class=20)
+    assert np.allclose(model.weight, again.weight) and abs(model.bias - again.bias) < 1e-9
+    nothing = quality.fit(docs.limit(0), labels, F.lit(True))
+    assert abs(nothing.score("x") - 0.5) < 1e-9
+
+
 def test_dual_coordinate_descent_separates():
     rows = [np.array([0, 1]), np.array([0]), np.array([2]), np.array([2, 3])]
     w, b = quality.dual_coordinate_descent(rows, np.array([1.0, 0.5, -1.0, -0.5]), np.array([1.0, 1, -1, -1]), np.full(4, 10.0), 200)
