@@ -144,20 +144,24 @@ def flag_navigation(text: Column) -> Column:
 SENTENCE_ENDS = "\n。！？.!?"
 
 
+def next_cut(text: str, at: int, size: int, overlap: int, most: float) -> tuple[int, int | None]:
+    """End of the window that starts at `at`, and where the next one starts; None if this is the last."""
+    end = at + size
+    if end >= len(text):
+        return len(text), None
+    last = max(text.rfind(c, at + int(size * 0.8), end) for c in SENTENCE_ENDS)
+    end = last + 1 if last >= 0 else end
+    return end, max(end - min(overlap, int(size * most)), at + 1)
+
+
 def cut_points(text: str, size: int, overlap: int, most: float) -> list[tuple[int, int]]:
     """(start, end) of the chunks of a text: one pass from left to right that looks at each window's final fifth."""
-    if not text or text.isspace():
-        return []
-    back, near, out, at = min(overlap, int(size * most)), int(size * 0.8), [], 0
-    while True:
-        end = at + size
-        if end >= len(text):
-            out.append((at, len(text)))
-            return out
-        last = max(text.rfind(c, at + near, end) for c in SENTENCE_ENDS)
-        end = last + 1 if last >= 0 else end
+    out, at = [], None if not text or text.isspace() else 0
+    while at is not None:
+        end, after = next_cut(text, at, size, overlap, most)
         out.append((at, end))
-        at = max(end - back, at + 1)
+        at = after
+    return out
 
 
 def sliding_chunks(text: Column, size: int = 500, overlap: int = 50, most: float = 0.3) -> Column:
@@ -165,7 +169,8 @@ def sliding_chunks(text: Column, size: int = 500, overlap: int = 50, most: float
 
     The next window starts min(overlap, size * most) before the end of the last, and at least one character later.
     Short texts are one chunk, null and blank ones none. Where a window ends depends on all before it, so a text is cut
-    by a loop over its windows, in Arrow batches; its work and memory grow with the length."""
+    by a loop over its windows, in Arrow batches; its work and memory grow with the length. For tables with very long
+    texts see `operators.long_texts.chunk_documents`."""
 
     @F.pandas_udf("array<string>")
     def cut(texts: pd.Series) -> pd.Series:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenderspark.functions import text as T
+from tenderspark.operators import long_texts
 from tenderspark.operators import segments as S
 from tenderspark.plans.base import query, table
 
@@ -82,8 +83,7 @@ UNION ALL SELECT doc, k + 1, s, CASE WHEN s + 500 >= n THEN n - s ELSE CASE WHEN
 FROM (SELECT c.doc, c.k, greatest(c.a + c.m - 50, c.a + 1) AS s, d.text, d.n FROM c JOIN d ON d.doc = c.doc WHERE c.a + 500 < d.n))
 SELECT c.doc, k, md5(substr(d.text, a + 1, m)) AS chunk FROM c JOIN d ON d.doc = c.doc""")
 def b14_sliding_chunks(spark: SparkSession, d: str) -> DataFrame:
-    rows = _docs(spark, d).select("doc", F.posexplode(T.sliding_chunks(F.col("text"))).alias("k", "chunk"))
-    return rows.withColumn("chunk", F.md5("chunk"))
+    return long_texts.chunk_documents(_docs(spark, d).select("doc", "text")).withColumn("chunk", F.md5("chunk"))
 
 
 _HITS = ", ".join(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 from decimal import Decimal
 
 import pytest
@@ -13,6 +14,7 @@ from tenderspark.functions import text as T
 from tenderspark.operators import certs as C
 from tenderspark.operators import evaluation as E
 from tenderspark.operators import lifecycle as L
+from tenderspark.operators import long_texts
 from tenderspark.operators import pricing as P
 from tenderspark.operators import segments as S
 from tenderspark.sources import outcome_book as B
@@ -48,6 +50,18 @@ def test_sliding_chunks(spark):
     assert len(wide[0]) + len(wide[1]) - 150 == 850  # the overlap is capped at 0.3
 
 
+@pytest.mark.parametrize(("size", "overlap", "block"), [(50, 5, 60), (50, 40, 50), (20, 0, 300), (500, 50, 700)])
+def test_long_texts_are_cut_as_by_one_pass(spark, size, overlap, block):
+    rng = random.Random(size + block)
+    texts = ["".join(rng.choices("ab 。.\n字😀", [9, 9, 3, r, r, r, 3, 1], k=n)) for r in (0, 1) for n in (0, 1, block, block + 1, 5 * block, 5 * block + size, 3001)]
+    rows = [*enumerate(texts), (7, texts[4]), (7, texts[4]), (None, texts[-1]), (90, None), (91, " \n" * block)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc long, text string, key string")
+    want = sorted((str(i), k, t[a:b]) for i, t in rows for k, (a, b) in enumerate(T.cut_points(t or "", size, overlap, 0.3)))
+    got = long_texts.chunk_documents(docs, size, overlap, block=block).collect()
+    assert sorted((str(r["doc"]), r["k"], r["chunk"]) for r in got) == want
+    assert long_texts.chunk_documents(docs.limit(0), size, overlap, block=block).count() == 0
+
+
 def test_suffixes_and_signals(spark):
     assert values(spark, ["2025_某项目_投标文件", "x_采购包 12", "x", None], "t string", T.strip_doc_suffix(F.col("t"))) == ["2025_某项目", "x", "x", None]
     assert values(spark, ["won", "lost", "failed", "?", None], "t string", B.derive_win_signal(F.col("t"))) == ["positive", "negative", "negative", "neutral", "neutral"]
