@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tenderspark.llm import set_join
-from tenderspark.llm.common import let
+from tenderspark.llm.common import forget, let, stored
 
 #: Common words of English, French, German and Spanish.
 ANCHORS = tuple(
@@ -74,9 +74,18 @@ def length_partition(size: Column, threshold: float) -> Column:
     return F.floor(F.log(F.greatest(size, F.lit(1)).cast("double")) / math.log(1 / threshold)).cast("int")
 
 
-def with_next(docs: DataFrame, id_col: str, text_col: str, made: list[Column]) -> DataFrame:
+def class_of(signatures: Column) -> Column:
+    """The class of texts with equal sets of signatures."""
+    return F.xxhash64(signatures)
+
+
+def with_next(docs: DataFrame, id_col: str, text_col: str, made: list[Column], linked: DataFrame) -> DataFrame:
     """`docs` (id_col, text_col) with the columns `made` from them, and _next_<name> of text and made columns.
 
+    The first of `made` is the set of signatures, `s`; of it come class_id, and n_links from the row of `linked`
+    (id_col, class_id, n_links) with the same id and class, 0 where there is none. These few short rows go to the range
+    of their id with the texts, so that texts are shuffled once.
+
     Next is the next row in descending order of the ids (nulls last, equal ids in the order of a hash of the text); the
     last one's next is the first. Rows are dealt to ranges of ids between quantiles, in each of which a window looks one
     row ahead; the first row of every range is copied to the end of the range above, and the very first to the end."""
@@ -106,10 +115,17 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, made: list[Column]) -
                 F.coalesce(F.transform("_also", lambda a: F.struct(a.alias("r"), F.lit(True).alias("ghost"))), F.array()),
             )
         ),
-    ).select(id_col, text_col, "_o", "_to.r", "_to.ghost")
-    rows = rows.repartition(parts, "r").select("*", *made)
+    ).select(id_col, text_col, "_o", "_to.r", "_to.ghost", F.lit(None).cast("long").alias("_c"), F.lit(None).cast("long").alias("_n"))
+    notes = linked.select(
+        id_col, F.lit(None).cast("string").alias(text_col), order.alias("_o"), ranged(order).alias("r"), F.lit(False).alias("ghost"), F.col("class_id").alias("_c"), F.col("n_links").alias("_n")
+    )
+    rows = rows.union(notes).repartition(parts, "r").select("*", *made)
+    rows = rows.withColumn("class_id", F.coalesce("_c", class_of(F.col("s"))))
+    # a null id is no other id, though both may have the same place
+    same = W.partitionBy("r", "_o", F.col(id_col).isNull(), "class_id")
+    rows = rows.withColumn("n_links", F.coalesce(F.max("_n").over(same), F.lit(0))).where(F.col("_c").isNull()).drop("_c", "_n")
     ahead = W.partitionBy("r").orderBy("ghost", F.desc("_o"), F.xxhash64(text_col))
-    names = [c for c in rows.columns if c not in (id_col, "_o", "r", "ghost")]
+    names = [c for c in rows.columns if c not in (id_col, "_o", "r", "ghost", "class_id", "n_links")]
     return (
         rows.select("*", *(F.lead(c).over(ahead).alias(f"_next_{c}") for c in names))
         .where(~F.col("ghost"))
@@ -117,18 +133,21 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, made: list[Column]) -
     )
 
 
-def edited_against_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chain: int = 2) -> DataFrame:
+def edited_against_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chain: int = 2, threshold: float = 0.8) -> DataFrame:
     """Per row: fingerprints of the text and of its edited text (the last third replaced by the start of the next one's
-    text), and the likeness of the first to the second and to the next document's.
+    text), the likeness of the first to the second and to the next document's; the class of texts with this
+    fingerprint (class_id) and the number of other classes of the table whose likeness to it reaches the threshold
+    (n_links; the pairs themselves are those of `links`).
 
-    Null texts are empty; empty texts have the empty fingerprint. One row per input row, repeated rows too; other
-    columns are ignored, whatever their names."""
+    Null texts are empty; empty texts have the empty fingerprint, one class without links. One row per input row,
+    repeated rows too; rows that share an id keep their own classes; other columns are ignored, whatever their names."""
     texts = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    rows = with_next(texts, id_col, "t", [signatures(F.col("t"), chain=chain).alias("s")])
+    linked = link_counts(texts, id_col, "t", threshold, chain)
+    rows = with_next(texts, id_col, "t", [signatures(F.col("t"), chain=chain).alias("s")], linked)
     n = F.length("t").cast("long")
     cut = F.floor(n / 3)
     edited = F.concat(F.substring(F.col("t"), F.lit(1), (n - cut).cast("int")), F.substring(F.col("_next_t"), F.lit(1), cut.cast("int")))
-    rows = rows.select(id_col, n.alias("n_chars"), edited.alias("e"), "s", "_next_s")
+    rows = rows.select(id_col, n.alias("n_chars"), edited.alias("e"), "s", "_next_s", "class_id", "n_links")
     rows = rows.withColumn("es", signatures(F.col("e"), chain=chain))
     return rows.select(
         id_col,
@@ -138,6 +157,8 @@ def edited_against_next(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         as_text(F.col("es")).alias("edited_fingerprint"),
         jaccard(F.col("s"), F.col("es")).alias("near_edited"),
         jaccard(F.col("s"), F.col("_next_s")).alias("near_next"),
+        "class_id",
+        "n_links",
     )
 
 
@@ -147,13 +168,28 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
 
     Sets are indexed by their rarest signatures within their length partition; a set meets those of its own and of the
     next partition that share one, and pairs that pass the length and positional filters are verified exactly."""
-    rows = docs.select(F.col(id_col), signatures(F.col(text_col), chain=chain).alias("tokens"))
-    members = rows.select(id_col, F.xxhash64("tokens").alias("set_id"), "tokens")
-    sets = members.groupBy("set_id").agg(F.any_value("tokens").alias("tokens"))
-    posts = set_join.postings(sets, ["set_id"], threshold).withColumn("part", length_partition(F.col("n"), threshold))
+    tokens = docs.select(F.col(id_col), signatures(F.col(text_col), chain=chain).alias("tokens"))
+    keyed = tokens.select(id_col, class_of(F.col("tokens")).alias("set_id"), "tokens")
+    sets = stored(keyed.groupBy("set_id").agg(F.any_value("tokens").alias("tokens")))
+    posts = stored(set_join.postings(sets, ["set_id"], threshold).withColumn("part", length_partition(F.col("n"), threshold)))
     shorter = posts.withColumn("slot", F.explode(F.array(F.col("part"), F.col("part") + 1)))
     longer = posts.withColumn("slot", F.col("part"))
     a, b = F.struct("a.n", "a.set_id"), F.struct("b.n", "b.set_id")
     met = shorter.alias("a").join(longer.alias("b"), ["slot", "token"]).where((a < b) & set_join.can_match("a", "b", threshold))
-    pairs = met.select(F.least("a.set_id", "b.set_id").alias("a"), F.greatest("a.set_id", "b.set_id").alias("b"))
-    return members.drop("tokens"), set_join.verified_pairs(pairs, sets, "set_id", threshold)
+    pairs = stored(met.select(F.least("a.set_id", "b.set_id").alias("a"), F.greatest("a.set_id", "b.set_id").alias("b")).distinct())
+    asked = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
+    few = stored(sets.join(asked, "set_id", "left_semi"))
+    forget(sets, posts)
+    found = stored(set_join.verified_pairs(pairs, few, "set_id", threshold))
+    forget(pairs, few)
+    return keyed.drop("tokens"), found
+
+
+def link_counts(docs: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, chain: int = 2) -> DataFrame:
+    """(id_col, class_id, n_links), stored: the rows of `docs` whose class is linked to others, each id and class once."""
+    members, pairs = links(docs, id_col, text_col, threshold, chain)
+    ends = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b"))
+    counts = ends.groupBy("set_id").agg(F.count("*").alias("n_links"))
+    counted = stored(members.distinct().join(counts, "set_id").select(id_col, F.col("set_id").alias("class_id"), "n_links"))
+    forget(pairs)
+    return counted

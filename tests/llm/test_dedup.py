@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 
@@ -129,6 +130,14 @@ def test_similar_pairs_equal_brute_force(spark):
     got = {(x["a"], x["b"]) for x in set_join.similar_pairs(df, "k", 0.6).collect()}
     want = {(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and len({*sets[a]} & {*sets[b]}) / len({*sets[a]} | {*sets[b]}) >= 0.6 - 1e-9}
     assert got == want and want
+    # the query's columns: equal sets are one class, repeated and null ids keep the links of their own text
+    docs += [(70, docs[1][1]), (70, docs[4][1]), (None, docs[7][1]), (-(1 << 63), docs[2][1]), (71, ""), (None, None)]
+    sets = {frozenset(_signatures(t or "")) for _, t in docs}
+    n_links = lambda s: sum(o != s and len(s & o) / len(s | o) >= 0.8 - 1e-9 for o in sets)
+    rows = spotsigs.edited_against_next(make(docs)).collect()
+    expected = sorted((str(i), len(t or ""), n_links(frozenset(_signatures(t or "")))) for i, t in docs)
+    assert sorted((str(x["doc_id"]), x["n_chars"], x["n_links"]) for x in rows) == expected and any(x[2] for x in expected)
+    assert len({x["class_id"] for x in rows}) == len(sets) == len({x["fingerprint"] for x in rows})
 
 
 def _signatures(text):
@@ -156,6 +165,7 @@ def test_spot_signatures(spark, make, odd):
         edited = t[: len(t) - cut] + (after[1] or "")[:cut]
         own, other, changed = _signatures(t), _signatures(after[1] or ""), _signatures(edited)
         like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+        assert got[i]["n_chars"] == len(t) and got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
         assert len(got[i]["fingerprint"].split()) == len(own)
         assert abs(got[i]["near_next"] - like(own, other)) < 1e-9 and abs(got[i]["near_edited"] - like(own, changed)) < 1e-9
     assert got[1]["fingerprint"] == got[5]["fingerprint"] != got[2]["fingerprint"]
