@@ -32,13 +32,19 @@ def can_match(a: str, b: str, threshold: float) -> Column:
     return of_like_length(na, nb, threshold) & (most >= least_shared(na, nb, threshold))
 
 
-def postings(sets: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+def shared_tokens(sets: DataFrame) -> DataFrame:
+    """(token, c): the tokens that several sets hold, and how many do."""
+    return sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
+
+
+def postings(sets: DataFrame, keys: list[str], threshold: float, counts: DataFrame | None = None) -> DataFrame:
     """(keys, n, pos, token): the indexed part of each set's prefix in the order by rarity; pos counts from 0.
 
-    `sets` (keys, tokens) is read twice. Counts are aggregated before they meet a token, so a token of very many sets
-    is one row that Spark's join may split; what is gathered in one place is one set's tokens."""
+    `counts` are the sets' `shared_tokens`, if they are stored. `sets` (keys, tokens) is read twice. Counts are
+    aggregated before they meet a token, so a token of very many sets is one row that Spark's join may split; what is
+    gathered in one place is one set's tokens."""
     each = sets.select(*keys, F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    counts = each.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
+    counts = shared_tokens(sets) if counts is None else counts
     held = each.join(counts, "token").groupBy(*keys).agg(
         F.any_value("n").alias("n"), F.sort_array(F.collect_list(F.struct("c", "token"))).alias("held")
     )

@@ -170,8 +170,15 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     next partition that share one, and pairs that pass the length and positional filters are verified exactly."""
     tokens = docs.select(F.col(id_col), signatures(F.col(text_col), chain=chain).alias("tokens"))
     keyed = tokens.select(id_col, class_of(F.col("tokens")).alias("set_id"), "tokens")
+    # texts are read once; every step is stored, so that one step's shuffle files are gone before the next one's
+    keyed = stored(keyed)
     sets = stored(keyed.groupBy("set_id").agg(F.any_value("tokens").alias("tokens")))
-    posts = stored(set_join.postings(sets, ["set_id"], threshold).withColumn("part", length_partition(F.col("n"), threshold)))
+    members = stored(keyed.drop("tokens"))
+    forget(keyed)
+    counts = stored(set_join.shared_tokens(sets))
+    posts = set_join.postings(sets, ["set_id"], threshold, counts)
+    posts = stored(posts.withColumn("part", length_partition(F.col("n"), threshold)))
+    forget(counts)
     shorter = posts.withColumn("slot", F.explode(F.array(F.col("part"), F.col("part") + 1)))
     longer = posts.withColumn("slot", F.col("part"))
     a, b = F.struct("a.n", "a.set_id"), F.struct("b.n", "b.set_id")
@@ -182,7 +189,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     forget(sets, posts)
     found = stored(set_join.verified_pairs(pairs, few, "set_id", threshold))
     forget(pairs, few)
-    return keyed.drop("tokens"), found
+    return members, found
 
 
 def link_counts(docs: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, chain: int = 2) -> DataFrame:
@@ -191,5 +198,5 @@ def link_counts(docs: DataFrame, id_col: str, text_col: str, threshold: float =
     ends = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b"))
     counts = ends.groupBy("set_id").agg(F.count("*").alias("n_links"))
     counted = stored(members.distinct().join(counts, "set_id").select(id_col, F.col("set_id").alias("class_id"), "n_links"))
-    forget(pairs)
+    forget(members, pairs)
     return counted
