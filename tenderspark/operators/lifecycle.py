@@ -53,16 +53,18 @@ def status_tabs(projects: DataFrame) -> DataFrame:
 def find_duplicates(new: DataFrame, existing: DataFrame) -> DataFrame:
     """(id, kind, match): each new project's first duplicate, by plan code, then agency code, then name.
 
-    Only active rows that are not deleted count; rows with `force` are not asked for."""
+    Only active rows that are not deleted count; rows with `force` are not asked for. A key's two smallest projects are
+    enough: the first of them that is not the one that asks is its match, so no pair is listed."""
     live = existing.where(~F.col("deleted") & F.col("status").isin(*ACTIVE))
     asked = new.where(~F.col("force"))
     kinds = ("plan_code", "agency_code", "name")
     keys = lambda df, id_name: df.select(
         F.col("id").alias(id_name), F.explode(F.array(*(F.struct(F.lit(i).alias("o"), F.lit(k).alias("kind"), F.col(k).alias("key")) for i, k in enumerate(kinds)))).alias("a")
     ).select(id_name, "a.*").where(F.col("key").isNotNull() & (F.col("key") != ""))
-    hits = keys(asked, "id").join(keys(live, "match"), ["o", "kind", "key"]).where("id <> match")
-    first = F.row_number().over(W.partitionBy("id").orderBy("o", "match"))
-    return hits.withColumn("n", first).where("n = 1").select("id", "kind", "match")
+    rank = F.dense_rank().over(W.partitionBy("o", "kind", "key").orderBy("match"))
+    two = keys(live, "match").withColumn("rank", rank).where("rank <= 2").groupBy("o", "kind", "key").agg(F.min("match").alias("least"), F.max("match").alias("next"))
+    hits = keys(asked, "id").join(two, ["o", "kind", "key"]).withColumn("match", F.when(F.col("id") != F.col("least"), F.col("least")).otherwise(F.col("next"))).where("id <> match")
+    return hits.groupBy("id").agg(F.min(F.struct("o", "match", "kind")).alias("first")).select("id", "first.kind", "first.match")
 
 
 def soft_delete(projects: DataFrame, ids: DataFrame, restore: bool = False) -> DataFrame:

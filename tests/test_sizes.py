@@ -48,3 +48,12 @@ def changed(folder, **tables: str) -> str:
 def test_outcomes_without_broadcasts(spark):
     kinds = [p.getClass().getSimpleName() for p in executed(registry.QUERIES["a3_resolve_outcome"](spark, SF))]
     assert "SortMergeJoinExec" in kinds and not [k for k in kinds if "Broadcast" in k]
+
+
+def test_duplicates_of_a_common_key_make_no_pairs(spark):
+    from tenderspark.operators import lifecycle as L
+
+    rows = spark.range(1000).selectExpr("id", "CAST(NULL AS STRING) plan_code", "CAST(NULL AS STRING) agency_code", "'n' name", "false deleted", "'evaluating' status", "false force")
+    df = L.find_duplicates(rows, rows.union(rows))
+    assert {r["id"]: r["match"] for r in df.collect()} == {k: 0 if k else 1 for k in range(1000)}
+    assert rows_of_joins(df) <= 1000
