@@ -57,3 +57,12 @@ def test_duplicates_of_a_common_key_make_no_pairs(spark):
     df = L.find_duplicates(rows, rows.union(rows))
     assert {r["id"]: r["match"] for r in df.collect()} == {k: 0 if k else 1 for k in range(1000)}
     assert rows_of_joins(df) <= 1000
+
+
+@pytest.mark.parametrize("name", ["d6_confirmation_summary"])
+def test_ids_that_orders_share(spark, tmp_path, name):
+    """Parts of 100,000 and more reach into the next order's ids."""
+    key = "{k} // 2 + 100000 * ({k} % 2) AS {k}"
+    tables = {t: f"SELECT * REPLACE ({key.format(k=k)}) FROM {{}}" for t, k in (("part", "p_partkey"), ("lineitem", "l_partkey"))}
+    d = changed(tmp_path, **tables)
+    assert spark_rows(registry.QUERIES[name](spark, d)) == duck_rows(database(d), registry.ORACLES[name])
