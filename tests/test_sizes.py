@@ -59,7 +59,7 @@ def test_duplicates_of_a_common_key_make_no_pairs(spark):
     assert rows_of_joins(df) <= 1000
 
 
-@pytest.mark.parametrize("name", ["d6_confirmation_summary"])
+@pytest.mark.parametrize("name", ["d6_confirmation_summary", "d7_apply_corrections"])
 def test_ids_that_orders_share(spark, tmp_path, name):
     """Parts of 100,000 and more reach into the next order's ids."""
     key = "{k} // 2 + 100000 * ({k} % 2) AS {k}"
