@@ -30,7 +30,7 @@ UNION ALL SELECT k, 'budget_amount', CAST(money AS VARCHAR), 0.9::DOUBLE FROM o
 UNION ALL SELECT k, 'region', CASE WHEN k % 5 < 2 THEN '广东省惠州市' ELSE '南昌红谷滩' END, 0.8::DOUBLE FROM o WHERE k % 5 < 4
 UNION ALL SELECT k, 'plan_code', (100000 + k) || '-' || year(day) || '-' || (50000 + k % 1000), 0.95::DOUBLE FROM o WHERE k % 7 < 3
 UNION ALL SELECT k, 'project_type', CASE WHEN k % 3 = 0 THEN 'service' ELSE 'engineering' END, CASE WHEN k % 3 = 0 THEN 0.85 ELSE 0.8 END::DOUBLE FROM o WHERE k % 3 < 2
-UNION ALL SELECT k, 'bid_open_date', CAST(CAST(day AS DATE) AS VARCHAR), 0.75::DOUBLE FROM o WHERE k % 6 < 3""")
+UNION ALL SELECT k, 'bid_open_date', CAST(CAST(day AS DATE) AS VARCHAR), 0.75::DOUBLE FROM o WHERE k % 6 < 4""")
 def b3_extract_labelled_fields(spark: SparkSession, d: str) -> DataFrame:
     """Pages with every field in several shapes: on the label's line or the next one, by several labels, or missing."""
     nations = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
@@ -46,7 +46,8 @@ def b3_extract_labelled_fields(spark: SparkSession, d: str) -> DataFrame:
     code = [(100000 + k).cast("string"), day("yyyy"), (50000 + k % 1000).cast("string")]
     plan = F.when(k % 7 == 0, said("采购计划编号：", F.concat_ws("-", *code), "\n")).when(k % 7 < 3, said("采购计划编号: ", F.concat_ws(" - ", *code), "\n")).otherwise("项目编号：1234567\n")
     opens = F.when(k % 6 == 0, said("开标时间：", day("yyyy-MM-dd"))).when(k % 6 == 1, said("截标日期：\n", day("yyyy年M月d日"))).when(
-        k % 6 == 2, said("投标截止时间（北京时间）： ", day("yyyy/M/d"))).when(k % 6 == 3, said("开标日期：", F.translate(day("yyyyMMdd"), "0", "O"))).otherwise("开标时间：待定")
+        k % 6 == 2, said("投标截止时间（北京时间）： ", day("yyyy/M/d"))).when(k % 6 == 3, said("开标日期：", F.translate(day("yyyy-MM-dd"), "0", "O"))).when(
+        k % 6 == 4, said("开标日期：", day("yyyyMMdd"))).otherwise("开标时间：待定")
     pages = rows.select(k.alias("doc"), F.lit(1).alias("page"), F.concat(name, owner, money, place, plan, opens).alias("text"))
     return X.extract_labelled_fields(pages).drop("page")
 
