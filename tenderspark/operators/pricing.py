@@ -135,20 +135,60 @@ def _band(within: str) -> Column:
     return F.when(F.col("budget") > 0, F.floor(F.log(F.col("budget").cast("double")) / width)).otherwise(F.lit(-10_000)).cast("int")
 
 
-#: Projects of one bin that a task sums up at most.
-SWEEP = 20_000
+#: Projects of one bin that a task sums up at most; windows of up to so many rows are summed one by one; the steps of
+#: budgets, on a logarithmic scale, whose moments stand for their rows, and how many moments.
+SWEEP, FEW, STEP, MOMENTS = 200_000, 64, 0.02, 10
 
 
 SUMMARY = pa.schema([*((c, pa.int64()) for c in ("id", "n", "first")), *((c, pa.float64()) for c in ("budgets", "weights", "costs"))])
 
 
+def _least(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The smallest of values[start:end] for each window; no window is empty."""
+    out, size, low = np.empty(len(start), values.dtype), 1, values
+    while True:
+        own = np.flatnonzero((end - start >= size) & (end - start < 2 * size))
+        out[own] = np.minimum(low[start[own]], low[end[own] - size])
+        if not (end - start >= 2 * size).any():
+            return out
+        low, size = np.minimum(low[:-size], low[size:]), 2 * size
+
+
+def _above(b: np.ndarray, h: np.ndarray, by: list[np.ndarray], start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+    """Sums of v * h / (2 h - b) over h[start:end], all of them over b, for each v of `by`; b and h ascend.
+
+    h / (2 h - b) is 1/2 + b/2 / (2 h - b). Within a step of h about c the last factor is the geometric series of
+    2 (h - c) / (2 c - b), which is under 0.021 and of which ten terms give all digits of a double, so the running sums
+    of powers of h - c stand for the rows."""
+    half, inverse = [np.zeros(len(b)) for _ in by], [np.zeros(len(b)) for _ in by]
+    cuts = np.flatnonzero(np.diff(np.floor(np.log(h) / STEP))) + 1
+    for s, e in zip([0, *cuts], [*cuts, len(h)]):
+        of = slice(np.searchsorted(end, s, "right"), np.searchsorted(start, e, "left"))
+        if of.start >= of.stop:
+            continue
+        c, low, high = (h[s] + h[e - 1]) / 2, np.clip(start[of], s, e) - s, np.clip(end[of], s, e) - s
+        width = max((h[e - 1] - h[s]) / 2, 1.0)
+        t, over = (h[s:e] - c) / width, 2 * c - b[of]
+        for v, plain, series in zip(by, half, inverse):
+            power = v[s:e].astype(np.float64)
+            factor = 1 / over
+            for k in range(MOMENTS):
+                run = np.concatenate([[0.0], np.cumsum(power)])
+                moment = run[high] - run[low]
+                if not k:
+                    plain[of] += moment
+                series[of] += moment * factor
+                power, factor = power * t, factor * (-2 * width / over)
+    return [x / 2 + b / 2 * y for x, y in zip(half, inverse)]
+
+
 def similar_summary(projects: DataFrame, history: DataFrame, within: str = "0.2") -> DataFrame:
     """(id, n, first, budgets, weights, costs) of the projects that have similar history: how many rows, their smallest
     id and sum of budgets, the sum of their weights and of weighted costs; a weight is 1 / (1 + |budget - h| / h).
 
     History of equal budgets is one row. A bin of projects meets the history of its own and the neighbouring bins in one
     task (several, if it is crowded), where both lie in the order of budgets and a window slides along; no pair of rows
-    is made. Rows without region, type or budget have no history; history of no budget above zero is left out."""
+    is made, and sums over a window come from running sums, so the work of a task grows with its rows. Rows without region, type or budget have no history; history of no budget above zero is left out."""
     key, cents = ["region", "project_type"], (F.col("budget") * 100).cast("long")
     asked = projects.where("budget is not null").select("id", *key, _band(within).alias("bin"), cents.alias("b"))
     known = history.where("budget > 0").select("id", *key, _band(within).alias("bin"), cents.alias("h"), F.col("cost").cast("double").alias("cost"))
@@ -162,15 +202,24 @@ def similar_summary(projects: DataFrame, history: DataFrame, within: str = "0.2"
     def sweep(mine: pa.Table, past: pa.Table) -> pa.Table:
         past = past.sort_by("h")
         h, n, cost, first = (past[c].to_numpy() for c in ("h", "n", "cost", "first"))
+        mine = mine.sort_by("b")
         b = mine["b"].to_numpy()
         start, end = np.searchsorted(h * 1000, b * low, "left"), np.searchsorted(h * 1000, b * high, "right")
-        rows = []
-        for at in np.flatnonzero(end > start):
+        some = np.flatnonzero(end > start)
+        if not len(some):
+            return SUMMARY.empty_table()
+        b, start, end = b[some], start[some], end[some]
+        middle = np.searchsorted(h, b, "right")  # up to it a weight is h / b, behind it h / (2 h - b)
+        over = lambda values, kind: (lambda run: lambda i, j: run[j] - run[i])(np.concatenate([np.zeros(1, kind), np.cumsum(values, dtype=kind)]))
+        counts, budgets, priced = over(n, np.int64), over(h * n, np.int64), over(h * cost, np.longdouble)
+        upper = _above(b, h, [n, cost], middle, end)
+        weights = budgets(start, middle) / b + upper[0]
+        costs = priced(start, middle).astype(np.float64) / b + upper[1]
+        for at in np.flatnonzero(end - start <= FEW):
             s = slice(start[at], end[at])
             weight = h[s] / (h[s] + np.abs(b[at] - h[s]))
-            rows.append((at, int(n[s].sum()), int(first[s].min()), float((h[s] * n[s]).sum()) / 100, float((weight * n[s]).sum()), float((weight * cost[s]).sum())))
-        at, *sums = zip(*rows) if rows else ((),) * 6
-        return pa.table([mine["id"].take(pa.array(at, pa.int64())), *sums], schema=SUMMARY)
+            weights[at], costs[at] = (weight * n[s]).sum(), (weight * cost[s]).sum()
+        return pa.table([mine["id"].take(pa.array(some)), counts(start, end), _least(first, start, end), budgets(start, end) / 100, weights, costs], schema=SUMMARY)
 
     near = near.select(*(F.col(c).alias(c) for c in near.columns))  # `history` may be made of the same columns
     groups = [df.groupBy(*key, "bin", "part") for df in (asked, near)]

@@ -66,3 +66,35 @@ def test_ids_that_orders_share(spark, tmp_path, name):
     tables = {t: f"SELECT * REPLACE ({key.format(k=k)}) FROM {{}}" for t, k in (("part", "p_partkey"), ("lineitem", "l_partkey"))}
     d = changed(tmp_path, **tables)
     assert spark_rows(registry.QUERIES[name](spark, d)) == duck_rows(database(d), registry.ORACLES[name])
+
+
+def test_many_similar_budgets_at_once(spark):
+    """Sums over windows of thousands of rows equal those of the rows, and no task takes a time for each pair."""
+    import time
+
+    import numpy as np
+
+    from tenderspark.operators import pricing as P
+
+    rng = np.random.default_rng(3)
+    h, b = np.sort(rng.integers(8_000_000, 20_000_000, 400_000)), np.sort(rng.integers(9_000_000, 16_000_000, 50_000))
+    by = [rng.integers(1, 4, len(h)), rng.random(len(h)) * 1e5]
+    start, end = np.searchsorted(h, b, "right"), np.searchsorted(h * 1000, b * 1200, "right")
+    began = time.time()
+    got, least = P._above(b, h, by, start, end), P._least(by[1], start, end)
+    assert time.time() - began < 20
+    for at in range(0, len(b), 997):
+        s = slice(start[at], end[at])
+        want = [(v[s] * h[s] / (2 * h[s] - b[at])).sum() for v in by]
+        assert all(abs(g[at] - w) <= 1e-11 * w for g, w in zip(got, want)) and least[at] == by[1][s].min()
+
+    n = 60_000
+    history = spark.range(n).selectExpr("id", "'r' region", "'t' project_type", "CAST(100000 + id AS DECIMAL(15,2)) budget", "CAST(1000 + id % 7 AS DECIMAL(15,2)) cost")
+    got = {r["id"]: r for r in P.similar_summary(history, history).collect()}
+    for k in (0, 12345, n - 1):
+        x, rows = 100000 + k, np.arange(100000, 100000 + n)
+        rows = rows[(rows >= 0.8 * x) & (rows <= 1.2 * x)]
+        weight = rows / (rows + abs(x - rows))
+        r = got[k]
+        assert (r["n"], r["first"], r["budgets"]) == (len(rows), rows[0] - 100000, rows.sum())
+        assert abs(r["weights"] - weight.sum()) < 1e-9 * r["weights"] and abs(r["costs"] - (weight * (1000 + (rows - 100000) % 7)).sum()) < 1e-9 * r["costs"]
