@@ -31,8 +31,8 @@ def l2_normalize(v: Column) -> Column:
     return F.when(n == 0, F.transform(v, lambda x: x.cast("double"))).otherwise(F.transform(v, lambda x: x.cast("double") / n))
 
 
-#: Vectors, and queries, that meet in one task.
-VECTORS, QUERIES = 8192, 2048
+#: Vectors, and queries, that meet in one task, and how many of these queries have their scores in memory at once.
+VECTORS, QUERIES, ROWS = 8192, 2048, 128
 
 
 def _best(side: DataFrame, asked: DataFrame, k: int) -> DataFrame:
@@ -62,24 +62,28 @@ def _best(side: DataFrame, asked: DataFrame, k: int) -> DataFrame:
 
     def meet(have: pa.Table, want: pa.Table) -> pa.Table:
         have = have.sort_by("chunk_id")
-        score = np.zeros((len(want), len(have)))
-        for n, (at, m) in by_length(have["vector"]).items():
-            norm = np.sqrt((m * m).sum(1))
-            for w, (rows, q) in by_length(want["query_vector"]).items():
-                scale = np.sqrt((q * q).sum(1))[:, None] * norm
-                dot = q[:, : min(n, w)] @ m[:, : min(n, w)].T
-                score[np.ix_(rows, at)] = np.divide(dot, scale, out=np.zeros_like(dot), where=scale > 0)
-        score = np.round(score, 9)
         tracks = have["track"].to_numpy(zero_copy_only=False)
-        out_q, out_c = [], []
-        for track in dict.fromkeys(tracks):
-            of = np.flatnonzero(tracks == track)
-            # chunks lie in the order of their ids, so a stable sort leaves ties to the smaller ones
-            top = of[np.argsort(-score[:, of], axis=1, kind="stable")[:, :k]]
-            out_q.append(np.repeat(np.arange(len(want)), top.shape[1]))
-            out_c.append(top.ravel())
-        q, c = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_q, out_c))
-        return pa.table({"query_id": want["query_id"].take(pa.array(q)), "track": have["track"].take(pa.array(c)), "chunk_id": have["chunk_id"].take(pa.array(c)), "score": score[q, c]})
+        members = {track: np.flatnonzero(tracks == track) for track in dict.fromkeys(tracks)}
+        lengths = [(n, at, m, np.sqrt((m * m).sum(1))) for n, (at, m) in by_length(have["vector"]).items()]
+        out_q, out_c, out_s = [], [], []
+        for first in range(0, len(want), ROWS):
+            some = want.slice(first, ROWS)
+            score = np.zeros((len(some), len(have)))
+            for w, (rows, q) in by_length(some["query_vector"]).items():
+                for n, at, m, norm in lengths:
+                    scale = np.sqrt((q * q).sum(1))[:, None] * norm
+                    dot = q[:, : min(n, w)] @ m[:, : min(n, w)].T
+                    score[np.ix_(rows, at)] = np.divide(dot, scale, out=np.zeros_like(dot), where=scale > 0)
+            score = np.round(score, 9)
+            for of in members.values():
+                # chunks lie in the order of their ids, so a stable sort leaves ties to the smaller ones
+                top = of[np.argsort(-score[:, of], axis=1, kind="stable")[:, :k]]
+                at = np.repeat(np.arange(len(some)), top.shape[1])
+                out_q.append(first + at)
+                out_c.append(top.ravel())
+                out_s.append(score[at, top.ravel()])
+        q, c, scores = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((out_q, np.int64), (out_c, np.int64), (out_s, np.float64)))
+        return pa.table({"query_id": want["query_id"].take(pa.array(q)), "track": have["track"].take(pa.array(c)), "chunk_id": have["chunk_id"].take(pa.array(c)), "score": scores})
 
     kind = lambda df, c: df.schema[c].dataType.simpleString()
     schema = f"query_id {kind(asked, 'query_id')}, track string, chunk_id {kind(side, 'chunk_id')}, score double"

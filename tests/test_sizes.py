@@ -98,3 +98,14 @@ def test_many_similar_budgets_at_once(spark):
         r = got[k]
         assert (r["n"], r["first"], r["budgets"]) == (len(rows), rows[0] - 100000, rows.sum())
         assert abs(r["weights"] - weight.sum()) < 1e-9 * r["weights"] and abs(r["costs"] - (weight * (1000 + (rows - 100000) % 7)).sum()) < 1e-9 * r["costs"]
+
+
+def test_few_scores_in_memory_at_once(spark, monkeypatch):
+    from tenderspark.operators import retrieval as R
+
+    v = lambda name: F.expr(f"array(cos(id * 1.7), sin(id * 1.3), cos(id * id)) AS {name}")
+    side = spark.range(40).select(F.lit(0).alias("scope"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("track"), F.col("id").alias("chunk_id"), v("vector"))
+    asked = spark.range(100, 110).select(F.lit(0).alias("scope"), F.col("id").alias("query_id"), v("query_vector"))
+    whole = sorted(map(tuple, R._best(side, asked, 4).collect()))
+    monkeypatch.setattr(R, "ROWS", 3)
+    assert len(whole) == 80 and sorted(map(tuple, R._best(side, asked, 4).collect())) == whole
