@@ -6,12 +6,14 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tenderspark.operators import snapshots
 from tenderspark.plans.base import bids, chunks, projects, query, table
 from tenderspark.plans.lifecycle import audit_log
 from tenderspark.sources import outcome_book as B
+from tenderspark.sources.files import spread, write_files
 from tenderspark.streaming import jobs
 
 
@@ -53,10 +55,14 @@ def a1_read_outcome_book(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT page_id, sha256(html || chr(10)) AS hash, octet_length(encode(html)) + 1 AS length FROM pages")
 def a5_scan_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Every page as a text file in a folder of its own, found again with its hash."""
+    """Every page as a text file of its own in one of many folders, found again with its hash."""
     path = _folder(spark, "files")
-    table(spark, d, "pages").select("page_id", "html").repartition("page_id").write.partitionBy("page_id").text(path)
-    page = F.regexp_extract("path", "/page_id=([0-9]+)/", 1).cast("long")
+    # an id that repeats has as many files
+    copy = F.row_number().over(W.partitionBy("page_id").orderBy("html"))
+    name = F.concat_ws("-", F.coalesce(F.col("page_id").cast("string"), F.lit("none")), copy)
+    pages = table(spark, d, "pages").select(F.concat(name, F.lit(".txt")).alias("name"), F.concat(F.coalesce("html", F.lit("")), F.lit("\n")).cast("binary").alias("content"))
+    write_files(pages.withColumn("name", spread(F.col("name"))), path)
+    page = F.regexp_extract("path", r"/(-?[0-9]+)-[0-9]+\.txt$", 1).try_cast("long")
     return B.scan_documents(spark, path, ("txt",)).select(page.alias("page_id"), "hash", "length")
 
 

@@ -109,3 +109,15 @@ def test_few_scores_in_memory_at_once(spark, monkeypatch):
     whole = sorted(map(tuple, R._best(side, asked, 4).collect()))
     monkeypatch.setattr(R, "ROWS", 3)
     assert len(whole) == 80 and sorted(map(tuple, R._best(side, asked, 4).collect())) == whole
+
+
+def test_pages_as_files_in_few_folders(spark, tmp_path, monkeypatch):
+    """Every page is a file, those of a repeated id too, and folders do not grow with the pages."""
+    from tenderspark.plans import stored
+
+    (tmp_path / "in").mkdir()
+    monkeypatch.setattr(stored, "_folder", lambda spark, name: f"file://{tmp_path}/{name}")
+    d = changed(tmp_path / "in", pages="SELECT * REPLACE (page_id // 3 + 1000 * (k % 20) AS page_id) FROM {}, range(60) r(k)")
+    assert spark_rows(registry.QUERIES["a5_scan_documents"](spark, d)) == duck_rows(database(d), registry.ORACLES["a5_scan_documents"])
+    at = [(len(names), len(folders)) for _, folders, names in os.walk(tmp_path / "files")]
+    assert sum(n for n, _ in at) == 3000 and sum(n for _, n in at) <= 110
