@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -63,7 +66,8 @@ def a5_scan_documents(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "pages").select(F.concat(name, F.lit(".txt")).alias("name"), F.concat(F.coalesce("html", F.lit("")), F.lit("\n")).cast("binary").alias("content"))
     write_files(pages.withColumn("name", spread(F.col("name"))), path)
     page = F.regexp_extract("path", r"/(-?[0-9]+)-[0-9]+\.txt$", 1).try_cast("long")
-    return B.scan_documents(spark, path, ("txt",)).select(page.alias("page_id"), "hash", "length")
+    # small rows of many small tasks, together again
+    return B.scan_documents(spark, path, ("txt",)).select(page.alias("page_id"), "hash", "length").repartition("page_id")
 
 
 @query("SELECT chunk_id, md5(content) AS content, win_signal FROM chunk")
@@ -96,14 +100,24 @@ def a14_atomic_import(spark: SparkSession, d: str) -> DataFrame:
     return rows.crossJoin(n)  # a single row
 
 
+def _parquet(rows: pa.Table) -> pa.Table:
+    """(name, content) of the file that holds a conversation."""
+    out = io.BytesIO()
+    pq.write_table(rows.select(["content"]), out)
+    return pa.table({"name": rows["name"].slice(0, 1), "content": pa.array([out.getvalue()], pa.binary())})
+
+
 def _ingested(spark: SparkSession, d: str) -> str:
     """The conversations as files of contents, one file for each, every seventh turn without content, and a broken file;
     taken in twice, the second time with a copy of each file."""
     base = _folder(spark, "ingest")
-    rows = table(spark, d, "conversations").select("conv_id", F.when(F.col("turn") % 7 != 6, F.col("text")).alias("content")).repartition("conv_id")
+    rows = table(spark, d, "conversations").select("conv_id", F.when(F.col("turn") % 7 != 6, F.col("text")).alias("content"))
     rows.limit(1).select(F.lit("no such format")).write.text(f"{base}/source/conv_id=broken")
-    for _ in range(2):
-        rows.write.mode("append").partitionBy("conv_id").parquet(f"{base}/source")
+    # paths have the order of the ids as text; those of no id come last
+    name = spread(F.coalesce(F.col("conv_id").cast("string"), F.lit("none")))
+    files = rows.select(F.concat(name, F.lit(".parquet")).alias("name"), "content").groupBy("name").applyInArrow(_parquet, "name string, content binary")
+    for copy in range(2):
+        write_files(files, f"{base}/source/{copy}")
         jobs.ingest_chunks(spark, f"{base}/source", f"{base}/target", f"{base}/ledger", f"{base}/checkpoint", most_files=100_000)
     return base
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 import pyarrow as pa
@@ -20,7 +21,7 @@ FILES = "path string, modificationTime timestamp, length long, content binary"
 
 def parquet_contents(data: bytes) -> list[str | None]:
     """The column `content` of a Parquet file."""
-    return pq.read_table(io.BytesIO(data), columns=["content"])["content"].to_pylist()
+    return pq.ParquetFile(io.BytesIO(data)).read(["content"], use_threads=False)["content"].to_pylist()
 
 
 def parsed_files(files: DataFrame, parse: Callable[[bytes], list[str | None]], most_bytes: int) -> DataFrame:
@@ -45,6 +46,19 @@ def parsed_files(files: DataFrame, parse: Callable[[bytes], list[str | None]], m
     return small.mapInArrow(work, "path string, at long, content string, error string")
 
 
+@contextmanager
+def listed_by_few_tasks(spark: SparkSession) -> Iterator[None]:
+    """A file source lists each file of a batch as a path of its own, up to 10,000 with a task for each; here by as many
+    tasks as keep the cluster busy."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def ingest_chunks(
     spark: SparkSession,
     source: str,
@@ -87,9 +101,10 @@ def ingest_chunks(
     def add(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
-    listed = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", True).option("maxFilesPerTrigger", most_files).load(source)
-    once = listed.writeStream.foreachBatch(stage).option("checkpointLocation", f"{checkpoint}/files").trigger(availableNow=True).start()
-    once.awaitTermination()
+    with listed_by_few_tasks(spark):
+        listed = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", True).option("maxFilesPerTrigger", most_files).load(source)
+        once = listed.writeStream.foreachBatch(stage).option("checkpointLocation", f"{checkpoint}/files").trigger(availableNow=True).start()
+        once.awaitTermination()
     # the folder of each batch is written over if the batch is run again, so only whole batches are read
     staged = spark.readStream.schema("hash string, path string, content string").option("recursiveFileLookup", True).parquet(f"{ledger}/staged")
     fresh = staged.dropDuplicates(["hash"]).select("path", "content", "hash")

@@ -121,3 +121,20 @@ def test_pages_as_files_in_few_folders(spark, tmp_path, monkeypatch):
     assert spark_rows(registry.QUERIES["a5_scan_documents"](spark, d)) == duck_rows(database(d), registry.ORACLES["a5_scan_documents"])
     at = [(len(names), len(folders)) for _, folders, names in os.walk(tmp_path / "files")]
     assert sum(n for n, _ in at) == 3000 and sum(n for _, n in at) <= 110
+
+
+def test_conversations_as_files_in_few_folders(spark, tmp_path, monkeypatch):
+    """Files of a batch are listed by few tasks, and folders do not grow with the files."""
+    from tenderspark.plans import stored
+    from tenderspark.streaming import jobs
+
+    key, seen, parsed = "spark.sql.sources.parallelPartitionDiscovery.parallelism", [], jobs.parsed_files
+    (tmp_path / "in").mkdir()
+    monkeypatch.setattr(stored, "_folder", lambda spark, name: f"file://{tmp_path}/{name}")
+    monkeypatch.setattr(jobs, "parsed_files", lambda files, *a: seen.append(int(files.sparkSession.conf.get(key))) or parsed(files, *a))
+    d, before = changed(tmp_path / "in", conversations="SELECT * REPLACE (conv_id + 100 * k AS conv_id) FROM {}, range(20) r(k)"), spark.conf.get(key)
+    assert spark_rows(registry.QUERIES["a10_import_totals"](spark, d)) == duck_rows(database(d), registry.ORACLES["a10_import_totals"])
+    assert len(seen) == 2 and max(seen) <= 16 and spark.conf.get(key) == before
+    at = [(sum(n.endswith(".parquet") for n in names), len(folders)) for _, folders, names in os.walk(tmp_path / "ingest/source")]
+    n = database(d).execute("SELECT count(DISTINCT conv_id) FROM conversations").fetchone()[0]
+    assert n > 300 and sum(x for x, _ in at) == 2 * n and sum(x for _, x in at) <= 2 * 110 + 3
