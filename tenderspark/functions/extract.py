@@ -160,9 +160,12 @@ def chunk_by_dimensions(docs: DataFrame, names: tuple[str, ...], size: int = 600
     listed. What stands before the first name is left out; a text without any is one segment of no dimension."""
     any_name = "|".join(reversed(names))
     pattern = rf"(?<=^|[\n\r\t （(])(?=(?:{any_name}))"
-    parts = docs.select("doc", F.col("text").rlike(pattern).alias("hit"), F.posexplode(F.split("text", pattern)).alias("seg", "part"))
-    name = _nonempty(F.regexp_extract("part", f"^({any_name})", 1))
-    parts = parts.withColumn("dimension", F.when(F.col("hit"), name)).where("not hit or dimension is not null")
+    name = lambda part: _nonempty(F.regexp_extract(part, f"^({any_name})", 1))
+    # a text is looked at once: tested beside its parts, it would be read again for each of them
+    named = F.transform(F.split("text", pattern), lambda part, seg: F.struct(seg.alias("seg"), F.lit(True).alias("hit"), name(part).alias("dimension"), part.alias("part")))
+    whole = F.array(F.struct(F.lit(0).alias("seg"), F.lit(False).alias("hit"), F.lit(None).cast("string").alias("dimension"), F.col("text").alias("part")))
+    parts = docs.select("doc", F.inline(F.when(F.col("text").rlike(pattern), named).otherwise(whole)))
+    parts = parts.where("not hit or dimension is not null")
     inner = strip(F.substring(F.col("part"), F.length("dimension") + 1, F.length("part")))
     body = F.when(F.col("hit"), inner).otherwise(F.col("part"))
     return parts.select("doc", "seg", "dimension", F.posexplode(T.sliding_chunks(body, size, overlap)).alias("k", "body"))

@@ -138,3 +138,14 @@ def test_conversations_as_files_in_few_folders(spark, tmp_path, monkeypatch):
     at = [(sum(n.endswith(".parquet") for n in names), len(folders)) for _, folders, names in os.walk(tmp_path / "ingest/source")]
     n = database(d).execute("SELECT count(DISTINCT conv_id) FROM conversations").fetchone()[0]
     assert n > 300 and sum(x for x, _ in at) == 2 * n and sum(x for _, x in at) <= 2 * 110 + 3
+
+
+def test_a_text_is_not_read_again_for_each_of_its_parts(spark):
+    """The test for names is no column beside the parts, where it would take the whole text for each."""
+    from tenderspark.functions import extract as X
+
+    docs = spark.range(1).selectExpr("id AS doc", "repeat(if(id < 5, 'and word ', 'x'), 1000) AS text")
+    df = X.chunk_by_dimensions(docs, ("and", "der"))
+    assert sorted((r["seg"], r["dimension"], r["body"]) for r in df.collect()) == [(k, "and", "word") for k in range(1000)]
+    tests = [line for line in df._jdf.queryExecution().optimizedPlan().toString().split("\n") if "RLIKE" in line.upper()]
+    assert tests and all("Generate inline" in line for line in tests)
