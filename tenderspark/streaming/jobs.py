@@ -146,44 +146,53 @@ def kept_state(spark: SparkSession, target: str) -> DataFrame:
 
 
 REPLAYED = "project long, event_id long, us long, before string, original_status string, new_status string, n long, gap boolean"
-_WAITING = "last string, n long, at array<long>, event_id array<long>, original_status array<string>, new_status array<string>"
+_KEPT = ["project", "us", "event_id", "original_status", "new_status"]
+_WAITING = "known array<long>, n array<long>, last array<string>, " + ", ".join(f"{c} array<{t}>" for c, t in zip(_KEPT, ("long", "long", "long", "string", "string")))
 
 
-def replay(log: DataFrame, lateness: str) -> DataFrame:
+def replay(log: DataFrame, lateness: str, buckets: int = 256) -> DataFrame:
     """A stream of log rows (project, event_id, at, original_status, new_status) as each project's history in order.
 
     Every row comes out once, when the watermark (`lateness` behind the newest row) has passed it: with its number in the
     project, the status `before` it and `gap`, that its original status is not that one. Rows may arrive in any order;
-    until then they wait in the project's state, and event-time timeouts wake projects that get no more rows. Rows later
+    until then they wait in the state, and event-time timeouts wake what gets no more rows. Rows later
     than `lateness` are dropped, as are rows without project or time. Equal times go by event_id. A null original status
-    is no gap; the first row of a project has none."""
+    is no gap; the first row of a project has none.
+
+    The state has a row for each bucket of projects, which one call takes together; `buckets` stays as it is for the life of
+    a checkpoint, and a larger number suits projects or waiting rows by the hundred million."""
 
     def one(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, n, *kept = state.get if state.exists else (None, 0, [], [], [], [])
-        waiting = list(zip(*kept))
+        known, n, last, *kept = state.get if state.exists else [[]] * 8
+        waiting = pd.DataFrame({c: pd.Series(v, dtype="object" if c.endswith("status") else "int64") for c, v in zip(_KEPT, kept)})
         if not state.hasTimedOut:
-            for rows in batches:
-                text = lambda c: [None if pd.isna(x) else x for x in c]
-                waiting += zip(rows["us"].tolist(), rows["event_id"].tolist(), text(rows["original_status"]), text(rows["new_status"]))
-        waiting.sort(key=lambda w: w[:2])
+            waiting = pd.concat([waiting, *(rows[_KEPT] for rows in batches)], ignore_index=True)
         mark = state.getCurrentWatermarkMs()
-        ready = [w for w in waiting if w[0] < mark * 1000]
-        waiting = waiting[len(ready) :]
-        out = []
-        for at, event, original, new in ready:
-            n += 1
-            out.append((key[0], event, at, last, original, new, n, last is not None and original is not None and last != original))
-            last = new
-        state.update((last, n, *map(list, zip(*waiting))) if waiting else (last, n, [], [], [], []))
-        if waiting:
-            state.setTimeoutTimestamp(max(waiting[0][0] // 1000, mark) + 1)
-        if out:
-            yield pd.DataFrame(out, columns=["project", "event_id", "us", "before", "original_status", "new_status", "n", "gap"])
+        ready = waiting["us"] < mark * 1000
+        out, waiting = waiting[ready].sort_values(["project", "us", "event_id"], kind="stable"), waiting[~ready]
+        text = lambda c: [None if pd.isna(x) else x for x in c]
+        if len(out):
+            # the last status and number of each project before these rows
+            past = pd.DataFrame({"n": pd.Series(n, known, dtype="int64"), "last": pd.Series(last, known, dtype="object")})
+            groups = out.groupby("project", sort=False)
+            k = groups.cumcount()
+            before = groups["new_status"].shift().where(k > 0, out["project"].map(past["last"]))
+            number = out["project"].map(past["n"]).fillna(0).astype("int64") + k + 1
+            gap = before.notna() & out["original_status"].notna() & (before != out["original_status"])
+            out = out.assign(before=text(before), original_status=text(out["original_status"]), new_status=text(out["new_status"]), n=number, gap=gap)
+            newest = out.drop_duplicates("project", keep="last").set_index("project")[["n", "new_status"]].set_axis(["n", "last"], axis=1)
+            past = pd.concat([past[~past.index.isin(newest.index)], newest])
+            known, n, last = past.index.tolist(), past["n"].tolist(), text(past["last"])
+        state.update((known, n, last, *(text(waiting[c]) if c.endswith("status") else waiting[c].tolist() for c in _KEPT)))
+        if len(waiting):
+            state.setTimeoutTimestamp(max(int(waiting["us"].min()) // 1000, mark) + 1)
+        if len(out):
+            yield out[["project", "event_id", "us", "before", "original_status", "new_status", "n", "gap"]]
 
     at = F.col("at").cast("timestamp")
     rows = log.select("project", "event_id", at.alias("at"), F.unix_micros(at).alias("us"), "original_status", "new_status").where("project is not null and at is not null")
-    marked = rows.withWatermark("at", lateness)
-    out = marked.groupBy("project").applyInPandasWithState(one, REPLAYED, _WAITING, "append", GroupStateTimeout.EventTimeTimeout)
+    marked = rows.withColumn("bucket", F.pmod(F.xxhash64("project"), F.lit(buckets))).withWatermark("at", lateness)
+    out = marked.groupBy("bucket").applyInPandasWithState(one, REPLAYED, _WAITING, "append", GroupStateTimeout.EventTimeTimeout)
     return out.select(*(F.timestamp_micros("us").alias("at") if c == "us" else c for c in out.columns))
 
 

@@ -149,3 +149,19 @@ def test_a_text_is_not_read_again_for_each_of_its_parts(spark):
     assert sorted((r["seg"], r["dimension"], r["body"]) for r in df.collect()) == [(k, "and", "word") for k in range(1000)]
     tests = [line for line in df._jdf.queryExecution().optimizedPlan().toString().split("\n") if "RLIKE" in line.upper()]
     assert tests and all("Generate inline" in line for line in tests)
+
+
+def test_replay_keeps_projects_in_few_states(spark, tmp_path):
+    """Calls and states do not grow with the projects, and later batches go on from what each project had."""
+    from tenderspark.streaming import jobs
+
+    at = lambda name: str(tmp_path / name)
+    log = spark.range(6000).selectExpr("id % 2000 project", "id event_id", "timestamp '2025-01-01' + make_interval(0, 0, 0, cast(id div 2000 AS int)) at", "if(id < 2000, null, 'a') original_status", "if(id < 4000, 'a', null) new_status")
+    end = spark.sql("SELECT -1L project, -1L event_id, timestamp '2026-01-01' at, 'end' original_status, 'end' new_status")
+    for rows in (log.where("event_id < 2000"), end.withColumn("at", F.expr("timestamp '2025-01-03 12:00:00'")), log.where("event_id >= 2000 and project > 0").unionByName(end), end):
+        rows.coalesce(1).write.mode("append").parquet(at("log"))
+        q = jobs.keep_replay(spark.readStream.schema(log.schema).parquet(at("log")), "2 days", at("out"), at("c"))
+        q.awaitTermination()
+    assert 0 < q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 256
+    out = spark.read.option("recursiveFileLookup", True).parquet(at("out")).where("project >= 0")
+    assert {(r["n"], r["before"], r["gap"]): r["c"] for r in out.groupBy("n", "before", "gap").agg(F.count("*").alias("c")).collect()} == {(1, None, False): 2000, (2, "a", False): 1999, (3, "a", False): 1999}
