@@ -138,7 +138,7 @@ def removed_lines(
 
     # Most members of a large group match the first line of one of their lists: one candidate for each posting. Only
     # lines that do not are compared with all earlier lines of their lists.
-    ranked = set_join.postings(sets.join(crowded, CLASS, "left_semi"), CLASS, threshold)
+    ranked = set_join.postings(sets.join(crowded, CLASS, "left_semi"), CLASS, threshold).drop("c", "before")
     ranked = stored(ranked.join(first, CLASS))
     leads = ranked.groupBy("token").agg(F.min(F.struct("at", *CLASS, "n", "pos")).alias("l")).select("token", "l.*")
     earlier = (F.col("b.at") < F.col("a.at")) & set_join.can_match("a", "b", threshold)

@@ -27,9 +27,13 @@ def of_like_length(na: Column, nb: Column, threshold: float) -> Column:
 
 def can_match(a: str, b: str, threshold: float) -> Column:
     """Length and positional filter on two postings with the same token."""
-    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    most = F.least(na - F.col(f"{a}.pos"), nb - F.col(f"{b}.pos"))
-    return of_like_length(na, nb, threshold) & (most >= least_shared(na, nb, threshold))
+    return may_match(*({c: F.col(f"{s}.{c}") for c in ("n", "pos")} for s in (a, b)), threshold)
+
+
+def may_match(a: Column | dict[str, Column], b: Column | dict[str, Column], threshold: float) -> Column:
+    """The same on the columns n and pos of two structs."""
+    most = F.least(a["n"] - a["pos"], b["n"] - b["pos"])
+    return of_like_length(a["n"], b["n"], threshold) & (most >= least_shared(a["n"], b["n"], threshold))
 
 
 def shared_tokens(sets: DataFrame) -> DataFrame:
@@ -38,8 +42,9 @@ def shared_tokens(sets: DataFrame) -> DataFrame:
 
 
 def postings(sets: DataFrame, keys: list[str], threshold: float, counts: DataFrame | None = None) -> DataFrame:
-    """(keys, n, pos, token): the indexed part of each set's prefix in the order by rarity; pos counts from 0.
+    """(keys, n, pos, token, c, before): the indexed part of each set's prefix in the order by rarity; pos counts from 0.
 
+    c is the number of sets that hold the token, before the set's shared tokens that precede it in the order.
     `counts` are the sets' `shared_tokens`, if they are stored. `sets` (keys, tokens) is read twice. Counts are
     aggregated before they meet a token, so a token of very many sets is one row that Spark's join may split; what is
     gathered in one place is one set's tokens."""
@@ -51,11 +56,19 @@ def postings(sets: DataFrame, keys: list[str], threshold: float, counts: DataFra
     alone = F.col("n") - F.size("held")
     held = held.select(*keys, "n", alone.alias("alone"), "held").where(prefix_length(F.col("n"), threshold) > F.col("alone"))
     prefix = F.slice("held", F.lit(1), prefix_length(F.col("n"), threshold) - F.col("alone"))
-    return held.select(*keys, "n", "alone", F.posexplode(prefix).alias("i", "x")).select(
-        *keys, "n", (F.col("alone") + F.col("i")).alias("pos"), F.col("x.token").alias("token")
+    return held.select(*keys, "n", "alone", prefix.alias("prefix")).select("*", F.posexplode("prefix").alias("i", "x")).select(
+        *keys, "n", (F.col("alone") + F.col("i")).alias("pos"), F.col("x.token").alias("token"), F.col("x.c").alias("c"),
+        F.slice("prefix.token", F.lit(1), F.col("i")).alias("before"),
     )
 
 
+def meet_first(a: Column, b: Column) -> Column:
+    """Whether the token of two postings is the first that their sets share, in the order by rarity.
+
+    Sets that reach the threshold have that token in both prefixes, so each such pair meets first in just one list."""
+    return ~F.arrays_overlap(a["before"], b["before"])
+
+
 def likeness(a: Column, b: Column) -> Column:
     shared = F.size(F.array_intersect(a, b))
     return shared / F.greatest(F.size(a) + F.size(b) - shared, F.lit(1))

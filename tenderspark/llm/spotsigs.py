@@ -24,6 +24,12 @@ ANCHORS = tuple(
     "el los las del se con una su al lo como por no".split()
 )
 
+#: Sets that may hold a signature whose list is joined set by set; longer lists are compared in blocks. Like the sizes of
+#: blocks this changes the work, not the result.
+LONG = 32
+#: Sets and tokens of a block: bounds of a row.
+BLOCK, BLOCK_TOKENS = 256, 1 << 17
+
 
 def signatures(text: Column, anchors: tuple[str, ...] = ANCHORS, chain: int = 2) -> Column:
     """Sorted array of the different 64-bit signatures of a text; empty for null and for texts without letters or digits.
@@ -164,10 +170,23 @@ def edited_against_next(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, chain: int = 2) -> tuple[DataFrame, DataFrame]:
     """(members, links): the class of each row (id_col, set_id), and the pairs (a, b, likeness) of classes that reach
-    the threshold. Texts with equal signature sets are one class.
+    the threshold. Texts with equal signature sets are one class. The list of pairs grows with the square of a group of
+    near copies; `link_counts` does not make it."""
+    members, pairs, met = _linked(docs, id_col, text_col, threshold, chain)
+    of_blocks = met.select("a", F.explode("found").alias("f")).select("a", F.col("f.b").alias("b"), F.col("f.likeness").alias("likeness")).where("a < b")
+    found = stored(pairs.union(of_blocks))
+    forget(pairs, *met.blocks)
+    return members, found
+
+
+def _linked(docs: DataFrame, id_col: str, text_col: str, threshold: float, chain: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, pairs, met): the class of each row (id_col, set_id), stored; the pairs (a, b, likeness) of classes, a < b,
+    that reach the threshold and share a signature of at most LONG classes, stored; of all other such pairs (a, found), where
+    found holds some of the b and their likeness, in several rows for each a and for both ends of a pair.
 
     Sets are indexed by their rarest signatures within their length partition; a set meets those of its own and of the
-    next partition that share one, and pairs that pass the length and positional filters are verified exactly."""
+    next partition that share one, and pairs that pass the length and positional filters are verified exactly. Two sets
+    meet in the list of the first signature they share. Short lists are joined set by set, long ones block by block."""
     tokens = docs.select(F.col(id_col), signatures(F.col(text_col), chain=chain).alias("tokens"))
     keyed = tokens.select(id_col, class_of(F.col("tokens")).alias("set_id"), "tokens")
     # texts are read once; every step is stored, so that one step's shuffle files are gone before the next one's
@@ -179,24 +198,56 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     posts = set_join.postings(sets, ["set_id"], threshold, counts)
     posts = stored(posts.withColumn("part", length_partition(F.col("n"), threshold)))
     forget(counts)
-    shorter = posts.withColumn("slot", F.explode(F.array(F.col("part"), F.col("part") + 1)))
-    longer = posts.withColumn("slot", F.col("part"))
+    short, long = posts.where(F.col("c") <= LONG), posts.where(F.col("c") > LONG)
+    shorter = short.withColumn("slot", F.explode(F.array(F.col("part"), F.col("part") + 1)))
+    longer = short.withColumn("slot", F.col("part"))
     a, b = F.struct("a.n", "a.set_id"), F.struct("b.n", "b.set_id")
-    met = shorter.alias("a").join(longer.alias("b"), ["slot", "token"]).where((a < b) & set_join.can_match("a", "b", threshold))
-    pairs = stored(met.select(F.least("a.set_id", "b.set_id").alias("a"), F.greatest("a.set_id", "b.set_id").alias("b")).distinct())
-    asked = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
+    first = set_join.meet_first({"before": F.col("a.before")}, {"before": F.col("b.before")})
+    met = shorter.alias("a").join(longer.alias("b"), ["slot", "token"]).where((a < b) & set_join.can_match("a", "b", threshold) & first)
+    pairs = stored(met.select(F.least("a.set_id", "b.set_id").alias("a"), F.greatest("a.set_id", "b.set_id").alias("b")))
+    asked = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).union(long.select("set_id")).distinct()
     few = stored(sets.join(asked, "set_id", "left_semi"))
-    forget(sets, posts)
+    forget(sets)
     found = stored(set_join.verified_pairs(pairs, few, "set_id", threshold))
-    forget(pairs, few)
-    return members, found
+    met = _block_matches(long, few, threshold)
+    forget(posts, pairs, few)
+    return members, found, met
+
+
+def _block_matches(long: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, found): sets of the postings `long` with those (b, likeness) that they meet first in a token's list and match.
+
+    A list of one token and length partition is dealt into blocks of about BLOCK sets and at most some BLOCK_TOKENS
+    tokens, a row each. Every two blocks of a list, or of it and its neighbours, are one row, so rows grow with the blocks and
+    a task holds two of them at a time; what is compared within them, set by set, still grows with the square of a list."""
+    parts = stored(
+        long.groupBy("token", "part").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks"))
+    )
+    member = F.struct("set_id", "n", "pos", "before", "tokens").alias("member")
+    dealt = long.join(parts, ["token", "part"]).join(sets, "set_id")
+    dealt = dealt.select("token", "part", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int").alias("block"), member)
+    blocks = stored(dealt.groupBy("token", "part", "block").agg(F.collect_list("member").alias("members")))
+    near = blocks.select("token", F.col("members").alias("own"), F.explode(F.array(*(F.col("part") + d for d in (-1, 0, 1)))).alias("part"))
+    near = near.join(parts, ["token", "part"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    both = near.join(blocks.hint("merge"), ["token", "part", "block"]).select("own", "members")
+
+    def of_one(x: Column) -> Column:
+        may = lambda y: (x["set_id"] != y["set_id"]) & set_join.may_match(x, y, threshold) & set_join.meet_first(x, y)
+        like = lambda y: F.struct(y["set_id"].alias("b"), set_join.likeness(x["tokens"], y["tokens"]).alias("likeness"))
+        found = F.filter(F.transform(F.filter("members", may), like), lambda m: m["likeness"] >= threshold - 1e-9)
+        return F.struct(x["set_id"].alias("a"), found.alias("found"))
+
+    matches = both.select(F.explode(F.filter(F.transform("own", of_one), lambda m: F.size(m["found"]) > 0)).alias("m")).select("m.a", "m.found")
+    matches.blocks = (parts, blocks)
+    return matches
 
 
 def link_counts(docs: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, chain: int = 2) -> DataFrame:
     """(id_col, class_id, n_links), stored: the rows of `docs` whose class is linked to others, each id and class once."""
-    members, pairs = links(docs, id_col, text_col, threshold, chain)
-    ends = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b"))
-    counts = ends.groupBy("set_id").agg(F.count("*").alias("n_links"))
+    members, pairs, met = _linked(docs, id_col, text_col, threshold, chain)
+    ends = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).withColumn("k", F.lit(1))
+    ends = ends.union(met.select("a", F.size("found")))
+    counts = ends.groupBy("set_id").agg(F.sum("k").alias("n_links"))
     counted = stored(members.distinct().join(counts, "set_id").select(id_col, F.col("set_id").alias("class_id"), "n_links"))
-    forget(members, pairs)
+    forget(members, pairs, *met.blocks)
     return counted

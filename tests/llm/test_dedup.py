@@ -187,3 +187,29 @@ def test_spot_links_equal_brute_force(spark, make):
     expected = sorted((str(i), len(t or ""), n_links(frozenset(_signatures(t or "")))) for i, t in docs)
     assert sorted((str(x["doc_id"]), x["n_chars"], x["n_links"]) for x in rows) == expected and any(x[2] for x in expected)
     assert len({x["class_id"] for x in rows}) == len(sets) == len({x["fingerprint"] for x in rows})
+
+
+def test_spot_links_of_near_copies_make_no_row_a_pair(spark, make, monkeypatch):
+    monkeypatch.setattr(spotsigs, "BLOCK", 16, raising=False)
+    rows, store = [], spotsigs.stored
+
+    def counted(df):
+        rows.append((kept := store(df)).count())
+        return kept
+
+    monkeypatch.setattr(spotsigs, "stored", counted)
+    r = random.Random(3)
+    base = [f"{r.choice(['the', 'of', 'is'])} w{k} v{r.randrange(9)}" for k in range(40)]
+    docs = []
+    for i in range(150):
+        w = list(base)
+        for k in range(r.randint(1, 3)):
+            w[r.randrange(len(w))] = f"the x{i} y{k}"
+        docs.append((i, " ".join(w[: r.randint(33, 40)])))
+    sets = [frozenset(_signatures(t)) for _, t in docs]
+    linked = {s: sum(o != s and len(s & o) / len(s | o) >= 0.8 - 1e-9 for o in set(sets)) for s in set(sets)}
+    want = {i: linked[s] for i, s in enumerate(sets) if linked[s]}
+    got = {x["doc_id"]: x["n_links"] for x in spotsigs.link_counts(make(docs), "doc_id", "text").collect()}
+    assert got == want and sum(want.values()) > 8_000 and max(rows) < 3_000
+    pairs = [(x["a"], x["b"]) for x in spotsigs.links(make(docs))[1].collect()]
+    assert len(pairs) == len(set(pairs)) == sum(linked.values()) / 2
