@@ -100,29 +100,28 @@ def removed_lines(
     heads = heads.select("row", "id", "pos", *CLASS, F.size("t").alias("n"), F.sort_array("t").alias("t"))
     heads = stored(heads.select("row", "id", "pos", *CLASS, "n", F.slice("t", F.lit(1), _head_length(F.col("n"), threshold)).alias("p")))
 
-    # most tokens are in one class only
-    each = heads.select("c1", F.explode("p").alias("token"))
-    shared = each.groupBy("token").agg(F.min("c1").alias("lo"), F.max("c1").alias("hi")).where("lo <> hi")
-    shared = stored(shared.select("token"))
-    # what grows with the corpus is joined by sorting at every size
-    posts = heads.select("row", "pos", F.explode("p").alias("token")).join(shared.hint("merge"), "token")
-    posts = posts.join(heads.select("row", "pos", *CLASS, "n", F.element_at("p", -1).alias("last")).where("n > 0"), ["row", "pos"])
-    every = loose = stored(posts.groupBy(*CLASS, "token").agg(F.min("n").alias("n"), F.min("last").alias("last")))
+    # most tokens are in one class only; both sides of a join on tokens read one shuffle, and what is left of them is hashed, not sorted
+    each = heads.select("c1", F.explode("p").alias("token")).repartition("token")
+    shared = each.groupBy("token").agg(F.min("c1").alias("lo"), F.max("c1").alias("hi")).where("lo <> hi").select("token")
+    loose = stored(each.join(shared.hint("shuffle_hash"), "token").select("c1", "token").distinct())
     # the smaller of two similar sets, n * threshold at least, sets how many tokens they share here
-    enough = every.groupBy(*CLASS).agg(F.count("*").alias("held"), F.min("n").alias("n"))
-    enough = enough.where(F.col("held") >= _met(F.ceil(F.col("n") * F.lit(threshold) - 1e-9), threshold)).select(*CLASS)
-    every = stored(every.join(enough, CLASS))
-    posts = stored(every.join(every.groupBy("token").agg(F.count("*").alias("k")).where("k > 1"), "token"))
+    held = loose.groupBy("c1").agg(F.count("*").alias("held"))
+    ends = heads.where("n > 0").select(*CLASS, "n", F.element_at("p", -1).alias("last"), _place().alias("at")).join(held.hint("shuffle_hash"), "c1")
+    ends = ends.where(F.col("held") >= _met(F.ceil(F.col("n") * F.lit(threshold) - 1e-9), threshold))
+    classes = stored(ends.groupBy(*CLASS).agg(F.min("n").alias("n"), F.min("last").alias("last"), F.min("at").alias("at")))
+    every = loose.join(classes.drop("at").hint("shuffle_hash"), "c1").repartition("token")
+    met = every.groupBy("token").agg(F.count("*").alias("k")).where("k > 1")
+    posts = stored(every.join(met.hint("shuffle_hash"), "token"))
     crowded = stored(posts.where(F.col("k") > LONG).select(*CLASS).distinct())
     pairs = stored(_few_meet(posts, crowded, threshold))
-    forget(shared, loose, every, posts)
+    forget(loose, posts)
 
     # a class stands at its first line; the tokens of those that may match are made once more, from the texts
     sides = [pairs.select(*(F.col(f"{s}{c}").alias(c) for c in CLASS)) for s in "ab"]
     asked = stored(crowded.union(sides[0]).union(sides[1]).distinct())
-    first = stored(heads.join(asked, CLASS).groupBy(*CLASS).agg(F.min(_place()).alias("at")))
+    first = stored(classes.join(asked, CLASS).select(*CLASS, "at"))
     by_row = stored(first.groupBy(F.col("at.row").alias("row")).agg(F.collect_list("at.pos").alias("at")))
-    texts = normalised(own.join(by_row.hint("merge"), "row"), "text").select("row", "id", F.split("text", "\n").alias("lines"), F.explode("at").alias("pos"))
+    texts = normalised(own.join(by_row.hint("shuffle_hash"), "row"), "text").select("row", "id", F.split("text", "\n").alias("lines"), F.explode("at").alias("pos"))
     texts = texts.select(_place().alias("at"), F.trim(F.get("lines", "pos")).alias("line")).select("at", *_class(), F.split("line", " ").alias("w"))
     sets = stored(texts.select(*CLASS, "at", shingles("w", size).alias("tokens")))
 
@@ -146,7 +145,7 @@ def removed_lines(
     rest = ranked.join(quick, CLASS, "left_anti")
     slow = verified(rest.alias("a").join(ranked.alias("b"), "token").where(earlier).select(*_pair("a", "b")).distinct())
     near = stored(verified(pairs).union(quick).union(slow).distinct())
-    forget(pairs, asked, by_row, sets, ranked, quick, crowded)
+    forget(classes, pairs, asked, by_row, sets, ranked, quick, crowded)
 
     # a line goes if it is not its class's first, or if the class matches an earlier one
     repeated = heads.groupBy(*CLASS).agg(F.min(_place()).alias("start"), F.count("*").alias("k")).where("k > 1").select(*CLASS, "start")

@@ -96,6 +96,25 @@ def test_line_dedup_of_a_large_group_of_variants(spark, make):
     assert got == want and 20 < len(want) < 150
 
 
+def test_line_dedup_shuffles_prefixes_once(spark, make, monkeypatch):
+    plans, store = [], line_dedup.stored
+
+    def seen(df):
+        kept = store(df)
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept
+
+    monkeypatch.setattr(line_dedup, "stored", seen)
+    r = random.Random(5)
+    base = [[f"w{r.randrange(200)}" for _ in range(40)] for _ in range(8)]
+    docs = [(i, " ".join(base[i % 8][: 40 - i // 8])) for i in range(40)]
+    got = {x["doc_id"]: list(x["removed"]) for x in line_dedup.report(make(docs)).collect() if x["n_removed"]}
+    assert got == _removed(docs) and got
+    of_prefixes = [p for p in plans if "explode(p#" in p]
+    assert len(of_prefixes) == 1 and "ReusedExchange" in of_prefixes[0]
+
+
 def test_line_dedup_odd_rows(spark, odd):
     got = line_dedup.report(odd).collect()
     assert len(got) == odd.count()
