@@ -165,3 +165,48 @@ def test_replay_keeps_projects_in_few_states(spark, tmp_path):
     assert 0 < q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 256
     out = spark.read.option("recursiveFileLookup", True).parquet(at("out")).where("project >= 0")
     assert {(r["n"], r["before"], r["gap"]): r["c"] for r in out.groupBy("n", "before", "gap").agg(F.count("*").alias("c")).collect()} == {(1, None, False): 2000, (2, "a", False): 1999, (3, "a", False): 1999}
+
+
+def related_by_pairs(names: list, keys: list) -> dict:
+    every = {n: [p for k, p in keys if k and p is not None and (k in n or n in k)] for n in names if n}
+    return {n: min(ps) for n, ps in every.items() if ps}
+
+
+@pytest.mark.parametrize("rows, heads", [(3, 1000), (7, 4), (20, 0), (50_000, 50_000)])
+def test_related_names_in_blocks_of_any_size(spark, rows, heads):
+    """Blocks that end within equal suffixes or within what goes on from one name, and beginnings that tell much or nothing."""
+    import random
+
+    from tenderspark.operators.names import first_related
+
+    r = random.Random(rows)
+    word = lambda: "".join(r.choice("甲乙X𠮷") for _ in range(r.randint(0, 6))) + r.choice(["", "", "_文件", "_文件_文件"])
+    names, keys = [r.choice([word(), word(), word(), None]) for _ in range(150)], [(r.choice([word(), word(), word(), None]), r.choice([k, k, k, None, -k])) for k in range(80)]
+    names, keys = names + ["甲甲甲甲甲甲甲甲", "Z"], keys + [("YZ文", 3), ("YZ", 4)]
+    got = first_related(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame(keys, "key string, place long"), rows, heads).collect()
+    assert {x["name"]: x["place"] for x in got} == related_by_pairs(names, keys) and len({x["name"] for x in got}) == len(got)
+
+
+def test_rows_of_related_names_do_not_grow_with_blocks(spark, monkeypatch):
+    """Names that end alike go through exchanges a few times each, however many blocks there are."""
+    from tenderspark.operators import names as N
+    from tenderspark.operators import steps
+
+    monkeypatch.setattr(steps, "_folder", lambda spark: None)  # one plan of all steps
+    names, keys = spark.range(4000).selectExpr("concat('N', id, '_end') AS name"), spark.range(4000).selectExpr("concat('<N', 2 * id, '_end>') AS key", "id AS place")
+    df = N.first_related(names, keys, 100)
+    assert {(x["name"], x["place"]) for x in df.collect()} == {(f"N{2 * k}_end", k) for k in range(2000)}
+    dealt = [p.metrics().apply("shuffleRecordsWritten").value() for p in executed(df) if p.getClass().getSimpleName() == "ShuffleExchangeExec"]
+    assert len(dealt) > 1 and sum(dealt) < 6 * 8000
+
+
+def test_steps_of_outcomes_leave_only_what_is_read(spark, tmp_path, monkeypatch):
+    """Steps that nothing reads any more are deleted, and a cluster without a folder gives the same rows."""
+    from tenderspark.operators import steps
+
+    monkeypatch.setattr(steps, "_folder", lambda spark: f"file://{tmp_path}")
+    df = registry.QUERIES["a3_resolve_outcome"](spark, SF)
+    assert {f"file://{tmp_path}/{x}" for x in os.listdir(tmp_path)} == {f.rpartition("/")[0] for f in df.inputFiles() if "/step-" in f}
+    with_folder = sorted(map(str, df.collect()))
+    monkeypatch.setattr(steps, "_folder", lambda spark: None)
+    assert sorted(map(str, registry.QUERIES["a3_resolve_outcome"](spark, SF).collect())) == with_folder
